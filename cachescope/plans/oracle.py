@@ -118,3 +118,45 @@ SELECT request_id, ts, outcome AS cache, latency_ms,
        CASE WHEN outcome = 'HIT' THEN distance END AS similarity,
        false AS pii_detected, '' AS pii_entities
 FROM gw_requests"""
+
+V_VEC = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
+V_DIST = """d AS (SELECT q.vec_id, c.vec_id AS match_id, 1 - list_cosine_similarity(q.e, c.e) AS distance
+       FROM v q JOIN v c ON q.vec_id <> c.vec_id),
+nn AS (SELECT vec_id, match_id, distance FROM d
+       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, match_id) = 1)"""
+
+SQL["knn1"] = with_views(V_VEC, V_DIST)[:-2] + """
+SELECT vec_id, match_id, round(distance, 4) AS distance FROM nn"""
+
+SQL["hit_decision"] = with_views(V_VEC, V_DIST)[:-2] + """
+SELECT vec_id, match_id, round(distance, 4) AS distance,
+       CASE WHEN distance <= 0.62 THEN 'HIT' ELSE 'MISS' END AS outcome FROM nn"""
+
+SQL["near_misses"] = with_views(V_VEC, V_DIST)[:-2] + """
+SELECT vec_id, match_id, round(distance, 4) AS distance FROM nn WHERE distance > 0.62"""
+
+SQL["neighbor_pairs"] = with_views(V_VEC)[:-2] + """
+SELECT a.vec_id AS src_id, b.vec_id AS dst_id, round(1 - list_cosine_similarity(a.e, b.e), 4) AS distance
+FROM v a JOIN v b ON a.vec_id < b.vec_id
+WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.62"""
+
+SQL["cache_replay"] = "WITH RECURSIVE " + ",\n".join([V_VEC, """e AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst, 1 - list_cosine_similarity(a.e, b.e) AS distance
+  FROM v a JOIN v b ON a.vec_id < b.vec_id
+  WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.62)""", """nb AS (SELECT dst, list(src) AS srcs FROM e GROUP BY dst)""",
+    """o AS (SELECT v.vec_id, row_number() OVER (ORDER BY v.vec_id) AS rn,
+             coalesce(nb.srcs, []::BIGINT[]) AS srcs
+      FROM v LEFT JOIN nb ON nb.dst = v.vec_id)""",
+    """walk(rn, leaders) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT o.rn, CASE WHEN len(list_intersect(w.leaders, o.srcs)) > 0 THEN w.leaders
+                    ELSE list_append(w.leaders, o.vec_id) END
+  FROM walk w JOIN o ON o.rn = w.rn + 1)""",
+    """fin AS (SELECT unnest(leaders) AS vec_id FROM (SELECT leaders FROM walk ORDER BY rn DESC LIMIT 1))""",
+    """best AS (SELECT dst AS vec_id, src AS match_id, distance FROM e JOIN fin ON fin.vec_id = e.src
+         QUALIFY row_number() OVER (PARTITION BY dst ORDER BY distance, src) = 1)"""]) + """
+SELECT v.vec_id, CASE WHEN fin.vec_id IS NULL THEN 'HIT' ELSE 'MISS' END AS outcome,
+       CASE WHEN fin.vec_id IS NULL THEN best.match_id END AS match_id,
+       CASE WHEN fin.vec_id IS NULL THEN round(best.distance, 4) END AS distance
+FROM v LEFT JOIN fin ON fin.vec_id = v.vec_id LEFT JOIN best ON best.vec_id = v.vec_id"""

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import replay
 from ..operators import telemetry as tel
+from ..operators import vectors as vec
 from ..sources import tables as src
 
 # Parameters of the registered queries (see FIXTURES.md).
@@ -92,3 +94,44 @@ def q_event_feed(spark, sf_dir):
 @register("request_outcome")
 def q_request_outcome(spark, sf_dir):
     return tel.request_outcome(src.gw_requests(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- vectors
+def _nearest_other(spark, sf_dir):
+    """Every embedding looked up against all the others (leave-one-out KNN-1)."""
+    log = src.vec_log(spark, sf_dir)
+    return vec.knn1(log, log, query_id="vec_id", query_vec="embedding", cache_key="vec_id",
+                    cache_vec="embedding", exclude_self=True)
+
+
+@register("knn1")
+def q_knn1(spark, sf_dir):
+    nn = _nearest_other(spark, sf_dir)
+    return nn.select("vec_id", F.col("match_key").alias("match_id"), _r("distance", 4))
+
+
+@register("hit_decision")
+def q_hit_decision(spark, sf_dir):
+    d = vec.hit_decision(_nearest_other(spark, sf_dir), TAU)
+    return d.select("vec_id", F.col("match_key").alias("match_id"), _r("distance", 4), "outcome")
+
+
+@register("near_misses")
+def q_near_misses(spark, sf_dir):
+    d = vec.near_misses(_nearest_other(spark, sf_dir), TAU)
+    return d.select("vec_id", F.col("match_key").alias("match_id"), _r("distance", 4))
+
+
+@register("neighbor_pairs")
+def q_neighbor_pairs(spark, sf_dir):
+    log = src.vec_log(spark, sf_dir)
+    p = vec.pairs_within(log, log, TAU, query_id="vec_id", query_vec="embedding",
+                         cache_key="vec_id", cache_vec="embedding", order="vec_id")
+    return p.select(F.col("match_key").alias("src_id"), F.col("vec_id").alias("dst_id"),
+                    _r("distance", 4))
+
+
+@register("cache_replay")
+def q_cache_replay(spark, sf_dir):
+    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, id_col="vec_id")
+    return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
