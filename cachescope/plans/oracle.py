@@ -160,3 +160,105 @@ SELECT v.vec_id, CASE WHEN fin.vec_id IS NULL THEN 'HIT' ELSE 'MISS' END AS outc
        CASE WHEN fin.vec_id IS NULL THEN best.match_id END AS match_id,
        CASE WHEN fin.vec_id IS NULL THEN round(best.distance, 4) END AS distance
 FROM v LEFT JOIN fin ON fin.vec_id = v.vec_id LEFT JOIN best ON best.vec_id = v.vec_id"""
+
+KEY_SQL = "'prompt:' || left(sha256(regexp_replace(lower({t}), '^\\s+|\\s+$', '', 'g')), 32)"
+TRIM_SQL = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+UUID_SQL = ("substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-' || substring({h}, 13, 4) || '-' "
+            "|| substring({h}, 17, 4) || '-' || substring({h}, 21, 12)")
+
+SQL["last_prompt"] = """
+SELECT conv_id, coalesce(arg_max(text, turn), '') AS prompt, arg_max(role, turn) AS last_role
+FROM conversations GROUP BY conv_id"""
+
+SQL["message_filter"] = """
+SELECT conv_id, turn, role, text AS content FROM conversations
+WHERE coalesce(role, '') <> '' AND text IS NOT NULL"""
+
+SQL["prompt_key"] = f"""
+SELECT conv_id, turn, {KEY_SQL.format(t='text')} AS key FROM conversations"""
+
+SQL["session_clean"] = """
+SELECT conv_id, count(*) AS message_count, min(turn) AS first_turn, max(turn) AS last_turn,
+       arg_max(role, turn) AS last_role
+FROM conversations WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '' GROUP BY conv_id"""
+
+SQL["session_id_valid"] = f"""
+WITH u AS (SELECT conv_id, turn, {UUID_SQL.format(h='md5(text)')} AS u FROM conversations),
+s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN u WHEN 1 THEN upper(u) ELSE substring(u, 1, 35) END
+             AS session_id FROM u)
+SELECT conv_id, turn, session_id,
+       coalesce(regexp_matches(session_id,
+         '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$', 'i'), false) AS valid
+FROM s"""
+
+_SESSION_LOG = f"""log AS (
+  SELECT {UUID_SQL.format(h='md5(CAST(conv_id AS VARCHAR))')} AS session_id,
+         TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn) * INTERVAL 1 MINUTE AS updated_at,
+         'save' AS op, text AS payload, 'llama-3.3-70b-versatile' AS model
+  FROM conversations
+  UNION ALL
+  SELECT {UUID_SQL.format(h='md5(CAST(conv_id AS VARCHAR))')},
+         TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn + 1) * INTERVAL 1 MINUTE,
+         'delete', NULL, NULL
+  FROM (SELECT conv_id, arg_max(role, turn) AS last_role, max(turn) AS turn FROM conversations GROUP BY conv_id)
+  WHERE last_role = 'user')"""
+
+SQL["session_load"] = "WITH " + _SESSION_LOG + """,
+latest AS (SELECT * FROM log WHERE updated_at <= TIMESTAMP '2024-01-09 12:00:00'
+           QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, (op = 'delete') DESC) = 1),
+alive AS (SELECT * FROM latest
+          WHERE op = 'save' AND epoch(TIMESTAMP '2024-01-09 12:00:00') - epoch(updated_at) < 604800)
+SELECT r.session_id, a.updated_at IS NOT NULL AS found, coalesce(a.model, 'llama-3.3-70b-versatile') AS model,
+       a.updated_at, CAST(length(a.payload) AS BIGINT) AS payload_chars
+FROM (SELECT DISTINCT session_id FROM log) r LEFT JOIN alive a USING (session_id)"""
+
+SQL["preview_chars"] = """
+SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS preview,
+       CASE WHEN length(text) > 80 THEN left(text, 80) ELSE text END AS preview80,
+       CAST(length(text) AS BIGINT) AS n_chars
+FROM documents"""
+
+SQL["preview_bytes"] = """
+WITH k AS (SELECT doc_id, text,
+                  list_max(list_filter(range(0, 61), lambda i: strlen(left(text, i)) <= 60)) AS k
+           FROM documents)
+SELECT doc_id,
+       CASE WHEN strlen(text) > 60
+            THEN left(text, k) || CASE WHEN strlen(left(text, k)) < 60 THEN '�' ELSE '' END || '…'
+            ELSE text END AS preview,
+       CAST(strlen(text) AS BIGINT) AS n_bytes
+FROM k"""
+
+_CACHE = V_PAIRS + f""",
+w AS (SELECT {KEY_SQL.format(t='prompt')} AS key, prompt AS original_text,
+             {TRIM_SQL.format(t='response')} AS response_text, conv_id, turn FROM gw_pairs),
+c AS (SELECT * FROM w WHERE coalesce(original_text, '') <> '' AND coalesce(response_text, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY conv_id DESC, turn DESC) = 1)"""
+
+SQL["cache_upsert"] = "WITH " + _CACHE + """
+SELECT key, original_text, response_text, conv_id, turn FROM c"""
+
+SQL["cache_list"] = "WITH " + _CACHE + """
+SELECT key, original_text AS prompt,
+       CASE WHEN length(response_text) > 120 THEN left(response_text, 120) || '…' ELSE response_text END
+         AS response_preview,
+       CAST(length(response_text) AS BIGINT) AS response_length
+FROM (SELECT * FROM c ORDER BY key LIMIT 50) WHERE coalesce(original_text, '') <> ''"""
+
+SQL["cache_stats"] = "WITH " + _CACHE + """
+SELECT count(DISTINCT key) AS entry_count, 64 AS embedding_dim, 0.62::DOUBLE AS threshold,
+       'gemini-embedding-001' AS model FROM c"""
+
+SQL["request_parse"] = "WITH " + V_PAIRS + """
+SELECT conv_id, turn, 'llama-3.3-70b-versatile' AS model, 2::BIGINT AS n_messages, turn = 0 AS stream,
+       prompt FROM gw_pairs"""
+
+SQL["sse_text"] = "WITH " + V_PAIRS + "\nSELECT conv_id, turn, response AS text FROM gw_pairs"
+SQL["json_text"] = SQL["sse_text"]
+
+SQL["event_decode"] = with_views(V_REQUESTS)[:-2] + """
+SELECT 'cache_hit' AS type, 'Cache HIT · distance ' || printf('%.4f', distance) AS message,
+       'Latency: ' || CAST(latency_ms AS VARCHAR) || 'ms' AS detail,
+       strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, date_trunc('second', ts) AS ts,
+       printf('%.4f', distance) AS meta_distance, CAST(latency_ms AS VARCHAR) AS meta_latency
+FROM gw_requests WHERE outcome = 'HIT'"""

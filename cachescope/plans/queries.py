@@ -12,9 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import replay
+from ..functions import json_text as jt
+from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
+from ..operators import cache, replay
+from ..operators import prompts as pr
+from ..operators import sessions as sess
 from ..operators import telemetry as tel
 from ..operators import vectors as vec
+from ..sources import events as ev
+from ..sources import requests as reqs
 from ..sources import tables as src
 
 # Parameters of the registered queries (see FIXTURES.md).
@@ -135,3 +141,114 @@ def q_neighbor_pairs(spark, sf_dir):
 def q_cache_replay(spark, sf_dir):
     r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, id_col="vec_id")
     return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
+
+
+# ---------------------------------------------------------------- prompts & sessions
+@register("last_prompt")
+def q_last_prompt(spark, sf_dir):
+    return pr.last_prompt(src.gw_messages(spark, sf_dir)).select("conv_id", "prompt", "last_role")
+
+
+@register("message_filter")
+def q_message_filter(spark, sf_dir):
+    return pr.message_filter(src.gw_messages(spark, sf_dir)).select("conv_id", "turn", "role", "content")
+
+
+@register("prompt_key")
+def q_prompt_key(spark, sf_dir):
+    return src.gw_messages(spark, sf_dir).select("conv_id", "turn", prompt_key("content").alias("key"))
+
+
+@register("session_clean")
+def q_session_clean(spark, sf_dir):
+    return pr.session_summary(src.gw_messages(spark, sf_dir))
+
+
+@register("session_id_valid")
+def q_session_id_valid(spark, sf_dir):
+    ids = src.gw_session_ids(spark, sf_dir)
+    return ids.select("conv_id", "turn", "session_id", session_id_valid("session_id").alias("valid"))
+
+
+SESSION_AS_OF = "2024-01-09 12:00:00"
+
+
+@register("session_load")
+def q_session_load(spark, sf_dir):
+    log = src.gw_session_log(spark, sf_dir)
+    got = sess.load(log.select("session_id"), log, SESSION_AS_OF)
+    return got.select("session_id", "found", "model", "updated_at",
+                      F.length("payload").cast("bigint").alias("payload_chars"))
+
+
+@register("preview_chars")
+def q_preview_chars(spark, sf_dir):
+    d = src.documents(spark, sf_dir)
+    return d.select("doc_id", preview_chars("text", 120).alias("preview"),
+                    preview_chars("text", 80, ellipsis=False).alias("preview80"),
+                    F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("preview_bytes")
+def q_preview_bytes(spark, sf_dir):
+    d = src.documents(spark, sf_dir)
+    return d.select("doc_id", preview_bytes("text", 60).alias("preview"),
+                    F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+# ---------------------------------------------------------------- cache table
+def _cache_table(spark, sf_dir):
+    return cache.upsert(cache.entries_from_pairs(src.gw_pairs(spark, sf_dir)))
+
+
+@register("cache_upsert")
+def q_cache_upsert(spark, sf_dir):
+    c = _cache_table(spark, sf_dir)
+    return c.select("key", "original_text", "response_text", F.col("seq.conv_id").alias("conv_id"),
+                    F.col("seq.turn").alias("turn"))
+
+
+@register("cache_list")
+def q_cache_list(spark, sf_dir):
+    return cache.list_entries(_cache_table(spark, sf_dir))
+
+
+@register("cache_stats")
+def q_cache_stats(spark, sf_dir):
+    return cache.stats(_cache_table(spark, sf_dir), dim=64, threshold=TAU)
+
+
+# ---------------------------------------------------------------- bodies and events
+@register("request_parse")
+def q_request_parse(spark, sf_dir):
+    pairs = src.gw_pairs(spark, sf_dir)
+    msgs = F.array(F.named_struct(F.lit("role"), F.lit("system"), F.lit("content"), F.lit("Be brief.")),
+                   F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"), F.col("prompt")))
+    bodies = pairs.select("conv_id", "turn", reqs.request_body(
+        F.lit("llama-3.3-70b-versatile"), msgs, F.col("turn") == 0).alias("body"))
+    ok = reqs.accepted(reqs.parse_requests(bodies))
+    return ok.select("conv_id", "turn", "model", F.size("messages").cast("bigint").alias("n_messages"),
+                     "stream", "prompt")
+
+
+@register("sse_text")
+def q_sse_text(spark, sf_dir):
+    pairs = src.gw_pairs(spark, sf_dir)
+    chunks = F.regexp_extract_all(F.col("response"), F.lit("(?s).{1,24}"), 0)
+    bodies = pairs.select("conv_id", "turn", jt.sse_body(chunks).alias("body"))
+    return bodies.select("conv_id", "turn", jt.sse_text("body").alias("text"))
+
+
+@register("json_text")
+def q_json_text(spark, sf_dir):
+    pairs = src.gw_pairs(spark, sf_dir)
+    bodies = pairs.select("conv_id", "turn", jt.json_body(F.col("response")).alias("body"))
+    return bodies.select("conv_id", "turn", jt.json_text("body").alias("text"))
+
+
+@register("event_decode")
+def q_event_decode(spark, sf_dir):
+    raw = ev.encode_events(tel.hit_events(src.gw_requests(spark, sf_dir)))
+    d = ev.decode_events(raw)
+    return tel.flat_metadata(d).select("type", "message", "detail", "timestamp", "ts",
+                                       "meta_distance", "meta_latency")

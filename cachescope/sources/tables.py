@@ -74,3 +74,40 @@ def vec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def uuid_from_hex(hex32: Column) -> Column:
+    """Format 32 hex digits as 8-4-4-4-12."""
+    return F.concat_ws("-", F.substring(hex32, 1, 8), F.substring(hex32, 9, 4),
+                       F.substring(hex32, 13, 4), F.substring(hex32, 17, 4),
+                       F.substring(hex32, 21, 12))
+
+
+def gw_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session-id candidates, one per message: a UUID made from md5(text),
+    upper-cased on turns 1, 4, 7..., cut by one character on turns 2, 5, 8..."""
+    conv = table(spark, sf_dir, "conversations")
+    u = uuid_from_hex(F.md5(F.col("text")))
+    shape = F.pmod(F.col("turn"), F.lit(3))
+    cand = (F.when(shape == 0, u).when(shape == 1, F.upper(u))
+            .otherwise(F.substring(u, 1, 35)))
+    return conv.select("conv_id", "turn", cand.alias("session_id"))
+
+
+def gw_session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save/delete log of chat sessions: every turn of conversation c is a save of
+    session uuid(md5(c)) at 2024-01-01 + c hours + turn minutes; a conversation
+    whose last turn is a user turn is deleted one minute after it."""
+    conv = table(spark, sf_dir, "conversations")
+    sid = uuid_from_hex(F.md5(F.col("conv_id").cast("string")))
+    at = F.timestamp_add("MINUTE", F.col("conv_id") * 60 + F.col("turn"),
+                         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    saves = conv.select(sid.alias("session_id"), at.alias("updated_at"), F.lit("save").alias("op"),
+                        F.col("text").alias("payload"), F.lit("llama-3.3-70b-versatile").alias("model"))
+    last = conv.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"),
+                                       F.max("turn").alias("turn"))
+    deletes = last.where(F.col("last_role") == "user").select(
+        sid.alias("session_id"), F.timestamp_add("MINUTE", F.lit(1), at).alias("updated_at"),
+        F.lit("delete").alias("op"), F.lit(None).cast("string").alias("payload"),
+        F.lit(None).cast("string").alias("model"))
+    return saves.unionByName(deletes)
