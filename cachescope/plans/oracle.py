@@ -262,3 +262,78 @@ SELECT 'cache_hit' AS type, 'Cache HIT · distance ' || printf('%.4f', distance)
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, date_trunc('second', ts) AS ts,
        printf('%.4f', distance) AS meta_distance, CAST(latency_ms AS VARCHAR) AS meta_latency
 FROM gw_requests WHERE outcome = 'HIT'"""
+
+
+def _pii_cascade_sql(source: str, key_cols: str, text: str) -> str:
+    """CTE chain s0..s6 replaying the redaction cascade with RE2 patterns."""
+    from ..functions.pii_patterns import patterns
+
+    pats = patterns("re2")
+    parts = [f"s0 AS (SELECT {key_cols}, {text} AS _orig, coalesce({text}, '') AS t0 FROM {source})"]
+    for i, (entity, pat) in enumerate(pats, start=1):
+        parts.append(f"s{i} AS (SELECT *, regexp_matches(t{i-1}, '{pat}') AS f{i}, "
+                     f"regexp_replace(t{i-1}, '{pat}', '<{entity}>', 'g') AS t{i} FROM s{i-1})")
+    n = len(pats)
+    flags = ", ".join(f"CASE WHEN f{i} THEN '{e}' END" for i, (e, _) in enumerate(pats, start=1))
+    parts.append(f"red AS (SELECT *, CASE WHEN _orig IS NULL THEN NULL ELSE t{n} END AS sanitized_text, "
+                 f"list_sort(list_filter([{flags}], lambda x: x IS NOT NULL)) AS ents FROM s{n})")
+    return ",\n".join(parts)
+
+
+SQL["pii_redact"] = "WITH " + _pii_cascade_sql("documents", "doc_id", "text") + \
+    "\nSELECT doc_id, sanitized_text FROM red"
+
+SQL["pii_entities"] = "WITH " + _pii_cascade_sql("documents", "doc_id", "text") + \
+    "\nSELECT doc_id, array_to_string(ents, ',') AS entities, len(ents) > 0 AS has_pii FROM red"
+
+
+def _pii_matches_sql() -> str:
+    from ..functions.pii_patterns import patterns
+
+    cols = ",\n       ".join(
+        f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS BIGINT) AS n_{e.lower()}"
+        for e, p in patterns("re2"))
+    return f"SELECT doc_id,\n       {cols}\nFROM documents"
+
+
+SQL["pii_matches"] = _pii_matches_sql()
+
+
+def _luhn_sql() -> str:
+    from ..functions.pii_patterns import patterns
+
+    card = dict(patterns("re2"))["CREDIT_CARD"]
+    return f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{card}')) AS cand
+           FROM documents),
+d AS (SELECT doc_id, regexp_replace(cand, '[^0-9]', '', 'g') AS ds FROM c),
+l AS (SELECT doc_id,
+             list_sum(list_transform(range(length(ds)), lambda i:
+               CASE WHEN i % 2 = 0 THEN CAST(substring(ds, length(ds) - i, 1) AS INTEGER)
+                    ELSE (CAST(substring(ds, length(ds) - i, 1) AS INTEGER) * 2) % 10
+                         + (CAST(substring(ds, length(ds) - i, 1) AS INTEGER) * 2) // 10 END)) % 10 = 0
+               AS ok
+      FROM d),
+g AS (SELECT doc_id, count(*) AS n_c, count_if(ok) AS n_v FROM l GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(g.n_c, 0) AS BIGINT) AS n_card_candidates,
+       CAST(coalesce(g.n_v, 0) AS BIGINT) AS n_card_valid
+FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
+
+
+SQL["pii_cards_valid"] = _luhn_sql()
+
+_PII_EV = "WITH " + _pii_cascade_sql("documents", "doc_id", "text") + """,
+ev AS (SELECT doc_id, unnest(ents) AS entity,
+              '[REDACTED] ' || CASE WHEN length(sanitized_text) > 80 THEN left(sanitized_text, 80)
+                                    ELSE sanitized_text END AS message
+       FROM red WHERE len(ents) > 0)"""
+
+SQL["pii_events"] = _PII_EV + "\nSELECT doc_id, entity, message, 'Entity: ' || entity AS detail FROM ev"
+SQL["pii_counts"] = _PII_EV + "\nSELECT entity, count(*) AS blocks FROM ev GROUP BY entity"
+
+SQL["pii_last_message"] = "WITH " + _pii_cascade_sql(
+    "(SELECT c.*, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations c)",
+    "conv_id, turn, role, last_turn", "text") + """
+SELECT conv_id, turn, role, turn = last_turn AS scrubbed,
+       CASE WHEN turn = last_turn THEN sanitized_text ELSE _orig END AS sanitized,
+       CASE WHEN turn = last_turn THEN array_to_string(ents, ',') ELSE '' END AS entities
+FROM red"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text as jt
 from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
-from ..operators import cache, replay
+from ..operators import cache, pii, replay
 from ..operators import prompts as pr
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
@@ -252,3 +252,52 @@ def q_event_decode(spark, sf_dir):
     d = ev.decode_events(raw)
     return tel.flat_metadata(d).select("type", "message", "detail", "timestamp", "ts",
                                        "meta_distance", "meta_latency")
+
+
+# ---------------------------------------------------------------- PII
+def _redacted_docs(spark, sf_dir):
+    return pii.redact(src.documents(spark, sf_dir), "text")
+
+
+@register("pii_redact")
+def q_pii_redact(spark, sf_dir):
+    return _redacted_docs(spark, sf_dir).select("doc_id", "sanitized_text")
+
+
+@register("pii_entities")
+def q_pii_entities(spark, sf_dir):
+    return _redacted_docs(spark, sf_dir).select(
+        "doc_id", F.array_join("entities", ",").alias("entities"), "has_pii")
+
+
+@register("pii_matches")
+def q_pii_matches(spark, sf_dir):
+    m = pii.match_counts(src.documents(spark, sf_dir), "text")
+    return m.drop("text")
+
+
+@register("pii_cards_valid")
+def q_pii_cards_valid(spark, sf_dir):
+    return pii.card_checks(src.documents(spark, sf_dir), "text").drop("text")
+
+
+@register("pii_events")
+def q_pii_events(spark, sf_dir):
+    return pii.block_events(_redacted_docs(spark, sf_dir), key="doc_id")
+
+
+@register("pii_counts")
+def q_pii_counts(spark, sf_dir):
+    return pii.block_counts(pii.block_events(_redacted_docs(spark, sf_dir), key="doc_id"))
+
+
+@register("pii_last_message")
+def q_pii_last_message(spark, sf_dir):
+    out = pii.last_message_only(src.gw_messages(spark, sf_dir))
+    return out.select("conv_id", "turn", "role", "scrubbed", "sanitized",
+                      F.array_join("entities", ",").alias("entities"))
+
+
+@register("pii_spans")
+def q_pii_spans(spark, sf_dir):
+    return pii.spans(src.documents(spark, sf_dir), key="doc_id", text="text")
