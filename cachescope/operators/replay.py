@@ -78,25 +78,33 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200
 
 def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id",
                  vec_col: str = "embedding", order_col: str | None = None,
-                 available_col: str | None = None, dim: int | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS, max_rounds: int = 200) -> DataFrame:
+                 available_col: str | None = None, storable_col: str | None = None,
+                 dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                 max_rounds: int = 200) -> DataFrame:
     """Replay the cache over ``log``.
 
     ``order_col`` (default ``id_col``) is the arrival order; ``available_col``
     (optional) is when a stored entry becomes visible (arrival + response time),
     so a request only sees entries with ``available <= its order``.
-    Returns ``id, outcome ('HIT'|'MISS'), match_id, distance, round``; a MISS is
-    a stored request, its match/distance are null.
+    ``storable_col`` (optional boolean) marks requests whose response can be
+    cached; a MISS that is not storable is not stored and so never serves a
+    later hit (it only has no outgoing edges).
+    Returns ``id, outcome ('HIT'|'MISS'), stored, match_id, distance, round``;
+    match/distance are set on hits only.
     """
     order_col = order_col or id_col
     base = log.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                       F.col(order_col).alias("ord"),
-                      F.col(available_col or order_col).alias("avail"))
+                      F.col(available_col or order_col).alias("avail"),
+                      (F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True))
+                      .alias("storable"))
     edges = pairs_within(base, base, threshold, query_id="id", query_vec="vec",
                          cache_key="id", cache_vec="vec", order="ord", available="avail",
                          dim=dim, block_rows=block_rows)
-    edges = _ckpt(edges.select(F.col("match_key").alias("src"), F.col("id").alias("dst"),
-                               "distance"))
+    edges = edges.select(F.col("match_key").alias("src"), F.col("id").alias("dst"), "distance")
+    if storable_col:
+        edges = edges.join(base.where("storable").select(F.col("id").alias("src")), "src", "left_semi")
+    edges = _ckpt(edges)
     leaders = greedy_leaders(base.select("id"), edges, max_rounds=max_rounds)
     stored = leaders.where("leader").select(F.col("id").alias("src"))
     best = (edges.join(stored, "src", "left_semi")
@@ -104,9 +112,11 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
             .agg(F.min(F.struct("distance", "src")).alias("b"))
             .select(F.col("dst").alias("id"), F.col("b.src").alias("match_id"),
                     F.col("b.distance").alias("distance")))
-    return leaders.join(best, "id", "left").select(
+    storable = base.select("id", "storable")
+    return leaders.join(best, "id", "left").join(storable, "id").select(
         "id",
         F.when(F.col("leader"), F.lit("MISS")).otherwise(F.lit("HIT")).alias("outcome"),
+        (F.col("leader") & F.col("storable")).alias("stored"),
         F.when(~F.col("leader"), F.col("match_id")).alias("match_id"),
         F.when(~F.col("leader"), F.col("distance")).alias("distance"),
         "round")

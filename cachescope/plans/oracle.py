@@ -337,3 +337,13 @@ SELECT conv_id, turn, role, turn = last_turn AS scrubbed,
        CASE WHEN turn = last_turn THEN sanitized_text ELSE _orig END AS sanitized,
        CASE WHEN turn = last_turn THEN array_to_string(ents, ',') ELSE '' END AS entities
 FROM red"""
+
+SQL["replay_metrics"] = SQL["cache_replay"].replace(
+    "\nSELECT v.vec_id, CASE WHEN fin.vec_id IS NULL THEN 'HIT' ELSE 'MISS' END AS outcome,", """,
+res AS (SELECT v.vec_id, CASE WHEN fin.vec_id IS NULL THEN 'HIT' ELSE 'MISS' END AS outcome,""").replace(
+    "LEFT JOIN best ON best.vec_id = v.vec_id", """LEFT JOIN best ON best.vec_id = v.vec_id)
+SELECT count(*) AS total_requests, count_if(outcome = 'HIT') AS cache_hits, count_if(outcome = 'MISS') AS cache_misses,
+       count_if(outcome = 'MISS') AS entries_stored, count_if(outcome = 'HIT') * 1500 AS tokens_saved,
+       round(count_if(outcome = 'HIT') * 1500 * 0.000002::DOUBLE, 6) AS estimated_cost_saved,
+       round(count_if(outcome = 'HIT') / count(*) * 100.0::DOUBLE, 6) AS cache_hit_rate
+FROM res""")

@@ -12,13 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import json_text as jt
 from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
 from ..operators import cache, pii, replay
+from ..operators import embed as emb
 from ..operators import prompts as pr
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
 from ..operators import vectors as vec
+from . import gateway as gw
 from ..sources import events as ev
 from ..sources import requests as reqs
 from ..sources import tables as src
@@ -301,3 +304,29 @@ def q_pii_last_message(spark, sf_dir):
 @register("pii_spans")
 def q_pii_spans(spark, sf_dir):
     return pii.spans(src.documents(spark, sf_dir), key="doc_id", text="text")
+
+
+# ---------------------------------------------------------------- composite flows
+@register("replay_metrics")
+def q_replay_metrics(spark, sf_dir):
+    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, id_col="vec_id")
+    m = gw.replay_metrics(r)
+    return m.select("total_requests", "cache_hits", "cache_misses", "entries_stored", "tokens_saved",
+                    _r("estimated_cost_saved", 6), _r("cache_hit_rate", 6))
+
+
+GATEWAY_TAU = config.DISTANCE_THRESHOLD
+
+
+def gateway_requests(spark, sf_dir):
+    """Requests of the gateway flow: every (prompt, reply) pair in conversation
+    order, prompts embedded by the deterministic hashed test embedder."""
+    pairs = src.gw_pairs(spark, sf_dir).withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    return emb.hashed_embedder(pairs, "prompt", "embedding", dim=64)
+
+
+@register("gateway_flow")
+def q_gateway_flow(spark, sf_dir):
+    res = gw.gateway_flow(gateway_requests(spark, sf_dir), GATEWAY_TAU, id_col="seq", order_col="seq")
+    return res.outcomes.select("request_id", "cache", "match_id", _r("similarity", 4), "pii_detected",
+                               "pii_entities", "stored")
