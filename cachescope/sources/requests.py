@@ -14,12 +14,16 @@ from ..operators.prompts import last_message_content
 
 REQUEST_SCHEMA = ("struct<model:string,messages:array<struct<role:string,content:string>>,"
                   "stream:boolean>")
+_PARSE_SCHEMA = REQUEST_SCHEMA[:-1] + ",_corrupt_record:string>"
 
 
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``request`` (typed struct, null when the body is not valid JSON)."""
-    return df.withColumn("request", F.from_json(F.col(body), REQUEST_SCHEMA,
-                                                {"mode": "PERMISSIVE"}))
+    parsed = F.from_json(F.col(body), _PARSE_SCHEMA,
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return df.withColumn("_p", parsed).withColumn(
+        "request", F.when(F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull(),
+                          F.col("_p").dropFields("_corrupt_record"))).drop("_p")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -42,7 +46,9 @@ def rejected(parsed: DataFrame) -> DataFrame:
 def read_request_files(spark, path: str) -> DataFrame:
     """Newline-delimited JSON request bodies from files; malformed lines land in
     ``_corrupt_record``."""
-    return (spark.read.schema(REQUEST_SCHEMA.replace("struct<", "", 1)[:-1] + ",_corrupt_record:string")
+    from pyspark.sql.types import _parse_datatype_string
+
+    return (spark.read.schema(_parse_datatype_string(_PARSE_SCHEMA))
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path))
 
