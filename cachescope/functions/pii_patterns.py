@@ -10,6 +10,8 @@ such as 'é' as word characters.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,6 @@ def placeholder(entity: str) -> str:
 def person_pattern(names: list[str]) -> tuple[str, str]:
     """PERSON by gazetteer (no NER model is available): whole-word match of any
     of ``names``, longest first."""
-    import re
-
     alts = "|".join(re.escape(n) for n in sorted(set(names), key=len, reverse=True) if n)
     return ("PERSON", "{L}(?:" + alts + "){R}")
 
@@ -61,24 +61,34 @@ def luhn_valid(candidate: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(candidate, "[^0-9]", ""))
 
 
-def cascade(text: Column, *, validate_cards: bool = False,
-            extra: list[tuple[str, str]] | None = None) -> tuple[Column, Column]:
-    """(redacted text, sorted distinct entity list).
+def _occurrences(text: Column, literal: str) -> Column:
+    return F.size(F.split(text, re.escape(literal), -1)) - 1
+
 
-    Each step replaces its matches with ``<ENTITY>``; placeholders cannot match
-    a later pattern, so the step order decides overlaps. An entity is reported
-    when its pattern matched the text entering its step. With
-    ``validate_cards`` only card-like matches passing Luhn are redacted.
-    """
+def cascade_text(text: Column, *, validate_cards: bool = False,
+                 extra: list[tuple[str, str]] | None = None) -> Column:
+    """Redacted text: each step replaces its matches with ``<ENTITY>``;
+    placeholders cannot match a later pattern, so the step order decides
+    overlaps. With ``validate_cards`` only card-like matches passing Luhn are
+    redacted. A pattern that needs an '@' is skipped on text without one."""
     t = F.coalesce(text, F.lit(""))
-    found = []
     for entity, pat in patterns("java", extra):
         if entity == "CREDIT_CARD" and validate_cards:
             valid = F.filter(F.regexp_extract_all(t, F.lit(pat), 0), luhn_valid)
-            found.append(F.when(F.size(valid) > 0, F.lit(entity)))
             t = F.aggregate(valid, t, lambda acc, c: F.replace(acc, c, F.lit(placeholder(entity))))
+        elif "@" in pat:
+            t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, pat, placeholder(entity))).otherwise(t)
         else:
-            found.append(F.when(t.rlike(pat), F.lit(entity)))
             t = F.regexp_replace(t, pat, placeholder(entity))
-    entities = F.array_sort(F.array_compact(F.array(*found)))
-    return t, entities
+    return t
+
+
+def entities_found(original: Column, redacted: Column,
+                   extra: list[tuple[str, str]] | None = None) -> Column:
+    """Sorted distinct entity types a cascade replaced: a type is present when
+    the redacted text holds more of its placeholders than the original did
+    (placeholders survive later steps, so this equals "its pattern matched")."""
+    orig = F.coalesce(original, F.lit(""))
+    found = [F.when(_occurrences(redacted, placeholder(e)) > _occurrences(orig, placeholder(e)), F.lit(e))
+             for e, _ in patterns("java", extra)]
+    return F.array_sort(F.array_compact(F.array(*found)))

@@ -15,42 +15,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.pii_patterns import cascade, luhn_valid, patterns
+from ..functions.pii_patterns import cascade_text, entities_found, luhn_valid, patterns
 from ..functions.text import preview_chars
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input over all cores before CPU-heavy per-row work.
+
+    Only when the input has fewer partitions than the cluster has cores (a
+    single small file); a large scan is already split by the reader and is left
+    untouched (no shuffle). Planning-only check, no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def redact(df: DataFrame, text: str = "text", *, validate_cards: bool = False,
            extra: list[tuple[str, str]] | None = None) -> DataFrame:
     """Add ``sanitized_text``, ``entities`` (sorted, distinct) and ``has_pii``.
-    Empty or null text passes through with no entities."""
-    red, ents = cascade(F.col(text), validate_cards=validate_cards, extra=extra)
-    return df.select("*", F.when(F.col(text).isNull(), F.col(text)).otherwise(red).alias("sanitized_text"),
-                     ents.alias("entities"), (F.size(ents) > 0).alias("has_pii"))
+    Empty or null text passes through with no entities.
+
+    The cascade result is a column of its own projection, and the entity flags
+    read it from there (the optimizer does not inline an expensive expression
+    used twice), so each text goes through each pattern once.
+    """
+    red = spread(df).select("*", cascade_text(F.col(text), validate_cards=validate_cards, extra=extra)
+                            .alias("_red"))
+    ents = entities_found(F.col(text), F.col("_red"), extra)
+    out = red.select(*df.columns, F.when(F.col(text).isNull(), F.col(text)).otherwise(F.col("_red"))
+                     .alias("sanitized_text"), ents.alias("entities"))
+    return out.withColumn("has_pii", F.size("entities") > 0)
 
 
 def match_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Matches of every entity pattern on the original text (independent counts)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select("*", *[F.size(F.regexp_extract_all(t, F.lit(p), 0)).cast("bigint")
+    return spread(df).select("*", *[F.size(F.regexp_extract_all(t, F.lit(p), 0)).cast("bigint")
                             .alias(f"n_{e.lower()}") for e, p in patterns("java")])
 
 
 def card_checks(df: DataFrame, text: str = "text") -> DataFrame:
     """Card-like matches and how many pass the Luhn checksum."""
     cands = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(dict(patterns())["CREDIT_CARD"]), 0)
-    return df.select("*", F.size(cands).cast("bigint").alias("n_card_candidates"),
+    return spread(df).select("*", F.size(cands).cast("bigint").alias("n_card_candidates"),
                      F.size(F.filter(cands, luhn_valid)).cast("bigint").alias("n_card_valid"))
 
 
 def block_events(redacted: DataFrame, *, key: str = "doc_id",
-                 preview: int = config.PII_PREVIEW_CHARS) -> DataFrame:
+                 preview: int = config.PII_PREVIEW_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One block event per (text, entity): '[REDACTED] ' + first ``preview``
-    characters of the sanitized text (no ellipsis)."""
-    return redacted.where("has_pii").select(
-        key, F.explode("entities").alias("entity"),
+    characters of the sanitized text (no ellipsis).
+
+    Texts without PII are dropped by a filter on the generated entity column.
+    A filter on the flags themselves (or the one Catalyst infers from an inner
+    ``explode``) would be pushed below the redaction and evaluate it twice,
+    once before the rows are spread over the cores."""
+    return redacted.select(
+        key, *carry, F.explode_outer("entities").alias("entity"),
         F.concat(F.lit("[REDACTED] "), preview_chars("sanitized_text", preview, ellipsis=False))
-        .alias("message")).select(
-        key, "entity", "message", F.concat(F.lit("Entity: "), F.col("entity")).alias("detail"))
+        .alias("message")).where(F.col("entity").isNotNull()).select(
+        key, *carry, "entity", "message", F.concat(F.lit("Entity: "), F.col("entity")).alias("detail"))
 
 
 def block_counts(events: DataFrame) -> DataFrame:
@@ -67,7 +93,6 @@ def last_message_only(messages: DataFrame, *, conv: str = "conv_id", turn: str =
     The last turn comes from a per-conversation max joined back (no window over
     a whole conversation); AQE splits a skewed conversation key in the join.
     """
-    red, ents = cascade(F.col(content), validate_cards=validate_cards)
     if scope == "all":
         target = F.lit(True)
         base = messages
@@ -75,12 +100,13 @@ def last_message_only(messages: DataFrame, *, conv: str = "conv_id", turn: str =
         last = messages.groupBy(conv).agg(F.max(turn).alias("_last_turn"))
         base = messages.join(last, conv)
         target = F.col(turn) == F.col("_last_turn")
-    out = base.select(
-        *messages.columns,
-        target.alias("scrubbed"),
-        F.when(target & F.col(content).isNotNull(), red).otherwise(F.col(content)).alias("sanitized"),
-        F.when(target, ents).otherwise(F.array().cast("array<string>")).alias("entities"))
-    return out
+    marked = base.select(*messages.columns, target.alias("scrubbed"))
+    red = redact(marked, content, validate_cards=validate_cards)
+    return red.select(
+        *messages.columns, "scrubbed",
+        F.when(F.col("scrubbed"), F.col("sanitized_text")).otherwise(F.col(content)).alias("sanitized"),
+        F.when(F.col("scrubbed"), F.col("entities")).otherwise(F.array().cast("array<string>"))
+        .alias("entities"))
 
 
 def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -110,4 +136,4 @@ def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pd.DataFrame(rows, columns=[key, "entity", "start", "end", "value"]).astype(
                 {"start": "int32", "end": "int32"})
 
-    return df.select(key, text).mapInPandas(scan, schema)
+    return spread(df.select(key, text)).mapInPandas(scan, schema)

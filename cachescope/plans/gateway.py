@@ -87,10 +87,10 @@ def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "reques
     hits = outcomes.where(~miss).select(
         "request_id", "ts", F.lit("HIT").alias("outcome"), F.lit(0).cast("bigint").alias("latency_ms"),
         F.col("similarity").alias("distance"), "matched_prompt")
-    pii_rows = scrubbed.where(miss & F.col("has_pii")).select(
-        F.col("request_id").alias("doc_id"), "ts", "has_pii", "entities", "sanitized_text")
-    pii_ev = pii_ops.block_events(pii_rows, key="doc_id").join(
-        pii_rows.select("doc_id", "ts"), "doc_id").select(
+    pii_rows = scrubbed.select(
+        F.col("request_id").alias("doc_id"), "ts", "sanitized_text",
+        F.when(miss, F.col("entities")).otherwise(F.array().cast("array<string>")).alias("entities"))
+    pii_ev = pii_ops.block_events(pii_rows, key="doc_id", carry=("ts",)).select(
         F.col("doc_id").alias("event_id"), "ts", "entity", "message")
     events = tel.all_events(tel.hit_events(hits, matched_prompt="matched_prompt"),
                             tel.pii_block_events(pii_ev))
