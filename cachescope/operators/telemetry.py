@@ -41,7 +41,7 @@ def latency_runs(requests: DataFrame, gap: str | int = config.LATENCY_IDLE_GAP,
     micros = epoch_micros(ts)
     buckets = (
         requests.select(*keys, F.col(ts).alias("_ts"), F.col(latency).alias("_lat"),
-                        F.floor(micros / F.lit(gap_us)).alias("_bucket"))
+                        (micros - F.pmod(micros, F.lit(gap_us))).alias("_bucket"))
         .groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_lat").alias("_sum"),
              F.min("_ts").alias("_first"), F.max("_ts").alias("_last"))

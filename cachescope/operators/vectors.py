@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 4096      # query rows per grid cell
+CACHE_BLOCK_ROWS = 8192        # cache rows per grid cell (the replicated-to side)
+SCORE_CHUNK = 1024             # query rows scored at once inside a cell
 MIN_BLOCK_ROWS = 64
 
 
@@ -40,9 +42,13 @@ def infer_dim(df: DataFrame, vec: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def _block_counts(spark, n_q: int, n_c: int, block_rows: int) -> tuple[int, int]:
+def _block_counts(spark, n_q: int, n_c: int, block_rows: int,
+                  cache_block_rows: int | None = None) -> tuple[int, int]:
+    """Grid shape. Each query row is copied once per cache block and each cache
+    row once per query block, so cache blocks are the larger ones (the cache is
+    usually the smaller table and its block count multiplies the query side)."""
     qb = max(1, math.ceil(n_q / block_rows))
-    cb = max(1, math.ceil(n_c / block_rows))
+    cb = max(1, math.ceil(n_c / (cache_block_rows or max(block_rows, CACHE_BLOCK_ROWS))))
     # Enough cells to keep every core busy, without blocks under MIN_BLOCK_ROWS.
     target = spark.sparkContext.defaultParallelism
     while qb * cb < target:
@@ -73,10 +79,12 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str, cvec: str,
-             q_extra: list[Column], c_extra: list[Column], block_rows: int):
+             q_extra: list[Column], c_extra: list[Column], block_rows: int,
+             cache_block_rows: int | None = None):
     spark = queries.sparkSession
-    n_q, n_c = queries.count(), cache.count()
-    qb, cb = _block_counts(spark, n_q, n_c, block_rows)
+    n_q = queries.count()
+    n_c = n_q if cache is queries else cache.count()
+    qb, cb = _block_counts(spark, n_q, n_c, block_rows, cache_block_rows)
     q = queries.select(
         F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *q_extra,
         F.pmod(F.xxhash64(F.col(qid)), F.lit(qb)).alias("qblock"),
@@ -91,7 +99,7 @@ def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
          exclude_self: bool = False, dim: int | None = None,
-         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+         block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
     Returns ``query_id, match_key, distance`` with one row per query; queries
@@ -104,7 +112,7 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
     q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, [], [],
-                           block_rows)
+                           block_rows, cache_block_rows)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -119,16 +127,18 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
             cm, cok = _matrix(cdf["cvec"], dim)
             ckeys = cdf["ckey"].to_numpy()[cok]
             cm = cm[cok]
-            if len(ckeys):
-                dist = 1.0 - qm @ cm.T
-                dist[~qok] = np.inf
+            qids = qdf["qid"].to_numpy()
+            for lo in range(0, len(qdf) if len(ckeys) else 0, SCORE_CHUNK):
+                hi = min(lo + SCORE_CHUNK, len(qdf))
+                dist = 1.0 - qm[lo:hi] @ cm.T
+                dist[~qok[lo:hi]] = np.inf
                 if exclude_self:
-                    dist[qdf["qid"].to_numpy()[:, None] == ckeys[None, :]] = np.inf
+                    dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
                 best = np.argmin(dist, axis=1)
-                bd = dist[np.arange(len(qdf)), best]
+                bd = dist[np.arange(hi - lo), best]
                 found = np.isfinite(bd)
-                out_d[found] = bd[found]
-                out_key[found] = ckeys[best[found]]
+                out_d[lo:hi][found] = bd[found]
+                out_key.iloc[np.arange(lo, hi)[found]] = ckeys[best[found]]
         return pd.DataFrame({"qid": qdf["qid"].to_numpy(), "match_key": out_key,
                              "distance": out_d})
 
@@ -150,7 +160,8 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
                  cache_key: str = "key", cache_vec: str = "embedding",
                  order: str | None = None, available: str | None = None,
                  exclude_self: bool = True, dim: int | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
+                 ) -> DataFrame:
     """All (query, cache) pairs with cosine distance <= threshold.
 
     With ``order`` (a numeric column present on both sides) only pairs where the
@@ -168,7 +179,7 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
         c_extra.append(F.col(order).cast("double").alias("cord"))
         c_extra.append(F.col(available or order).cast("double").alias("cavail"))
     q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                          c_extra, block_rows)
+                          c_extra, block_rows, cache_block_rows)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -177,17 +188,21 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
             return pd.DataFrame({"qid": [], "match_key": [], "distance": []})
         qm, qok = _matrix(qdf["qvec"], dim)
         cm, cok = _matrix(cdf["cvec"], dim)
-        dist = 1.0 - qm @ cm.T
-        keep = (dist <= threshold) & qok[:, None] & cok[None, :]
-        if exclude_self:
-            keep &= qdf["qid"].to_numpy()[:, None] != cdf["ckey"].to_numpy()[None, :]
-        if order:
-            qo = qdf["qord"].to_numpy()[:, None]
-            keep &= (cdf["cord"].to_numpy()[None, :] < qo) & (cdf["cavail"].to_numpy()[None, :] <= qo)
-        qi, ci = np.nonzero(keep)
-        return pd.DataFrame({"qid": qdf["qid"].to_numpy()[qi],
-                             "match_key": cdf["ckey"].to_numpy()[ci],
-                             "distance": dist[qi, ci]})
+        qids, ckeys = qdf["qid"].to_numpy(), cdf["ckey"].to_numpy()
+        parts = []
+        for lo in range(0, len(qdf), SCORE_CHUNK):
+            hi = min(lo + SCORE_CHUNK, len(qdf))
+            dist = 1.0 - qm[lo:hi] @ cm.T
+            keep = (dist <= threshold) & qok[lo:hi, None] & cok[None, :]
+            if exclude_self:
+                keep &= qids[lo:hi, None] != ckeys[None, :]
+            if order:
+                qo = qdf["qord"].to_numpy()[lo:hi, None]
+                keep &= (cdf["cord"].to_numpy()[None, :] < qo) & (cdf["cavail"].to_numpy()[None, :] <= qo)
+            qi, ci = np.nonzero(keep)
+            parts.append(pd.DataFrame({"qid": qids[lo + qi], "match_key": ckeys[ci],
+                                       "distance": dist[qi, ci]}))
+        return pd.concat(parts, ignore_index=True)
 
     out = (q.groupBy("qblock", "cblock")
            .cogroup(c.groupBy("qblock", "cblock"))
