@@ -7,15 +7,24 @@ it is a MISS and its prompt is stored. The stored set is exactly the greedy
 lexicographically-first maximal independent set of the DAG of edges
 earlier -> later.
 
-That set is computed in synchronous rounds (parallel greedy MIS, Blelloch,
-Fineman & Shun, SPAA 2012): in each round, an undecided request with a stored
-(leader) earlier neighbour becomes a HIT; one whose earlier neighbours are all
-decided and none stored becomes a leader. Each round is one join and one
-aggregation over the edges still undecided; the undecided set and its edges
-shrink every round and are checkpointed to the reliable checkpoint directory
-(lineage cut, survives executor loss). The edges come from the exact grid join
-in :mod:`cachescope.operators.vectors`; nothing is collected to the driver
-except one count per round.
+It is computed in synchronous rounds (parallel greedy MIS; Blelloch, Fineman
+& Shun, SPAA 2012) without ever materialising the tau-graph: every round runs
+one order-masked nearest-neighbour search on the exact grid join of
+:mod:`cachescope.operators.vectors` against two candidate classes (stored
+entries, still-undecided storable requests), returning one row per request:
+
+(a) a stored entry visible and within tau -> HIT;
+(b) otherwise, no undecided storable earlier request within tau -> decided
+    MISS (stored when storable); else it waits for the next round.
+
+A group of near-identical prompts therefore never produces its pairs: in a
+clique the first request is stored in one round and all the others hit it in
+the next. Undecided requests, the stored set and each round's decisions are
+checkpointed to the reliable checkpoint directory (lineage cut, survives the
+loss of executors). With ``chunks > 1`` the log is processed in arrival-order
+slices, so later slices meet earlier entries as a fixed cache and the
+undecided-vs-undecided part of the search stays within a slice. A round limit
+raises instead of returning a partial answer.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .vectors import DEFAULT_BLOCK_ROWS, pairs_within
+from .vectors import DEFAULT_BLOCK_ROWS, infer_dim, knn1, nearest_per_class
 
 
 class ReplayDidNotConverge(RuntimeError):
@@ -37,7 +46,7 @@ def _ckpt(df: DataFrame) -> DataFrame:
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200
                    ) -> DataFrame:
-    """Lexicographically-first MIS of a DAG.
+    """Lexicographically-first MIS of a DAG given as an explicit (sparse) edge list.
 
     ``nodes``: ``id``; ``edges``: ``src, dst`` with src earlier than dst.
     Returns ``id, leader (bool), round``. Raises after ``max_rounds`` instead of
@@ -64,7 +73,6 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200
         undecided = _ckpt(step.where(F.col("state").isNull()).select("id"))
         if undecided.isEmpty():
             break
-        # Keep edges into still-undecided nodes whose source is not a HIT.
         hits = step.where(F.col("state") == "HIT").select(F.col("id").alias("src"))
         active = _ckpt(active.join(undecided.withColumnRenamed("id", "dst"), "dst", "left_semi")
                        .join(hits, "src", "left_anti"))
@@ -80,7 +88,7 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
                  dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                 max_rounds: int = 200) -> DataFrame:
+                 max_rounds: int = 200, chunks: int = 1) -> DataFrame:
     """Replay the cache over ``log``.
 
     ``order_col`` (default ``id_col``) is the arrival order; ``available_col``
@@ -92,31 +100,88 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
     Returns ``id, outcome ('HIT'|'MISS'), stored, match_id, distance, round``;
     match/distance are set on hits only.
     """
+    spark = log.sparkSession
+    ensure_checkpoint_dir(spark)
     order_col = order_col or id_col
-    base = log.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-                      F.col(order_col).alias("ord"),
-                      F.col(available_col or order_col).alias("avail"),
-                      (F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True))
-                      .alias("storable"))
-    edges = pairs_within(base, base, threshold, query_id="id", query_vec="vec",
-                         cache_key="id", cache_vec="vec", order="ord", available="avail",
-                         dim=dim, block_rows=block_rows)
-    edges = edges.select(F.col("match_key").alias("src"), F.col("id").alias("dst"), "distance")
-    if storable_col:
-        edges = edges.join(base.where("storable").select(F.col("id").alias("src")), "src", "left_semi")
-    edges = _ckpt(edges)
-    leaders = greedy_leaders(base.select("id"), edges, max_rounds=max_rounds)
-    stored = leaders.where("leader").select(F.col("id").alias("src"))
-    best = (edges.join(stored, "src", "left_semi")
-            .groupBy("dst")
-            .agg(F.min(F.struct("distance", "src")).alias("b"))
-            .select(F.col("dst").alias("id"), F.col("b.src").alias("match_id"),
-                    F.col("b.distance").alias("distance")))
-    storable = base.select("id", "storable")
-    return leaders.join(best, "id", "left").join(storable, "id").select(
-        "id",
-        F.when(F.col("leader"), F.lit("MISS")).otherwise(F.lit("HIT")).alias("outcome"),
-        (F.col("leader") & F.col("storable")).alias("stored"),
-        F.when(~F.col("leader"), F.col("match_id")).alias("match_id"),
-        F.when(~F.col("leader"), F.col("distance")).alias("distance"),
-        "round")
+    base = _ckpt(log.select(
+        F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
+        F.col(order_col).cast("double").alias("ord"),
+        F.col(available_col or order_col).cast("double").alias("avail"),
+        (F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True))
+        .alias("storable")))
+    if dim is None:
+        dim = infer_dim(base, "vec")
+    id_type = base.schema["id"].dataType.simpleString()
+
+    def search(queries, cands, n_q, n_c):
+        """Nearest visible earlier candidate within the masks, one row per query."""
+        return knn1(queries, cands, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
+                    order="ord", available="avail", dim=dim, block_rows=block_rows,
+                    counts=(n_q, n_c))
+
+    within = F.col("distance") <= F.lit(threshold)
+    stored = spark.createDataFrame([], base.select("id", "vec", "ord", "avail").schema)
+    n_stored = 0
+    decisions: list[DataFrame] = []
+    if chunks > 1:
+        cuts = base.approxQuantile("ord", [i / chunks for i in range(1, chunks)], 0.001)
+    else:
+        cuts = []
+    bounds = [None] + sorted(set(cuts)) + [None]
+    rnd = 0
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond &= F.col("ord") > F.lit(lo)
+        if hi is not None:
+            cond &= F.col("ord") <= F.lit(hi)
+        undecided = _ckpt(base.where(cond))
+        n_u = undecided.count()
+        while n_u:
+            rnd += 1
+            if rnd > max_rounds:
+                raise ReplayDidNotConverge(f"cache replay still open after {max_rounds} rounds")
+            # One masked search per round over stored entries (class 0) and
+            # undecided storable requests (class 1), visible and earlier:
+            #   a stored entry within tau                -> HIT
+            #   else no undecided storable one within tau -> decided MISS
+            cands = stored.select("id", "vec", "ord", "avail", F.lit(0).alias("cls")).unionByName(
+                undecided.where("storable").select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
+            near = nearest_per_class(undecided, cands, "cls", 2, query_id="id", query_vec="vec",
+                                     cache_key="id", cache_vec="vec", order="ord", available="avail",
+                                     dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
+            hit = F.coalesce(F.col("distance_0") <= F.lit(threshold), F.lit(False))
+            blocked = F.coalesce(F.col("distance_1") <= F.lit(threshold), F.lit(False))
+            step = _ckpt(undecided.join(near.select(
+                "id", F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")), "id"))
+            # Everything below is a filter of the checkpointed step: no new lineage.
+            done = step.where(F.col("outcome").isNotNull())
+            decisions.append(done.select(
+                "id", "outcome", ((F.col("outcome") == "MISS") & F.col("storable")).alias("stored"),
+                F.lit(rnd).alias("round")))
+            new_entries = done.where((F.col("outcome") == "MISS") & F.col("storable")).select(
+                "id", "vec", "ord", "avail")
+            stored = stored.unionByName(new_entries)
+            tally = step.agg(F.count_if(F.col("outcome").isNull()).alias("open"),
+                             F.count_if((F.col("outcome") == "MISS") & F.col("storable")).alias("new")).first()
+            n_stored += tally["new"]
+            undecided = step.where(F.col("outcome").isNull()).drop("outcome")
+            n_u = tally["open"]
+    if not decisions:
+        return spark.createDataFrame([], f"id {id_type}, outcome string, stored boolean, "
+                                         f"match_id {id_type}, distance double, round int")
+    decided = decisions[0]
+    for d in decisions[1:]:
+        decided = decided.unionByName(d)
+    decided = _ckpt(decided)
+    # Final match of every hit: the nearest entry stored before it (an entry
+    # decided in a later round may be earlier and nearer than the one that
+    # triggered the hit).
+    hits = base.join(decided.where(F.col("outcome") == "HIT").select("id"), "id", "left_semi")
+    n_hits = hits.count()
+    if n_hits:
+        best = search(hits, stored, n_hits, n_stored).select(
+            "id", F.col("match_key").alias("match_id"), "distance")
+    else:
+        best = spark.createDataFrame([], f"id {id_type}, match_id {id_type}, distance double")
+    return decided.join(best, "id", "left").select("id", "outcome", "stored", "match_id", "distance", "round")

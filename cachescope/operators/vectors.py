@@ -80,10 +80,13 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str, cvec: str,
              q_extra: list[Column], c_extra: list[Column], block_rows: int,
-             cache_block_rows: int | None = None):
+             cache_block_rows: int | None = None, counts: tuple[int, int] | None = None):
     spark = queries.sparkSession
-    n_q = queries.count()
-    n_c = n_q if cache is queries else cache.count()
+    if counts is not None:
+        n_q, n_c = counts
+    else:
+        n_q = queries.count()
+        n_c = n_q if cache is queries else cache.count()
     qb, cb = _block_counts(spark, n_q, n_c, block_rows, cache_block_rows)
     q = queries.select(
         F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *q_extra,
@@ -98,21 +101,28 @@ def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str
 
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
-         exclude_self: bool = False, dim: int | None = None,
-         block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None) -> DataFrame:
+         exclude_self: bool = False, order: str | None = None, available: str | None = None,
+         dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+         cache_block_rows: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
     Returns ``query_id, match_key, distance`` with one row per query; queries
     without any valid candidate get nulls. ``exclude_self`` skips candidates
     whose key equals the query id (leave-one-out search of a table against
-    itself).
+    itself). With ``order`` (numeric, on both sides) only candidates strictly
+    earlier than the query count, and with ``available`` (cache side) only
+    those already visible at the query's order. ``counts`` = (queries, cache)
+    row counts when already known (saves two jobs).
     """
     if dim is None:
         dim = infer_dim(cache, cache_vec)
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
-    q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, [], [],
-                           block_rows, cache_block_rows)
+    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
+    c_extra = ([F.col(order).cast("double").alias("cord"),
+                F.col(available or order).cast("double").alias("cavail")] if order else [])
+    q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
+                           c_extra, block_rows, cache_block_rows, counts)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -127,6 +137,9 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
             cm, cok = _matrix(cdf["cvec"], dim)
             ckeys = cdf["ckey"].to_numpy()[cok]
             cm = cm[cok]
+            if order:
+                cord, cavail = cdf["cord"].to_numpy()[cok], cdf["cavail"].to_numpy()[cok]
+                qord = qdf["qord"].to_numpy()
             qids = qdf["qid"].to_numpy()
             for lo in range(0, len(qdf) if len(ckeys) else 0, SCORE_CHUNK):
                 hi = min(lo + SCORE_CHUNK, len(qdf))
@@ -134,6 +147,9 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
                 dist[~qok[lo:hi]] = np.inf
                 if exclude_self:
                     dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
+                if order:
+                    qo = qord[lo:hi, None]
+                    dist[~((cord[None, :] < qo) & (cavail[None, :] <= qo))] = np.inf
                 best = np.argmin(dist, axis=1)
                 bd = dist[np.arange(hi - lo), best]
                 found = np.isfinite(bd)
@@ -234,3 +250,79 @@ def with_match(decided: DataFrame, cache: DataFrame, *, match: str = "match_key"
     through the search; the wide columns are joined back once here)."""
     right = cache.select(F.col(cache_key).alias(match), *fields)
     return decided.join(right, match, "left")
+
+
+def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_classes: int, *,
+                      query_id: str = "query_id", query_vec: str = "embedding",
+                      cache_key: str = "key", cache_vec: str = "embedding",
+                      order: str | None = None, available: str | None = None,
+                      dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                      cache_block_rows: int | None = None,
+                      counts: tuple[int, int] | None = None) -> DataFrame:
+    """:func:`knn1` for several candidate classes in one grid pass.
+
+    ``cache_class`` holds 0..n_classes-1; the result has one row per query with
+    ``match_key_<c>`` and ``distance_<c>`` for every class (nulls when the
+    class has no valid, visible candidate). Same masks and tie-break as knn1.
+    """
+    if dim is None:
+        dim = infer_dim(cache, cache_vec)
+    qtype = queries.schema[query_id].dataType
+    ktype = cache.schema[cache_key].dataType
+    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
+    c_extra = [F.col(cache_class).cast("int").alias("ccls")]
+    if order:
+        c_extra += [F.col(order).cast("double").alias("cord"),
+                    F.col(available or order).cast("double").alias("cavail")]
+    q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
+                           c_extra, block_rows, cache_block_rows, counts)
+    fields = [T.StructField("qid", qtype)]
+    for k in range(n_classes):
+        fields += [T.StructField(f"match_key_{k}", ktype), T.StructField(f"distance_{k}", T.DoubleType())]
+    schema = T.StructType(fields)
+
+    def score(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(qdf)
+        out = {"qid": qdf["qid"].to_numpy()}
+        keys = [pd.Series([None] * n, dtype=object) for _ in range(n_classes)]
+        dists = [np.full(n, np.nan) for _ in range(n_classes)]
+        if n and not cdf.empty:
+            cdf = cdf.sort_values("ckey", kind="stable")
+            qm, qok = _matrix(qdf["qvec"], dim)
+            cm, cok = _matrix(cdf["cvec"], dim)
+            ckeys, ccls = cdf["ckey"].to_numpy(), cdf["ccls"].to_numpy()
+            for lo in range(0, n, SCORE_CHUNK):
+                hi = min(lo + SCORE_CHUNK, n)
+                base = 1.0 - qm[lo:hi] @ cm.T
+                base[~qok[lo:hi]] = np.inf
+                base[:, ~cok] = np.inf
+                if order:
+                    qo = qdf["qord"].to_numpy()[lo:hi, None]
+                    base[~((cdf["cord"].to_numpy()[None, :] < qo)
+                           & (cdf["cavail"].to_numpy()[None, :] <= qo))] = np.inf
+                for k in range(n_classes):
+                    dist = np.where((ccls == k)[None, :], base, np.inf)
+                    best = np.argmin(dist, axis=1)
+                    bd = dist[np.arange(hi - lo), best]
+                    found = np.isfinite(bd)
+                    dists[k][lo:hi][found] = bd[found]
+                    keys[k].iloc[np.arange(lo, hi)[found]] = ckeys[best[found]]
+        for k in range(n_classes):
+            out[f"match_key_{k}"] = keys[k]
+            out[f"distance_{k}"] = dists[k]
+        return pd.DataFrame(out)
+
+    cells = (q.groupBy("qblock", "cblock")
+             .cogroup(c.groupBy("qblock", "cblock"))
+             .applyInPandas(score, schema))
+    for k in range(n_classes):
+        cells = cells.withColumn(f"distance_{k}", F.nanvl(f"distance_{k}", F.lit(None).cast("double")))
+    if cb > 1:
+        best = cells.groupBy("qid").agg(*[
+            F.min(F.when(F.col(f"match_key_{k}").isNotNull(),
+                         F.struct(f"distance_{k}", f"match_key_{k}"))).alias(f"b{k}")
+            for k in range(n_classes)])
+        cells = best.select("qid", *[x for k in range(n_classes) for x in (
+            F.col(f"b{k}.match_key_{k}").alias(f"match_key_{k}"),
+            F.col(f"b{k}.distance_{k}").alias(f"distance_{k}"))])
+    return cells.withColumnRenamed("qid", query_id)

@@ -115,3 +115,30 @@ def test_gateway_flow_small(spark):
     assert types == ["cache_hit", "pii_blocked"]
     hit_ev = res.events.where(F.col("type") == "cache_hit").first()
     assert hit_ev.detail.startswith('Matched: "What is semantic caching?"')
+
+
+def test_replay_chunks_equal_single_pass(spark):
+    rng = np.random.default_rng(21)
+    vecs = _clustered(rng, 160, 6, 8, 0.4)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(160)],
+                               "request_id long, embedding array<double>")
+    one = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3).collect()}
+    four = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, chunks=4).collect()}
+    assert one == four == {int(k): v for k, v in sequential(vecs, 0.3).items()}
+
+
+def test_replay_hot_clique_resolves_fast(spark):
+    """A third of the log is the same prompt: no pair list, two rounds for the clique."""
+    rng = np.random.default_rng(4)
+    n = 300
+    vecs = rng.normal(size=(n, 8))
+    hot = rng.permutation(n)[: n // 3]
+    vecs[hot] = vecs[hot[0]]
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(n)],
+                               "request_id long, embedding array<double>")
+    res = cache_replay(df, 0.05).collect()
+    got = {r.id: (r.outcome, r.match_id) for r in res}
+    assert got == {int(k): v for k, v in sequential(vecs, 0.05).items()}
+    first = int(min(hot))
+    assert all(got[int(h)] == ("HIT", first) for h in hot if h != first)
+    assert max(r["round"] for r in res) <= 3
