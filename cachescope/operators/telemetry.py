@@ -25,35 +25,60 @@ def _is_hit(outcome: str = "outcome") -> Column:
 
 
 # ---------------------------------------------------------------- activity runs
+SEGMENT_BUCKETS = 100_000
+
+
 def latency_runs(requests: DataFrame, gap: str | int = config.LATENCY_IDLE_GAP, *,
                  ts: str = "ts", latency: str = "latency_ms",
-                 keys: tuple[str, ...] = ()) -> DataFrame:
+                 keys: tuple[str, ...] = (), segment_buckets: int = SEGMENT_BUCKETS) -> DataFrame:
     """Split the log into activity runs separated by idle gaps >= ``gap``.
 
-    Exact, and scalable without a per-row global window: rows are first
-    pre-aggregated into gap-sized time buckets (two events in one bucket are
-    always < gap apart), so run boundaries can only fall between the last event
-    of one non-empty bucket and the first of the next. The ordered window then
-    runs over buckets, whose number is bounded by time span / gap rather than by
-    the row count (partitioned by ``keys`` when given).
+    Exact, and without any single-partition step:
+
+    1. rows are pre-aggregated into gap-sized time buckets (two events in one
+       bucket are always < gap apart, so a run boundary can only fall between
+       the last event of a non-empty bucket and the first of the next);
+    2. buckets are cut into time segments of ``segment_buckets`` bucket widths
+       and ordered windows run per segment (per key), in parallel;
+    3. a segment summary (one row per segment: first/last event, number of
+       boundaries) gives each segment the boundary flag of its first bucket and
+       its run-number offset — a prefix sum over segments, not over rows;
+    4. runs are the buckets grouped by global run number.
     """
     gap_us = interval_seconds(gap) * 1_000_000
     micros = epoch_micros(ts)
+    seg_us = gap_us * segment_buckets
     buckets = (
         requests.select(*keys, F.col(ts).alias("_ts"), F.col(latency).alias("_lat"),
                         (micros - F.pmod(micros, F.lit(gap_us))).alias("_bucket"))
         .groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_lat").alias("_sum"),
              F.min("_ts").alias("_first"), F.max("_ts").alias("_last"))
+        .withColumn("_seg", F.col("_bucket") - F.pmod(F.col("_bucket"), F.lit(seg_us)))
     )
-    w = Window.partitionBy(*keys).orderBy("_bucket")
+    w = Window.partitionBy(*keys, "_seg").orderBy("_bucket")
     prev_last = F.lag("_last").over(w)
-    new_run = F.when(
-        prev_last.isNull()
-        | (F.timestamp_diff("MICROSECOND", prev_last, F.col("_first")) >= F.lit(gap_us)), 1
-    ).otherwise(0)
-    numbered = buckets.withColumn("_new", new_run).withColumn(
-        "run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    boundary = F.timestamp_diff("MICROSECOND", prev_last, F.col("_first")) >= F.lit(gap_us)
+    local = (buckets
+             .withColumn("_head", prev_last.isNull())
+             .withColumn("_new", F.when(prev_last.isNotNull() & boundary, 1).otherwise(0))
+             .withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    # One row per segment; the window over segments is bounded by span / segment width.
+    seg = local.groupBy(*keys, "_seg").agg(
+        F.min("_first").alias("_seg_first"), F.max("_last").alias("_seg_last"),
+        F.sum("_new").alias("_seg_new"))
+    ws = Window.partitionBy(*keys).orderBy("_seg")
+    prev_seg_last = F.lag("_seg_last").over(ws)
+    seg = (seg
+           .withColumn("_head_new", F.when(
+               prev_seg_last.isNull()
+               | (F.timestamp_diff("MICROSECOND", prev_seg_last, F.col("_seg_first")) >= F.lit(gap_us)), 1)
+               .otherwise(0))
+           .withColumn("_offset", F.sum(F.col("_head_new") + F.col("_seg_new")).over(
+               ws.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_seg_new"))
+           .select(*keys, "_seg", "_offset"))
+    numbered = local.join(seg, [*keys, "_seg"]).withColumn(
+        "run_id", (F.col("_offset") + F.col("_local")).cast("bigint"))
     return numbered.groupBy(*keys, "run_id").agg(
         F.min("_first").alias("run_start"),
         F.max("_last").alias("run_end"),

@@ -326,3 +326,70 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
             F.col(f"b{k}.match_key_{k}").alias(f"match_key_{k}"),
             F.col(f"b{k}.distance_{k}").alias(f"distance_{k}"))])
     return cells.withColumnRenamed("qid", query_id)
+
+
+def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
+                    query_id: str = "query_id", query_vec: str = "embedding",
+                    cache_key: str = "key", cache_vec: str = "embedding",
+                    order: str | None = None, available: str | None = None,
+                    exclude_self: bool = True, dim: int | None = None,
+                    block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
+                    ) -> DataFrame:
+    """Per query: how many candidates lie within ``threshold`` and the nearest
+    one — "is any cached prompt close enough", without emitting the pairs.
+
+    Cells emit one row per query (count, nearest); cells are summed per query,
+    so a dense group of near-copies costs compute but never output rows.
+    Returns ``query_id, n_within, match_key, distance``.
+    """
+    if dim is None:
+        dim = infer_dim(cache, cache_vec)
+    qtype = queries.schema[query_id].dataType
+    ktype = cache.schema[cache_key].dataType
+    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
+    c_extra = ([F.col(order).cast("double").alias("cord"),
+                F.col(available or order).cast("double").alias("cavail")] if order else [])
+    q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
+                          c_extra, block_rows, cache_block_rows)
+    schema = T.StructType([T.StructField("qid", qtype), T.StructField("n_within", T.LongType()),
+                           T.StructField("match_key", ktype), T.StructField("distance", T.DoubleType())])
+
+    def score(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(qdf)
+        counts = np.zeros(n, dtype=np.int64)
+        keys = pd.Series([None] * n, dtype=object)
+        dists = np.full(n, np.nan)
+        if n and not cdf.empty:
+            cdf = cdf.sort_values("ckey", kind="stable")
+            qm, qok = _matrix(qdf["qvec"], dim)
+            cm, cok = _matrix(cdf["cvec"], dim)
+            qids, ckeys = qdf["qid"].to_numpy(), cdf["ckey"].to_numpy()
+            for lo in range(0, n, SCORE_CHUNK):
+                hi = min(lo + SCORE_CHUNK, n)
+                dist = 1.0 - qm[lo:hi] @ cm.T
+                dist[~qok[lo:hi]] = np.inf
+                dist[:, ~cok] = np.inf
+                if exclude_self:
+                    dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
+                if order:
+                    qo = qdf["qord"].to_numpy()[lo:hi, None]
+                    dist[~((cdf["cord"].to_numpy()[None, :] < qo)
+                           & (cdf["cavail"].to_numpy()[None, :] <= qo))] = np.inf
+                counts[lo:hi] = (dist <= threshold).sum(axis=1)
+                best = np.argmin(dist, axis=1)
+                bd = dist[np.arange(hi - lo), best]
+                found = np.isfinite(bd)
+                dists[lo:hi][found] = bd[found]
+                keys.iloc[np.arange(lo, hi)[found]] = ckeys[best[found]]
+        return pd.DataFrame({"qid": qdf["qid"].to_numpy(), "n_within": counts, "match_key": keys,
+                             "distance": dists})
+
+    cells = (q.groupBy("qblock", "cblock")
+             .cogroup(c.groupBy("qblock", "cblock"))
+             .applyInPandas(score, schema)
+             .withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))))
+    out = cells.groupBy("qid").agg(
+        F.sum("n_within").cast("bigint").alias("n_within"),
+        F.min(F.when(F.col("match_key").isNotNull(), F.struct("distance", "match_key"))).alias("b"))
+    return out.select(F.col("qid").alias(query_id), "n_within", F.col("b.match_key").alias("match_key"),
+                      F.col("b.distance").alias("distance"))

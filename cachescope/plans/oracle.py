@@ -347,3 +347,13 @@ SELECT count(*) AS total_requests, count_if(outcome = 'HIT') AS cache_hits, coun
        round(count_if(outcome = 'HIT') * 1500 * 0.000002::DOUBLE, 6) AS estimated_cost_saved,
        round(count_if(outcome = 'HIT') / count(*) * 100.0::DOUBLE, 6) AS cache_hit_rate
 FROM res""")
+
+SQL["neighbor_counts"] = with_views(V_VEC)[:-2] + """,
+d AS (SELECT b.vec_id, a.vec_id AS src, 1 - list_cosine_similarity(a.e, b.e) AS distance
+      FROM v a JOIN v b ON a.vec_id < b.vec_id),
+c AS (SELECT vec_id, count_if(distance <= 0.62) AS n_within FROM d GROUP BY vec_id),
+n AS (SELECT vec_id, src AS nearest_id, distance FROM d
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, src) = 1)
+SELECT v.vec_id, CAST(coalesce(c.n_within, 0) AS BIGINT) AS n_within, n.nearest_id,
+       round(n.distance, 4) AS distance
+FROM v LEFT JOIN c ON c.vec_id = v.vec_id LEFT JOIN n ON n.vec_id = v.vec_id"""

@@ -330,3 +330,11 @@ def q_gateway_flow(spark, sf_dir):
     res = gw.gateway_flow(gateway_requests(spark, sf_dir), GATEWAY_TAU, id_col="seq", order_col="seq")
     return res.outcomes.select("request_id", "cache", "match_id", _r("similarity", 4), "pii_detected",
                                "pii_entities", "stored")
+
+
+@register("neighbor_counts")
+def q_neighbor_counts(spark, sf_dir):
+    log = src.vec_log(spark, sf_dir)
+    c = vec.neighbor_counts(log, log, TAU, query_id="vec_id", query_vec="embedding",
+                            cache_key="vec_id", cache_vec="embedding", order="vec_id")
+    return c.select("vec_id", "n_within", F.col("match_key").alias("nearest_id"), _r("distance", 4))

@@ -18,6 +18,12 @@ def local_session(app: str = "cachescope", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Broadcast only what was measured: no broadcast from static size
+        # estimates; AQE may still broadcast a side whose shuffle output it has
+        # measured below 64 MB. Explicit hints are used only on results bounded
+        # by a parameter.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

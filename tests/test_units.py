@@ -369,3 +369,29 @@ def test_read_request_files(spark, scratch):
     rows = df.collect()
     assert len(rows) == 2
     assert sum(r._corrupt_record is not None for r in rows) == 1
+
+
+def test_runs_across_segments(spark):
+    """Segment cuts inside a run and exactly at a boundary give the same runs."""
+    import random
+
+    random.seed(3)
+    t, rows = 0, []
+    for i in range(400):
+        t += random.choice([5, 30, 200, 1800, 4000])
+        rows.append((i, f"2024-01-01 00:00:00", "MISS", random.randint(1, 99), None, t))
+    log = spark.createDataFrame(rows, "request_id long, ts string, outcome string, latency_ms long, "
+                                      "distance double, sec long") \
+        .withColumn("ts", F.timestamp_add("SECOND", F.col("sec"), F.col("ts").cast("timestamp_ntz")))
+    one = sorted(tuple(r)[1:] for r in tel.latency_runs(log, "30 minutes").collect())
+    for seg in (1, 2, 7):
+        many = sorted(tuple(r)[1:] for r in tel.latency_runs(log, "30 minutes", segment_buckets=seg).collect())
+        assert many == one
+    # sequential reference
+    ts = [r[5] for r in rows]
+    runs, start = [], 0
+    for i in range(1, len(ts) + 1):
+        if i == len(ts) or ts[i] - ts[i - 1] >= 1800:
+            runs.append((i - start, sum(r[3] for r in rows[start:i])))
+            start = i
+    assert sorted((r[2], r[3]) for r in one) == sorted(runs)
