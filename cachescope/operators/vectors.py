@@ -34,6 +34,7 @@ DEFAULT_BLOCK_ROWS = 4096      # query rows per grid cell
 CACHE_BLOCK_ROWS = 8192        # cache rows per grid cell (the replicated-to side)
 SCORE_CHUNK = 1024             # query rows scored at once inside a cell
 MIN_BLOCK_ROWS = 64
+WORK_PER_CELL = 2e8            # multiply-adds that justify a task of their own
 
 
 def infer_dim(df: DataFrame, vec: str) -> int:
@@ -43,14 +44,16 @@ def infer_dim(df: DataFrame, vec: str) -> int:
 
 
 def _block_counts(spark, n_q: int, n_c: int, block_rows: int,
-                  cache_block_rows: int | None = None) -> tuple[int, int]:
+                  cache_block_rows: int | None = None, dim: int = 768) -> tuple[int, int]:
     """Grid shape. Each query row is copied once per cache block and each cache
     row once per query block, so cache blocks are the larger ones (the cache is
-    usually the smaller table and its block count multiplies the query side)."""
+    usually the smaller table and its block count multiplies the query side).
+    Cells are added beyond what memory needs only while each still gets about
+    WORK_PER_CELL multiply-adds: below that, task overhead beats the product."""
     qb = max(1, math.ceil(n_q / block_rows))
     cb = max(1, math.ceil(n_c / (cache_block_rows or max(block_rows, CACHE_BLOCK_ROWS))))
-    # Enough cells to keep every core busy, without blocks under MIN_BLOCK_ROWS.
-    target = spark.sparkContext.defaultParallelism
+    work_cells = math.ceil(n_q * n_c * max(dim, 1) / WORK_PER_CELL)
+    target = min(spark.sparkContext.defaultParallelism, max(1, work_cells))
     while qb * cb < target:
         grow_q = n_q / (qb + 1) >= MIN_BLOCK_ROWS
         grow_c = n_c / (cb + 1) >= MIN_BLOCK_ROWS
@@ -80,14 +83,15 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str, cvec: str,
              q_extra: list[Column], c_extra: list[Column], block_rows: int,
-             cache_block_rows: int | None = None, counts: tuple[int, int] | None = None):
+             cache_block_rows: int | None = None, counts: tuple[int, int] | None = None,
+             dim: int = 768):
     spark = queries.sparkSession
     if counts is not None:
         n_q, n_c = counts
     else:
         n_q = queries.count()
         n_c = n_q if cache is queries else cache.count()
-    qb, cb = _block_counts(spark, n_q, n_c, block_rows, cache_block_rows)
+    qb, cb = _block_counts(spark, n_q, n_c, block_rows, cache_block_rows, dim)
     q = queries.select(
         F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *q_extra,
         F.pmod(F.xxhash64(F.col(qid)), F.lit(qb)).alias("qblock"),
@@ -122,7 +126,7 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
     c_extra = ([F.col(order).cast("double").alias("cord"),
                 F.col(available or order).cast("double").alias("cavail")] if order else [])
     q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                           c_extra, block_rows, cache_block_rows, counts)
+                           c_extra, block_rows, cache_block_rows, counts, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -195,7 +199,7 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
         c_extra.append(F.col(order).cast("double").alias("cord"))
         c_extra.append(F.col(available or order).cast("double").alias("cavail"))
     q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                          c_extra, block_rows, cache_block_rows)
+                          c_extra, block_rows, cache_block_rows, None, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -275,7 +279,7 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
         c_extra += [F.col(order).cast("double").alias("cord"),
                     F.col(available or order).cast("double").alias("cavail")]
     q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                           c_extra, block_rows, cache_block_rows, counts)
+                           c_extra, block_rows, cache_block_rows, counts, dim)
     fields = [T.StructField("qid", qtype)]
     for k in range(n_classes):
         fields += [T.StructField(f"match_key_{k}", ktype), T.StructField(f"distance_{k}", T.DoubleType())]
@@ -350,7 +354,7 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
     c_extra = ([F.col(order).cast("double").alias("cord"),
                 F.col(available or order).cast("double").alias("cavail")] if order else [])
     q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                          c_extra, block_rows, cache_block_rows)
+                          c_extra, block_rows, cache_block_rows, None, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("n_within", T.LongType()),
                            T.StructField("match_key", ktype), T.StructField("distance", T.DoubleType())])
 

@@ -50,22 +50,29 @@ class GatewayResult:
 
 def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "request_id",
                  order_col: str = "seq", prompt: str = "prompt", response: str = "response",
-                 embedding: str = "embedding", ts: str | None = None,
-                 redact_before_cache: bool = False, validate_cards: bool = False) -> GatewayResult:
+                 embedding: str = "embedding", ts: str | None = None, status: str | None = None,
+                 cache_errors: bool = False, redact_before_cache: bool = False,
+                 validate_cards: bool = False) -> GatewayResult:
     """Run a request log through the cache, in arrival order.
 
-    ``requests``: ``id_col, order_col, prompt, response, embedding`` (+ ``ts``).
-    Empty prompts are never looked up or stored (always a MISS).
+    ``requests``: ``id_col, order_col, prompt, response, embedding`` (+ ``ts``,
+    + ``status`` of the upstream reply). Empty prompts are never looked up or
+    stored (always a MISS). With ``status`` given, only 200 replies are cached
+    unless ``cache_errors=True`` (the gateway also caches error bodies).
     """
     base = requests.select(
         F.col(id_col).alias("request_id"), F.col(order_col).alias("seq"),
         F.coalesce(F.col(prompt), F.lit("")).alias("prompt"), F.col(response).alias("response"),
         F.col(embedding).alias("embedding"),
-        (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("ts"))
+        (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("ts"),
+        (F.col(status).cast("int") if status else F.lit(200)).alias("status"))
     # Only non-empty prompts with a vector are looked up; only those with a
     # non-blank response can be stored.
     lookable = base.where((F.col("prompt") != "") & (F.coalesce(F.size("embedding"), F.lit(0)) > 0))
-    lookable = lookable.withColumn("storable", F.length(ws_trim(F.coalesce("response", F.lit("")))) > 0)
+    storable = F.length(ws_trim(F.coalesce("response", F.lit("")))) > 0
+    if not cache_errors:
+        storable &= F.coalesce(F.col("status") == 200, F.lit(False))
+    lookable = lookable.withColumn("storable", storable)
     replayed = cache_replay(lookable, threshold, id_col="request_id", vec_col="embedding",
                             order_col="seq", storable_col="storable")
     decided = base.join(replayed.withColumnRenamed("id", "request_id"), "request_id", "left").select(

@@ -232,14 +232,14 @@ def test_knn_many_blocks_equals_numpy(spark):
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qv)], "query_id long, embedding array<double>")
     c = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(cv)], "key long, embedding array<double>")
     got = {r.query_id: (r.match_key, round(r.distance, 9))
-           for r in vec.knn1(q, c, dim=6, block_rows=64).collect()}
+           for r in vec.knn1(q, c, dim=6, block_rows=64, cache_block_rows=50).collect()}
     qn = qv / np.linalg.norm(qv, axis=1, keepdims=True)
     cn = cv / np.linalg.norm(cv, axis=1, keepdims=True)
     d = 1 - qn @ cn.T
     for i in range(150):
         j = int(np.argmin(d[i]))
         assert got[i] == (1000 + j, round(float(d[i, j]), 9))
-    pairs = vec.pairs_within(q, c, 0.3, dim=6, block_rows=64, exclude_self=False)
+    pairs = vec.pairs_within(q, c, 0.3, dim=6, block_rows=64, cache_block_rows=50, exclude_self=False)
     assert pairs.count() == int((d <= 0.3).sum())
 
 
@@ -395,3 +395,39 @@ def test_runs_across_segments(spark):
             runs.append((i - start, sum(r[3] for r in rows[start:i])))
             start = i
     assert sorted((r[2], r[3]) for r in one) == sorted(runs)
+
+
+def test_person_gazetteer_hook(spark):
+    from cachescope.functions.pii_patterns import person_pattern
+
+    df = spark.createDataFrame([("Ask Ada Lovelace or ada about it",)], "text string")
+    r = pii.redact(df, "text", extra=[person_pattern(["Ada Lovelace", "Ada"])]).first()
+    assert r.sanitized_text == "Ask <PERSON> or ada about it" and r.entities == ["PERSON"]
+
+
+def test_embed_with_dedups_and_checks_dim(spark):
+    from cachescope.operators.embed import embed_with, hashed_embedder
+
+    df = spark.createDataFrame([(1, "hello world"), (2, "hello world"), (3, "  "), (4, "bye")],
+                               "id long, text string")
+    out = {r.id: r.embedding for r in embed_with(
+        df, lambda texts: [[float(len(t)), 1.0] if t != "bye" else [1.0] for t in texts],
+        dim=2).collect()}
+    assert out[1] == out[2] == [11.0, 1.0]
+    assert out[4] is None and 3 not in out or out.get(3) is None
+    h = hashed_embedder(df.where("id < 3"), "text", dim=16).collect()
+    assert h[0].embedding == h[1].embedding and len(h[0].embedding) == 16
+
+
+def test_gateway_flow_error_replies(spark):
+    from cachescope.plans.gateway import gateway_flow
+
+    rows = [(1, "q", "upstream error body", 500, [1.0, 0.0]), (2, "q", "ok", 200, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "seq long, prompt string, response string, status int, "
+                                     "embedding array<float>")
+    strict = {r.request_id: (r.cache, r.stored) for r in
+              gateway_flow(df, 0.15, id_col="seq", status="status").outcomes.collect()}
+    assert strict == {1: ("MISS", False), 2: ("MISS", True)}
+    quirk = {r.request_id: (r.cache, r.stored) for r in
+             gateway_flow(df, 0.15, id_col="seq", status="status", cache_errors=True).outcomes.collect()}
+    assert quirk == {1: ("MISS", True), 2: ("HIT", False)}
