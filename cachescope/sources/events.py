@@ -28,12 +28,15 @@ def encode_events(events: DataFrame) -> DataFrame:
 
 
 def parse_event_time(s: Column | str) -> Column:
+    """RFC 3339 text (any offset) -> naive UTC timestamp, whatever the session zone."""
     c = F.col(s) if isinstance(s, str) else s
-    return F.coalesce(
+    instant = F.coalesce(
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")),
-    ).cast("timestamp_ntz")
+    )
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def decode_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
