@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.text import preview_chars, prompt_key, ws_trim
+from ..functions.text import preview_bytes, preview_chars, prompt_key, ws_trim
 
 
 def cacheable(entries: DataFrame, *, prompt: str = "original_text",
@@ -52,16 +52,22 @@ def upsert(writes: DataFrame, existing: DataFrame | None = None, *, seq: str = "
 
 
 def list_entries(cache: DataFrame, limit: int = config.CACHE_LIST_LIMIT,
-                 preview: int = config.RESPONSE_PREVIEW_CHARS) -> DataFrame:
+                 preview: int = config.RESPONSE_PREVIEW_CHARS, unit: str = "chars") -> DataFrame:
     """First ``limit`` keys in key order, then entries without a prompt are
-    dropped (so fewer than ``limit`` may come back). Preview and length in characters."""
+    dropped (so fewer than ``limit`` may come back). Preview and length are in
+    characters (``unit='chars'``) or UTF-8 bytes (``unit='bytes'``, the
+    gateway's Go listing)."""
     if limit <= 0:
         return cache.select("key").limit(0)
     first = cache.select("key", "original_text", "response_text").orderBy("key").limit(limit)
+    resp = F.coalesce(F.col("response_text"), F.lit(""))
+    if unit == "bytes":
+        shown, size = preview_bytes(resp, preview), F.octet_length(resp)
+    else:
+        shown, size = preview_chars(resp, preview), F.length(resp)
     return first.where(F.coalesce(F.col("original_text"), F.lit("")) != "").select(
-        "key", F.col("original_text").alias("prompt"),
-        preview_chars(F.coalesce(F.col("response_text"), F.lit("")), preview).alias("response_preview"),
-        F.length(F.coalesce(F.col("response_text"), F.lit(""))).cast("bigint").alias("response_length"))
+        "key", F.col("original_text").alias("prompt"), shown.alias("response_preview"),
+        size.cast("bigint").alias("response_length"))
 
 
 def stats(cache: DataFrame, *, dim: int = config.EMBEDDING_DIM,

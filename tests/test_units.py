@@ -431,3 +431,11 @@ def test_gateway_flow_error_replies(spark):
     quirk = {r.request_id: (r.cache, r.stored) for r in
              gateway_flow(df, 0.15, id_col="seq", status="status", cache_errors=True).outcomes.collect()}
     assert quirk == {1: ("MISS", True), 2: ("HIT", False)}
+
+
+def test_cache_list_bytes_unit(spark):
+    c = spark.createDataFrame([("k", "p", "é" * 70)], "key string, original_text string, response_text string")
+    r = cache.list_entries(c, preview=120, unit="bytes").first()
+    assert r.response_length == 140 and r.response_preview == "é" * 60 + "…"
+    r2 = cache.list_entries(c, preview=120).first()
+    assert r2.response_length == 70 and r2.response_preview == "é" * 70
