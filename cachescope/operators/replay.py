@@ -87,7 +87,7 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200
 def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id",
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
-                 dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                 dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
                  max_rounds: int = 200, chunks: int = 1) -> DataFrame:
     """Replay the cache over ``log``.
 

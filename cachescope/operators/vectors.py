@@ -3,10 +3,11 @@
 Nearest-cached-prompt lookup (KNN, k=1) and the all-pairs-within-tau join are
 both answered by one distributed grid join:
 
-* each side is hashed into blocks of about ``block_rows`` vectors
-  (``pmod(xxhash64(id), n_blocks)``); query rows are replicated once per
-  cache block and cache rows once per query block, so every
-  (query block, cache block) cell is one co-group of bounded size;
+* each side is hashed into blocks (``pmod(xxhash64(id), n_blocks)``) sized
+  from a per-cell memory budget; query rows are replicated once per cache
+  block and cache rows once per query block, so every (query block, cache
+  block) cell is one co-group of bounded size, and equal memory-sized blocks
+  move the least data (a cache that fits one cell moves the queries once);
 * each cell is scored by a single matrix product in an Arrow-batched pandas
   function (``cogroup().applyInPandas``), which emits only the per-query winner
   (KNN) or only the pairs within tau — never the full pair matrix;
@@ -30,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 4096      # query rows per grid cell
-CACHE_BLOCK_ROWS = 8192        # cache rows per grid cell (the replicated-to side)
-SCORE_CHUNK = 1024             # query rows scored at once inside a cell
+CELL_BYTES = 256 << 20         # float64 vectors of one grid cell (both sides together)
+DIST_BYTES = 64 << 20          # distance block scored at once inside a cell
+DEFAULT_BLOCK_ROWS = None      # None: size blocks from CELL_BYTES and the dimension
 MIN_BLOCK_ROWS = 64
 WORK_PER_CELL = 2e8            # multiply-adds that justify a task of their own
 
@@ -43,15 +44,18 @@ def infer_dim(df: DataFrame, vec: str) -> int:
     return int(row["d"]) if row else 0
 
 
-def _block_counts(spark, n_q: int, n_c: int, block_rows: int,
+def _block_counts(spark, n_q: int, n_c: int, block_rows: int | None,
                   cache_block_rows: int | None = None, dim: int = 768) -> tuple[int, int]:
-    """Grid shape. Each query row is copied once per cache block and each cache
-    row once per query block, so cache blocks are the larger ones (the cache is
-    usually the smaller table and its block count multiplies the query side).
+    """Grid shape. Every query row is copied once per cache block and every
+    cache row once per query block, so the data moved is
+    |Q|*|C|*(1/rows_c + 1/rows_q): smallest with equal, memory-sized blocks
+    (CELL_BYTES of float64 vectors per cell). A cache that fits one cell is
+    copied to each query block and the queries move once.
     Cells are added beyond what memory needs only while each still gets about
     WORK_PER_CELL multiply-adds: below that, task overhead beats the product."""
-    qb = max(1, math.ceil(n_q / block_rows))
-    cb = max(1, math.ceil(n_c / (cache_block_rows or max(block_rows, CACHE_BLOCK_ROWS))))
+    side = max(MIN_BLOCK_ROWS, CELL_BYTES // (2 * 8 * max(dim, 1)))
+    qb = max(1, math.ceil(n_q / (block_rows or side)))
+    cb = max(1, math.ceil(n_c / (cache_block_rows or block_rows or side)))
     work_cells = math.ceil(n_q * n_c * max(dim, 1) / WORK_PER_CELL)
     target = min(spark.sparkContext.defaultParallelism, max(1, work_cells))
     while qb * cb < target:
@@ -66,6 +70,11 @@ def _block_counts(spark, n_q: int, n_c: int, block_rows: int,
     return qb, cb
 
 
+def _chunk_rows(n_cache: int) -> int:
+    """Query rows per scoring step so the distance block stays near DIST_BYTES."""
+    return max(1, DIST_BYTES // (8 * max(n_cache, 1)))
+
+
 def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Stack vectors into a unit-normalised float64 matrix; mask of valid rows."""
     n = len(vectors)
@@ -82,7 +91,7 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str, cvec: str,
-             q_extra: list[Column], c_extra: list[Column], block_rows: int,
+             q_extra: list[Column], c_extra: list[Column], block_rows: int | None,
              cache_block_rows: int | None = None, counts: tuple[int, int] | None = None,
              dim: int = 768):
     spark = queries.sparkSession
@@ -106,7 +115,7 @@ def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
          exclude_self: bool = False, order: str | None = None, available: str | None = None,
-         dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+         dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
          cache_block_rows: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
@@ -145,8 +154,9 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
                 cord, cavail = cdf["cord"].to_numpy()[cok], cdf["cavail"].to_numpy()[cok]
                 qord = qdf["qord"].to_numpy()
             qids = qdf["qid"].to_numpy()
-            for lo in range(0, len(qdf) if len(ckeys) else 0, SCORE_CHUNK):
-                hi = min(lo + SCORE_CHUNK, len(qdf))
+            step = _chunk_rows(len(ckeys))
+            for lo in range(0, len(qdf) if len(ckeys) else 0, step):
+                hi = min(lo + step, len(qdf))
                 dist = 1.0 - qm[lo:hi] @ cm.T
                 dist[~qok[lo:hi]] = np.inf
                 if exclude_self:
@@ -180,7 +190,7 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
                  cache_key: str = "key", cache_vec: str = "embedding",
                  order: str | None = None, available: str | None = None,
                  exclude_self: bool = True, dim: int | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
                  ) -> DataFrame:
     """All (query, cache) pairs with cosine distance <= threshold.
 
@@ -210,8 +220,9 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
         cm, cok = _matrix(cdf["cvec"], dim)
         qids, ckeys = qdf["qid"].to_numpy(), cdf["ckey"].to_numpy()
         parts = []
-        for lo in range(0, len(qdf), SCORE_CHUNK):
-            hi = min(lo + SCORE_CHUNK, len(qdf))
+        step = _chunk_rows(len(cdf))
+        for lo in range(0, len(qdf), step):
+            hi = min(lo + step, len(qdf))
             dist = 1.0 - qm[lo:hi] @ cm.T
             keep = (dist <= threshold) & qok[lo:hi, None] & cok[None, :]
             if exclude_self:
@@ -260,7 +271,7 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
                       query_id: str = "query_id", query_vec: str = "embedding",
                       cache_key: str = "key", cache_vec: str = "embedding",
                       order: str | None = None, available: str | None = None,
-                      dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                      dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
                       cache_block_rows: int | None = None,
                       counts: tuple[int, int] | None = None) -> DataFrame:
     """:func:`knn1` for several candidate classes in one grid pass.
@@ -295,8 +306,9 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
             qm, qok = _matrix(qdf["qvec"], dim)
             cm, cok = _matrix(cdf["cvec"], dim)
             ckeys, ccls = cdf["ckey"].to_numpy(), cdf["ccls"].to_numpy()
-            for lo in range(0, n, SCORE_CHUNK):
-                hi = min(lo + SCORE_CHUNK, n)
+            step = _chunk_rows(len(cdf))
+            for lo in range(0, n, step):
+                hi = min(lo + step, n)
                 base = 1.0 - qm[lo:hi] @ cm.T
                 base[~qok[lo:hi]] = np.inf
                 base[:, ~cok] = np.inf
@@ -337,7 +349,7 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
                     cache_key: str = "key", cache_vec: str = "embedding",
                     order: str | None = None, available: str | None = None,
                     exclude_self: bool = True, dim: int | None = None,
-                    block_rows: int = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
+                    block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
                     ) -> DataFrame:
     """Per query: how many candidates lie within ``threshold`` and the nearest
     one — "is any cached prompt close enough", without emitting the pairs.
@@ -368,8 +380,9 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
             qm, qok = _matrix(qdf["qvec"], dim)
             cm, cok = _matrix(cdf["cvec"], dim)
             qids, ckeys = qdf["qid"].to_numpy(), cdf["ckey"].to_numpy()
-            for lo in range(0, n, SCORE_CHUNK):
-                hi = min(lo + SCORE_CHUNK, n)
+            step = _chunk_rows(len(cdf))
+            for lo in range(0, n, step):
+                hi = min(lo + step, n)
                 dist = 1.0 - qm[lo:hi] @ cm.T
                 dist[~qok[lo:hi]] = np.inf
                 dist[:, ~cok] = np.inf
