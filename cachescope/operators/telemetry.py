@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.text import go_quote, preview_bytes
 from ..functions.timefmt import epoch_micros, interval_seconds, minute_bucket, ts_literal
+from ..session import ensure_checkpoint_dir
 
 
 def _is_hit(outcome: str = "outcome") -> Column:
@@ -28,42 +29,37 @@ def _is_hit(outcome: str = "outcome") -> Column:
 SEGMENT_BUCKETS = 100_000
 
 
-def latency_runs(requests: DataFrame, gap: str | int = config.LATENCY_IDLE_GAP, *,
-                 ts: str = "ts", latency: str = "latency_ms",
-                 keys: tuple[str, ...] = (), segment_buckets: int = SEGMENT_BUCKETS) -> DataFrame:
-    """Split the log into activity runs separated by idle gaps >= ``gap``.
+def _materialize(small: DataFrame) -> DataFrame:
+    """Write a small shared intermediate (the per-bucket aggregate, at most
+    time span / gap rows) to the reliable checkpoint directory, so its several
+    consumers read it instead of re-scanning the log; also cuts the lineage."""
+    ensure_checkpoint_dir(small.sparkSession)
+    return small.checkpoint(eager=True)
+
 
-    Exact, and without any single-partition step:
-
-    1. rows are pre-aggregated into gap-sized time buckets (two events in one
-       bucket are always < gap apart, so a run boundary can only fall between
-       the last event of a non-empty bucket and the first of the next);
-    2. buckets are cut into time segments of ``segment_buckets`` bucket widths
-       and ordered windows run per segment (per key), in parallel;
-    3. a segment summary (one row per segment: first/last event, number of
-       boundaries) gives each segment the boundary flag of its first bucket and
-       its run-number offset — a prefix sum over segments, not over rows;
-    4. runs are the buckets grouped by global run number.
+def bucket_of(ts: Column | str, gap_us: int) -> Column:
+    """Start (epoch microseconds) of the gap-sized bucket holding ``ts``."""
+    micros = epoch_micros(ts)
+    return micros - F.pmod(micros, F.lit(gap_us))
+
+
+def runs_from_buckets(buckets: DataFrame, gap: str | int, *, keys: tuple[str, ...] = (),
+                      segment_buckets: int = SEGMENT_BUCKETS) -> DataFrame:
+    """Activity runs from per-bucket aggregates ``_bucket, _n, _sum, _first, _last``.
+
+    Ordered windows run per time segment of buckets (per key) in parallel; a
+    one-row-per-segment summary gives each segment the boundary flag of its
+    first bucket and its run-number offset (a prefix sum over segments).
     """
     gap_us = interval_seconds(gap) * 1_000_000
-    micros = epoch_micros(ts)
     seg_us = gap_us * segment_buckets
-    buckets = (
-        requests.select(*keys, F.col(ts).alias("_ts"), F.col(latency).alias("_lat"),
-                        (micros - F.pmod(micros, F.lit(gap_us))).alias("_bucket"))
-        .groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_lat").alias("_sum"),
-             F.min("_ts").alias("_first"), F.max("_ts").alias("_last"))
-        .withColumn("_seg", F.col("_bucket") - F.pmod(F.col("_bucket"), F.lit(seg_us)))
-    )
+    b = _materialize(buckets).withColumn(
+        "_seg", F.col("_bucket") - F.pmod(F.col("_bucket"), F.lit(seg_us)))
     w = Window.partitionBy(*keys, "_seg").orderBy("_bucket")
     prev_last = F.lag("_last").over(w)
     boundary = F.timestamp_diff("MICROSECOND", prev_last, F.col("_first")) >= F.lit(gap_us)
-    local = (buckets
-             .withColumn("_head", prev_last.isNull())
-             .withColumn("_new", F.when(prev_last.isNotNull() & boundary, 1).otherwise(0))
+    local = (b.withColumn("_new", F.when(prev_last.isNotNull() & boundary, 1).otherwise(0))
              .withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    # One row per segment; the window over segments is bounded by span / segment width.
     seg = local.groupBy(*keys, "_seg").agg(
         F.min("_first").alias("_seg_first"), F.max("_last").alias("_seg_last"),
         F.sum("_new").alias("_seg_new"))
@@ -87,22 +83,47 @@ def latency_runs(requests: DataFrame, gap: str | int = config.LATENCY_IDLE_GAP,
     ).withColumn("avg_latency_ms", F.col("sum_latency_ms") / F.col("n_requests"))
 
 
-def current_latency(requests: DataFrame, as_of: str, gap: str | int = config.LATENCY_IDLE_GAP,
-                    *, ts: str = "ts", latency: str = "latency_ms") -> DataFrame:
-    """Mean latency of the run still open at ``as_of`` (0 when idle >= gap or empty).
+def latency_runs(requests: DataFrame, gap: str | int = config.LATENCY_IDLE_GAP, *,
+                 ts: str = "ts", latency: str = "latency_ms",
+                 keys: tuple[str, ...] = (), segment_buckets: int = SEGMENT_BUCKETS) -> DataFrame:
+    """Split the log into activity runs separated by idle gaps >= ``gap``.
 
-    Always one row: the latency counters expire ``gap`` after the last write.
+    Exact, and without any single-partition step over requests: rows are
+    pre-aggregated into gap-sized time buckets (two events in one bucket are
+    always < gap apart, so a run boundary can only fall between the last event
+    of a non-empty bucket and the first of the next), then
+    :func:`runs_from_buckets` numbers runs segment by segment.
     """
     gap_us = interval_seconds(gap) * 1_000_000
-    runs = latency_runs(requests.where(F.col(ts) <= ts_literal(as_of)), gap, ts=ts, latency=latency)
+    buckets = (
+        requests.select(*keys, F.col(ts).alias("_ts"), F.col(latency).alias("_lat"),
+                        bucket_of(ts, gap_us).alias("_bucket"))
+        .groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_lat").alias("_sum"),
+             F.min("_ts").alias("_first"), F.max("_ts").alias("_last")))
+    return runs_from_buckets(buckets, gap, keys=keys, segment_buckets=segment_buckets)
+
+
+def _open_run(runs: DataFrame, as_of: str, gap_us: int) -> DataFrame:
+    """One row: size and mean latency of the run still open at ``as_of`` (zeros if none)."""
     last = runs.agg(F.max_by(F.struct("run_end", "n_requests", "sum_latency_ms"), "run_end").alias("r"))
     open_run = F.timestamp_diff("MICROSECOND", F.col("r.run_end"), ts_literal(as_of)) < F.lit(gap_us)
     return last.select(
         ts_literal(as_of).alias("as_of"),
         F.coalesce(F.when(open_run, F.col("r.n_requests")), F.lit(0)).cast("bigint").alias("n_requests"),
         F.coalesce(F.when(open_run, F.col("r.sum_latency_ms") / F.col("r.n_requests")),
-                   F.lit(0.0)).alias("avg_latency_ms"),
-    )
+                   F.lit(0.0)).alias("avg_latency_ms"))
+
+
+def current_latency(requests: DataFrame, as_of: str, gap: str | int = config.LATENCY_IDLE_GAP,
+                    *, ts: str = "ts", latency: str = "latency_ms") -> DataFrame:
+    """Mean latency of the run still open at ``as_of`` (0 when idle >= gap or empty).
+
+    Always one row: the latency counters expire ``gap`` after the last write.
+    """
+    gap_us = interval_seconds(gap) * 1_000_000
+    runs = latency_runs(requests.where(F.col(ts) <= ts_literal(as_of)), gap, ts=ts, latency=latency)
+    return _open_run(runs, as_of, gap_us)
 
 
 # ---------------------------------------------------------------- counters
@@ -112,32 +133,42 @@ def metrics(requests: DataFrame, pii_blocks: DataFrame | None = None, *, as_of:
             cost_per_token: float = config.COST_PER_TOKEN) -> DataFrame:
     """Dashboard metrics as one row (counters, hit rate, tokens/cost saved, latency).
 
-    The request log, the PII-block log and the open-run latency are stacked with
-    ``unionByName`` and reduced by one conditional aggregation (no join of
-    one-row frames). Empty input gives zeros, never nulls.
+    One scan per input: requests and PII blocks are stacked and reduced to
+    gap-sized time buckets once (materialised: at most span / gap rows); the
+    counters are the sum over buckets and the open-run latency comes from the
+    same buckets. The counter row and the latency row are stacked again and reduced
+    by one conditional aggregation (no join of one-row frames). Empty input
+    gives zeros, never nulls.
     """
+    gap_us = interval_seconds(gap) * 1_000_000
     upto = ts_literal(as_of)
-    parts = [requests.where(F.col("ts") <= upto).select(
-        F.lit("req").alias("_kind"), F.col("outcome"), F.lit(None).cast("bigint").alias("_n"),
-        F.lit(None).cast("double").alias("_avg"))]
+    rows = requests.where(F.col("ts") <= upto).select(
+        F.lit(True).alias("_req"), F.col("outcome"), F.col("latency_ms"), F.col("ts"))
     if pii_blocks is not None:
-        parts.append(pii_blocks.where(F.col("ts") <= upto).select(
-            F.lit("pii").alias("_kind"), F.lit(None).cast("string").alias("outcome"),
-            F.lit(None).cast("bigint").alias("_n"), F.lit(None).cast("double").alias("_avg")))
-    parts.append(current_latency(requests, as_of, gap).select(
-        F.lit("lat").alias("_kind"), F.lit(None).cast("string").alias("outcome"),
-        F.col("n_requests").alias("_n"), F.col("avg_latency_ms").alias("_avg")))
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    req = F.col("_kind") == "req"
-    agg = stacked.agg(
-        F.count_if(req).alias("total_requests"),
-        F.count_if(req & _is_hit()).alias("cache_hits"),
-        F.count_if(req & (F.col("outcome") == "MISS")).alias("cache_misses"),
-        F.count_if(F.col("_kind") == "pii").alias("pii_blocked"),
-        F.coalesce(F.max("_avg"), F.lit(0.0)).alias("avg_latency_ms"),
-    )
+        rows = rows.unionByName(pii_blocks.where(F.col("ts") <= upto).select(
+            F.lit(False).alias("_req"), F.lit(None).cast("string").alias("outcome"),
+            F.lit(None).cast("bigint").alias("latency_ms"), F.col("ts")))
+    req = F.col("_req")
+    buckets = _materialize(rows.groupBy(bucket_of("ts", gap_us).alias("_bucket")).agg(
+        F.count_if(req).alias("_n"),
+        F.count_if(req & _is_hit()).alias("_hits"),
+        F.count_if(req & (F.col("outcome") == "MISS")).alias("_misses"),
+        F.count_if(~req).alias("_pii"),
+        F.sum(F.when(req, F.col("latency_ms"))).alias("_sum"),
+        F.min(F.when(req, F.col("ts"))).alias("_first"),
+        F.max(F.when(req, F.col("ts"))).alias("_last")))
+    totals = buckets.select(
+        F.col("_n").alias("total"), F.col("_hits").alias("hits"), F.col("_misses").alias("misses"),
+        F.col("_pii").alias("pii"), F.lit(None).cast("double").alias("avg"))
+    latency = _open_run(runs_from_buckets(buckets.where(F.col("_n") > 0), gap), as_of, gap_us).select(
+        *[F.lit(0).cast("bigint").alias(c) for c in ("total", "hits", "misses", "pii")],
+        F.col("avg_latency_ms").alias("avg"))
+    agg = totals.unionByName(latency).agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total_requests"),
+        F.coalesce(F.sum("hits"), F.lit(0)).alias("cache_hits"),
+        F.coalesce(F.sum("misses"), F.lit(0)).alias("cache_misses"),
+        F.coalesce(F.sum("pii"), F.lit(0)).alias("pii_blocked"),
+        F.coalesce(F.max("avg"), F.lit(0.0)).alias("avg_latency_ms"))
     total = F.col("total_requests")
     return agg.select(
         total.cast("bigint").alias("total_requests"),
