@@ -228,7 +228,7 @@ def q_request_parse(spark, sf_dir):
     msgs = F.array(F.named_struct(F.lit("role"), F.lit("system"), F.lit("content"), F.lit("Be brief.")),
                    F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"), F.col("prompt")))
     bodies = pairs.select("conv_id", "turn", reqs.request_body(
-        F.lit("llama-3.3-70b-versatile"), msgs, F.col("turn") == 0).alias("body"))
+        F.lit(config.DEFAULT_CHAT_MODEL), msgs, F.col("turn") == 0).alias("body"))
     ok = reqs.accepted(reqs.parse_requests(bodies))
     return ok.select("conv_id", "turn", "model", F.size("messages").cast("bigint").alias("n_messages"),
                      "stream", "prompt")

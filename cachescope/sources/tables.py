@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT_CHAT_MODEL
+
 # fixed values: the PII entity types, in the gateway's order
 PII_ENTITY_TYPES = ["CREDIT_CARD", "EMAIL_ADDRESS", "IBAN_CODE", "IP_ADDRESS",
                     "PHONE_NUMBER", "US_SSN", "PERSON"]
@@ -103,7 +105,7 @@ def gw_session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_add("MINUTE", F.col("conv_id") * 60 + F.col("turn"),
                          F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     saves = conv.select(sid.alias("session_id"), at.alias("updated_at"), F.lit("save").alias("op"),
-                        F.col("text").alias("payload"), F.lit("llama-3.3-70b-versatile").alias("model"))
+                        F.col("text").alias("payload"), F.lit(DEFAULT_CHAT_MODEL).alias("model"))
     last = conv.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"),
                                        F.max("turn").alias("turn"))
     deletes = last.where(F.col("last_role") == "user").select(

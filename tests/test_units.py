@@ -387,7 +387,7 @@ def test_runs_across_segments(spark):
     for seg in (1, 2, 7):
         many = sorted(tuple(r)[1:] for r in tel.latency_runs(log, "30 minutes", segment_buckets=seg).collect())
         assert many == one
-    # sequential reference
+    # sequential check
     ts = [r[5] for r in rows]
     runs, start = [], 0
     for i in range(1, len(ts) + 1):
