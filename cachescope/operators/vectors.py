@@ -410,3 +410,26 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
         F.min(F.when(F.col("match_key").isNotNull(), F.struct("distance", "match_key"))).alias("b"))
     return out.select(F.col("qid").alias(query_id), "n_within", F.col("b.match_key").alias("match_key"),
                       F.col("b.distance").alias("distance"))
+
+
+def cache_lookup(requests: DataFrame, cache: DataFrame, threshold: float, *,
+                 request_id: str = "request_id", request_vec: str = "embedding",
+                 cache_key: str = "key", cache_vec: str = "embedding",
+                 dim: int | None = None) -> DataFrame:
+    """The gateway's lookup for a batch of requests against a cache table.
+
+    Nearest entry (only key and distance go through the grid), HIT when within
+    ``threshold``, then the matched entry's prompt joined back once. A hit
+    carries the cached response; a near miss reports distance and matched
+    prompt but withholds the response; no candidate is a MISS at distance 0.
+    Returns ``request_id, outcome, distance, match_key, matched_prompt, response``.
+    """
+    nearest = knn1(requests, cache, query_id=request_id, query_vec=request_vec, cache_key=cache_key,
+                   cache_vec=cache_vec, dim=dim)
+    decided = hit_decision(nearest, threshold)
+    enriched = with_match(decided, cache, cache_key=cache_key)
+    hit = F.col("outcome") == "HIT"
+    return enriched.select(
+        request_id, "outcome", "distance", "match_key",
+        F.col("original_text").alias("matched_prompt"),
+        F.when(hit, F.col("response_text")).alias("response"))

@@ -338,3 +338,17 @@ def q_neighbor_counts(spark, sf_dir):
     c = vec.neighbor_counts(log, log, TAU, query_id="vec_id", query_vec="embedding",
                             cache_key="vec_id", cache_vec="embedding", order="vec_id")
     return c.select("vec_id", "n_within", F.col("match_key").alias("nearest_id"), _r("distance", 4))
+
+
+@register("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    """Every user message looked up against the cache built from the prompt/reply
+    pairs (hashed test embedder, gateway threshold)."""
+    entries = cache.upsert(cache.entries_from_pairs(src.gw_pairs(spark, sf_dir)))
+    entries = emb.hashed_embedder(entries, "original_text", "embedding", dim=64)
+    users = src.gw_messages(spark, sf_dir).where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("content"))
+    users = emb.hashed_embedder(users, "content", "embedding", dim=64)
+    out = vec.cache_lookup(users, entries, GATEWAY_TAU, request_id="request_id", cache_key="key", dim=64)
+    return out.select("request_id", "outcome", _r("distance", 4), "match_key", "matched_prompt",
+                      F.length("response").cast("bigint").alias("response_chars"))

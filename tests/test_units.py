@@ -439,3 +439,15 @@ def test_cache_list_bytes_unit(spark):
     assert r.response_length == 140 and r.response_preview == "é" * 60 + "…"
     r2 = cache.list_entries(c, preview=120).first()
     assert r2.response_length == 70 and r2.response_preview == "é" * 70
+
+
+def test_cache_lookup_enrichment(spark):
+    c = spark.createDataFrame([("k1", "cached prompt", "cached answer", [1.0, 0.0]),
+                               ("k2", "other", "other answer", [0.0, 1.0])],
+                              "key string, original_text string, response_text string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.01]), (2, [0.7, 0.7]), (3, [])],
+                              "request_id long, embedding array<float>")
+    out = {r.request_id: r for r in vec.cache_lookup(q, c, 0.15, dim=2).collect()}
+    assert (out[1].outcome, out[1].match_key, out[1].response) == ("HIT", "k1", "cached answer")
+    assert out[2].outcome == "MISS" and out[2].matched_prompt is not None and out[2].response is None
+    assert (out[3].outcome, out[3].distance, out[3].match_key) == ("MISS", 0.0, None)
