@@ -222,11 +222,18 @@ def load_sessions(spark, log_path: str, requested: DataFrame, as_of: str, **kw)
     return sess.load(requested, tables.read_all(spark, log_path, SESSION_LOG_SCHEMA), as_of, **kw)
 
 
-def cache_upsert_sink(cache_path: str) -> Callable:
-    """T6 for keyed text entries: merge the batch's writes into the cache table."""
+def cache_upsert_sink(log_path: str) -> Callable:
+    """T6 for keyed text entries: append the batch's writes (``key, ...,
+    seq``) to the cache write log. Nothing is rewritten per batch; the cache
+    table is the latest write per key, resolved when read (:func:`read_cache`)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        old = tables.read_latest(batch.sparkSession, cache_path)
-        tables.write_version(cache_ops.upsert(batch, old), cache_path, batch_id)
+        tables.append_batch(batch, log_path, batch_id)
 
     return sink
+
+
+def read_cache(spark, log_path: str, schema: str) -> DataFrame:
+    """The cache table behind :func:`cache_upsert_sink`: latest write per key
+    (``max_by``, combinable, so a hot key is reduced map-side)."""
+    return cache_ops.upsert(tables.read_all(spark, log_path, schema))

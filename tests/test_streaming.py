@@ -126,3 +126,42 @@ def test_session_log_sink_and_load(spark, scratch):
     got = {tuple(r) for r in sq.load_sessions(spark, log_path, ids, "2024-01-03 00:00:00").collect()}
     want = {tuple(r) for r in sess.load(ids, log, "2024-01-03 00:00:00").collect()}
     assert got == want
+
+
+def test_cache_upsert_sink_equals_batch(spark, scratch):
+    from cachescope.operators import cache
+
+    writes = cache.entries_from_pairs(src.gw_pairs(spark, SF_SMALL)).select(
+        "key", "original_text", "response_text", F.col("seq.conv_id").alias("seq"))
+    path = os.path.join(scratch, "writes")
+    writes.repartition(3, "seq").write.parquet(path)
+    stream = sq.file_stream(spark, path, writes.schema, max_files=1)
+    cache_path = os.path.join(scratch, "cache_tbl")
+    _run(stream, scratch, "upsert", "append", sink=sq.cache_upsert_sink(cache_path))
+    got = {tuple(r) for r in sq.read_cache(spark, cache_path, "key string, original_text string, "
+                                           "response_text string, seq long")
+           .select("key", "original_text").collect()}
+    want = {tuple(r) for r in cache.upsert(writes).select("key", "original_text").collect()}
+    assert got == want
+
+
+def test_latency_runs_per_tenant_stream_equals_batch(spark, scratch):
+    req, glob = _requests_files(spark, scratch)
+    stream = sq.file_stream(spark, glob, req.schema, max_files=1)
+    _run(sq.latency_runs(stream, "2 hours", keys=("tenant",)), scratch, "runs_t", "complete")
+    got = sorted((r.tenant, r.run_start, r.n_requests) for r in spark.table("runs_t").collect())
+    want = sorted((r.tenant, r.run_start, r.n_requests)
+                  for r in tel.latency_runs(req, "2 hours", keys=("tenant",)).collect())
+    assert got == want
+
+
+def test_processing_time_trigger(spark, scratch):
+    req, glob = _requests_files(spark, scratch)
+    stream = sq.file_stream(spark, glob, req.schema, max_files=4)
+    q = sq.start(sq.counters(stream), os.path.join(scratch, "ckpt-trig"), name="counters_t",
+                 mode="complete", trigger="5 seconds")
+    try:
+        q.processAllAvailable()
+        assert spark.table("counters_t").first().total_requests == req.count()
+    finally:
+        q.stop()
