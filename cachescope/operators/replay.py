@@ -19,8 +19,11 @@ entries, still-undecided storable requests), returning one row per request:
 
 A group of near-identical prompts therefore never produces its pairs: in a
 clique the first request is stored in one round and all the others hit it in
-the next. Undecided requests, the stored set and each round's decisions are
-checkpointed to the reliable checkpoint directory (lineage cut, survives the
+the next. Exact copies are collapsed first (one representative per distinct
+vector, a combinable aggregation), and requests that cannot be stored do not
+take part: both are decided by one final order-masked lookup of every request
+against the stored set, the gateway's own per-request cost. Each round's step
+and the stored set are checkpointed to the reliable checkpoint directory (lineage cut, survives the
 loss of executors). With ``chunks > 1`` the log is processed in arrival-order
 slices, so later slices meet earlier entries as a fixed cache and the
 undecided-vs-undecided part of the search stays within a slice. A round limit
@@ -113,18 +116,33 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
         dim = infer_dim(base, "vec")
     id_type = base.schema["id"].dataType.simpleString()
 
+    # Only storable requests can be stored, and of several requests with the
+    # same vector only the first storable one can be: every later copy finds it
+    # (or the entry that made it a hit) at least as close. So the rounds run over
+    # one representative per distinct vector; the other requests never change
+    # anyone's outcome and are decided by the final lookup below. With a store
+    # delay a copy can arrive before its twin is visible, so there every
+    # storable request takes part.
+    storable_rows = base.where("storable")
+    if available_col is None:
+        reps = storable_rows.groupBy("vec").agg(
+            F.min_by(F.struct("id", "ord", "avail"), F.struct("ord", "id")).alias("r")).select(
+            F.col("r.id").alias("id"), "vec", F.col("r.ord").alias("ord"), F.col("r.avail").alias("avail"))
+    else:
+        reps = storable_rows.select("id", "vec", "ord", "avail")
+    reps = _ckpt(reps)
+
     def search(queries, cands, n_q, n_c):
         """Nearest visible earlier candidate within the masks, one row per query."""
         return knn1(queries, cands, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
                     order="ord", available="avail", dim=dim, block_rows=block_rows,
                     counts=(n_q, n_c))
 
-    within = F.col("distance") <= F.lit(threshold)
-    stored = spark.createDataFrame([], base.select("id", "vec", "ord", "avail").schema)
+    stored = spark.createDataFrame([], reps.schema)
     n_stored = 0
-    decisions: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     if chunks > 1:
-        cuts = base.approxQuantile("ord", [i / chunks for i in range(1, chunks)], 0.001)
+        cuts = reps.approxQuantile("ord", [i / chunks for i in range(1, chunks)], 0.001)
     else:
         cuts = []
     bounds = [None] + sorted(set(cuts)) + [None]
@@ -135,53 +153,59 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
             cond &= F.col("ord") > F.lit(lo)
         if hi is not None:
             cond &= F.col("ord") <= F.lit(hi)
-        undecided = _ckpt(base.where(cond))
+        undecided = _ckpt(reps.where(cond))
         n_u = undecided.count()
         while n_u:
             rnd += 1
             if rnd > max_rounds:
                 raise ReplayDidNotConverge(f"cache replay still open after {max_rounds} rounds")
             # One masked search per round over stored entries (class 0) and
-            # undecided storable requests (class 1), visible and earlier:
+            # undecided representatives (class 1), visible and earlier:
             #   a stored entry within tau                -> HIT
-            #   else no undecided storable one within tau -> decided MISS
+            #   else no undecided one within tau          -> stored MISS
             cands = stored.select("id", "vec", "ord", "avail", F.lit(0).alias("cls")).unionByName(
-                undecided.where("storable").select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
-            near = nearest_per_class(undecided, cands, "cls", 2, query_id="id", query_vec="vec",
-                                     cache_key="id", cache_vec="vec", order="ord", available="avail",
-                                     dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
+                undecided.select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
             hit = F.coalesce(F.col("distance_0") <= F.lit(threshold), F.lit(False))
             blocked = F.coalesce(F.col("distance_1") <= F.lit(threshold), F.lit(False))
-            step = _ckpt(undecided.join(near.select(
-                "id", F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")), "id"))
+            decide = F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")
+            kw = dict(query_id="id", query_vec="vec", cache_key="id", cache_vec="vec", order="ord",
+                      available="avail", dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
+            try:    # the grid hands the query columns back: no join to recover them
+                near = nearest_per_class(undecided, cands, "cls", 2, carry=("vec", "ord", "avail"), **kw)
+                step = _ckpt(near.select("id", "vec", "ord", "avail", decide))
+            except ValueError:
+                near = nearest_per_class(undecided, cands, "cls", 2, **kw)
+                step = _ckpt(undecided.join(near.select("id", decide), "id"))
             # Everything below is a filter of the checkpointed step: no new lineage.
             done = step.where(F.col("outcome").isNotNull())
-            decisions.append(done.select(
-                "id", "outcome", ((F.col("outcome") == "MISS") & F.col("storable")).alias("stored"),
-                F.lit(rnd).alias("round")))
-            new_entries = done.where((F.col("outcome") == "MISS") & F.col("storable")).select(
-                "id", "vec", "ord", "avail")
-            stored = stored.unionByName(new_entries)
+            rounds.append(done.select("id", F.lit(rnd).alias("round")))
+            stored = stored.unionByName(done.where(F.col("outcome") == "MISS").select(
+                "id", "vec", "ord", "avail"))
             tally = step.agg(F.count_if(F.col("outcome").isNull()).alias("open"),
-                             F.count_if((F.col("outcome") == "MISS") & F.col("storable")).alias("new")).first()
+                             F.count_if(F.col("outcome") == "MISS").alias("new")).first()
             n_stored += tally["new"]
             undecided = step.where(F.col("outcome").isNull()).drop("outcome")
             n_u = tally["open"]
-    if not decisions:
-        return spark.createDataFrame([], f"id {id_type}, outcome string, stored boolean, "
-                                         f"match_id {id_type}, distance double, round int")
-    decided = decisions[0]
-    for d in decisions[1:]:
-        decided = decided.unionByName(d)
-    decided = _ckpt(decided)
-    # Final match of every hit: the nearest entry stored before it (an entry
-    # decided in a later round may be earlier and nearer than the one that
-    # triggered the hit).
-    hits = base.join(decided.where(F.col("outcome") == "HIT").select("id"), "id", "left_semi")
-    n_hits = hits.count()
-    if n_hits:
-        best = search(hits, stored, n_hits, n_stored).select(
+    stored = _ckpt(stored)
+    # Every request: nearest entry stored before it (an entry decided in a later
+    # round may be earlier and nearer than the one that settled a hit).
+    n_all = base.count()
+    if n_stored:
+        best = search(base, stored, n_all, n_stored).select(
             "id", F.col("match_key").alias("match_id"), "distance")
     else:
         best = spark.createDataFrame([], f"id {id_type}, match_id {id_type}, distance double")
-    return decided.join(best, "id", "left").select("id", "outcome", "stored", "match_id", "distance", "round")
+    leaders = stored.select("id", F.lit(True).alias("stored"))
+    decided_round = (rounds[0] if rounds else spark.createDataFrame([], f"id {id_type}, round int"))
+    for r in rounds[1:]:
+        decided_round = decided_round.unionByName(r)
+    is_hit = F.col("distance").isNotNull() & (F.col("distance") <= F.lit(threshold)) & ~F.coalesce(
+        F.col("stored"), F.lit(False))
+    return (base.select("id").join(best, "id", "left").join(leaders, "id", "left")
+            .join(decided_round, "id", "left")
+            .select("id",
+                    F.when(is_hit, F.lit("HIT")).otherwise(F.lit("MISS")).alias("outcome"),
+                    F.coalesce(F.col("stored"), F.lit(False)).alias("stored"),
+                    F.when(is_hit, F.col("match_id")).alias("match_id"),
+                    F.when(is_hit, F.col("distance")).alias("distance"),
+                    F.coalesce(F.col("round"), F.lit(0)).alias("round")))

@@ -273,25 +273,32 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
                       order: str | None = None, available: str | None = None,
                       dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
                       cache_block_rows: int | None = None,
-                      counts: tuple[int, int] | None = None) -> DataFrame:
+                      counts: tuple[int, int] | None = None,
+                      carry: tuple[str, ...] = ()) -> DataFrame:
     """:func:`knn1` for several candidate classes in one grid pass.
 
     ``cache_class`` holds 0..n_classes-1; the result has one row per query with
     ``match_key_<c>`` and ``distance_<c>`` for every class (nulls when the
     class has no valid, visible candidate). Same masks and tie-break as knn1.
+    ``carry`` names query columns returned alongside (saves a join back), only
+    when the cache fits one block column (else they would need merging).
     """
     if dim is None:
         dim = infer_dim(cache, cache_vec)
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
     q_extra = [F.col(order).cast("double").alias("qord")] if order else []
+    q_extra += [F.col(x).alias(f"carry_{x}") for x in carry]
     c_extra = [F.col(cache_class).cast("int").alias("ccls")]
     if order:
         c_extra += [F.col(order).cast("double").alias("cord"),
                     F.col(available or order).cast("double").alias("cavail")]
     q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
                            c_extra, block_rows, cache_block_rows, counts, dim)
+    if carry and cb > 1:
+        raise ValueError("carry needs a cache that fits one block column")
     fields = [T.StructField("qid", qtype)]
+    fields += [T.StructField(x, queries.schema[x].dataType) for x in carry]
     for k in range(n_classes):
         fields += [T.StructField(f"match_key_{k}", ktype), T.StructField(f"distance_{k}", T.DoubleType())]
     schema = T.StructType(fields)
@@ -299,6 +306,8 @@ def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_
     def score(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         n = len(qdf)
         out = {"qid": qdf["qid"].to_numpy()}
+        for x in carry:
+            out[x] = qdf[f"carry_{x}"].to_numpy()
         keys = [pd.Series([None] * n, dtype=object) for _ in range(n_classes)]
         dists = [np.full(n, np.nan) for _ in range(n_classes)]
         if n and not cdf.empty:
