@@ -21,11 +21,9 @@ V_PII = """gw_pii AS (
   FROM events WHERE event_type = 'error')"""
 
 V_PAIRS = """gw_pairs AS (
-  SELECT conv_id, turn, prompt, response FROM (
-    SELECT conv_id, turn, role, text AS prompt,
-           lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-           lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response
-    FROM conversations) WHERE role = 'user' AND next_role = 'assistant')"""
+  SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 V_MESSAGES = """gw_messages AS (SELECT conv_id, turn, role, text AS content FROM conversations)"""
 

@@ -7,7 +7,7 @@ pruning reach the reader. The same definitions exist as SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CHAT_MODEL
@@ -59,14 +59,19 @@ def gw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt, response) pairs: a user turn directly followed by an assistant turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    conv = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"))
-    return conv.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        "conv_id", "turn", F.col("text").alias("prompt"), F.col("next_text").alias("response"))
+    """(prompt, response) pairs: a user turn directly followed by an assistant turn.
+
+    "Directly followed" is turn + 1, so the pairing is an equi-join on
+    (conv_id, turn): a conversation holding a large share of the rows is split
+    by AQE's skew-join handling instead of being sorted in one task (as a
+    window over the conversation would be).
+    """
+    conv = table(spark, sf_dir, "conversations")
+    users = conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("_next"))
+    replies = conv.where(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("_next"), F.col("text").alias("response"))
+    return users.join(replies, ["conv_id", "_next"]).select("conv_id", "turn", "prompt", "response")
 
 
 def vec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
