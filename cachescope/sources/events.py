@@ -40,13 +40,16 @@ def parse_event_time(s: Column | str) -> Column:
 
 
 def decode_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
-    """Stored JSON -> typed event rows; malformed rows are dropped silently."""
-    e = F.from_json(F.col(json_col), EVENT_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")
-    parsed = raw.select(e)
-    ok = F.col("e").isNotNull() & F.col("e.type").isNotNull()
-    return parsed.where(ok).select(
-        F.col("e.type").alias("type"), F.col("e.message").alias("message"),
-        F.coalesce(F.col("e.detail"), F.lit("")).alias("detail"),
-        F.col("e.timestamp").alias("timestamp"),
-        parse_event_time(F.col("e.timestamp")).alias("ts"),
-        F.coalesce(F.col("e.metadata"), F.create_map().cast("map<string,string>")).alias("metadata"))
+    """Stored JSON -> typed event rows; malformed rows are dropped silently.
+
+    ``inline(array(from_json(...)))`` parses each row once: a generator's
+    output columns cannot be inlined back into per-field ``from_json`` calls.
+    """
+    parsed = raw.select(F.inline(F.array(F.from_json(F.col(json_col), EVENT_SCHEMA,
+                                                     {"mode": "PERMISSIVE"}))))
+    return parsed.where(F.col("type").isNotNull()).select(
+        "type", "message",
+        F.coalesce(F.col("detail"), F.lit("")).alias("detail"),
+        "timestamp",
+        parse_event_time(F.col("timestamp")).alias("ts"),
+        F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")).alias("metadata"))
