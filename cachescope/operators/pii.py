@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.pii_patterns import cascade_text, entities_found, luhn_valid, patterns
 from ..functions.text import preview_chars
+from ..session import parallelism
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -26,8 +27,13 @@ def spread(df: DataFrame) -> DataFrame:
     single small file); a large scan is already split by the reader and is left
     untouched (no shuffle). Planning-only check, no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming:
+        return df
+    cores = parallelism(df.sparkSession)
+    try:
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as it is
         return df
     return df.repartition(cores)
 

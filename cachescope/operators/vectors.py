@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import parallelism
+
 CELL_BYTES = 256 << 20         # float64 vectors of one grid cell (both sides together)
 DIST_BYTES = 64 << 20          # distance block scored at once inside a cell
 DEFAULT_BLOCK_ROWS = None      # None: size blocks from CELL_BYTES and the dimension
@@ -57,7 +59,7 @@ def _block_counts(spark, n_q: int, n_c: int, block_rows: int | None,
     qb = max(1, math.ceil(n_q / (block_rows or side)))
     cb = max(1, math.ceil(n_c / (cache_block_rows or block_rows or side)))
     work_cells = math.ceil(n_q * n_c * max(dim, 1) / WORK_PER_CELL)
-    target = min(spark.sparkContext.defaultParallelism, max(1, work_cells))
+    target = min(parallelism(spark), max(1, work_cells))
     while qb * cb < target:
         grow_q = n_q / (qb + 1) >= MIN_BLOCK_ROWS
         grow_c = n_c / (cb + 1) >= MIN_BLOCK_ROWS

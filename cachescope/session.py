@@ -36,7 +36,16 @@ def local_session(app: str = "cachescope", cores: str = "*", shuffle_partitions:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the session (shuffle partitions where the context is
+    not reachable, e.g. a Spark Connect client)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the reliable checkpoint directory, setting it from the session.
 
     On a cluster the shared folder comes from ``spark.checkpoint.dir``. Only a
@@ -44,7 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder; a cluster session without it is an error, because a machine-local
     folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's own setting applies
+        return None
     current = sc.getCheckpointDir()
     if current:
         return current
