@@ -81,11 +81,9 @@ def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Stack vectors into a unit-normalised float64 matrix; mask of valid rows."""
     n = len(vectors)
     mat = np.zeros((n, dim), dtype=np.float64)
-    ok = np.zeros(n, dtype=bool)
-    for i, v in enumerate(vectors.to_numpy()):
-        if v is not None and len(v) == dim:
-            mat[i] = v
-            ok[i] = True
+    ok = (vectors.str.len().fillna(-1).to_numpy() == dim) if n else np.zeros(0, dtype=bool)
+    if ok.any():
+        mat[ok] = np.stack(vectors.to_numpy()[ok])
     norms = np.linalg.norm(mat, axis=1)
     ok &= norms > 0
     mat[ok] /= norms[ok, None]
