@@ -165,3 +165,20 @@ def test_processing_time_trigger(spark, scratch):
         assert spark.table("counters_t").first().total_requests == req.count()
     finally:
         q.stop()
+
+
+def test_two_writer_event_ring_stream(spark, scratch):
+    """Hit events and PII-block events from two streams feed one ring (O1 + T4)."""
+    req, glob = _requests_files(spark, scratch)
+    pii_log = src.gw_pii(spark, SF_SMALL)
+    pii_path = os.path.join(scratch, "pii")
+    pii_log.repartition(2).write.parquet(pii_path)
+    hits = tel.hit_events(sq.file_stream(spark, glob, req.schema, max_files=1))
+    blocks = tel.pii_block_events(sq.file_stream(spark, pii_path, pii_log.schema, max_files=1))
+    ring_path = os.path.join(scratch, "ring2")
+    _run(tel.all_events(hits, blocks), scratch, "ring2", "append", sink=sq.event_ring_sink(ring_path, 100))
+    got = [r.event_id for r in st.read_latest(spark, ring_path)
+           .orderBy(F.col("ts").desc(), F.col("event_id").desc()).collect()]
+    want = [r.event_id for r in tel.event_ring(tel.all_events(tel.hit_events(req),
+                                                              tel.pii_block_events(pii_log)), 100).collect()]
+    assert got == want
