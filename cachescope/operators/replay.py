@@ -155,10 +155,12 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
             cond &= F.col("ord") <= F.lit(hi)
         undecided = _ckpt(reps.where(cond))
         n_u = undecided.count()
+        slice_rounds = 0
         while n_u:
             rnd += 1
-            if rnd > max_rounds:
-                raise ReplayDidNotConverge(f"cache replay still open after {max_rounds} rounds")
+            slice_rounds += 1
+            if slice_rounds > max_rounds:
+                raise ReplayDidNotConverge(f"cache replay slice still open after {max_rounds} rounds")
             # One masked search per round over stored entries (class 0) and
             # undecided representatives (class 1), visible and earlier:
             #   a stored entry within tau                -> HIT

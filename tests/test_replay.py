@@ -142,3 +142,19 @@ def test_replay_hot_clique_resolves_fast(spark):
     first = int(min(hot))
     assert all(got[int(h)] == ("HIT", first) for h in hot if h != first)
     assert max(r["round"] for r in res) <= 3
+
+
+def test_replay_round_limit_raises(spark):
+    """A chain needs one round per link: the limit raises instead of a partial answer."""
+    from cachescope.operators.replay import ReplayDidNotConverge
+
+    # each vector is within tau of the previous one only
+    angles = np.arange(12) * 0.5
+    vecs = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(12)],
+                               "request_id long, embedding array<double>")
+    tau = 1 - np.cos(0.5) + 1e-9
+    with pytest.raises(ReplayDidNotConverge):
+        cache_replay(df, tau, max_rounds=2)
+    got = {r.id: r.outcome for r in cache_replay(df, tau, chunks=3).collect()}
+    assert got == {int(k): v[0] for k, v in sequential(vecs, tau).items()}
