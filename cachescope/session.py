@@ -24,6 +24,8 @@ def local_session(app: str = "cachescope", cores: str = "*", shuffle_partitions:
         # by a parameter.
         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
+        # Replay rounds checkpoint every step; drop the files once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
