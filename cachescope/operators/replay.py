@@ -8,14 +8,17 @@ lexicographically-first maximal independent set of the DAG of edges
 earlier -> later.
 
 It is computed in synchronous rounds (parallel greedy MIS; Blelloch, Fineman
-& Shun, SPAA 2012) without ever materialising the tau-graph: every round runs
-one order-masked nearest-neighbour search on the exact grid join of
-:mod:`cachescope.operators.vectors` against two candidate classes (stored
-entries, still-undecided storable requests), returning one row per request:
+& Shun, SPAA 2012) without ever materialising the tau-graph. Each round runs
+order-masked nearest-neighbour searches on the exact grid join of
+:mod:`cachescope.operators.vectors`, each returning one row per request:
 
 (a) a stored entry visible and within tau -> HIT;
-(b) otherwise, no undecided storable earlier request within tau -> decided
-    MISS (stored when storable); else it waits for the next round.
+(b) of the rest, no other undecided earlier request within tau -> decided
+    MISS (stored); else it waits for the next round.
+
+(``two_pass=False`` fuses (a) and (b) into one search over both candidate
+classes: one grid pass per round, but this round's hits still block, so it
+needs more rounds.)
 
 A group of near-identical prompts therefore never produces its pairs: in a
 clique the first request is stored in one round and all the others hit it in
@@ -91,7 +94,7 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
                  dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                 max_rounds: int = 200, chunks: int = 1) -> DataFrame:
+                 max_rounds: int = 200, chunks: int = 1, two_pass: bool = True) -> DataFrame:
     """Replay the cache over ``log``.
 
     ``order_col`` (default ``id_col``) is the arrival order; ``available_col``
@@ -161,23 +164,43 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
             slice_rounds += 1
             if slice_rounds > max_rounds:
                 raise ReplayDidNotConverge(f"cache replay slice still open after {max_rounds} rounds")
-            # One masked search per round over stored entries (class 0) and
-            # undecided representatives (class 1), visible and earlier:
-            #   a stored entry within tau                -> HIT
-            #   else no undecided one within tau          -> stored MISS
-            cands = stored.select("id", "vec", "ord", "avail", F.lit(0).alias("cls")).unionByName(
-                undecided.select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
-            hit = F.coalesce(F.col("distance_0") <= F.lit(threshold), F.lit(False))
-            blocked = F.coalesce(F.col("distance_1") <= F.lit(threshold), F.lit(False))
-            decide = F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")
-            kw = dict(query_id="id", query_vec="vec", cache_key="id", cache_vec="vec", order="ord",
-                      available="avail", dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
-            try:    # the grid hands the query columns back: no join to recover them
-                near = nearest_per_class(undecided, cands, "cls", 2, carry=("vec", "ord", "avail"), **kw)
-                step = _ckpt(near.select("id", "vec", "ord", "avail", decide))
-            except ValueError:
-                near = nearest_per_class(undecided, cands, "cls", 2, **kw)
-                step = _ckpt(undecided.join(near.select("id", decide), "id"))
+            if two_pass and n_stored:
+                # (a) a visible stored entry within tau settles a HIT ...
+                near = search(undecided, stored, n_u, n_stored)
+                hits = near.where(F.col("distance") <= F.lit(threshold)).select("id")
+                rest = _ckpt(undecided.join(hits, "id", "left_anti"))
+                n_rest = rest.count()
+                # (b) ... and only the rest can block each other.
+                blocked = (search(rest, rest, n_rest, n_rest)
+                           .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b"))
+                           if n_rest else None)
+                step = undecided.join(rest.select("id", F.lit(True).alias("_r")), "id", "left")
+                if blocked is not None:
+                    step = step.join(blocked, "id", "left")
+                else:
+                    step = step.withColumn("_b", F.lit(None).cast("boolean"))
+                step = _ckpt(step.select(
+                    "id", "vec", "ord", "avail",
+                    F.when(F.col("_r").isNull(), F.lit("HIT")).when(F.col("_b").isNull(), F.lit("MISS"))
+                    .alias("outcome")))
+            else:
+                # One masked search over stored entries (class 0) and undecided
+                # representatives (class 1), visible and earlier:
+                #   a stored entry within tau                -> HIT
+                #   else no undecided one within tau          -> stored MISS
+                cands = stored.select("id", "vec", "ord", "avail", F.lit(0).alias("cls")).unionByName(
+                    undecided.select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
+                hit = F.coalesce(F.col("distance_0") <= F.lit(threshold), F.lit(False))
+                blocked = F.coalesce(F.col("distance_1") <= F.lit(threshold), F.lit(False))
+                decide = F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")
+                kw = dict(query_id="id", query_vec="vec", cache_key="id", cache_vec="vec", order="ord",
+                          available="avail", dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
+                try:    # the grid hands the query columns back: no join to recover them
+                    near = nearest_per_class(undecided, cands, "cls", 2, carry=("vec", "ord", "avail"), **kw)
+                    step = _ckpt(near.select("id", "vec", "ord", "avail", decide))
+                except ValueError:
+                    near = nearest_per_class(undecided, cands, "cls", 2, **kw)
+                    step = _ckpt(undecided.join(near.select("id", decide), "id"))
             # Everything below is a filter of the checkpointed step: no new lineage.
             done = step.where(F.col("outcome").isNotNull())
             rounds.append(done.select("id", F.lit(rnd).alias("round")))

@@ -158,3 +158,12 @@ def test_replay_round_limit_raises(spark):
         cache_replay(df, tau, max_rounds=2)
     got = {r.id: r.outcome for r in cache_replay(df, tau, chunks=3).collect()}
     assert got == {int(k): v[0] for k, v in sequential(vecs, tau).items()}
+
+
+def test_replay_fused_rounds_equal(spark):
+    rng = np.random.default_rng(9)
+    vecs = _clustered(rng, 120, 6, 8, 0.4)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(120)],
+                               "request_id long, embedding array<double>")
+    fused = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, two_pass=False).collect()}
+    assert fused == {int(k): v for k, v in sequential(vecs, 0.3).items()}
