@@ -35,6 +35,8 @@ raises instead of returning a partial answer.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +96,17 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
                  dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                 max_rounds: int = 200, chunks: int = 1, two_pass: bool = True) -> DataFrame:
+                 max_rounds: int = 200, chunks: int | None = None,
+                 chunk_rows: int = 1_000_000, two_pass: bool = True) -> DataFrame:
     """Replay the cache over ``log``.
 
     ``order_col`` (default ``id_col``) is the arrival order; ``available_col``
     (optional) is when a stored entry becomes visible (arrival + response time),
     so a request only sees entries with ``available <= its order``.
+    The log is processed in ``chunks`` arrival-order slices (default: enough
+    for at most ``chunk_rows`` distinct storable requests per slice); earlier
+    slices' entries are a fixed cache for later ones, and the search among
+    undecided requests stays inside a slice.
     ``storable_col`` (optional boolean) marks requests whose response can be
     cached; a MISS that is not storable is not stored and so never serves a
     later hit (it only has no outgoing edges).
@@ -144,6 +151,10 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
     stored = spark.createDataFrame([], reps.schema)
     n_stored = 0
     rounds: list[DataFrame] = []
+    if chunks is None:
+        # Slices keep the undecided-vs-undecided search local: without them the
+        # first round would compare every request with every other one.
+        chunks = max(1, math.ceil(reps.count() / chunk_rows))
     if chunks > 1:
         cuts = reps.approxQuantile("ord", [i / chunks for i in range(1, chunks)], 0.001)
     else:

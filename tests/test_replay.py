@@ -167,3 +167,12 @@ def test_replay_fused_rounds_equal(spark):
                                "request_id long, embedding array<double>")
     fused = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, two_pass=False).collect()}
     assert fused == {int(k): v for k, v in sequential(vecs, 0.3).items()}
+
+
+def test_replay_automatic_slices(spark):
+    rng = np.random.default_rng(13)
+    vecs = _clustered(rng, 140, 6, 9, 0.4)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(140)],
+                               "request_id long, embedding array<double>")
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, chunk_rows=40).collect()}
+    assert got == {int(k): v for k, v in sequential(vecs, 0.3).items()}
