@@ -21,6 +21,7 @@ from ..operators import cache as cache_ops
 from ..operators import pii as pii_ops
 from ..operators import telemetry as tel
 from ..operators.replay import cache_replay
+from ..session import ensure_checkpoint_dir
 
 
 def replay_metrics(replayed: DataFrame, *, tokens_per_hit: int = config.TOKENS_PER_HIT,
@@ -66,6 +67,11 @@ def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "reques
         F.col(embedding).alias("embedding"),
         (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("ts"),
         (F.col(status).cast("int") if status else F.lit(200)).alias("status"))
+    # The request frame feeds the replay, the decision join and the matched-prompt
+    # join; materialise it once (reliable checkpoint) instead of recomputing its
+    # lineage (parsing, embedding) three times.
+    ensure_checkpoint_dir(base.sparkSession)
+    base = base.checkpoint(eager=True)
     # Only non-empty prompts with a vector are looked up; only those with a
     # non-blank response can be stored.
     lookable = base.where((F.col("prompt") != "") & (F.coalesce(F.size("embedding"), F.lit(0)) > 0))
