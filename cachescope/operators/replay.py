@@ -180,16 +180,12 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
                 near = search(undecided, stored, n_u, n_stored)
                 hits = near.where(F.col("distance") <= F.lit(threshold)).select("id")
                 rest = _ckpt(undecided.join(hits, "id", "left_anti"))
-                n_rest = rest.count()
-                # (b) ... and only the rest can block each other.
-                blocked = (search(rest, rest, n_rest, n_rest)
-                           .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b"))
-                           if n_rest else None)
-                step = undecided.join(rest.select("id", F.lit(True).alias("_r")), "id", "left")
-                if blocked is not None:
-                    step = step.join(blocked, "id", "left")
-                else:
-                    step = step.withColumn("_b", F.lit(None).cast("boolean"))
+                # (b) ... and only the rest can block each other (the grid is
+                # sized from the undecided count, an upper bound: no extra job).
+                blocked = (search(rest, rest, n_u, n_u)
+                           .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b")))
+                step = (undecided.join(rest.select("id", F.lit(True).alias("_r")), "id", "left")
+                        .join(blocked, "id", "left"))
                 step = _ckpt(step.select(
                     "id", "vec", "ord", "avail",
                     F.when(F.col("_r").isNull(), F.lit("HIT")).when(F.col("_b").isNull(), F.lit("MISS"))
