@@ -170,6 +170,7 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
         undecided = _ckpt(reps.where(cond))
         n_u = undecided.count()
         slice_rounds = 0
+        slice_done: list[DataFrame] = []
         while n_u:
             rnd += 1
             slice_rounds += 1
@@ -210,7 +211,7 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
                     step = _ckpt(undecided.join(near.select("id", decide), "id"))
             # Everything below is a filter of the checkpointed step: no new lineage.
             done = step.where(F.col("outcome").isNotNull())
-            rounds.append(done.select("id", F.lit(rnd).alias("round")))
+            slice_done.append(done.select("id", F.lit(rnd).alias("round")))
             stored = stored.unionByName(done.where(F.col("outcome") == "MISS").select(
                 "id", "vec", "ord", "avail"))
             tally = step.agg(F.count_if(F.col("outcome").isNull()).alias("open"),
@@ -218,6 +219,14 @@ def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id"
             n_stored += tally["new"]
             undecided = step.where(F.col("outcome").isNull()).drop("outcome")
             n_u = tally["open"]
+        # One checkpoint per slice keeps the plans of later slices small (no
+        # ever-growing union of per-round lineages).
+        if slice_done:
+            merged = slice_done[0]
+            for d in slice_done[1:]:
+                merged = merged.unionByName(d)
+            rounds.append(_ckpt(merged))
+            stored = _ckpt(stored)
     stored = _ckpt(stored)
     # Every request: nearest entry stored before it (an entry decided in a later
     # round may be earlier and nearer than the one that settled a hit).
