@@ -42,3 +42,17 @@ def test_timeline_filter_reaches_scan(spark):
     df = entry.queries()["timeline"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "DataFilters: [" in plan and "ts#" in plan.split("DataFilters: [", 1)[1].split("]")[0]
+
+
+@pytest.mark.parametrize("name", ["pii_redact", "pii_entities", "pii_events", "pii_counts"])
+def test_redaction_cascade_evaluated_once(spark, name):
+    """One regexp_replace per pattern in the whole plan: no copy of the cascade
+    pushed below the exchange by a filter or duplicated by projection collapse."""
+    plan = _plan(spark, name)
+    assert plan.count("<EMAIL_ADDRESS>, 1)") == 1, plan[:2000]
+    assert plan.count("<PHONE_NUMBER>, 1)") == 1
+
+
+@pytest.mark.parametrize("name", ["request_parse", "event_decode"])
+def test_json_parsed_once(spark, name):
+    assert _plan(spark, name).count("from_json(") == 1
