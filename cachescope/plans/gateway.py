@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..config import GatewayParams
 from ..functions.text import prompt_key, ws_trim
 from ..operators import cache as cache_ops
 from ..operators import pii as pii_ops
@@ -112,3 +113,21 @@ def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "reques
         prompt_key(stored_prompt).alias("key"), stored_prompt.alias("original_text"),
         ws_trim("response").alias("response_text"), F.col("seq").alias("seq"))
     return GatewayResult(outcomes=outcomes, events=events, cache=cache_ops.upsert(writes))
+
+
+def dashboard_tables(requests: DataFrame, pii_blocks: DataFrame, cache: DataFrame, *, as_of: str,
+                     params: GatewayParams | None = None) -> dict[str, DataFrame]:
+    """The dashboard snapshot as one result table per panel (no nested document):
+    metrics, event feed (hit and PII-block events), timeline, cache stats and
+    cache listing. Every panel is lazy; each is its own plan over the inputs."""
+    p = params or GatewayParams()
+    events = tel.all_events(tel.hit_events(requests), tel.pii_block_events(pii_blocks))
+    return {
+        "metrics": tel.metrics(requests, pii_blocks, as_of=as_of, gap=p.latency_gap,
+                               tokens_per_hit=p.tokens_per_hit, cost_per_token=p.cost_per_token),
+        "events": tel.event_feed(events.where(F.col("ts") <= F.lit(as_of).cast("timestamp_ntz")),
+                                 p.feed_limit, p.ring_size),
+        "timeline": tel.timeline(requests, as_of, p.timeline_minutes),
+        "cache_stats": cache_ops.stats(cache, dim=p.dim, threshold=p.threshold, model=p.model),
+        "cache_entries": cache_ops.list_entries(cache, p.list_limit, p.preview_chars),
+    }

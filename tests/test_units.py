@@ -451,3 +451,20 @@ def test_cache_lookup_enrichment(spark):
     assert (out[1].outcome, out[1].match_key, out[1].response) == ("HIT", "k1", "cached answer")
     assert out[2].outcome == "MISS" and out[2].matched_prompt is not None and out[2].response is None
     assert (out[3].outcome, out[3].distance, out[3].match_key) == ("MISS", 0.0, None)
+
+
+def test_dashboard_tables(spark):
+    from cachescope import GatewayParams
+    from cachescope.plans.gateway import dashboard_tables
+    from cachescope.sources import tables as src
+
+    from .conftest import SF_SMALL
+
+    cache_tbl = cache.upsert(cache.entries_from_pairs(src.gw_pairs(spark, SF_SMALL)))
+    panels = dashboard_tables(src.gw_requests(spark, SF_SMALL), src.gw_pii(spark, SF_SMALL), cache_tbl,
+                              as_of="2024-01-15 12:00:30", params=GatewayParams(threshold=0.62, dim=64))
+    assert set(panels) == {"metrics", "events", "timeline", "cache_stats", "cache_entries"}
+    assert panels["metrics"].count() == 1 and panels["timeline"].count() == 30
+    assert panels["events"].count() == 50
+    assert panels["cache_stats"].first().threshold == 0.62
+    assert 0 < panels["cache_entries"].count() <= 50
