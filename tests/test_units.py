@@ -468,3 +468,27 @@ def test_dashboard_tables(spark):
     assert panels["events"].count() == 50
     assert panels["cache_stats"].first().threshold == 0.62
     assert 0 < panels["cache_entries"].count() <= 50
+
+
+def test_prompt_key_property(spark):
+    """Key = 'prompt:' + sha256(strip_unicode_ws(lower(text)))[:32] on generated texts."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    # fixed values: Unicode White_Space code points (what the trim removes at both ends)
+    white_space = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+                   "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+    alphabet = st.sampled_from(list("abcXYZ019 éÉçÜß-?.") + list(white_space))
+    samples = []
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.text(alphabet=alphabet, max_size=12))
+    def collect(t):
+        samples.append(t)
+
+    collect()
+    df = spark.createDataFrame([(t,) for t in samples], "t string")
+    got = [r.k for r in df.select(prompt_key("t").alias("k")).collect()]
+    want = ["prompt:" + hashlib.sha256(t.lower().strip(white_space).encode()).hexdigest()[:32]
+            for t in samples]
+    assert got == want
