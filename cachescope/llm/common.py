@@ -74,3 +74,42 @@ def slices(texts: list[str], max_rows: int, max_chars: int):
         chars += len(t)
     if run:
         yield run
+
+
+#: Bits of the filters of ``maybe_in`` (8 MB): fixed, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def filter_of(keys: DataFrame, column: str):
+    """A Bloom filter of the 64-bit hashes in ``column``: an array of FILTER_BITS bits."""
+    import numpy as np
+
+    k = F.col(column)
+    places = F.explode(F.array(F.pmod(k, F.lit(FILTER_BITS)), F.pmod(F.shiftright(k, 31), F.lit(FILTER_BITS))))
+    got = (keys.select(places.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
+           .agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(p, 32)))")).alias("b"))
+           .toPandas())  # at most FILTER_BITS / 32 rows
+    words = np.zeros(FILTER_BITS // 32, dtype="u4")
+    words[got["w"].to_numpy("i8")] = got["b"].to_numpy("i8").astype("u4")
+    return words
+
+
+def passes(words, x):
+    """Which of the hashes ``x`` (signed 64-bit array) may be in the filter."""
+    hit = True
+    for p in (x % FILTER_BITS, (x >> 31) % FILTER_BITS):
+        hit = hit & (words[p >> 5] >> (p & 31).astype("u4") & 1).astype(bool)
+    return hit
+
+
+def maybe_in(h: Column, keys: DataFrame, column: str) -> Column:
+    """Whether a 64-bit hash may be among those in ``column`` of ``keys``.
+
+    Keeps wide rows that surely have no partner out of a shuffle. The filter has a fixed
+    size, so it is safe to send to every task; with very many keys it lets more rows
+    pass, and the join that follows decides anyway.
+    """
+    import pandas as pd
+
+    shared = keys.sparkSession.sparkContext.broadcast(filter_of(keys, column))
+    return F.pandas_udf(lambda s: pd.Series(passes(shared.value, s.to_numpy("i8"))), "boolean")(h)

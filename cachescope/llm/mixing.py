@@ -123,6 +123,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             .select(*cols, *OUT))
 
 
+def mixture(docs: DataFrame, **params) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs`` (also those named like an output)."""
+    away = {c: f"_own_{c}" for c in docs.columns if c in OUT}
+    moved = docs.withColumnsRenamed(away)
+    return emit(mix(moved, **params), moved.columns).withColumnsRenamed({v: k for k, v in away.items()})
+
+
 def emit(mixed: DataFrame, columns: Sequence[str], text: str = "text") -> DataFrame:
     """The mix itself: a row for every time a document is taken (documents never taken
     are gone). The last one is cut after the words that its budget leaves, and an

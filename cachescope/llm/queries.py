@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, rendezvous, token_files
-from .common import documents
+from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, pii_bootstrap, rendezvous, rule_ledger, token_files,
+               toxic_segments)
+from .common import documents, table
 
 #: File name of the tokenizer of operator 1; its folder is found through the tokenizer package.
 TOKENIZER = "word_bpe_49k.json"
@@ -37,12 +38,73 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_round_trip(docs, tokenizer_path(), END_ID)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return ngram_join.near_duplicates(docs).select("doc_id", "text_class", "n_copies", "n_links", "class_id")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    place = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", place.alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "license", F.round("cosine", 9).alias("cosine"), "line_no",
+                                       "scope", "inherited_from")
+
+
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     sharded = rendezvous.assign(docs, [1.0] * SHARDS, grown_weights=[1.0] * (SHARDS + 1), keep_text=False)
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.find(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
+
+
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_ledger.apply_policy(rule_ledger.ledger(documents(spark, sf_dir).select("doc_id", "text")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept", "fail_bits", "policy")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM words)
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT q) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY doc_id
+), measured AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, x -> length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+         coalesce(l.n_lines, 0) AS n_lines, length(regexp_replace(w.text, '[^0-9]', '', 'g')) AS n_digits,
+         length(regexp_replace(w.text, '[^A-Z]', '', 'g')) AS n_upper
+  FROM words w LEFT JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+), judged AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+    + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT
+    + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
+    + 64 * (100 * n_digits > 30 * word_chars)::BIGINT + 128 * (100 * n_upper > 50 * word_chars)::BIGINT AS fail_bits
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'web-2' AS policy
+FROM judged
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
@@ -107,14 +169,34 @@ SELECT doc_id, size, source_size, target,
 FROM cut
 """
 
+
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxic_segments.fit(docs, table(spark, sf_dir, "labels"))
+    return toxic_segments.score(docs, model).select(
+        "doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_license_scan": op3_license_scan,
     "op4_rendezvous_shards": op4_rendezvous_shards,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
+    "op6_rule_ledger": op6_rule_ledger,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxic_segments": op8_toxic_segments,
     "op9_mixing": op9_mixing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_rule_ledger": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_mixing": OP9_SQL,
 }

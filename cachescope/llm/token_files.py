@@ -47,8 +47,6 @@ CACHE_WORDS = 500_000
 #: Ids a reader checks and hands on at a time.
 READ_DOCS = 20_000
 
-SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-
 
 class WordEncoder(dict):
     """Text to id bytes through a tokenizer file: a dict of words seen that learns others."""
@@ -165,7 +163,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
     rows = docs.select(F.col(key).cast("long").alias("id"), body.alias("text")).withColumn(
         "h", F.xxhash64("text"))
     # A shard is a range of ids; equal ids may go apart, ordered by their text's hash.
-    rows = rows.repartitionByRange(shuffle_parts(spark), "id", "h").sortWithinPartitions("id", "h").drop("h")
+    rows = rows.repartitionByRange(shuffle_parts(spark), "id", "h").sortWithinPartitions("id", "h")
+    # a column of numbers and nulls would reach pandas as floats
+    rows = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -176,17 +176,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
         end = np.asarray([end_id], dtype=f"<u{width}").tobytes()
         files, n_docs, n_ids = None, 0, 0
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["id"]
+            texts, ids, none = batch["text"].tolist(), batch["id"].to_numpy("<i8"), batch["none"].to_numpy("u1")
             at = 0
             for run in _slices(texts, 256, 1 << 20):
                 files = files or [_Put(folder, f"{k}-{shard:05d}.bin") for k in ("ids", "docs", "nulls", "lengths")]
                 coded = enc.encode(run)
-                part = ids.iloc[at:at + len(run)]
+                part = slice(at, at + len(run))
                 at += len(run)
                 lengths = np.array([len(b) // width + 1 for b in coded], dtype="<i8")
                 files[0].write(b"".join([x for b in coded for x in (b, end)]))
-                files[1].write(part.fillna(0).to_numpy(dtype="<i8").tobytes())
-                files[2].write(part.isna().to_numpy(dtype="u1").tobytes())
+                files[1].write(ids[part].tobytes())
+                files[2].write(none[part].tobytes())
                 files[3].write(lengths.tobytes())
                 n_docs += len(run)
                 n_ids += int(lengths.sum())
@@ -239,10 +239,11 @@ def read_tokens(spark: SparkSession, folder: str, shards: list[tuple[int, int, i
                     cut = offsets[at:to + 1] - offsets[0]
                     crc = [zlib.crc32(np.asarray(ids[i:j], dtype="<u4")) for i, j in zip(cut[:-1], cut[1:])]
                     yield pd.DataFrame({
-                        "doc_id": pd.Series(keys[at:to], dtype="Int64").mask(none[at:to]),
-                        "start": offsets[at:to], "n_tokens": np.diff(cut), "ids_crc32": crc})
+                        "doc_id": keys[at:to], "none": none[at:to], "start": offsets[at:to], "n_tokens": np.diff(cut), "ids_crc32": crc})
 
-    return _per_shard(spark, shards).select("shard").mapInPandas(read, SCHEMA)
+    rows = _per_shard(spark, shards).select("shard").mapInPandas(
+        read, "doc_id long, none boolean, start long, n_tokens long, ids_crc32 long")
+    return rows.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def _slices(texts, max_rows, max_chars):

@@ -9,15 +9,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cachescope.llm import mixing, rendezvous
-from cachescope.llm.common import documents, written
+from cachescope.llm import decontaminate, mixing, ngram_join, rendezvous, toxic_segments
+from cachescope.llm.common import documents, table, written
 
 SHARDS = 16
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents judged toxic go."""
+    return toxic_segments.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of every group of copies and linked texts."""
+    return ngram_join.one_per_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last one of a source cut to its budget."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.mixture(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +41,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
