@@ -18,30 +18,44 @@ empty result; input columns named like an output column are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE
+from .common import ASCII_SPACE, written
+
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+def line_key(line: str) -> bytes:
+    """The UTF-8 bytes of a line's key (``bytes.lower`` changes A-Z alone)."""
+    return line.strip(ASCII_SPACE).encode("utf-8", "surrogatepass").lower()
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), _UPPER, _UPPER.lower())
+def _hasher(min_chars: int):
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([
+                [hashlib.md5(line_key(x)).digest() if len(x.strip(ASCII_SPACE)) >= min_chars else None
+                 for x in t.split("\n")] for t in batch], dtype=object)
 
+    return F.pandas_udf(hashes, "array<binary>")
 
-def _key_hashes(text: Column, min_chars: int) -> Column:
-    """Per line: md5 of its key, null where the key is shorter than ``min_chars``."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.when(
-        F.char_length(line_key(x)) >= min_chars, F.unhex(F.md5(F.encode(line_key(x), "utf-8")))))
+
+def hashed_lines(docs: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
+    """(_doc, _name, hashes): the hash of every line of every document, in order; null where
+    the key is shorter than ``min_chars``. Written once: counting and dropping read it."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    # Rows with one id and one text lose the same lines, so (id, text hash) names a row.
+    return written(docs.select(F.col(key).alias("_doc"), F.xxhash64(body).alias("_name"),
+                               _hasher(min_chars)(body).alias("hashes")), "lines")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
-                   key: str = "doc_id", text: str = "text") -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int = 3) -> DataFrame:
     """(hash, n_docs, keeper): keys found in at least ``min_docs`` documents, and the
     largest document id that holds each."""
-    held = docs.select(F.col(key).alias("_doc"), F.explode(F.array_distinct(
-        F.filter(_key_hashes(F.col(text), min_chars), lambda h: h.isNotNull()))).alias("hash"))
+    held = lines.select("_doc", F.explode(F.array_distinct(F.array_compact("hashes"))).alias("hash"))
     return (held.groupBy("hash")
             .agg(F.max("_doc").alias("keeper"), F.count_distinct("_doc").alias("n_ids"),
                  F.max(F.col("_doc").isNull().cast("int")).alias("n_null"))
@@ -55,21 +69,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     out = ("n_lines", "n_dropped")
     cols = [c for c in docs.columns if c not in out]
     docs = docs.select(*cols)
-    body = F.coalesce(F.col(text), F.lit(""))
-    # Rows with one id and one text lose the same lines, so (id, text hash) names a row.
-    named = docs.withColumn("_name", F.xxhash64(F.col(key).isNull(), F.col(key), body))
-    lines = (named.select(F.col(key).alias("_doc"), "_name",
-                          F.posexplode(_key_hashes(F.col(text), min_chars)).alias("_pos", "hash"))
-             .where(F.col("hash").isNotNull()))
-    doomed = (lines.join(frequent_lines(docs, min_docs, min_chars, key, text), "hash")
+    lines = hashed_lines(docs, min_chars, key, text)
+    doomed = (lines.select("_doc", "_name", F.posexplode("hashes").alias("_pos", "hash"))
+              .where(F.col("hash").isNotNull())
+              .join(frequent_lines(lines, min_docs), "hash")
               .where(~F.col("_doc").eqNullSafe(F.col("keeper")))
               .groupBy(F.col("_doc").alias("_id"), F.col("_name").alias("_of"))
               .agg(F.collect_set("_pos").alias("_drop")))
+    body = F.coalesce(F.col(text), F.lit(""))
     parts = F.split(body, "\n", -1)
     # array_except hashes its arguments: linear in the lines of a very long document
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
     kept = F.transform(left, lambda i: F.get(parts, i))
     cut = F.col("_drop").isNotNull()
+    named = docs.withColumn("_name", F.xxhash64(body))
     return (named.join(doomed, (F.col("_name") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_id")), "left")
             .withColumn("n_lines", F.size(parts).cast("bigint"))
             .withColumn("n_dropped", F.when(cut, F.size("_drop")).otherwise(0).cast("bigint"))
