@@ -30,7 +30,7 @@ def sse_text(body: Column | str) -> Column:
     lost at a read boundary."""
     lines = F.split(F.coalesce(_c(body), F.lit("")), "\n")
     data = F.filter(lines, lambda l: l.startswith(SSE_PREFIX))
-    payloads = F.filter(F.transform(data, lambda l: ws_trim(F.substring(l, len(SSE_PREFIX) + 1, 1 << 30))),
+    payloads = F.filter(F.transform(data, lambda l: ws_trim(F.substr(l, F.lit(len(SSE_PREFIX) + 1)))),
                         lambda p: p != SSE_DONE)
     parsed = F.transform(payloads, lambda p: F.from_json(p, CHOICES_SCHEMA))
     pieces = F.flatten(F.transform(

@@ -23,10 +23,15 @@ def ws_trim(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), WS_EDGES, "")
 
 
+def lower(text: Column | str) -> Column:
+    """Lower case letter by letter: the JVM alone would write a word-final sigma as 'ς'."""
+    return F.lower(F.translate(_c(text), "Σ", "σ"))
+
+
 def prompt_key(text: Column | str) -> Column:
     """Cache key of a prompt: 'prompt:' + first 16 bytes (32 hex) of SHA-256(trim(lower(text)))."""
     return F.concat(F.lit(config.KEY_PREFIX),
-                    F.left(F.sha2(ws_trim(F.lower(_c(text))), 256), F.lit(32)))
+                    F.left(F.sha2(ws_trim(lower(text)), 256), F.lit(32)))
 
 
 def preview_chars(text: Column | str, n: int, ellipsis: bool = True) -> Column:
@@ -56,8 +61,10 @@ def go_quote(text: Column | str) -> Column:
 
 
 def session_id_valid(session_id: Column | str) -> Column:
-    """8-4-4-4-12 hex UUID form, case-insensitive."""
-    return F.coalesce(_c(session_id).rlike("(?i)" + config.SESSION_ID_PATTERN), F.lit(False))
+    """8-4-4-4-12 hex UUID form, case-insensitive, and nothing after it: in Java ``$`` also
+    matches before a final line break, ``\\z`` does not."""
+    whole = config.SESSION_ID_PATTERN.removesuffix("$") + r"\z"
+    return F.coalesce(_c(session_id).rlike("(?i)" + whole), F.lit(False))
 
 
 def first_non_empty(*cols: Column | str) -> Column:

@@ -8,6 +8,7 @@ hot key is reduced map-side).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +58,7 @@ def list_entries(cache: DataFrame, limit: int = config.CACHE_LIST_LIMIT,
     dropped (so fewer than ``limit`` may come back). Preview and length are in
     characters (``unit='chars'``) or UTF-8 bytes (``unit='bytes'``, the
     gateway's Go listing)."""
-    if limit <= 0:
-        return cache.select("key").limit(0)
-    first = cache.select("key", "original_text", "response_text").orderBy("key").limit(limit)
+    first = cache.select("key", "original_text", "response_text").orderBy("key").limit(max(limit, 0))
     resp = F.coalesce(F.col("response_text"), F.lit(""))
     if unit == "bytes":
         shown, size = preview_bytes(resp, preview), F.octet_length(resp)
@@ -87,8 +86,10 @@ def purge(spark, path: str) -> int:
     """
     try:
         current = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing table holds nothing
-        return 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0  # a missing table holds nothing
     removed = current.count()
     if removed:
         spark.createDataFrame([], current.schema).write.mode("overwrite").parquet(path)

@@ -17,25 +17,6 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.pii_patterns import cascade_text, entities_found, luhn_valid, patterns
 from ..functions.text import preview_chars
-from ..session import parallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small input over all cores before CPU-heavy per-row work.
-
-    Only when the input has fewer partitions than the cluster has cores (a
-    single small file); a large scan is already split by the reader and is left
-    untouched (no shuffle). Planning-only check, no job.
-    """
-    if df.isStreaming:
-        return df
-    cores = parallelism(df.sparkSession)
-    try:
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the plan as it is
-        return df
-    return df.repartition(cores)
 
 
 def redact(df: DataFrame, text: str = "text", *, validate_cards: bool = False,
@@ -47,7 +28,7 @@ def redact(df: DataFrame, text: str = "text", *, validate_cards: bool = False,
     read it from there (the optimizer does not inline an expensive expression
     used twice), so each text goes through each pattern once.
     """
-    red = spread(df).select("*", cascade_text(F.col(text), validate_cards=validate_cards, extra=extra)
+    red = df.select("*", cascade_text(F.col(text), validate_cards=validate_cards, extra=extra)
                             .alias("_red"))
     ents = entities_found(F.col(text), F.col("_red"), extra)
     out = red.select(*df.columns, F.when(F.col(text).isNull(), F.col(text)).otherwise(F.col("_red"))
@@ -58,14 +39,14 @@ def redact(df: DataFrame, text: str = "text", *, validate_cards: bool = False,
 def match_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Matches of every entity pattern on the original text (independent counts)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return spread(df).select("*", *[F.size(F.regexp_extract_all(t, F.lit(p), 0)).cast("bigint")
+    return df.select("*", *[F.size(F.regexp_extract_all(t, F.lit(p), 0)).cast("bigint")
                             .alias(f"n_{e.lower()}") for e, p in patterns("java")])
 
 
 def card_checks(df: DataFrame, text: str = "text") -> DataFrame:
     """Card-like matches and how many pass the Luhn checksum."""
     cands = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(dict(patterns())["CREDIT_CARD"]), 0)
-    return spread(df).select("*", F.size(cands).cast("bigint").alias("n_card_candidates"),
+    return df.select("*", F.size(cands).cast("bigint").alias("n_card_candidates"),
                      F.size(F.filter(cands, luhn_valid)).cast("bigint").alias("n_card_valid"))
 
 
@@ -76,8 +57,7 @@ def block_events(redacted: DataFrame, *, key: str = "doc_id",
 
     Texts without PII are dropped by a filter on the generated entity column.
     A filter on the flags themselves (or the one Catalyst infers from an inner
-    ``explode``) would be pushed below the redaction and evaluate it twice,
-    once before the rows are spread over the cores."""
+    ``explode``) would be pushed below the redaction and evaluate it twice."""
     return redacted.select(
         key, *carry, F.explode_outer("entities").alias("entity"),
         F.concat(F.lit("[REDACTED] "), preview_chars("sanitized_text", preview, ellipsis=False))
@@ -142,4 +122,4 @@ def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pd.DataFrame(rows, columns=[key, "entity", "start", "end", "value"]).astype(
                 {"start": "int32", "end": "int32"})
 
-    return spread(df.select(key, text)).mapInPandas(scan, schema)
+    return df.select(key, text).mapInPandas(scan, schema)

@@ -16,237 +16,209 @@ order-masked nearest-neighbour searches on the exact grid join of
 (b) of the rest, no other undecided earlier request within tau -> decided
     MISS (stored); else it waits for the next round.
 
-(``two_pass=False`` fuses (a) and (b) into one search over both candidate
-classes: one grid pass per round, but this round's hits still block, so it
-needs more rounds.)
-
-A group of near-identical prompts therefore never produces its pairs: in a
-clique the first request is stored in one round and all the others hit it in
-the next. Exact copies are collapsed first (one representative per distinct
-vector, a combinable aggregation), and requests that cannot be stored do not
-take part: both are decided by one final order-masked lookup of every request
-against the stored set, the gateway's own per-request cost. Each round's step
-and the stored set are checkpointed to the reliable checkpoint directory (lineage cut, survives the
-loss of executors). With ``chunks > 1`` the log is processed in arrival-order
-slices, so later slices meet earlier entries as a fixed cache and the
-undecided-vs-undecided part of the search stays within a slice. A round limit
-raises instead of returning a partial answer.
+Every round decides at least the earliest open request, so the rounds end by
+themselves. A round reads Parquet and writes Parquet (in the shared checkpoint
+folder): its plan is the same size in every round, however long a chain of
+requests is, and a lost executor costs at most the round.
+
+Arrival order is (order, id), so requests that arrive together are decided in
+the order of their ids; both may be of any orderable type, since the order is
+turned into a rank by a range partitioning. Exact copies are collapsed first
+(one representative per distinct vector, a combinable aggregation), and
+requests that cannot be stored do not take part: both are decided by one final
+order-masked lookup of every request against the stored set, the gateway's own
+per-request cost. The log is processed in arrival-order slices of at most
+``slice_rows`` requests; later slices meet earlier entries as a fixed cache, so
+the search among undecided requests stays within a slice.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from .vectors import DEFAULT_BLOCK_ROWS, infer_dim, knn1, nearest_per_class
-
+from ..session import materialise, new_folder, written_to
+from .vectors import DEFAULT_BLOCK_ROWS, knn1
 
-class ReplayDidNotConverge(RuntimeError):
-    pass
+#: Bits of a rank that number the rows of one range partition.
+_ROW_BITS = 33
 
 
-def _ckpt(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+def _moment(df: DataFrame, name: str):
+    """A column as a number that compares exactly: integers and times as bigint."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(name))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(name)).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return F.col(name).cast("bigint")
+    return F.col(name).cast("double")
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 200
-                   ) -> DataFrame:
-    """Lexicographically-first MIS of a DAG given as an explicit (sparse) edge list.
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``ord, id``) with ``rank``, a bigint in the order of (ord, id).
 
-    ``nodes``: ``id``; ``edges``: ``src, dst`` with src earlier than dst.
-    Returns ``id, leader (bool), round``. Raises after ``max_rounds`` instead of
-    returning a partial answer.
+    Range partitions are in order and rows are numbered inside each, so the
+    number of a row follows its place; it is fixed by writing the result.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
-    undecided = _ckpt(nodes.select("id").distinct())
-    active = _ckpt(edges.select("src", "dst").distinct())
-    decided: list[DataFrame] = []
-    for rnd in range(1, max_rounds + 1):
-        u_src = undecided.select(F.col("id").alias("src"), F.lit(True).alias("src_undecided"))
-        flags = (active.join(u_src, "src", "left")
-                 .groupBy("dst")
-                 .agg(F.max(F.col("src_undecided").isNull()).alias("any_leader"),
-                      F.max(F.col("src_undecided").isNotNull()).alias("any_undecided")))
-        step = undecided.join(flags.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id",
-            F.when(F.coalesce("any_leader", F.lit(False)), F.lit("HIT"))
-            .when(~F.coalesce("any_undecided", F.lit(False)), F.lit("LEADER"))
-            .alias("state"))
-        step = _ckpt(step)
-        decided.append(step.where(F.col("state").isNotNull()).select(
-            "id", (F.col("state") == "LEADER").alias("leader"), F.lit(rnd).alias("round")))
-        undecided = _ckpt(step.where(F.col("state").isNull()).select("id"))
-        if undecided.isEmpty():
-            break
-        hits = step.where(F.col("state") == "HIT").select(F.col("id").alias("src"))
-        active = _ckpt(active.join(undecided.withColumnRenamed("id", "dst"), "dst", "left_semi")
-                       .join(hits, "src", "left_anti"))
-    else:
-        raise ReplayDidNotConverge(f"greedy leader selection still open after {max_rounds} rounds")
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartitionByRange(parts, "ord", "id").sortWithinPartitions("ord", "id")
+                       .drop("ord").withColumn("rank", F.monotonically_increasing_id()), "replay-log")
+
+
+def slice_bounds(sizes: dict[int, int], slice_rows: int) -> list[tuple[int, int]]:
+    """Rank intervals [lo, hi) of at most ``slice_rows`` rows, from the rows of each
+    range partition; whole partitions share a slice, a larger one is cut inside."""
+    out: list[tuple[int, int]] = []
+    lo, held = None, 0
+    for part in sorted(sizes):
+        start, n = part << _ROW_BITS, sizes[part]
+        if lo is not None and held + n > slice_rows:
+            out.append((lo, start))
+            lo, held = None, 0
+        if n > slice_rows:
+            out += [(start + k, start + min(k + slice_rows, n)) for k in range(0, n, slice_rows)]
+            continue
+        lo, held = (start if lo is None else lo), held + n
+        end = start + n
+    if lo is not None:
+        out.append((lo, end))
     return out
 
 
-def cache_replay(log: DataFrame, threshold: float, *, id_col: str = "request_id",
+def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "request_id",
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
-                 dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                 max_rounds: int = 200, chunks: int | None = None,
-                 chunk_rows: int = 1_000_000, two_pass: bool = True) -> DataFrame:
+                 key_col: str | None = None, initial: DataFrame | None = None,
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS,
+                 slice_rows: int = 1_000_000) -> DataFrame:
     """Replay the cache over ``log``.
 
-    ``order_col`` (default ``id_col``) is the arrival order; ``available_col``
-    (optional) is when a stored entry becomes visible (arrival + response time),
-    so a request only sees entries with ``available <= its order``.
-    The log is processed in ``chunks`` arrival-order slices (default: enough
-    for at most ``chunk_rows`` distinct storable requests per slice); earlier
-    slices' entries are a fixed cache for later ones, and the search among
-    undecided requests stays inside a slice.
-    ``storable_col`` (optional boolean) marks requests whose response can be
-    cached; a MISS that is not storable is not stored and so never serves a
-    later hit (it only has no outgoing edges).
+    ``order_col`` (default ``id_col``) is the arrival order, ties broken by the
+    id; ``available_col`` (optional, comparable with the order) is when a stored
+    entry becomes visible, so a request only sees entries with ``available <=``
+    its own order value. ``storable_col`` (optional boolean) marks requests whose
+    response can be cached. ``initial`` (``key, embedding``; keys of the type of
+    the ids) is a cache that is warm from the start. With ``key_col`` a key that
+    comes with two different vectors raises, since the second would overwrite
+    the first entry. Vectors of another dimension than ``dim`` never match.
+
     Returns ``id, outcome ('HIT'|'MISS'), stored, match_id, distance, round``;
-    match/distance are set on hits only.
+    match and distance are set on hits only, ``round`` on requests that took
+    part in the rounds (0 on all others).
     """
     spark = log.sparkSession
-    ensure_checkpoint_dir(spark)
     order_col = order_col or id_col
-    base = _ckpt(log.select(
-        F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-        F.col(order_col).cast("double").alias("ord"),
-        F.col(available_col or order_col).cast("double").alias("avail"),
-        (F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True))
-        .alias("storable")))
-    if dim is None:
-        dim = infer_dim(base, "vec")
-    id_type = base.schema["id"].dataType.simpleString()
-
-    # Only storable requests can be stored, and of several requests with the
-    # same vector only the first storable one can be: every later copy finds it
-    # (or the entry that made it a hit) at least as close. So the rounds run over
-    # one representative per distinct vector; the other requests never change
-    # anyone's outcome and are decided by the final lookup below. With a store
-    # delay a copy can arrive before its twin is visible, so there every
-    # storable request takes part.
-    storable_rows = base.where("storable")
-    if available_col is None:
-        reps = storable_rows.groupBy("vec").agg(
-            F.min_by(F.struct("id", "ord", "avail"), F.struct("ord", "id")).alias("r")).select(
-            F.col("r.id").alias("id"), "vec", F.col("r.ord").alias("ord"), F.col("r.avail").alias("avail"))
-    else:
-        reps = storable_rows.select("id", "vec", "ord", "avail")
-    reps = _ckpt(reps)
-
-    def search(queries, cands, n_q, n_c):
-        """Nearest visible earlier candidate within the masks, one row per query."""
+    rows = log.select(
+        F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(order_col).alias("ord"),
+        *([_moment(log, order_col).alias("at"), _moment(log, available_col).alias("avail")] if available_col else []),
+        *([F.col(key_col).alias("key")] if key_col else []),
+        (F.coalesce(F.col(storable_col), F.lit(False)) if storable_col else F.lit(True)).alias("storable"))
+    base = _ranked(rows)
+    if key_col:
+        twice = (base.where("storable").groupBy("key").agg(F.min("vec").alias("a"), F.max("vec").alias("b"))
+                 .where("a <> b").select("key").first())
+        if twice:
+            raise ValueError(f"key {twice['key']!r} comes with two different vectors")
+        base = base.drop("key")
+    timed = ["at", "avail"] if available_col else []
+    fields = ["id", "vec", "rank", *timed]
+
+    # Of several storable requests with one vector only the first can be stored: a later
+    # copy finds it, or the entry that made it a hit, at least as close. With a store
+    # delay a copy can arrive before its twin is visible, so there all take part.
+    reps = base.where("storable").select(*fields)
+    if not available_col:
+        reps = materialise(reps.groupBy("vec").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
+                           .select(*fields), "replay-reps")
+
+    def search(queries: DataFrame, cands: DataFrame, n_q: int, n_c: int) -> DataFrame:
+        """Nearest earlier visible candidate, one row per query."""
         return knn1(queries, cands, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
-                    order="ord", available="avail", dim=dim, block_rows=block_rows,
-                    counts=(n_q, n_c))
-
-    stored = spark.createDataFrame([], reps.schema)
-    n_stored = 0
-    rounds: list[DataFrame] = []
-    if chunks is None:
-        # Slices keep the undecided-vs-undecided search local: without them the
-        # first round would compare every request with every other one.
-        chunks = max(1, math.ceil(reps.count() / chunk_rows))
-    if chunks > 1:
-        cuts = reps.approxQuantile("ord", [i / chunks for i in range(1, chunks)], 0.001)
-    else:
-        cuts = []
-    bounds = [None] + sorted(set(cuts)) + [None]
+                    order="rank", arrival="at" if timed else None, available="avail" if timed else None,
+                    dim=dim, block_rows=block_rows, counts=(n_q, n_c))
+
+    known, n_stored = None, 0  # entries of earlier slices and of the warm cache
+    if initial is not None:
+        want, have = base.schema["id"].dataType, initial.schema["key"].dataType
+        if want != have:
+            raise ValueError(f"keys of the initial cache are {have.simpleString()}, ids are {want.simpleString()}")
+        least = {"at": _least(base, "at"), "avail": _least(base, "avail")} if timed else {}
+        known = materialise(initial.select(F.col("key").alias("id"), F.col("embedding").alias("vec"),
+                                           F.lit(-1).cast("bigint").alias("rank"),
+                                           *[least[c].alias(c) for c in timed]), "replay-cache")
+        n_stored = known.count()
+
+    step_schema = T.StructType([*reps.schema.fields, T.StructField("outcome", T.StringType()),
+                                T.StructField("round", T.IntegerType())])
+    sizes = {r["p"]: r["count"] for r in base.groupBy(F.shiftright("rank", _ROW_BITS).alias("p")).count().collect()}
+    steps: list[str] = []
     rnd = 0
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond &= F.col("ord") > F.lit(lo)
-        if hi is not None:
-            cond &= F.col("ord") <= F.lit(hi)
-        undecided = _ckpt(reps.where(cond))
-        n_u = undecided.count()
-        slice_rounds = 0
-        slice_done: list[DataFrame] = []
-        while n_u:
+    for lo, hi in slice_bounds(sizes, slice_rows):
+        open_ = reps.where((F.col("rank") >= lo) & (F.col("rank") < hi))
+        n_open, done = open_.count(), []
+        while n_open:
             rnd += 1
-            slice_rounds += 1
-            if slice_rounds > max_rounds:
-                raise ReplayDidNotConverge(f"cache replay slice still open after {max_rounds} rounds")
-            if two_pass and n_stored:
-                # (a) a visible stored entry within tau settles a HIT ...
-                near = search(undecided, stored, n_u, n_stored)
-                hits = near.where(F.col("distance") <= F.lit(threshold)).select("id")
-                rest = _ckpt(undecided.join(hits, "id", "left_anti"))
-                # (b) ... and only the rest can block each other (the grid is
-                # sized from the undecided count, an upper bound: no extra job).
-                blocked = (search(rest, rest, n_u, n_u)
-                           .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b")))
-                step = (undecided.join(rest.select("id", F.lit(True).alias("_r")), "id", "left")
-                        .join(blocked, "id", "left"))
-                step = _ckpt(step.select(
-                    "id", "vec", "ord", "avail",
-                    F.when(F.col("_r").isNull(), F.lit("HIT")).when(F.col("_b").isNull(), F.lit("MISS"))
-                    .alias("outcome")))
+            stored = _stored(spark, done, step_schema, fields, known)
+            if n_stored:
+                near = search(open_, stored, n_open, n_stored)
+                hits = near.where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_h"))
+                tested = materialise(open_.join(hits, "id", "left"), "replay-open")
+                rest = tested.where("_h is null").select(*fields)
             else:
-                # One masked search over stored entries (class 0) and undecided
-                # representatives (class 1), visible and earlier:
-                #   a stored entry within tau                -> HIT
-                #   else no undecided one within tau          -> stored MISS
-                cands = stored.select("id", "vec", "ord", "avail", F.lit(0).alias("cls")).unionByName(
-                    undecided.select("id", "vec", "ord", "avail", F.lit(1).alias("cls")))
-                hit = F.coalesce(F.col("distance_0") <= F.lit(threshold), F.lit(False))
-                blocked = F.coalesce(F.col("distance_1") <= F.lit(threshold), F.lit(False))
-                decide = F.when(hit, F.lit("HIT")).when(~blocked, F.lit("MISS")).alias("outcome")
-                kw = dict(query_id="id", query_vec="vec", cache_key="id", cache_vec="vec", order="ord",
-                          available="avail", dim=dim, block_rows=block_rows, counts=(n_u, n_stored + n_u))
-                try:    # the grid hands the query columns back: no join to recover them
-                    near = nearest_per_class(undecided, cands, "cls", 2, carry=("vec", "ord", "avail"), **kw)
-                    step = _ckpt(near.select("id", "vec", "ord", "avail", decide))
-                except ValueError:
-                    near = nearest_per_class(undecided, cands, "cls", 2, **kw)
-                    step = _ckpt(undecided.join(near.select("id", decide), "id"))
-            # Everything below is a filter of the checkpointed step: no new lineage.
-            done = step.where(F.col("outcome").isNotNull())
-            slice_done.append(done.select("id", F.lit(rnd).alias("round")))
-            stored = stored.unionByName(done.where(F.col("outcome") == "MISS").select(
-                "id", "vec", "ord", "avail"))
+                tested, rest = open_.withColumn("_h", F.lit(None).cast("boolean")), open_
+            blocked = (search(rest, rest, n_open, n_open)  # sized by an upper bound: no count of its own
+                       .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b")))
+            path = new_folder(spark, "replay-step")
+            step = written_to(tested.join(blocked, "id", "left").select(
+                *fields, F.when(F.col("_h"), F.lit("HIT")).when(F.col("_b").isNull(), F.lit("MISS")).alias("outcome"),
+                F.lit(rnd).alias("round")), path)
+            done.append(path)
             tally = step.agg(F.count_if(F.col("outcome").isNull()).alias("open"),
                              F.count_if(F.col("outcome") == "MISS").alias("new")).first()
             n_stored += tally["new"]
-            undecided = step.where(F.col("outcome").isNull()).drop("outcome")
-            n_u = tally["open"]
-        # One checkpoint per slice keeps the plans of later slices small (no
-        # ever-growing union of per-round lineages).
-        if slice_done:
-            merged = slice_done[0]
-            for d in slice_done[1:]:
-                merged = merged.unionByName(d)
-            rounds.append(_ckpt(merged))
-            stored = _ckpt(stored)
-    stored = _ckpt(stored)
-    # Every request: nearest entry stored before it (an entry decided in a later
-    # round may be earlier and nearer than the one that settled a hit).
-    n_all = base.count()
+            n_open = tally["open"]
+            open_ = step.where("outcome is null").select(*fields)
+        steps += done
+        if done:  # one table of entries for the next slices
+            known = materialise(_stored(spark, done, step_schema, fields, known), "replay-cache")
+
+    decided = (spark.read.schema(step_schema).parquet(*steps) if steps
+               else spark.createDataFrame([], step_schema)).where("outcome is not null")
     if n_stored:
-        best = search(base, stored, n_all, n_stored).select(
+        best = search(base.select(*fields), known, base.count(), n_stored).select(
             "id", F.col("match_key").alias("match_id"), "distance")
     else:
-        best = spark.createDataFrame([], f"id {id_type}, match_id {id_type}, distance double")
-    leaders = stored.select("id", F.lit(True).alias("stored"))
-    decided_round = (rounds[0] if rounds else spark.createDataFrame([], f"id {id_type}, round int"))
-    for r in rounds[1:]:
-        decided_round = decided_round.unionByName(r)
-    is_hit = F.col("distance").isNotNull() & (F.col("distance") <= F.lit(threshold)) & ~F.coalesce(
-        F.col("stored"), F.lit(False))
-    return (base.select("id").join(best, "id", "left").join(leaders, "id", "left")
-            .join(decided_round, "id", "left")
+        id_type = base.schema["id"].dataType
+        best = spark.createDataFrame([], T.StructType([
+            T.StructField("id", id_type), T.StructField("match_id", id_type), T.StructField("distance", T.DoubleType())]))
+    flags = decided.select("id", (F.col("outcome") == "MISS").alias("stored"), "round")
+    is_hit = (F.coalesce(F.col("distance") <= F.lit(threshold), F.lit(False))
+              & ~F.coalesce(F.col("stored"), F.lit(False)))
+    return (base.select("id").join(best, "id", "left").join(flags, "id", "left")
             .select("id",
                     F.when(is_hit, F.lit("HIT")).otherwise(F.lit("MISS")).alias("outcome"),
                     F.coalesce(F.col("stored"), F.lit(False)).alias("stored"),
                     F.when(is_hit, F.col("match_id")).alias("match_id"),
                     F.when(is_hit, F.col("distance")).alias("distance"),
                     F.coalesce(F.col("round"), F.lit(0)).alias("round")))
+
+
+def _least(df: DataFrame, name: str):
+    """A value no greater than any of a numeric column: visible from the start."""
+    kind = df.schema[name].dataType
+    return F.lit(float("-inf")) if isinstance(kind, T.DoubleType) else F.lit(-2**62).cast(kind)
+
+
+def _stored(spark, steps: list[str], schema: T.StructType, fields: list[str], known: DataFrame | None) -> DataFrame:
+    """Entries stored so far: those known at the start of the slice and the misses of its
+    rounds, which are one scan however many rounds there were."""
+    new = spark.read.schema(schema).parquet(*steps).where("outcome = 'MISS'").select(*fields) if steps else None
+    if new is None:
+        return known if known is not None else spark.createDataFrame(
+            [], T.StructType([f for f in schema.fields if f.name in fields]))
+    return new if known is None else known.select(*fields).unionByName(new)

@@ -13,7 +13,7 @@ both answered by one distributed grid join:
   (KNN) or only the pairs within tau — never the full pair matrix;
 * KNN winners of the cells are reduced with ``min(struct(distance, key))``
   (partial aggregation before the shuffle), which also gives the tie-break:
-  equal distances go to the smallest key.
+  equal distances (rounded to 12 digits) go to the smallest key.
 
 Nothing is collected to the driver; block sizes, not the data, bound the
 memory of a task. Vectors are compared in float64; rows whose vector has the
@@ -37,15 +37,10 @@ CELL_BYTES = 256 << 20         # float64 vectors of one grid cell (both sides to
 DIST_BYTES = 64 << 20          # distance block scored at once inside a cell
 DEFAULT_BLOCK_ROWS = None      # None: size blocks from CELL_BYTES and the dimension
 MIN_BLOCK_ROWS = 64
+DIGITS = 12                    # distances are rounded: ties and "<= tau" don't depend on the blocks
 WORK_PER_CELL = 2e8            # multiply-adds that justify a task of their own
 
 
-def infer_dim(df: DataFrame, vec: str) -> int:
-    """Dimension of the first non-empty vector (a one-row action)."""
-    row = df.select(F.size(vec).alias("d")).where(F.col("d") > 0).first()
-    return int(row["d"]) if row else 0
-
-
 def _block_counts(spark, n_q: int, n_c: int, block_rows: int | None,
                   cache_block_rows: int | None = None, dim: int = 768) -> tuple[int, int]:
     """Grid shape. Every query row is copied once per cache block and every
@@ -114,8 +109,8 @@ def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str
 
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
-         exclude_self: bool = False, order: str | None = None, available: str | None = None,
-         dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
+         dim: int, exclude_self: bool = False, order: str | None = None,
+         arrival: str | None = None, available: str | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
          cache_block_rows: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
@@ -124,16 +119,15 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
     whose key equals the query id (leave-one-out search of a table against
     itself). With ``order`` (numeric, on both sides) only candidates strictly
     earlier than the query count, and with ``available`` (cache side) only
-    those already visible at the query's order. ``counts`` = (queries, cache)
-    row counts when already known (saves two jobs).
+    those visible at the query's ``arrival`` (default: its order); the columns
+    are compared in their own types, so integers stay exact. ``dim`` is the
+    dimension: vectors of another one never match. ``counts`` = (queries,
+    cache) row counts when already known (saves two jobs).
     """
-    if dim is None:
-        dim = infer_dim(cache, cache_vec)
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
-    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
-    c_extra = ([F.col(order).cast("double").alias("cord"),
-                F.col(available or order).cast("double").alias("cavail")] if order else [])
+    q_extra = [F.col(order).alias("qord"), F.col(arrival or order).alias("qat")] if order else []
+    c_extra = [F.col(order).alias("cord"), F.col(available or order).alias("cavail")] if order else []
     q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
                            c_extra, block_rows, cache_block_rows, counts, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
@@ -152,18 +146,17 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
             cm = cm[cok]
             if order:
                 cord, cavail = cdf["cord"].to_numpy()[cok], cdf["cavail"].to_numpy()[cok]
-                qord = qdf["qord"].to_numpy()
+                qord, qat = qdf["qord"].to_numpy(), qdf["qat"].to_numpy()
             qids = qdf["qid"].to_numpy()
             step = _chunk_rows(len(ckeys))
             for lo in range(0, len(qdf) if len(ckeys) else 0, step):
                 hi = min(lo + step, len(qdf))
-                dist = 1.0 - qm[lo:hi] @ cm.T
+                dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
                 dist[~qok[lo:hi]] = np.inf
                 if exclude_self:
                     dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
                 if order:
-                    qo = qord[lo:hi, None]
-                    dist[~((cord[None, :] < qo) & (cavail[None, :] <= qo))] = np.inf
+                    dist[~((cord[None, :] < qord[lo:hi, None]) & (cavail[None, :] <= qat[lo:hi, None]))] = np.inf
                 best = np.argmin(dist, axis=1)
                 bd = dist[np.arange(hi - lo), best]
                 found = np.isfinite(bd)
@@ -188,8 +181,8 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
 def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
                  query_id: str = "query_id", query_vec: str = "embedding",
                  cache_key: str = "key", cache_vec: str = "embedding",
-                 order: str | None = None, available: str | None = None,
-                 exclude_self: bool = True, dim: int | None = None,
+                 dim: int, order: str | None = None, available: str | None = None,
+                 exclude_self: bool = True,
                  block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
                  ) -> DataFrame:
     """All (query, cache) pairs with cosine distance <= threshold.
@@ -199,15 +192,13 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
     requires ``available <= order`` of the query, i.e. the entry was already
     stored when the query arrived. Returns ``query_id, match_key, distance``.
     """
-    if dim is None:
-        dim = infer_dim(cache, cache_vec)
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
-    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
+    q_extra = [F.col(order).alias("qord")] if order else []
     c_extra = []
     if order:
-        c_extra.append(F.col(order).cast("double").alias("cord"))
-        c_extra.append(F.col(available or order).cast("double").alias("cavail"))
+        c_extra.append(F.col(order).alias("cord"))
+        c_extra.append(F.col(available or order).alias("cavail"))
     q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
                           c_extra, block_rows, cache_block_rows, None, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
@@ -223,7 +214,7 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
         step = _chunk_rows(len(cdf))
         for lo in range(0, len(qdf), step):
             hi = min(lo + step, len(qdf))
-            dist = 1.0 - qm[lo:hi] @ cm.T
+            dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
             keep = (dist <= threshold) & qok[lo:hi, None] & cok[None, :]
             if exclude_self:
                 keep &= qids[lo:hi, None] != ckeys[None, :]
@@ -267,97 +258,11 @@ def with_match(decided: DataFrame, cache: DataFrame, *, match: str = "match_key"
     return decided.join(right, match, "left")
 
 
-def nearest_per_class(queries: DataFrame, cache: DataFrame, cache_class: str, n_classes: int, *,
-                      query_id: str = "query_id", query_vec: str = "embedding",
-                      cache_key: str = "key", cache_vec: str = "embedding",
-                      order: str | None = None, available: str | None = None,
-                      dim: int | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                      cache_block_rows: int | None = None,
-                      counts: tuple[int, int] | None = None,
-                      carry: tuple[str, ...] = ()) -> DataFrame:
-    """:func:`knn1` for several candidate classes in one grid pass.
-
-    ``cache_class`` holds 0..n_classes-1; the result has one row per query with
-    ``match_key_<c>`` and ``distance_<c>`` for every class (nulls when the
-    class has no valid, visible candidate). Same masks and tie-break as knn1.
-    ``carry`` names query columns returned alongside (saves a join back), only
-    when the cache fits one block column (else they would need merging).
-    """
-    if dim is None:
-        dim = infer_dim(cache, cache_vec)
-    qtype = queries.schema[query_id].dataType
-    ktype = cache.schema[cache_key].dataType
-    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
-    q_extra += [F.col(x).alias(f"carry_{x}") for x in carry]
-    c_extra = [F.col(cache_class).cast("int").alias("ccls")]
-    if order:
-        c_extra += [F.col(order).cast("double").alias("cord"),
-                    F.col(available or order).cast("double").alias("cavail")]
-    q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                           c_extra, block_rows, cache_block_rows, counts, dim)
-    if carry and cb > 1:
-        raise ValueError("carry needs a cache that fits one block column")
-    fields = [T.StructField("qid", qtype)]
-    fields += [T.StructField(x, queries.schema[x].dataType) for x in carry]
-    for k in range(n_classes):
-        fields += [T.StructField(f"match_key_{k}", ktype), T.StructField(f"distance_{k}", T.DoubleType())]
-    schema = T.StructType(fields)
-
-    def score(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(qdf)
-        out = {"qid": qdf["qid"].to_numpy()}
-        for x in carry:
-            out[x] = qdf[f"carry_{x}"].to_numpy()
-        keys = [pd.Series([None] * n, dtype=object) for _ in range(n_classes)]
-        dists = [np.full(n, np.nan) for _ in range(n_classes)]
-        if n and not cdf.empty:
-            cdf = cdf.sort_values("ckey", kind="stable")
-            qm, qok = _matrix(qdf["qvec"], dim)
-            cm, cok = _matrix(cdf["cvec"], dim)
-            ckeys, ccls = cdf["ckey"].to_numpy(), cdf["ccls"].to_numpy()
-            step = _chunk_rows(len(cdf))
-            for lo in range(0, n, step):
-                hi = min(lo + step, n)
-                base = 1.0 - qm[lo:hi] @ cm.T
-                base[~qok[lo:hi]] = np.inf
-                base[:, ~cok] = np.inf
-                if order:
-                    qo = qdf["qord"].to_numpy()[lo:hi, None]
-                    base[~((cdf["cord"].to_numpy()[None, :] < qo)
-                           & (cdf["cavail"].to_numpy()[None, :] <= qo))] = np.inf
-                for k in range(n_classes):
-                    dist = np.where((ccls == k)[None, :], base, np.inf)
-                    best = np.argmin(dist, axis=1)
-                    bd = dist[np.arange(hi - lo), best]
-                    found = np.isfinite(bd)
-                    dists[k][lo:hi][found] = bd[found]
-                    keys[k].iloc[np.arange(lo, hi)[found]] = ckeys[best[found]]
-        for k in range(n_classes):
-            out[f"match_key_{k}"] = keys[k]
-            out[f"distance_{k}"] = dists[k]
-        return pd.DataFrame(out)
-
-    cells = (q.groupBy("qblock", "cblock")
-             .cogroup(c.groupBy("qblock", "cblock"))
-             .applyInPandas(score, schema))
-    for k in range(n_classes):
-        cells = cells.withColumn(f"distance_{k}", F.nanvl(f"distance_{k}", F.lit(None).cast("double")))
-    if cb > 1:
-        best = cells.groupBy("qid").agg(*[
-            F.min(F.when(F.col(f"match_key_{k}").isNotNull(),
-                         F.struct(f"distance_{k}", f"match_key_{k}"))).alias(f"b{k}")
-            for k in range(n_classes)])
-        cells = best.select("qid", *[x for k in range(n_classes) for x in (
-            F.col(f"b{k}.match_key_{k}").alias(f"match_key_{k}"),
-            F.col(f"b{k}.distance_{k}").alias(f"distance_{k}"))])
-    return cells.withColumnRenamed("qid", query_id)
-
-
 def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
                     query_id: str = "query_id", query_vec: str = "embedding",
                     cache_key: str = "key", cache_vec: str = "embedding",
-                    order: str | None = None, available: str | None = None,
-                    exclude_self: bool = True, dim: int | None = None,
+                    dim: int, order: str | None = None, available: str | None = None,
+                    exclude_self: bool = True,
                     block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
                     ) -> DataFrame:
     """Per query: how many candidates lie within ``threshold`` and the nearest
@@ -367,13 +272,11 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
     so a dense group of near-copies costs compute but never output rows.
     Returns ``query_id, n_within, match_key, distance``.
     """
-    if dim is None:
-        dim = infer_dim(cache, cache_vec)
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
-    q_extra = [F.col(order).cast("double").alias("qord")] if order else []
-    c_extra = ([F.col(order).cast("double").alias("cord"),
-                F.col(available or order).cast("double").alias("cavail")] if order else [])
+    q_extra = [F.col(order).alias("qord")] if order else []
+    c_extra = ([F.col(order).alias("cord"),
+                F.col(available or order).alias("cavail")] if order else [])
     q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
                           c_extra, block_rows, cache_block_rows, None, dim)
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("n_within", T.LongType()),
@@ -392,7 +295,7 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
             step = _chunk_rows(len(cdf))
             for lo in range(0, n, step):
                 hi = min(lo + step, n)
-                dist = 1.0 - qm[lo:hi] @ cm.T
+                dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
                 dist[~qok[lo:hi]] = np.inf
                 dist[:, ~cok] = np.inf
                 if exclude_self:
@@ -424,7 +327,7 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
 def cache_lookup(requests: DataFrame, cache: DataFrame, threshold: float, *,
                  request_id: str = "request_id", request_vec: str = "embedding",
                  cache_key: str = "key", cache_vec: str = "embedding",
-                 dim: int | None = None) -> DataFrame:
+                 dim: int) -> DataFrame:
     """The gateway's lookup for a batch of requests against a cache table.
 
     Nearest entry (only key and distance go through the grid), HIT when within

@@ -22,7 +22,7 @@ from ..operators import cache as cache_ops
 from ..operators import pii as pii_ops
 from ..operators import telemetry as tel
 from ..operators.replay import cache_replay
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 
 
 def replay_metrics(replayed: DataFrame, *, tokens_per_hit: int = config.TOKENS_PER_HIT,
@@ -52,7 +52,8 @@ class GatewayResult:
 
 def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "request_id",
                  order_col: str = "seq", prompt: str = "prompt", response: str = "response",
-                 embedding: str = "embedding", ts: str | None = None, status: str | None = None,
+                 dim: int, embedding: str = "embedding", initial: DataFrame | None = None,
+                 latency: str | None = None, available: str | None = None, ts: str | None = None, status: str | None = None,
                  cache_errors: bool = False, redact_before_cache: bool = False,
                  validate_cards: bool = False) -> GatewayResult:
     """Run a request log through the cache, in arrival order.
@@ -61,18 +62,23 @@ def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "reques
     + ``status`` of the upstream reply). Empty prompts are never looked up or
     stored (always a MISS). With ``status`` given, only 200 replies are cached
     unless ``cache_errors=True`` (the gateway also caches error bodies).
+    ``initial`` (``key, embedding, original_text``) is the cache left by an earlier
+    log; its keys have the type of the request ids. ``latency`` names the
+    milliseconds of a request, ``available`` when its entry becomes visible (in
+    units of the order). ``dim`` is the dimension of the vectors.
     """
     base = requests.select(
         F.col(id_col).alias("request_id"), F.col(order_col).alias("seq"),
         F.coalesce(F.col(prompt), F.lit("")).alias("prompt"), F.col(response).alias("response"),
         F.col(embedding).alias("embedding"),
         (F.col(ts) if ts else F.lit(None).cast("timestamp_ntz")).alias("ts"),
+        (F.col(latency).cast("bigint") if latency else F.lit(0).cast("bigint")).alias("latency_ms"),
+        *([F.col(available).alias("available")] if available else []),
         (F.col(status).cast("int") if status else F.lit(200)).alias("status"))
     # The request frame feeds the replay, the decision join and the matched-prompt
-    # join; materialise it once (reliable checkpoint) instead of recomputing its
-    # lineage (parsing, embedding) three times.
-    ensure_checkpoint_dir(base.sparkSession)
-    base = base.checkpoint(eager=True)
+    # join; write it once instead of recomputing its lineage (parsing, embedding)
+    # three times.
+    base = materialise(base, "gateway-requests")
     # Only non-empty prompts with a vector are looked up; only those with a
     # non-blank response can be stored.
     lookable = base.where((F.col("prompt") != "") & (F.coalesce(F.size("embedding"), F.lit(0)) > 0))
@@ -81,37 +87,39 @@ def gateway_flow(requests: DataFrame, threshold: float, *, id_col: str = "reques
         storable &= F.coalesce(F.col("status") == 200, F.lit(False))
     lookable = lookable.withColumn("storable", storable)
     replayed = cache_replay(lookable, threshold, id_col="request_id", vec_col="embedding",
-                            order_col="seq", storable_col="storable")
+                            order_col="seq", storable_col="storable", dim=dim,
+                            available_col="available" if available else None,
+                            initial=None if initial is None else initial.select("key", "embedding"))
+    replayed = materialise(replayed, "gateway-replay")  # read by every result below
     decided = base.join(replayed.withColumnRenamed("id", "request_id"), "request_id", "left").select(
-        "request_id", "seq", "ts", "prompt", "response",
+        "request_id", "seq", "ts", "latency_ms", "prompt", "response", "embedding",
         F.coalesce("outcome", F.lit("MISS")).alias("outcome"),
         F.coalesce("stored", F.lit(False)).alias("stored"), "match_id", "distance")
     matched = base.select(F.col("request_id").alias("match_id"), F.col("prompt").alias("matched_prompt"))
-    with_match = decided.join(matched, "match_id", "left")
-    # Misses reach the worker: their prompt (the last message) is scrubbed.
-    scrubbed = pii_ops.redact(with_match, "prompt", validate_cards=validate_cards)
-    miss = F.col("outcome") == "MISS"
-    outcomes = scrubbed.select(
+    if initial is not None:
+        matched = matched.unionByName(initial.select(F.col("key").alias("match_id"),
+                                                     F.col("original_text").alias("matched_prompt")))
+    # Hits are answered from the cache; only misses reach the worker, which scrubs
+    # their prompt (the last message).
+    hits = (decided.where(F.col("outcome") == "HIT").join(matched, "match_id", "left")
+            .withColumn("sanitized_text", F.col("prompt")).withColumn("has_pii", F.lit(False))
+            .withColumn("entities", F.array().cast("array<string>")))
+    scrubbed = pii_ops.redact(decided.where(F.col("outcome") == "MISS"), "prompt", validate_cards=validate_cards)
+    both = hits.unionByName(scrubbed, allowMissingColumns=True)
+    outcomes = both.select(
         "request_id", "seq", "ts", F.col("outcome").alias("cache"), "match_id", "matched_prompt",
-        F.when(~miss, F.col("distance")).alias("similarity"),
-        (miss & F.col("has_pii")).alias("pii_detected"),
-        F.when(miss, F.concat_ws(",", "entities")).otherwise(F.lit("")).alias("pii_entities"),
-        F.when(miss, F.col("sanitized_text")).otherwise(F.col("prompt")).alias("forwarded_prompt"),
-        "stored", "prompt", "response")
-    hits = outcomes.where(~miss).select(
-        "request_id", "ts", F.lit("HIT").alias("outcome"), F.lit(0).cast("bigint").alias("latency_ms"),
-        F.col("similarity").alias("distance"), "matched_prompt")
-    pii_rows = scrubbed.select(
-        F.col("request_id").alias("doc_id"), "ts", "sanitized_text",
-        F.when(miss, F.col("entities")).otherwise(F.array().cast("array<string>")).alias("entities"))
-    pii_ev = pii_ops.block_events(pii_rows, key="doc_id", carry=("ts",)).select(
-        F.col("doc_id").alias("event_id"), "ts", "entity", "message")
-    events = tel.all_events(tel.hit_events(hits, matched_prompt="matched_prompt"),
+        F.when(F.col("outcome") == "HIT", F.col("distance")).alias("similarity"),
+        F.col("has_pii").alias("pii_detected"), F.concat_ws(",", "entities").alias("pii_entities"),
+        F.col("sanitized_text").alias("forwarded_prompt"), "latency_ms", "stored", "prompt", "response", "embedding")
+    hit_rows = hits.select("request_id", "ts", F.lit("HIT").alias("outcome"), "latency_ms", "distance", "matched_prompt")
+    pii_ev = pii_ops.block_events(scrubbed, key="request_id", carry=("ts",)).select(
+        F.col("request_id").alias("event_id"), "ts", "entity", "message")
+    events = tel.all_events(tel.hit_events(hit_rows, matched_prompt="matched_prompt"),
                             tel.pii_block_events(pii_ev))
     stored_prompt = F.col("forwarded_prompt") if redact_before_cache else F.col("prompt")
     writes = outcomes.where("stored").select(
         prompt_key(stored_prompt).alias("key"), stored_prompt.alias("original_text"),
-        ws_trim("response").alias("response_text"), F.col("seq").alias("seq"))
+        ws_trim("response").alias("response_text"), "embedding", F.col("seq").alias("seq"))
     return GatewayResult(outcomes=outcomes, events=events, cache=cache_ops.upsert(writes))
 
 

@@ -27,6 +27,8 @@ from ..sources import requests as reqs
 from ..sources import tables as src
 
 # Parameters of the registered queries (see FIXTURES.md).
+#: Dimension of the test vectors and of the hashed test embedder.
+DIM = 64
 METRICS_AS_OF = "2024-01-31 00:00:00"
 TIMELINE_AS_OF = "2024-01-15 12:00:30"
 RUN_GAP = "30 minutes"
@@ -110,7 +112,7 @@ def _nearest_other(spark, sf_dir):
     """Every embedding looked up against all the others (leave-one-out KNN-1)."""
     log = src.vec_log(spark, sf_dir)
     return vec.knn1(log, log, query_id="vec_id", query_vec="embedding", cache_key="vec_id",
-                    cache_vec="embedding", exclude_self=True)
+                    cache_vec="embedding", exclude_self=True, dim=DIM)
 
 
 @register("knn1")
@@ -135,14 +137,14 @@ def q_near_misses(spark, sf_dir):
 def q_neighbor_pairs(spark, sf_dir):
     log = src.vec_log(spark, sf_dir)
     p = vec.pairs_within(log, log, TAU, query_id="vec_id", query_vec="embedding",
-                         cache_key="vec_id", cache_vec="embedding", order="vec_id")
+                         cache_key="vec_id", cache_vec="embedding", order="vec_id", dim=DIM)
     return p.select(F.col("match_key").alias("src_id"), F.col("vec_id").alias("dst_id"),
                     _r("distance", 4))
 
 
 @register("cache_replay")
 def q_cache_replay(spark, sf_dir):
-    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, id_col="vec_id")
+    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, dim=DIM, id_col="vec_id")
     return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
 
 
@@ -218,7 +220,7 @@ def q_cache_list(spark, sf_dir):
 
 @register("cache_stats")
 def q_cache_stats(spark, sf_dir):
-    return cache.stats(_cache_table(spark, sf_dir), dim=64, threshold=TAU)
+    return cache.stats(_cache_table(spark, sf_dir), dim=DIM, threshold=TAU)
 
 
 # ---------------------------------------------------------------- bodies and events
@@ -309,25 +311,31 @@ def q_pii_spans(spark, sf_dir):
 # ---------------------------------------------------------------- composite flows
 @register("replay_metrics")
 def q_replay_metrics(spark, sf_dir):
-    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, id_col="vec_id")
+    r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, dim=DIM, id_col="vec_id")
     m = gw.replay_metrics(r)
     return m.select("total_requests", "cache_hits", "cache_misses", "entries_stored", "tokens_saved",
                     _r("estimated_cost_saved", 6), _r("cache_hit_rate", 6))
 
 
+def _request_id():
+    """Conversation and turn as one id, whatever their lengths."""
+    return F.concat_ws("-", "conv_id", "turn")
+
+
 GATEWAY_TAU = config.DISTANCE_THRESHOLD
 
 
 def gateway_requests(spark, sf_dir):
     """Requests of the gateway flow: every (prompt, reply) pair in conversation
     order, prompts embedded by the deterministic hashed test embedder."""
-    pairs = src.gw_pairs(spark, sf_dir).withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
-    return emb.hashed_embedder(pairs, "prompt", "embedding", dim=64)
+    pairs = src.gw_pairs(spark, sf_dir).select("*", _request_id().alias("request_id"),
+                                                        F.struct("conv_id", "turn").alias("seq"))
+    return emb.hashed_embedder(pairs, "prompt", "embedding", dim=DIM)
 
 
 @register("gateway_flow")
 def q_gateway_flow(spark, sf_dir):
-    res = gw.gateway_flow(gateway_requests(spark, sf_dir), GATEWAY_TAU, id_col="seq", order_col="seq")
+    res = gw.gateway_flow(gateway_requests(spark, sf_dir), GATEWAY_TAU, dim=DIM)
     return res.outcomes.select("request_id", "cache", "match_id", _r("similarity", 4), "pii_detected",
                                "pii_entities", "stored")
 
@@ -336,7 +344,7 @@ def q_gateway_flow(spark, sf_dir):
 def q_neighbor_counts(spark, sf_dir):
     log = src.vec_log(spark, sf_dir)
     c = vec.neighbor_counts(log, log, TAU, query_id="vec_id", query_vec="embedding",
-                            cache_key="vec_id", cache_vec="embedding", order="vec_id")
+                            cache_key="vec_id", cache_vec="embedding", order="vec_id", dim=DIM)
     return c.select("vec_id", "n_within", F.col("match_key").alias("nearest_id"), _r("distance", 4))
 
 
@@ -345,10 +353,10 @@ def q_cache_lookup(spark, sf_dir):
     """Every user message looked up against the cache built from the prompt/reply
     pairs (hashed test embedder, gateway threshold)."""
     entries = cache.upsert(cache.entries_from_pairs(src.gw_pairs(spark, sf_dir)))
-    entries = emb.hashed_embedder(entries, "original_text", "embedding", dim=64)
+    entries = emb.hashed_embedder(entries, "original_text", "embedding", dim=DIM)
     users = src.gw_messages(spark, sf_dir).where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("content"))
-    users = emb.hashed_embedder(users, "content", "embedding", dim=64)
-    out = vec.cache_lookup(users, entries, GATEWAY_TAU, request_id="request_id", cache_key="key", dim=64)
+        _request_id().alias("request_id"), F.col("content"))
+    users = emb.hashed_embedder(users, "content", "embedding", dim=DIM)
+    out = vec.cache_lookup(users, entries, GATEWAY_TAU, request_id="request_id", cache_key="key", dim=DIM)
     return out.select("request_id", "outcome", _r("distance", 4), "match_key", "matched_prompt",
                       F.length("response").cast("bigint").alias("response_chars"))

@@ -4,8 +4,9 @@ checkpoint directory for iterative jobs."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "cachescope", cores: str = "*", shuffle_partitions: int = 8,
@@ -72,3 +73,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         raise RuntimeError(
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/...) before running iterative jobs")
     return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name of its own in the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back, so
+    that plans stay small and the rows survive the executors that computed them."""
+    return written_to(df, new_folder(df.sparkSession, name))

@@ -5,7 +5,7 @@ batch functions applied to a streaming DataFrame. Stateful ones use Spark's
 own state: tumbling windows with a watermark (the minute buckets and their
 2-hour TTL), session windows (activity runs), a global streaming aggregation
 (counters). Order-dependent or table-rewriting ones (cache lookup + store,
-event ring, session state) run in ``foreachBatch`` against versioned tables
+event ring, session state) run in ``foreachBatch`` against per-batch tables
 (:mod:`cachescope.streaming.tables`), reusing the batch operators on each
 micro-batch.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.timefmt import minute_bucket
+from ..functions.timefmt import interval_seconds, minute_bucket
 from ..operators import cache as cache_ops
 from ..operators import pii as pii_ops
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
-from ..operators import vectors as vec
 from ..operators.replay import cache_replay
+from ..session import materialise
 from . import tables
 
 
@@ -86,12 +86,14 @@ def latency_runs(requests: DataFrame, gap: str = config.LATENCY_IDLE_GAP,
     gap. The state per run is two numbers (count, sum), not rows. Without
     ``keys`` (the gateway's single global counter) every event meets in one
     state partition; pass tenant keys to spread the stream."""
+    # Spark merges sessions that touch; a request exactly one gap later starts a new run.
+    short = f"{interval_seconds(gap) * 1_000_000 - 1} microseconds"
     grouping = [F.col(k) for k in keys] or [F.col("ts").isNotNull().alias("_all")]
     agg = (_event_time(requests).withWatermark("ts", gap)
-           .groupBy(*grouping, F.session_window("ts", gap).alias("s"))
+           .groupBy(*grouping, F.session_window("ts", short).alias("s"))
            .agg(F.count(F.lit(1)).alias("n_requests"), F.sum("latency_ms").alias("sum_latency_ms")))
     return agg.select(*keys, F.col("s.start").cast("timestamp_ntz").alias("run_start"),
-                      F.col("s.end").cast("timestamp_ntz").alias("window_end"),
+                      (F.col("s.end") + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp_ntz").alias("window_end"),
                       F.col("n_requests").cast("bigint").alias("n_requests"),
                       F.col("sum_latency_ms").cast("bigint").alias("sum_latency_ms"),
                       (F.col("sum_latency_ms") / F.col("n_requests")).alias("avg_latency_ms"))
@@ -120,84 +122,46 @@ def redaction(messages: DataFrame, text: str = "text", **kw) -> DataFrame:
 
 # ------------------------------------------------------------ T4 event ring
 def event_ring_sink(ring_path: str, size: int = config.EVENT_RING_SIZE) -> Callable:
-    """T4: keep the newest ``size`` events: old ring + batch -> top-size -> new version."""
+    """T4: keep the newest ``size`` events: the ring before this batch and the batch
+    make the ring of this batch, a small table of its own."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         events = batch.select(*tel.EVENT_COLUMNS)
-        old = tables.read_latest(spark, ring_path)
-        both = events if old is None else old.select(*tel.EVENT_COLUMNS).unionByName(events)
-        tables.write_version(tel.newest_events(both, size), ring_path, batch_id)
+        old = tables.read_newest(batch.sparkSession, ring_path, events.schema, before=batch_id)
+        tables.append(tel.newest_events(old.unionByName(events), size), ring_path, batch_id)
 
     return sink
 
 
+def read_ring(spark, ring_path: str, schema) -> DataFrame:
+    return tables.read_newest(spark, ring_path, schema)
+
+
 # ------------------------------------------------------------ T5 / T6 cache lookup + store
-def cache_lookup_sink(cache_path: str, out_path: str, threshold: float, *, id_col: str = "request_id",
-                      vec_col: str = "embedding", order_col: str | None = None,
-                      dim: int | None = None) -> Callable:
-    """T5+T6: each micro-batch is looked up against the current cache snapshot,
-    requests missing it are replayed in arrival order inside the batch (R1), and
-    the batch's new entries are stored as the next cache version.
-
-    The cache table holds ``id, vec`` and is append-only (one directory per
-    batch; vectors are a function of the key, so an entry is never replaced);
-    outcomes go to ``out_path/batch=<id>``. Both are overwritten when a batch is
-    retried, so the sink is idempotent.
+def cache_lookup_sink(cache_path: str, out_path: str, threshold: float, *, dim: int,
+                      id_col: str = "request_id", vec_col: str = "embedding",
+                      order_col: str | None = None, compact_every: int = 50) -> Callable:
+    """T5+T6: each micro-batch is replayed in arrival order against the cache as the
+    batches before it left it (R1 with a warm cache), and its new entries are stored.
+
+    The cache table holds ``key, embedding``; outcomes go to ``out_path``. Both are
+    keyed by the batch, and the snapshot ends before it, so a retried batch repeats
+    its result whatever its first attempt had written. Every ``compact_every`` batches
+    the cache is written as one copy, so that lookups don't read ever more tiny files.
     """
-    order_col = order_col or id_col
-
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        reqs = batch.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-                            F.col(order_col).alias("ord"))
-        if reqs.isEmpty():
+        if batch.isEmpty():
             return
-        snap = tables.read_all(spark, cache_path, f"id {reqs.schema['id'].dataType.simpleString()}, "
-                               f"vec {reqs.schema['vec'].dataType.simpleString()}")
-        if not snap.isEmpty():
-            nn = vec.knn1(reqs, snap, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
-                          dim=dim).select("id", F.col("match_key").alias("snap_match"),
-                                          F.col("distance").alias("snap_dist"))
-            nn = nn.withColumn("snap_hit", F.col("snap_match").isNotNull()
-                               & (F.col("snap_dist") <= F.lit(threshold)))
-        else:
-            nn = reqs.select("id", F.lit(None).cast(reqs.schema["id"].dataType).alias("snap_match"),
-                             F.lit(None).cast("double").alias("snap_dist"), F.lit(False).alias("snap_hit"))
-        nn = nn.checkpoint(eager=True)
-        rest = reqs.join(nn.where(~F.col("snap_hit")).select("id"), "id", "left_semi")
-        if rest.isEmpty():
-            inner = spark.createDataFrame([], "id long, outcome string, stored boolean, match_id long, "
-                                          "distance double, round int")
-        else:
-            inner = cache_replay(rest, threshold, id_col="id", vec_col="vec", order_col="ord", dim=dim)
-        joined = nn.join(inner, "id", "left")
-        # A snapshot hit may still have an earlier leader of this batch that is nearer.
-        leaders = inner.where("stored").select(F.col("id").alias("lid"))
-        lvec = reqs.join(leaders.withColumnRenamed("lid", "id"), "id", "left_semi")
-        snap_hits = reqs.join(nn.where("snap_hit").select("id"), "id", "left_semi")
-        closer = None
-        if not lvec.isEmpty() and not snap_hits.isEmpty():
-            closer = vec.pairs_within(snap_hits, lvec.withColumnRenamed("id", "lid"), threshold,
-                                      query_id="id", query_vec="vec", cache_key="lid", cache_vec="vec",
-                                      order="ord", exclude_self=False, dim=dim)
-            closer = closer.groupBy("id").agg(F.min(F.struct("distance", "match_key")).alias("c"))
-        out = joined
-        if closer is not None:
-            out = out.join(closer, "id", "left")
-        else:
-            out = out.withColumn("c", F.lit(None).cast("struct<distance:double,match_key:long>"))
-        snap_best = F.struct(F.col("snap_dist").alias("distance"), F.col("snap_match").alias("match_key"))
-        best = F.least(snap_best, F.col("c"))
-        result = out.select(
-            F.col("id").alias(id_col),
-            F.when(F.col("snap_hit"), F.lit("HIT")).otherwise(F.col("outcome")).alias("outcome"),
-            F.when(F.col("snap_hit"), best["match_key"]).otherwise(F.col("match_id")).alias("match_id"),
-            F.when(F.col("snap_hit"), best["distance"]).otherwise(F.col("distance")).alias("distance"),
-            F.lit(batch_id).alias("batch_id"))
-        result.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id:012d}")
-        new_entries = reqs.join(leaders.withColumnRenamed("lid", "id"), "id", "left_semi").select("id", "vec")
-        tables.append_batch(new_entries, cache_path, batch_id)
+        spark = batch.sparkSession
+        reqs = batch.select(F.col(id_col).alias("key"), F.col(vec_col).alias("embedding"))
+        snapshot = tables.read(spark, cache_path, reqs.schema, before=batch_id)
+        done = materialise(cache_replay(batch, threshold, dim=dim, id_col=id_col, vec_col=vec_col, order_col=order_col,
+                                        initial=snapshot), "lookup")
+        tables.append(done.select(F.col("id").alias(id_col), "outcome", "match_id", "distance"), out_path, batch_id)
+        new = done.where("stored").select(F.col("id").alias("key"))
+        tables.append(reqs.join(new, "key", "left_semi"), cache_path, batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            tables.compact(spark, cache_path, reqs.schema, batch_id)
 
     return sink
 
@@ -212,14 +176,13 @@ def session_log_sink(log_path: str) -> Callable:
     latest row, TTL applied at read time (:func:`load_sessions`)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        tables.append_batch(batch.select("session_id", "updated_at", "op", "payload", "model"),
-                            log_path, batch_id)
+        tables.append(batch.select("session_id", "updated_at", "op", "payload", "model"), log_path, batch_id)
 
     return sink
 
 
 def load_sessions(spark, log_path: str, requested: DataFrame, as_of: str, **kw) -> DataFrame:
-    return sess.load(requested, tables.read_all(spark, log_path, SESSION_LOG_SCHEMA), as_of, **kw)
+    return sess.load(requested, tables.read(spark, log_path, SESSION_LOG_SCHEMA), as_of, **kw)
 
 
 def cache_upsert_sink(log_path: str) -> Callable:
@@ -228,12 +191,12 @@ def cache_upsert_sink(log_path: str) -> Callable:
     table is the latest write per key, resolved when read (:func:`read_cache`)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        tables.append_batch(batch, log_path, batch_id)
+        tables.append(batch, log_path, batch_id)
 
     return sink
 
 
-def read_cache(spark, log_path: str, schema: str) -> DataFrame:
+def read_cache(spark, log_path: str, schema) -> DataFrame:
     """The cache table behind :func:`cache_upsert_sink`: latest write per key
     (``max_by``, combinable, so a hot key is reduced map-side)."""
-    return cache_ops.upsert(tables.read_all(spark, log_path, schema))
+    return cache_ops.upsert(tables.read(spark, log_path, schema))

@@ -1,78 +1,69 @@
-"""Versioned Parquet tables for ``foreachBatch`` sinks.
-
-Parquet has no in-place update, so a sink that rewrites a small table (event
-ring, cache, session state) writes a complete new version under
-``<path>/v=<batch id>`` and readers take the highest version. Writing the
-same batch id again overwrites the same version, which makes the sinks
-idempotent when a micro-batch is retried after a failure. Versions are listed
-with the Hadoop FileSystem of the path, so this works on any shared storage.
+"""Tables that ``foreachBatch`` sinks append to and read back.
+
+A sink writes its rows under ``<path>/full=0/batch=<id>``, overwriting what an
+earlier attempt of the same batch left there, and reads with an explicit
+``before=<id>``: only the folders of earlier batches, which are complete, since
+a stream starts a batch after the sink returned for the one before. A batch that is
+retried - also after it had written everything - therefore sees what its first
+attempt saw and writes the same rows again. ``compact`` writes the whole table as
+of a batch under ``full=1``; readers start from the newest such copy and add the
+later batches. Nothing is ever deleted, so readers of any age keep working.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PREFIX = "v="
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
+def _schema(schema) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(PREFIX) and fs.exists(
-                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[len(PREFIX):]))
-    return sorted(out)
 
+def append(df: DataFrame, path: str, batch_id: int, full: bool = False) -> None:
+    """Write the rows of a batch, in place of those of an earlier attempt."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/full={int(full)}/batch={batch_id}")
 
-def version_path(path: str, version: int) -> str:
-    return f"{path.rstrip('/')}/{PREFIX}{version:012d}"
 
-
-def read_latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The newest complete version, or an empty frame of ``schema`` (None when
-    no schema is given and nothing was written yet)."""
-    vs = versions(spark, path)
-    if vs:
-        return spark.read.parquet(version_path(path, vs[-1]))
-    if schema is None:
+def _all(spark: SparkSession, path: str, schema: T.StructType, before: int | None) -> DataFrame | None:
+    parts = T.StructType([*schema.fields, T.StructField("full", T.IntegerType()), T.StructField("batch", T.LongType())])
+    try:
+        rows = spark.read.schema(parts).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.createDataFrame([], schema)
-
-
-def write_version(df: DataFrame, path: str, version: int, keep: int = 3) -> None:
-    """Write ``df`` as version ``version`` (overwrite = idempotent) and drop all
-    but the newest ``keep`` versions."""
-    df.write.mode("overwrite").parquet(version_path(path, version))
-    spark = df.sparkSession
-    vs = versions(spark, path)
-    fs, _ = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    for v in vs[:-keep] if keep > 0 else []:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(version_path(path, v)), True)
+    return rows if before is None else rows.where(F.col("batch") < before)
 
 
-# Append-only tables: one directory per micro-batch, read as a whole.
-BATCH = "batch="
-
-
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write the batch's rows under ``<path>/batch=<id>`` (overwrite: a retried
-    batch replaces its own rows, never duplicates them)."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}{batch_id:012d}")
+def read(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """All rows of the batches before ``before`` (default: of all batches)."""
+    schema = _schema(schema)
+    rows = _all(spark, path, schema, before)
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    base = rows.where("full = 1").agg(F.max("batch")).first()[0]
+    own = F.col("full") == 0
+    if base is not None:
+        own = (own & (F.col("batch") > base)) | ((F.col("full") == 1) & (F.col("batch") == base))
+    return rows.where(own).select(*schema.names)
+
+
+def read_newest(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """The rows of the newest batch before ``before``, for tables whose every batch is whole."""
+    schema = _schema(schema)
+    rows = _all(spark, path, schema, before)
+    newest = None if rows is None else rows.agg(F.max("batch")).first()[0]
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return rows.where(F.col("batch") == newest).select(*schema.names)
 
 
-def read_all(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p) or len(fs.listStatus(p)) == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).drop("batch")
+def compact(spark: SparkSession, path: str, schema, batch_id: int) -> None:
+    """Write the table up to and with ``batch_id`` as one copy."""
+    schema = _schema(schema)
+    before = read(spark, path, schema, batch_id)
+    own = _all(spark, path, schema, None).where((F.col("full") == 0) & (F.col("batch") == batch_id)).select(*schema.names)
+    append(before.unionByName(own), path, batch_id, full=True)

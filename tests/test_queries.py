@@ -4,11 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from cachescope.plans.crosscheck import compare, duckdb_with_tables
+from cachescope.plans.oracle import SQL
+from cachescope.plans.queries import REGISTRY
 
 from .conftest import SF_SMALL
 
-SQL = entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,9 +16,10 @@ def con():
 
 
 def test_every_query_has_sql_or_is_marked():
-    rows_only = set(entry.queries()) - set(SQL)
+    rows_only = set(REGISTRY) - set(SQL)
+    assert set(REGISTRY) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert rows_only <= {"pii_spans", "gateway_flow", "cache_lookup"}
-    assert set(SQL) <= set(entry.queries())
+    assert set(SQL) <= set(REGISTRY)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -27,7 +28,7 @@ def test_query_matches_sql(spark, con, name):
     assert compare(df, con, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SQL)))
 def test_rows_only_queries_run(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     assert df.count() > 0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cachescope.operators.replay import cache_replay, greedy_leaders
+from cachescope.operators.replay import cache_replay, slice_bounds
 from cachescope.plans.gateway import gateway_flow, replay_metrics
 
 
@@ -43,7 +43,7 @@ def test_replay_equals_sequential(spark, seed, tau):
     df = spark.createDataFrame([(int(i), int(perm[i]), vecs[i].tolist()) for i in range(150)],
                                "request_id long, arrival long, embedding array<double>")
     got = {r.id: (r.outcome, r.match_id)
-           for r in cache_replay(df, tau, order_col="arrival", block_rows=64).collect()}
+           for r in cache_replay(df, tau, dim=6, order_col="arrival", block_rows=64).collect()}
     want = sequential(vecs, tau, order=perm)
     assert got == {int(k): v for k, v in want.items()}
 
@@ -57,7 +57,7 @@ def test_replay_store_delay(spark):
     df = spark.createDataFrame([(i, int(order[i]), int(avail[i]), vecs[i].tolist()) for i in range(n)],
                                "request_id long, t long, visible long, embedding array<double>")
     got = {r.id: (r.outcome, r.match_id)
-           for r in cache_replay(df, 0.3, order_col="t", available_col="visible").collect()}
+           for r in cache_replay(df, 0.3, dim=5, order_col="t", available_col="visible").collect()}
     assert got == {int(k): v for k, v in sequential(vecs, 0.3, avail=avail, order=order).items()}
 
 
@@ -68,7 +68,7 @@ def test_replay_not_storable(spark):
     storable = rng.random(n) > 0.3
     df = spark.createDataFrame([(i, bool(storable[i]), vecs[i].tolist()) for i in range(n)],
                                "request_id long, ok boolean, embedding array<double>")
-    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, storable_col="ok").collect()}
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, dim=5, storable_col="ok").collect()}
     assert got == {int(k): v for k, v in sequential(vecs, 0.3, storable=storable).items()}
 
 
@@ -76,55 +76,38 @@ def test_replay_edge_cases(spark):
     same = [1.0, 2.0, 3.0]
     df = spark.createDataFrame([(1, same), (2, same), (3, [3.0, -2.0, 0.0])],
                                "request_id long, embedding array<double>")
-    got = {r.id: (r.outcome, r.match_id, r.distance) for r in cache_replay(df, 0.15).collect()}
+    got = {r.id: (r.outcome, r.match_id, r.distance) for r in cache_replay(df, 0.15, dim=3).collect()}
     assert got[1] == ("MISS", None, None)
     assert got[2][:2] == ("HIT", 1) and abs(got[2][2]) < 1e-12   # same prompt again: hit at 0
     assert got[3][0] == "MISS"
-    m = replay_metrics(cache_replay(df, 0.15)).first()
+    m = replay_metrics(cache_replay(df, 0.15, dim=3)).first()
     assert (m.total_requests, m.cache_hits, m.entries_stored, m.tokens_saved) == (3, 1, 2, 1500)
 
 
-def test_greedy_leaders_chain(spark):
-    nodes = spark.range(1, 7)
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "src long, dst long")
-    got = {r.id: r.leader for r in greedy_leaders(nodes, edges).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
-
-
 def test_gateway_flow_small(spark):
-    rows = [(1, "What is semantic caching?", "A cache keyed by meaning.", [1.0, 0.0, 0.0]),
-            (2, "what is semantic caching? ", "dup", [0.99, 0.05, 0.0]),
-            (3, "My email is john.doe@company.com — summarize GDPR.", "GDPR is ...", [0.0, 1.0, 0.0]),
+    rows = [(1, "How do tides work?", "The moon pulls the sea.", [1.0, 0.0, 0.0]),
+            (2, "how do tides work? ", "dup", [0.99, 0.05, 0.0]),
+            (3, "My email is mira.solano@post.example — sum up the tax form.", "It asks ...", [0.0, 1.0, 0.0]),
             (4, "", "empty prompt", [0.0, 0.0, 1.0]),
             (5, "blank reply", "   ", [0.0, 0.0, 1.0]),
             (6, "after blank", "r", [0.0, 0.01, 1.0])]
     df = spark.createDataFrame(rows, "seq long, prompt string, response string, embedding array<float>")
-    res = gateway_flow(df, 0.15, id_col="seq", order_col="seq")
+    res = gateway_flow(df, 0.15, dim=3, id_col="seq", order_col="seq")
     out = {r.request_id: r for r in res.outcomes.collect()}
     assert out[1].cache == "MISS" and out[1].stored
     assert out[2].cache == "HIT" and out[2].match_id == 1 and not out[2].pii_detected
     assert out[3].cache == "MISS" and out[3].pii_detected and out[3].pii_entities == "EMAIL_ADDRESS"
-    assert out[3].forwarded_prompt == "My email is <EMAIL_ADDRESS> — summarize GDPR."
+    assert out[3].forwarded_prompt == "My email is <EMAIL_ADDRESS> — sum up the tax form."
     assert out[4].cache == "MISS" and not out[4].stored
     assert out[5].cache == "MISS" and not out[5].stored          # blank response is not cached
     assert out[6].cache == "MISS" and out[6].stored              # so 6 cannot hit 5
     cache_rows = {r.original_text for r in res.cache.collect()}
-    assert cache_rows == {"What is semantic caching?", "My email is john.doe@company.com — summarize GDPR.",
+    assert cache_rows == {"How do tides work?", "My email is mira.solano@post.example — sum up the tax form.",
                           "after blank"}
     types = sorted(r.type for r in res.events.collect())
     assert types == ["cache_hit", "pii_blocked"]
     hit_ev = res.events.where(F.col("type") == "cache_hit").first()
-    assert hit_ev.detail.startswith('Matched: "What is semantic caching?"')
-
-
-def test_replay_chunks_equal_single_pass(spark):
-    rng = np.random.default_rng(21)
-    vecs = _clustered(rng, 160, 6, 8, 0.4)
-    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(160)],
-                               "request_id long, embedding array<double>")
-    one = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3).collect()}
-    four = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, chunks=4).collect()}
-    assert one == four == {int(k): v for k, v in sequential(vecs, 0.3).items()}
+    assert hit_ev.detail.startswith('Matched: "How do tides work?"')
 
 
 def test_replay_hot_clique_resolves_fast(spark):
@@ -136,7 +119,7 @@ def test_replay_hot_clique_resolves_fast(spark):
     vecs[hot] = vecs[hot[0]]
     df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(n)],
                                "request_id long, embedding array<double>")
-    res = cache_replay(df, 0.05).collect()
+    res = cache_replay(df, 0.05, dim=8).collect()
     got = {r.id: (r.outcome, r.match_id) for r in res}
     assert got == {int(k): v for k, v in sequential(vecs, 0.05).items()}
     first = int(min(hot))
@@ -144,35 +127,85 @@ def test_replay_hot_clique_resolves_fast(spark):
     assert max(r["round"] for r in res) <= 3
 
 
-def test_replay_round_limit_raises(spark):
-    """A chain needs one round per link: the limit raises instead of a partial answer."""
-    from cachescope.operators.replay import ReplayDidNotConverge
-
-    # each vector is within tau of the previous one only
-    angles = np.arange(12) * 0.5
-    vecs = np.stack([np.cos(angles), np.sin(angles)], axis=1)
-    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(12)],
-                               "request_id long, embedding array<double>")
-    tau = 1 - np.cos(0.5) + 1e-9
-    with pytest.raises(ReplayDidNotConverge):
-        cache_replay(df, tau, max_rounds=2)
-    got = {r.id: r.outcome for r in cache_replay(df, tau, chunks=3).collect()}
-    assert got == {int(k): v[0] for k, v in sequential(vecs, tau).items()}
+def _links(n):
+    """Vectors of which each is within tau of its neighbours only, and that tau."""
+    vecs = np.zeros((n, n + 1))
+    for k in range(n):  # neighbours share one axis: cosine 1/2
+        vecs[k, k:k + 2] = 1.0
+    return vecs, 0.5 + 1e-9
 
 
-def test_replay_fused_rounds_equal(spark):
-    rng = np.random.default_rng(9)
-    vecs = _clustered(rng, 120, 6, 8, 0.4)
-    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(120)],
+def test_long_chain_in_one_slice(spark):
+    """A chain settles a few requests per round; the plan of a round does not grow with it."""
+    vecs, tau = _links(60)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(60)],
                                "request_id long, embedding array<double>")
-    fused = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, two_pass=False).collect()}
-    assert fused == {int(k): v for k, v in sequential(vecs, 0.3).items()}
+    res = cache_replay(df, tau, dim=vecs.shape[1]).collect()
+    assert {r.id: r.outcome for r in res} == {int(k): v[0] for k, v in sequential(vecs, tau).items()}
+    assert max(r["round"] for r in res) >= 20
 
 
-def test_replay_automatic_slices(spark):
+def test_slices_equal_one_pass(spark):
     rng = np.random.default_rng(13)
     vecs = _clustered(rng, 140, 6, 9, 0.4)
     df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(140)],
                                "request_id long, embedding array<double>")
-    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, chunk_rows=40).collect()}
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, dim=6, slice_rows=25).collect()}
     assert got == {int(k): v for k, v in sequential(vecs, 0.3).items()}
+
+
+def test_slice_bounds():
+    sizes = {0: 3, 2: 4, 5: 25, 6: 1}
+    bounds = slice_bounds(sizes, 10)
+    ranks = [(p << 33) + k for p in sizes for k in range(sizes[p])]
+    held = [[r for r in ranks if lo <= r < hi] for lo, hi in bounds]
+    assert sum(held, []) == ranks and max(map(len, held)) <= 10
+
+
+def test_equal_arrival_is_decided_by_id(spark):
+    rng = np.random.default_rng(7)
+    vecs = _clustered(rng, 80, 5, 6, 0.3)
+    when = np.arange(80) // 8
+    df = spark.createDataFrame([(i, int(when[i]), vecs[i].tolist()) for i in range(80)],
+                               "request_id long, t long, embedding array<double>")
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, dim=5, order_col="t").collect()}
+    assert got == {int(k): v for k, v in sequential(vecs, 0.3, order=np.arange(80)).items()}
+
+
+def test_large_and_other_orders(spark):
+    """Orders beyond 2^53, times and structs; string ids."""
+    vecs = [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0]]
+    big = 2**53
+    df = spark.createDataFrame([(f"r{i}", big + i, v) for i, v in enumerate(vecs)], "request_id string, o long, embedding array<double>")
+    df = df.withColumn("ts", F.timestamp_micros(F.col("o") - big).cast("timestamp_ntz")).withColumn("st", F.struct(F.lit(1), "o"))
+    for order in ("o", "ts", "st"):
+        got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.1, dim=2, order_col=order).collect()}
+        assert got == {"r0": ("MISS", None), "r1": ("HIT", "r0"), "r2": ("MISS", None)}
+
+
+def test_warm_cache(spark):
+    rng = np.random.default_rng(31)
+    vecs = _clustered(rng, 120, 6, 9, 0.4)
+    df = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(120)], "request_id long, embedding array<double>")
+    whole = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.3, dim=6).collect()}
+    first = cache_replay(df.where("request_id < 60"), 0.3, dim=6)
+    warm = df.join(first.where("stored").select(F.col("id").alias("request_id")), "request_id").select(
+        F.col("request_id").alias("key"), "embedding")
+    rest = {r.id: (r.outcome, r.match_id) for r in cache_replay(
+        df.where("request_id >= 60"), 0.3, dim=6, initial=warm).collect()}
+    assert rest == {k: v for k, v in whole.items() if k >= 60}
+    with pytest.raises(ValueError):
+        cache_replay(df, 0.3, dim=6, initial=warm.withColumn("key", F.col("key").cast("string")))
+
+
+def test_two_vectors_of_one_key_raise(spark):
+    df = spark.createDataFrame([(1, "k", [1.0, 0.0]), (2, "k", [0.0, 1.0])], "request_id long, key string, embedding array<double>")
+    with pytest.raises(ValueError, match="two different vectors"):
+        cache_replay(df, 0.1, dim=2, key_col="key")
+
+
+def test_empty_log_and_vectors_of_another_dimension(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "request_id long, embedding array<double>")
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.1, dim=2).collect()}
+    assert got[3] == ("HIT", 2) and got[1] == ("MISS", None)
+    assert cache_replay(df.limit(0), 0.1, dim=2).collect() == []

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cachescope.operators import pii, replay
@@ -84,7 +85,7 @@ def test_event_ring_sink_keeps_newest(spark, scratch):
     stream = sq.file_stream(spark, glob, req.schema, max_files=1)
     ring_path = os.path.join(scratch, "ring")
     _run(tel.hit_events(stream), scratch, "ring", "append", sink=sq.event_ring_sink(ring_path, 100))
-    got = [r.event_id for r in st.read_latest(spark, ring_path)
+    got = [r.event_id for r in sq.read_ring(spark, ring_path, _ring_schema(spark))
            .orderBy(F.col("ts").desc(), F.col("event_id").desc()).collect()]
     want = [r.event_id for r in tel.event_ring(tel.hit_events(req), 100).collect()]
     assert got == want
@@ -105,12 +106,76 @@ def test_cache_lookup_sink_equals_batch_replay(spark, scratch):
     stream = sq.file_stream(spark, os.path.join(path, "p*"), log.schema, max_files=1)
     out = os.path.join(scratch, "out")
     cache_path = os.path.join(scratch, "cache")
-    _run(stream, scratch, "lookup", "append", sink=sq.cache_lookup_sink(cache_path, out, tau))
+    _run(stream, scratch, "lookup", "append", sink=sq.cache_lookup_sink(cache_path, out, tau, dim=8, compact_every=2))
     got = {r.request_id: (r.outcome, r.match_id) for r in spark.read.parquet(out).collect()}
     want = {r.id: (r.outcome, r.match_id)
-            for r in replay.cache_replay(log, tau, id_col="request_id").collect()}
+            for r in replay.cache_replay(log, tau, dim=8, id_col="request_id").collect()}
     assert got == want
-    assert spark.read.parquet(cache_path).count() == sum(1 for o, _ in want.values() if o == "MISS")
+    entries = st.read(spark, cache_path, "key long, embedding array<float>")
+    assert entries.count() == sum(1 for o, _ in want.values() if o == "MISS")
+
+
+def _ring_schema(spark):
+    return tel.hit_events(src.gw_requests(spark, SF_SMALL)).schema
+
+
+class _Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize("crash_after", [1, 2, 3])
+def test_lookup_sink_repeats_a_batch(spark, scratch, monkeypatch, crash_after):
+    """A batch that is run again, whole or after a crash between its writes, gives what one run gives."""
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(6, 4))[rng.integers(0, 6, 60)] + 0.2 * rng.normal(size=(60, 4))
+    rows = [(f"r{i:03d}", [float(x) for x in v]) for i, v in enumerate(vecs)]
+    log = spark.createDataFrame(rows, "request_id string, embedding array<float>")
+    want = {r.id: (r.outcome, r.match_id) for r in replay.cache_replay(log, 0.3, dim=4).collect()}
+    cache_path, out = os.path.join(scratch, "c"), os.path.join(scratch, "o")
+    sink = sq.cache_lookup_sink(cache_path, out, 0.3, dim=4, compact_every=2)
+    batches = [log.where(F.col("request_id").between(f"r{k * 20:03d}", f"r{k * 20 + 19:03d}")) for k in range(3)]
+    sink(batches[0], 0)
+    written, real = [], st.append
+
+    def failing(*a, **k):
+        real(*a, **k)
+        written.append(a)
+        if len(written) == crash_after:
+            raise _Crash
+
+    monkeypatch.setattr(st, "append", failing)
+    with pytest.raises(_Crash):
+        sink(batches[1], 1)
+    monkeypatch.setattr(st, "append", real)
+    for k in (1, 1, 2, 2):
+        sink(batches[k], k)
+    got = {r.request_id: (r.outcome, r.match_id) for r in spark.read.parquet(out).collect()}
+    assert got == want
+    stored = [r.key for r in st.read(spark, cache_path, "key string, embedding array<float>").collect()]
+    assert sorted(stored) == sorted(k for k, (o, _) in want.items() if o == "MISS")
+
+
+def test_ring_sink_repeats_a_batch(spark, scratch):
+    events = tel.hit_events(src.gw_requests(spark, SF_SMALL))
+    halves = [events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")]
+    path = os.path.join(scratch, "ring-again")
+    sink = sq.event_ring_sink(path, 30)
+    for k in (0, 0, 1, 1):
+        sink(halves[k], k)
+    got = {r.event_id for r in sq.read_ring(spark, path, events.schema).collect()}
+    assert got == {r.event_id for r in tel.event_ring(events, 30).collect()}
+
+
+def test_run_that_starts_exactly_one_gap_later(spark, scratch):
+    rows = [(1, "2024-01-01 00:00:00", 5), (2, "2024-01-02 00:00:00", 7), (3, "2024-01-02 23:59:59", 9)]
+    req = spark.createDataFrame(rows, "request_id long, ts string, latency_ms long").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    path = os.path.join(scratch, "gap")
+    req.coalesce(1).write.parquet(path)
+    _run(sq.latency_runs(sq.file_stream(spark, path, req.schema), "24 hours"), scratch, "gap_s", "complete")
+    got = sorted((str(r.run_start), r.n_requests) for r in spark.table("gap_s").collect())
+    want = sorted((str(r.run_start), r.n_requests) for r in tel.latency_runs(req, "24 hours").collect())
+    assert got == want and len(got) == 2
 
 
 def test_session_log_sink_and_load(spark, scratch):
@@ -177,7 +242,7 @@ def test_two_writer_event_ring_stream(spark, scratch):
     blocks = tel.pii_block_events(sq.file_stream(spark, pii_path, pii_log.schema, max_files=1))
     ring_path = os.path.join(scratch, "ring2")
     _run(tel.all_events(hits, blocks), scratch, "ring2", "append", sink=sq.event_ring_sink(ring_path, 100))
-    got = [r.event_id for r in st.read_latest(spark, ring_path)
+    got = [r.event_id for r in sq.read_ring(spark, ring_path, _ring_schema(spark))
            .orderBy(F.col("ts").desc(), F.col("event_id").desc()).collect()]
     want = [r.event_id for r in tel.event_ring(tel.all_events(tel.hit_events(req),
                                                               tel.pii_block_events(pii_log)), 100).collect()]

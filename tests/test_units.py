@@ -125,8 +125,8 @@ PII_CASES = [
     ("ip", "host 10.0.0.255 up", ["IP_ADDRESS"], "host <IP_ADDRESS> up"),
     ("ip256", "host 10.0.0.256 up", [], "host 10.0.0.256 up"),
     ("accent", "é108.51.216.133", ["IP_ADDRESS"], "é<IP_ADDRESS>"),
-    ("playground", "My email is john.doe@company.com — summarize GDPR.", ["EMAIL_ADDRESS"],
-     "My email is <EMAIL_ADDRESS> — summarize GDPR."),
+    ("email", "Write to mira.solano@post.example — today.", ["EMAIL_ADDRESS"],
+     "Write to <EMAIL_ADDRESS> — today."),
 ]
 
 
@@ -426,10 +426,10 @@ def test_gateway_flow_error_replies(spark):
     df = spark.createDataFrame(rows, "seq long, prompt string, response string, status int, "
                                      "embedding array<float>")
     strict = {r.request_id: (r.cache, r.stored) for r in
-              gateway_flow(df, 0.15, id_col="seq", status="status").outcomes.collect()}
+              gateway_flow(df, 0.15, dim=2, id_col="seq", status="status").outcomes.collect()}
     assert strict == {1: ("MISS", False), 2: ("MISS", True)}
     quirk = {r.request_id: (r.cache, r.stored) for r in
-             gateway_flow(df, 0.15, id_col="seq", status="status", cache_errors=True).outcomes.collect()}
+             gateway_flow(df, 0.15, dim=2, id_col="seq", status="status", cache_errors=True).outcomes.collect()}
     assert quirk == {1: ("MISS", True), 2: ("HIT", False)}
 
 
@@ -492,3 +492,24 @@ def test_prompt_key_property(spark):
     want = ["prompt:" + hashlib.sha256(t.lower().strip(white_space).encode()).hexdigest()[:32]
             for t in samples]
     assert got == want
+
+
+def test_session_id_with_a_line_break(spark):
+    from cachescope.functions.text import session_id_valid
+
+    good = "123e4567-e89b-12d3-a456-426614174000"
+    df = spark.createDataFrame([(good,), (good + "\n",), (good.upper(),)], "s string")
+    assert [r.ok for r in df.select(session_id_valid("s").alias("ok")).collect()] == [True, False, True]
+
+
+def test_prompt_key_of_a_final_sigma(spark):
+    from cachescope.functions.text import prompt_key
+
+    df = spark.createDataFrame([("ΟΔΟΣ",), ("οδοσ",)], "p string")
+    assert len({r.k for r in df.select(prompt_key("p").alias("k")).collect()}) == 1
+
+
+def test_cache_list_of_no_entries_keeps_its_columns(spark):
+    c = spark.createDataFrame([("k", "p", "r")], "key string, original_text string, response_text string")
+    assert cache.list_entries(c, 0).columns == ["key", "prompt", "response_preview", "response_length"]
+    assert cache.list_entries(c, 0).collect() == []
