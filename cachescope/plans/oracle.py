@@ -159,6 +159,17 @@ SELECT v.vec_id, CASE WHEN fin.vec_id IS NULL THEN 'HIT' ELSE 'MISS' END AS outc
        CASE WHEN fin.vec_id IS NULL THEN round(best.distance, 4) END AS distance
 FROM v LEFT JOIN fin ON fin.vec_id = v.vec_id LEFT JOIN best ON best.vec_id = v.vec_id"""
 
+# equal arrival times are decided by id, so the order is that of the ids
+SQL["cache_replay_ties"] = SQL["cache_replay"]
+
+# the even vectors are entries from the start, the odd ones are walked
+SQL["cache_replay_warm"] = (SQL["cache_replay"]
+    .replace("FROM v a JOIN v b ON a.vec_id < b.vec_id",
+             "FROM v a JOIN v b ON b.vec_id % 2 = 1 AND (a.vec_id % 2 = 0 OR a.vec_id < b.vec_id)")
+    .replace("LEFT JOIN nb ON nb.dst = v.vec_id)", "LEFT JOIN nb ON nb.dst = v.vec_id WHERE v.vec_id % 2 = 1)")
+    .replace("SELECT 0::BIGINT, []::BIGINT[]", "SELECT 0::BIGINT, (SELECT list(vec_id) FROM v WHERE vec_id % 2 = 0)")
+    + " WHERE v.vec_id % 2 = 1")
+
 KEY_SQL = "'prompt:' || left(sha256(regexp_replace(lower({t}), '^\\s+|\\s+$', '', 'g')), 32)"
 TRIM_SQL = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 UUID_SQL = ("substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-' || substring({h}, 13, 4) || '-' "
@@ -249,10 +260,14 @@ SELECT count(DISTINCT key) AS entry_count, 64 AS embedding_dim, 0.62::DOUBLE AS
 
 SQL["request_parse"] = "WITH " + V_PAIRS + """
 SELECT conv_id, turn, 'llama-3.3-70b-versatile' AS model, 2::BIGINT AS n_messages, turn = 0 AS stream,
-       prompt FROM gw_pairs"""
+       prompt FROM gw_pairs WHERE conv_id % 7 <> 0"""
+
+SQL["request_rejected"] = "WITH " + V_PAIRS + "\nSELECT conv_id, turn FROM gw_pairs WHERE conv_id % 7 = 0"
 
-SQL["sse_text"] = "WITH " + V_PAIRS + "\nSELECT conv_id, turn, response AS text FROM gw_pairs"
-SQL["json_text"] = SQL["sse_text"]
+SQL["sse_text"] = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
+SQL["json_text"] = """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{"choices":[{"message":{"content":5}}]}' ELSE text END AS text
+FROM conversations WHERE role = 'assistant'"""
 
 SQL["event_decode"] = with_views(V_REQUESTS)[:-2] + """
 SELECT 'cache_hit' AS type, 'Cache HIT · distance ' || printf('%.4f', distance) AS message,

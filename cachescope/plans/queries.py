@@ -148,6 +148,23 @@ def q_cache_replay(spark, sf_dir):
     return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
 
 
+@register("cache_replay_ties")
+def q_cache_replay_ties(spark, sf_dir):
+    """Five requests at a time arrive together: they are decided in the order of their ids."""
+    log = src.vec_log(spark, sf_dir).withColumn("at", F.floor(F.col("vec_id") / 5))
+    r = replay.cache_replay(log, TAU, dim=DIM, id_col="vec_id", order_col="at")
+    return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
+
+
+@register("cache_replay_warm")
+def q_cache_replay_warm(spark, sf_dir):
+    """The odd embeddings replayed against a cache that holds the even ones from the start."""
+    log = src.vec_log(spark, sf_dir)
+    warm = log.where("vec_id % 2 = 0").select(F.col("vec_id").alias("key"), "embedding")
+    r = replay.cache_replay(log.where("vec_id % 2 = 1"), TAU, dim=DIM, id_col="vec_id", initial=warm)
+    return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
+
+
 # ---------------------------------------------------------------- prompts & sessions
 @register("last_prompt")
 def q_last_prompt(spark, sf_dir):
@@ -224,30 +241,53 @@ def q_cache_stats(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- bodies and events
-@register("request_parse")
-def q_request_parse(spark, sf_dir):
-    pairs = src.gw_pairs(spark, sf_dir)
+def _request_bodies(spark, sf_dir):
+    """A request body for every prompt/reply pair; those of every seventh conversation are broken
+    in one of four ways (numeric model, text after the value, cut short, numeric content)."""
     msgs = F.array(F.named_struct(F.lit("role"), F.lit("system"), F.lit("content"), F.lit("Be brief.")),
                    F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"), F.col("prompt")))
-    bodies = pairs.select("conv_id", "turn", reqs.request_body(
-        F.lit(config.DEFAULT_CHAT_MODEL), msgs, F.col("turn") == 0).alias("body"))
-    ok = reqs.accepted(reqs.parse_requests(bodies))
+    body = reqs.request_body(F.lit(config.DEFAULT_CHAT_MODEL), msgs, F.col("turn") == 0)
+    way = F.pmod(F.col("turn"), F.lit(4))
+    broken = (F.when(way == 0, F.concat(F.lit('{"model":5,'), F.substr(body, F.lit(2))))
+              .when(way == 1, F.concat(body, F.lit(" junk")))
+              .when(way == 2, F.left(body, F.length(body) - 1))
+              .otherwise(F.lit('{"messages":[{"role":"user","content":7}]}')))
+    return src.gw_pairs(spark, sf_dir).select("conv_id", "turn", F.when(
+        F.pmod("conv_id", F.lit(7)) == 0, broken).otherwise(body).alias("body"))
+
+
+@register("request_parse")
+def q_request_parse(spark, sf_dir):
+    ok = reqs.accepted(reqs.parse_requests(_request_bodies(spark, sf_dir)))
     return ok.select("conv_id", "turn", "model", F.size("messages").cast("bigint").alias("n_messages"),
                      "stream", "prompt")
 
 
+@register("request_rejected")
+def q_request_rejected(spark, sf_dir):
+    return reqs.rejected(reqs.parse_requests(_request_bodies(spark, sf_dir))).select("conv_id", "turn")
+
+
+def _replies(spark, sf_dir):
+    return src.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+
+
 @register("sse_text")
 def q_sse_text(spark, sf_dir):
-    pairs = src.gw_pairs(spark, sf_dir)
-    chunks = F.regexp_extract_all(F.col("response"), F.lit("(?s).{1,24}"), 0)
-    bodies = pairs.select("conv_id", "turn", jt.sse_body(chunks).alias("body"))
+    """Every assistant text as a stream of pieces, with lines in between that hold no text."""
+    chunks = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,24}"), 0)
+    noise = F.lit('data: {"choices":[{"delta":{"content":5}}]}\n\ndata: {"choices":[]} junk\n: note\n'
+                  'data: {"choices":[{"message":{"role":"assistant"}}]}\n')
+    bodies = _replies(spark, sf_dir).select("conv_id", "turn", F.concat(noise, jt.sse_body(chunks)).alias("body"))
     return bodies.select("conv_id", "turn", jt.sse_text("body").alias("text"))
 
 
 @register("json_text")
 def q_json_text(spark, sf_dir):
-    pairs = src.gw_pairs(spark, sf_dir)
-    bodies = pairs.select("conv_id", "turn", jt.json_body(F.col("response")).alias("body"))
+    """Every assistant text as a JSON body; every third turn's content is a number instead."""
+    body = F.when(F.pmod("turn", F.lit(3)) == 0, F.lit('{"choices":[{"message":{"content":5}}]}')).otherwise(
+        jt.json_body(F.col("text")))
+    bodies = _replies(spark, sf_dir).select("conv_id", "turn", body.alias("body"))
     return bodies.select("conv_id", "turn", jt.json_text("body").alias("text"))
 
 

@@ -1,8 +1,7 @@
 """Chat-request source: JSON bodies to typed columns.
 
-Bodies are parsed with ``from_json`` (or ``spark.read.json`` for files) in
-PERMISSIVE mode; a body that does not parse is split off as rejected — it is
-not a request and is counted nowhere.
+Bodies are parsed as variants (files of bodies with ``spark.read.json`` in PERMISSIVE
+mode); a body that is no request is split off as rejected and counted nowhere.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import is_text, whole_json
 from ..operators.prompts import last_message_content
 
 REQUEST_SCHEMA = ("struct<model:string,messages:array<struct<role:string,content:string>>,"
@@ -17,19 +17,35 @@ REQUEST_SCHEMA = ("struct<model:string,messages:array<struct<role:string,content
 _PARSE_SCHEMA = REQUEST_SCHEMA[:-1] + ",_corrupt_record:string>"
 
 
+_VARIANT_MESSAGES = "array<struct<role:variant,content:variant>>"
+
+
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``request`` (typed struct, null when the body is not valid JSON).
+    """Add ``request`` (typed struct, null when the body is no chat request).
+
+    Types are strict: a number where a string belongs, text after the JSON value or a
+    truncated body make it no request; ``null`` is a request without any field.
 
-    The body is parsed once per row: ``inline(array(...))`` makes the parsed
-    struct a generator output, which the optimizer cannot inline back into
-    one ``from_json`` per field access.
+    The body is parsed once per row: ``inline(array(...))`` makes the parsed value a
+    generator output, which the optimizer cannot inline back into one parse per
+    field access.
     """
-    parsed = F.from_json(F.col(body), _PARSE_SCHEMA,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     cols = df.columns
-    one = df.select(*cols, F.inline(F.array(F.struct(parsed.alias("_p")))))
-    ok = F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull()
-    return one.select(*cols, F.when(ok, F.col("_p").dropFields("_corrupt_record")).alias("request"))
+    one = df.select(*cols, F.inline(F.array(F.struct(whole_json(F.col(body)).alias("_v")))))
+    at = lambda path, kind: F.try_variant_get("_v", f"$[0]{path}", kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path, "variant")), F.lit("VOID"))
+    messages = at(".messages", _VARIANT_MESSAGES)
+    top = F.schema_of_variant(at("", "variant"))
+    ok = (F.col("_v").isNotNull() & (top.startswith("OBJECT") | (top == "VOID"))
+          & is_text(at(".model", "variant")) & kind(".stream").isin("BOOLEAN", "VOID", "NULL")
+          & (kind(".messages").isin("VOID", "NULL") | messages.isNotNull())
+          & F.coalesce(F.forall(messages, lambda m: is_text(m["role"]) & is_text(m["content"])), F.lit(True)))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    request = F.struct(
+        at(".model", "string").alias("model"),
+        F.transform(messages, lambda m: F.struct(text(m["role"]).alias("role"), text(m["content"]).alias("content")))
+        .alias("messages"), at(".stream", "boolean").alias("stream"))
+    return one.select(*cols, F.when(ok, request).alias("request"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

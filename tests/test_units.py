@@ -33,12 +33,27 @@ def test_request_parse_cases(spark):
     ]
     df = reqs.parse_requests(spark.createDataFrame(bodies, "name string, body string"))
     ok = {r.name: r for r in reqs.accepted(df).collect()}
-    assert set(ok) == {"normal", "empty", "nocontent", "numeric"}
+    assert set(ok) == {"normal", "empty", "nocontent"}
     assert ok["normal"].prompt == "hi there" and ok["normal"].stream is True
     assert ok["empty"].prompt == "" and ok["empty"].stream is False
     assert ok["nocontent"].prompt == ""
-    assert ok["numeric"].prompt == "42"
-    assert [r.name for r in reqs.rejected(df).collect()] == ["truncated"]
+    assert sorted(r.name for r in reqs.rejected(df).collect()) == ["numeric", "truncated"]
+
+
+def test_request_types_are_strict(spark):
+    bodies = {'{"model":5,"messages":[]}': False, '{"messages":[]} junk': False, "null": True, "[]": False, "": False,
+              '{"messages":{}}': False, '{"messages":[{"content":null},null]}': True, '{"stream":"yes"}': False,
+              '{"a":1},{"b":2}': False, '"x"': False, '{"messages":null,"model":null}': True}
+    df = reqs.parse_requests(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert {r.body: r.request is not None for r in df.collect()} == bodies
+    assert {r.prompt for r in reqs.accepted(df).collect()} == {""}
+
+
+def test_content_types_are_strict(spark):
+    df = spark.createDataFrame([('{"choices":[{"message":{"content":5}}]}',)], "x string")
+    assert df.select(jt.json_text("x").alias("t")).first().t == '{"choices":[{"message":{"content":5}}]}'
+    body = 'data: {"choices":[{"delta":{"content":5}}]}\ndata: {"choices":[{"delta":{"content":"x"}}]}\n'
+    assert spark.createDataFrame([(body,)], "x string").select(jt.sse_text("x").alias("t")).first().t == "x"
 
 
 # ------------------------------------------------------------------ response bodies
