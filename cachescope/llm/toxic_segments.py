@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 
 #: Hashed cells of the count table.
 BUCKETS = 1 << 20
+#: Cells of the count table in one block on its way to the driver.
+PACK = 1 << 14
 #: Lengths of the word beginnings in the chain of priors.
 STEMS = (4, 5, 6)
 #: Strength of each Dirichlet prior, in tokens.
@@ -202,12 +204,22 @@ def count_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(table.any(axis=0))
         yield pd.DataFrame({"cell": at, "clean": table[0, at], "toxic": table[1, at]})
 
-    got = (sample.mapInPandas(count, "cell int, clean long, toxic long").groupBy("cell")
-           .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas())  # BUCKETS rows at most
-    toxic, total = np.zeros(BUCKETS, dtype="f4"), np.zeros(BUCKETS, dtype="f4")
-    toxic[got["cell"]] = got["toxic"]
-    total[got["cell"]] = got["toxic"] + got["clean"]
-    return toxic, total
+    cells = (sample.mapInPandas(count, "cell int, clean long, toxic long").groupBy("cell")
+             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((2, PACK), dtype="f4")
+        at = rows["cell"].to_numpy() % PACK
+        table[0, at], table[1, at] = rows["toxic"], rows["toxic"] + rows["clean"]
+        return pd.DataFrame({"part": [int(rows["cell"].iat[0]) // PACK], "data": [table.tobytes()]})
+
+    # The driver takes the table as BUCKETS / PACK blocks of bytes, not as a row per cell.
+    parts = (cells.groupBy(F.floor(F.col("cell") / PACK).alias("part")).applyInPandas(pack, "part int, data binary")
+             .collect())
+    whole = np.zeros((2, BUCKETS), dtype="f4")
+    for r in parts:
+        whole[:, r.part * PACK:(r.part + 1) * PACK] = np.frombuffer(r.data, dtype="f4").reshape(2, PACK)
+    return whole[0], whole[1]
 
 
 def _rate_of(hist: dict[int, int]) -> float:
