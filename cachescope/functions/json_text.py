@@ -22,8 +22,8 @@ def _c(x: Column | str) -> Column:
 def whole_json(text: Column) -> Column:
     """A text that is one JSON value and nothing else, as a one-element variant array; null
     otherwise. (The parser alone would accept a value with other text after it.)"""
-    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, v)
+    parsed = F.array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.transform(parsed, lambda v: F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, v))[0]
 
 
 def is_text(v: Column) -> Column:

@@ -44,16 +44,17 @@ def bucket_of(ts: Column | str, gap_us: int) -> Column:
 
 
 def runs_from_buckets(buckets: DataFrame, gap: str | int, *, keys: tuple[str, ...] = (),
-                      segment_buckets: int = SEGMENT_BUCKETS) -> DataFrame:
+                      segment_buckets: int = SEGMENT_BUCKETS, stored: bool = False) -> DataFrame:
     """Activity runs from per-bucket aggregates ``_bucket, _n, _sum, _first, _last``.
 
     Ordered windows run per time segment of buckets (per key) in parallel; a
     one-row-per-segment summary gives each segment the boundary flag of its
     first bucket and its run-number offset (a prefix sum over segments).
+    ``stored``: the buckets are materialised already.
     """
     gap_us = interval_seconds(gap) * 1_000_000
     seg_us = gap_us * segment_buckets
-    b = _materialize(buckets).withColumn(
+    b = (buckets if stored else _materialize(buckets)).withColumn(
         "_seg", F.col("_bucket") - F.pmod(F.col("_bucket"), F.lit(seg_us)))
     w = Window.partitionBy(*keys, "_seg").orderBy("_bucket")
     prev_last = F.lag("_last").over(w)
@@ -160,7 +161,7 @@ def metrics(requests: DataFrame, pii_blocks: DataFrame | None = None, *, as_of:
     totals = buckets.select(
         F.col("_n").alias("total"), F.col("_hits").alias("hits"), F.col("_misses").alias("misses"),
         F.col("_pii").alias("pii"), F.lit(None).cast("double").alias("avg"))
-    latency = _open_run(runs_from_buckets(buckets.where(F.col("_n") > 0), gap), as_of, gap_us).select(
+    latency = _open_run(runs_from_buckets(buckets.where(F.col("_n") > 0), gap, stored=True), as_of, gap_us).select(
         *[F.lit(0).cast("bigint").alias(c) for c in ("total", "hits", "misses", "pii")],
         F.col("avg_latency_ms").alias("avg"))
     agg = totals.unionByName(latency).agg(

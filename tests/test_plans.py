@@ -2,15 +2,15 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from cachescope.plans.queries import REGISTRY
 
 from .conftest import SF_SMALL
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(REGISTRY)
 
 
 def _plan(spark, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = REGISTRY[name](spark, SF_SMALL)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -39,7 +39,7 @@ def test_feed_is_top_k(spark):
 
 
 def test_timeline_filter_reaches_scan(spark):
-    df = entry.queries()["timeline"](spark, SF_SMALL)
+    df = REGISTRY["timeline"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "DataFilters: [" in plan and "ts#" in plan.split("DataFilters: [", 1)[1].split("]")[0]
 
@@ -53,6 +53,22 @@ def test_redaction_cascade_evaluated_once(spark, name):
     assert plan.count("<PHONE_NUMBER>, 1)") == 1
 
 
-@pytest.mark.parametrize("name", ["request_parse", "event_decode"])
-def test_json_parsed_once(spark, name):
-    assert _plan(spark, name).count("from_json(") == 1
+def test_json_parsed_once(spark):
+    assert _plan(spark, "event_decode").count("from_json(") == 1
+    assert _plan(spark, "request_parse").count("parseJson") <= 1
+
+
+def _jobs(spark, make):
+    """Jobs that building a frame starts."""
+    spark.sparkContext.setJobGroup("building", "building", False)
+    try:
+        make()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["pii_redact", "pii_events", "pii_last_message", "pii_spans", "event_feed", "cache_list",
+                                  "request_parse", "traffic_by_minute", "session_load"])
+def test_building_a_query_only_reads_footers(spark, name):
+    assert _jobs(spark, lambda: REGISTRY[name](spark, SF_SMALL)) <= 2  # one per table read
