@@ -3,7 +3,7 @@
 Learning (labelled rows of the folds 1 to 4 of ``crc32(doc_id as text) mod 5``; fold 0 is
 held out and its labels are never read):
 
-1. Folds 1 to 3 give token counts by label. A word's log-odds come from a chain of
+1. Folds 1 to 3 give the number of texts with each word by label. A word's log-odds come from a chain of
    Dirichlet priors: the class share of its first 4 letters is the prior mean for that of
    its first 5, then 6, then the whole word, so that an unseen form of a toxic stem is
    still scored. Counts live in a table of ``BUCKETS`` hashed cells, which bounds what
@@ -46,7 +46,7 @@ BUCKETS = 1 << 20
 PACK = 1 << 14
 #: Lengths of the word beginnings in the chain of priors.
 STEMS = (4, 5, 6)
-#: Strength of each Dirichlet prior, in tokens.
+#: Strength of each Dirichlet prior, in texts.
 PRIOR = 10.0
 #: Subtracted from every token's log-odds, so that a clean text's sum drifts down.
 DRIFT = 0.35
@@ -109,8 +109,16 @@ class Scorer(dict):
         return s
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The words and their scores; a word that speaks for toxicity does so once a text, so that
+        mere repetition adds up to nothing."""
         words = _WORD.findall(text.lower())
-        return words, np.fromiter(map(self.__getitem__, words), dtype="f8", count=len(words))
+        scores = np.fromiter(map(self.__getitem__, words), dtype="f8", count=len(words))
+        seen = set()
+        for i in np.flatnonzero(scores > 0).tolist():
+            if words[i] in seen:
+                scores[i] = -DRIFT
+            seen.add(words[i])
+        return words, scores
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -181,7 +189,7 @@ def _with_labels(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> Dat
 
 
 def count_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic and all tokens by cell, over ``sample`` (text, _toxic)."""
+    """Toxic and all texts that hold a word, by the word's cells, over ``sample`` (text, _toxic)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
@@ -197,7 +205,7 @@ def count_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in batches:
             for t, y in zip(batch["text"], batch["_toxic"]):
-                words[y].update(_WORD.findall(t.lower()))
+                words[y].update(set(_WORD.findall(t.lower())))
                 if len(words[0]) + len(words[1]) > CACHE_WORDS:
                     pour()
         pour()
