@@ -74,8 +74,12 @@ def cascade_text(text: Column, *, validate_cards: bool = False,
     t = F.coalesce(text, F.lit(""))
     for entity, pat in patterns("java", extra):
         if entity == "CREDIT_CARD" and validate_cards:
-            valid = F.filter(F.regexp_extract_all(t, F.lit(pat), 0), luhn_valid)
-            t = F.aggregate(valid, t, lambda acc, c: F.replace(acc, c, F.lit(placeholder(entity))))
+            # put together again from what lies between the matches, so that a valid number is
+            # replaced where it was matched and nowhere else
+            found = F.regexp_extract_all(t, F.lit(pat), 0)
+            mark = lambda c: F.when(luhn_valid(c), F.lit(placeholder(entity))).otherwise(c)  # noqa: E731, B023
+            t = F.array_join(F.zip_with(F.split(t, pat, -1), found, lambda p, c: F.concat(
+                p, F.coalesce(mark(c), F.lit("")))), "")
         elif "@" in pat:
             t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, pat, placeholder(entity))).otherwise(t)
         else:

@@ -54,6 +54,12 @@ def embed_with(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], *, t
                 vecs = [v if v is not None and len(v) == dim else None for v in vecs]
             yield pd.Series(vecs)
 
-    distinct = clean_text(df.select(text), text).distinct()
-    vectors = distinct.select(text, _embed(F.col(text)).alias(out))
-    return df.withColumn(text, ws_trim(text)).join(vectors, text, "left")
+    # Blank texts are set apart, since they would all meet on one key; the rest meets on
+    # the hash of the text.
+    named = df.withColumn(text, ws_trim(text))
+    blank = F.coalesce(F.length(text), F.lit(0)) == 0
+    full = named.where(~blank).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
+    vectors = (full.groupBy("_key").agg(F.first(text).alias("_text"))
+               .select("_key", _embed(F.col("_text")).alias(out)))
+    none = named.where(blank).withColumn(out, F.lit(None).cast("array<float>"))
+    return full.join(vectors, "_key", "left").select(*df.columns, out).unionByName(none.select(*df.columns, out))

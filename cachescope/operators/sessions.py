@@ -38,17 +38,23 @@ def latest_state(log: DataFrame, as_of: str, *, ttl_seconds: int = config.SESSIO
         F.col("s.model").alias("model"))
 
 
+def messages_of(payload: Column) -> Column:
+    """The messages of a saved payload (a JSON array); none if it is missing or no such JSON."""
+    kind = "array<struct<role:string,content:string>>"
+    return F.coalesce(F.from_json(payload, kind), F.array().cast(kind))
+
+
 def load(requested: DataFrame, log: DataFrame, as_of: str, *,
          ttl_seconds: int = config.SESSION_TTL_SECONDS,
          default_model: str = config.DEFAULT_CHAT_MODEL, id_col: str = "session_id") -> DataFrame:
-    """Session state for each requested id (defaults when not found)."""
+    """Session state for each requested id, its messages decoded (defaults when not found)."""
     state = latest_state(log, as_of, ttl_seconds=ttl_seconds)
     req = requested.select(F.col(id_col).alias("session_id")).distinct()
     return req.join(state, "session_id", "left").select(
         "session_id",
         F.col("updated_at").isNotNull().alias("found"),
         F.coalesce(F.col("model"), F.lit(default_model)).alias("model"),
-        "updated_at", "payload")
+        "updated_at", "payload", messages_of(F.col("payload")).alias("messages"))
 
 
 def save_rows(session_id: Column, messages: Column, model: Column, at: Column) -> list[Column]:

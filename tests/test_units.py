@@ -528,3 +528,28 @@ def test_cache_list_of_no_entries_keeps_its_columns(spark):
     c = spark.createDataFrame([("k", "p", "r")], "key string, original_text string, response_text string")
     assert cache.list_entries(c, 0).columns == ["key", "prompt", "response_preview", "response_length"]
     assert cache.list_entries(c, 0).collect() == []
+
+
+def test_validated_card_is_replaced_where_it_was_matched(spark):
+    from cachescope.operators import pii
+
+    text = "card 4111111111111111 and 94111111111111111111119 and 4111111111111112"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = pii.redact(df, "text", validate_cards=True).first()
+    assert got.sanitized_text == text.replace("card 4111111111111111 ", "card <CREDIT_CARD> ")
+
+
+def test_embed_with_blank_and_null_texts(spark):
+    from cachescope.operators.embed import embed_with
+
+    df = spark.createDataFrame([(1, "a"), (2, " a "), (3, "  "), (4, None), (5, "bb")], "id long, text string")
+    got = {r.id: r.embedding for r in embed_with(df, lambda xs: [[float(len(x))] for x in xs], dim=1).collect()}
+    assert got == {1: [1.0], 2: [1.0], 3: None, 4: None, 5: [2.0]}
+
+
+def test_session_messages(spark):
+    from cachescope.operators.sessions import messages_of
+
+    df = spark.createDataFrame([('[{"role":"user","content":"hi"}]',), ("no json",), (None,)], "p string")
+    got = [[tuple(m) for m in r.m] for r in df.select(messages_of(F.col("p")).alias("m")).collect()]
+    assert got == [[("user", "hi")], [], []]
