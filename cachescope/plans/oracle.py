@@ -370,3 +370,13 @@ n AS (SELECT vec_id, src AS nearest_id, distance FROM d
 SELECT v.vec_id, CAST(coalesce(c.n_within, 0) AS BIGINT) AS n_within, n.nearest_id,
        round(n.distance, 4) AS distance
 FROM v LEFT JOIN c ON c.vec_id = v.vec_id LEFT JOIN n ON n.vec_id = v.vec_id"""
+
+SQL["stream_traffic"] = SQL["traffic_by_minute"]
+SQL["stream_redaction"] = SQL["pii_redact"]
+SQL["stream_runs"] = SQL["latency_by_run"].replace("SELECT run_id, run_start, run_end, n_requests", "SELECT run_start, n_requests")
+SQL["stream_counters"] = with_views(V_REQUESTS)[:-2] + """
+SELECT total_requests, cache_hits, cache_misses, cache_hits * 1500 AS tokens_saved,
+       round(cache_hits * 1500 * 0.000002::DOUBLE, 6) AS estimated_cost_saved,
+       round(cache_hits / total_requests * 100.0::DOUBLE, 6) AS cache_hit_rate
+FROM (SELECT count(*) AS total_requests, count_if(outcome = 'HIT') AS cache_hits,
+             count_if(outcome = 'MISS') AS cache_misses FROM gw_requests)"""

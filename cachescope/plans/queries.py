@@ -21,6 +21,7 @@ from ..operators import prompts as pr
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
 from ..operators import vectors as vec
+from ..streaming import queries as sq
 from . import gateway as gw
 from ..sources import events as ev
 from ..sources import requests as reqs
@@ -348,6 +349,35 @@ def q_pii_spans(spark, sf_dir):
     return pii.spans(src.documents(spark, sf_dir), key="doc_id", text="text")
 
 
+# ---------------------------------------------------------------- streaming forms, drained
+def _request_stream(spark, sf_dir):
+    return src.gw_requests(spark, sf_dir, src.stream(spark, sf_dir, "events"))
+
+
+@register("stream_traffic")
+def q_stream_traffic(spark, sf_dir):
+    return sq.drained(sq.traffic_by_minute(_request_stream(spark, sf_dir)), "complete")
+
+
+@register("stream_runs")
+def q_stream_runs(spark, sf_dir):
+    runs = sq.drained(sq.latency_runs(_request_stream(spark, sf_dir), RUN_GAP), "complete")
+    return runs.select("run_start", "n_requests", "sum_latency_ms", _r("avg_latency_ms", 6))
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    return sq.drained(sq.counters(_request_stream(spark, sf_dir)), "complete").select(
+        "total_requests", "cache_hits", "cache_misses", "tokens_saved", _r("estimated_cost_saved", 6),
+        _r("cache_hit_rate", 6))
+
+
+@register("stream_redaction")
+def q_stream_redaction(spark, sf_dir):
+    docs = src.stream(spark, sf_dir, "documents").select("doc_id", "text")
+    return sq.drained(sq.redaction(docs, "text").select("doc_id", "sanitized_text"))
+
+
 # ---------------------------------------------------------------- composite flows
 @register("replay_metrics")
 def q_replay_metrics(spark, sf_dir):

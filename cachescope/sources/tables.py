@@ -25,9 +25,17 @@ def _props_k() -> Column:
     return F.get_json_object("props", "$.k").try_cast("int")
 
 
-def gw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request log: non-error events; view/click are hits, distance = k/1000 on hits."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") != "error")
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    # a stream's path must be a folder or a pattern, and a small table is one file
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.removesuffix(".parquet") + "[.]parquet")
+
+
+def gw_requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Request log: non-error events; view/click are hits, distance = k/1000 on hits.
+    ``events`` takes the place of the table (its stream)."""
+    ev = (table(spark, sf_dir, "events") if events is None else events).where(F.col("event_type") != "error")
     hit = F.col("event_type").isin("view", "click")
     return ev.select(
         F.col("event_id").alias("request_id"),

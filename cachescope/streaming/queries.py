@@ -24,7 +24,7 @@ from ..operators import pii as pii_ops
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
 from ..operators.replay import cache_replay
-from ..session import materialise
+from ..session import materialise, new_folder
 from . import tables
 
 
@@ -59,6 +59,17 @@ def start(df: DataFrame, checkpoint: str, *, sink: Callable | None = None, fmt:
     return w.start()
 
 
+def drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a streaming query over all that is there (available-now), into tables of the
+    session's checkpoint folder, and return what it has written: all rows in append
+    mode, the newest state in complete mode."""
+    spark = df.sparkSession
+    path = new_folder(spark, "stream")
+    start(df, f"{path}/state", sink=lambda batch, batch_id: tables.append(batch, f"{path}/rows", batch_id),
+          mode=mode, available_now=True).awaitTermination()
+    return (tables.read if mode == "append" else tables.read_newest)(spark, f"{path}/rows", df.schema)
+
+
 # ------------------------------------------------------------ T1 / T2 / T8 / T7
 def _event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP; naive UTC event times are cast (the session
