@@ -47,6 +47,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SIMILARITY = 0.5
 #: A stretch reaches so many words, as a share of the item's length, past where the item would end.
 SLACK = 0.5
+#: Hits of a text that are worked on at once.
+HITS = 2_000_000
 #: Cells of an alignment that are worked on at once.
 ALIGN_CELLS = 2_000_000
 
@@ -141,16 +143,28 @@ def stretches(words: list[str], block: Block) -> Iterator[tuple[int, int, np.nda
     if not len(at):
         return
     count = block.first[place + 1] - block.first[place]
+    # a text of very many hits is worked off in parts, each cut between two hits
+    part = (np.cumsum(count) - count) // HITS
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(at)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield from _merged(at[a:b], place[a:b], count[a:b], ids, block)
+
+
+def _merged(at: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, block: Block):
+    """The stretches of hits (position, seed), those of one item that overlap merged."""
     post = np.repeat(block.first[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
     pos, seed, item, off = np.repeat(at, count), np.repeat(place, count), block.item[post], block.offset[post]
-    for i in np.unique(item).tolist():
-        mine = item == i
+    order = np.argsort(item, kind="stable")
+    pos, seed, item, off = pos[order], seed[order], item[order], off[order]
+    edges = [0, *(np.flatnonzero(item[1:] != item[:-1]) + 1).tolist(), len(item)]
+    for x, y in zip(edges[:-1], edges[1:]):
+        i = int(item[x])
         size = len(block.items[i])
         slack = int(math.ceil(size * SLACK))
-        lo = np.maximum(pos[mine] - off[mine] - slack, 0)
-        hi = np.minimum(pos[mine] - off[mine] + size + slack, len(ids))
+        lo = np.maximum(pos[x:y] - off[x:y] - slack, 0)
+        hi = np.minimum(pos[x:y] - off[x:y] + size + slack, len(ids))
         order = np.argsort(lo, kind="stable")
-        lo, hi, own = lo[order], np.maximum.accumulate(hi[order]), seed[mine][order]
+        lo, hi, own = lo[order], np.maximum.accumulate(hi[order]), seed[x:y][order]
         cut = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(lo))):
             yield i, int(lo[a]), ids[lo[a]:hi[b - 1]], np.unique(own[a:b])
