@@ -60,6 +60,18 @@ def test_blocks_give_the_same_result(spark):
     assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, many), key=repr) and len(one) == 31
 
 
+def test_texts_of_many_hits_are_worked_off_in_parts(monkeypatch):
+    item = words(1, 40)
+    block = dc.make_block([(k, item[k:k + 12]) for k in range(20)])
+    text = words(2, 30) + item * 6 + words(3, 30)
+    whole = {i for i, *_ in dc.stretches(text, block)}
+    monkeypatch.setattr(dc, "HITS", 7)
+    parts = list(dc.stretches(text, block))
+    assert {i for i, *_ in parts} == whole == set(range(20))
+    for i, _, ids, _ in parts:
+        assert dc.align(block.items[i], dc._padded([ids]))[0][0] > 0
+
+
 def test_edges(spark):
     rows, bench = items(spark)
     docs = frame(spark, EDGES + [(None, rows[3][1]), (77, rows[3][1]), (77, rows[3][1]), (2**60 + 1, rows[4][1])])
