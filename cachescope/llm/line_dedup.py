@@ -70,9 +70,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     cols = [c for c in docs.columns if c not in out]
     docs = docs.select(*cols)
     lines = hashed_lines(docs, min_chars, key, text)
+    # written, so that the join shuffles both sides by itself and can split a line that very many
+    # documents hold; a grouped side would have to stay in one piece
+    frequent = written(frequent_lines(lines, min_docs), "frequent")
     doomed = (lines.select("_doc", "_name", F.posexplode("hashes").alias("_pos", "hash"))
               .where(F.col("hash").isNotNull())
-              .join(frequent_lines(lines, min_docs), "hash")
+              .join(frequent, "hash")
               .where(~F.col("_doc").eqNullSafe(F.col("keeper")))
               .groupBy(F.col("_doc").alias("_id"), F.col("_name").alias("_of"))
               .agg(F.collect_set("_pos").alias("_drop")))
