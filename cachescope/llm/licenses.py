@@ -199,9 +199,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
              .agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
              .select("up", F.col("b.license").alias("given")))
     lacking = own.where("license is null and _dir is not null").select("_dir").distinct()
-    from_above = (lacking.withColumn("a", F.explode(_ancestors(F.col("_dir")))).select("_dir", "a.depth", "a.up")
+    # written, so that the last join can split a directory that holds very many files
+    from_above = written(lacking.withColumn("a", F.explode(_ancestors(F.col("_dir")))).select("_dir", "a.depth", "a.up")
                   .join(given, "up").groupBy("_dir").agg(F.max_by(F.struct("given", "up"), "depth").alias("g"))
-                  .select(F.col("_dir").alias("_of"), "g.given", "g.up"))
+                  .select(F.col("_dir").alias("_of"), "g.given", "g.up"), "directories")
     takes = F.col("license").isNull() & F.col("given").isNotNull()
     return (own.join(from_above, (F.col("_dir") == F.col("_of")) & F.col("license").isNull(), "left")
             .withColumn("scope", F.when(takes, "inherited").otherwise(F.col("scope")))
