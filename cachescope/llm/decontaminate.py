@@ -4,14 +4,13 @@
    documents looks every run of words up in the seeds (a sorted array of hashes) and
    writes, for each (document, item) that shares one, the stretch of the document that
    the item could cover, and the seeds. Texts are read whole and never shuffled.
-2. Rarity. The documents that hold each seed are counted; a seed in ``df`` of ``N``
-   documents is worth ``ln(N / df)``, and a pair goes on if its seeds are worth
-   ``ln(N) / 2`` together: one seed in at most the root of N documents, or more of the
-   common ones. Nothing is cut by a count alone, so an item that leaked into a third of
-   all documents is still found by its many seeds.
+2. Rarity. The distinct documents that hold each seed are counted; a seed in ``df`` of
+   ``N`` documents is worth ``ln(N / df)``. The sum is reported as ``evidence`` and decides
+   nothing: an item that leaked into every document is found like any other.
 3. Alignment. Smith-Waterman over words (match 2, mismatch -1, gap -1), all stretches of
    an item at once, scores copies that were paraphrased or edited; the similarity is the
-   score over that of an exact copy.
+   score over that of an exact copy. Every stretch with a seed is aligned, but for those
+   that share too few words with the item for any alignment to reach the threshold.
 
 The test items come to the driver in blocks of at most ``BLOCK_SEEDS`` seeds, each searched
 in a scan of its own; that bounds what is broadcast whatever the size of the benchmark.
@@ -190,6 +189,11 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
+def _reach(item: np.ndarray, stretch: np.ndarray) -> int:
+    """A score that no alignment of the two exceeds, from the words they share."""
+    return MATCH * int(min(np.isin(stretch, item).sum(), np.isin(item, stretch).sum()))
+
+
 def _padded(parts: list[np.ndarray], back: bool = False) -> np.ndarray:
     out = np.zeros((len(parts), max(map(len, parts))), dtype="i4")
     for r, p in enumerate(parts):
@@ -203,13 +207,19 @@ def _candidates(docs: DataFrame, block: Block, key: str, text: str) -> DataFrame
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = Block(**shared.value)
         for batch in batches:
-            rows = [(k, *x) for k, t in zip(batch["k"], batch["t"]) for x in stretches(words_of(t), b)]
+            rows = []
+            for k, t in zip(batch["k"], batch["t"]):
+                seen: set[int] = set()  # a seed counts once a document, whatever its items and stretches
+                for x in stretches(words_of(t), b):
+                    new = set(x[-1].tolist()) - seen
+                    seen |= new
+                    rows.append((k, *x, sorted(new)))
             if rows:
-                yield pd.DataFrame(rows, columns=["k", "item", "start", "ids", "seeds"])
+                yield pd.DataFrame(rows, columns=["k", "item", "start", "ids", "seeds", "new"])
 
     # the key travels as text: a column of numbers and nulls would reach pandas as floats
     return docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(
-        scan, "k string, item int, start int, ids array<int>, seeds array<int>")
+        scan, "k string, item int, start int, ids array<int>, seeds array<int>, new array<int>")
 
 
 def _schema(key_type: T.DataType, item_type: T.DataType, key: str) -> T.StructType:
@@ -219,8 +229,8 @@ def _schema(key_type: T.DataType, item_type: T.DataType, key: str) -> T.StructTy
                          T.StructField("evidence", T.DoubleType())])
 
 
-def _aligned(found: DataFrame, block: Block, worth: np.ndarray, least: float, min_similarity: float,
-             key: str, key_type: T.DataType, item_type: T.DataType) -> DataFrame:
+def _aligned(found: DataFrame, block: Block, worth: np.ndarray, min_similarity: float, key: str,
+             key_type: T.DataType, item_type: T.DataType) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast((vars(block), worth))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,11 +238,13 @@ def _aligned(found: DataFrame, block: Block, worth: np.ndarray, least: float, mi
         for batch in batches:
             seeds = [np.asarray(s) for s in batch["seeds"]]
             evidence = np.array([value[s].sum() for s in seeds])
-            batch = batch.assign(evidence=evidence, n_seeds=[len(s) for s in seeds])[evidence >= least]
+            batch = batch.assign(evidence=evidence, n_seeds=[len(s) for s in seeds])
             out = []
             for i, group in batch.groupby("item", sort=False):
-                item, parts = b.items[i], [np.asarray(x) for x in group["ids"]]
+                item = b.items[i]
                 full, at = MATCH * len(item), 0
+                group = group[[_reach(item, np.asarray(x)) >= min_similarity * full for x in group["ids"]]]
+                parts = [np.asarray(x) for x in group["ids"]]
                 while at < len(parts):
                     to = max(at + 1, min(len(parts), at + ALIGN_CELLS // max(map(len, parts[at:at + 4096]))))
                     best, end = align(item, _padded(parts[at:to]))
@@ -265,11 +277,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for n, block in enumerate(blocks(benchmark, item_key, item_text, block_seeds)):
         total = docs.count() if total is None else total
         found = written(_candidates(docs, block, key, text), f"seeds-{n}")
-        df = found.select(F.explode("seeds").alias("s")).groupBy("s").count().toPandas()  # one row per seed at most
+        df = found.select(F.explode("new").alias("s")).groupBy("s").count().toPandas()  # one row per seed at most
         worth = np.zeros(len(block.seeds))
-        worth[df["s"]] = np.maximum(np.log(max(total, 2) / df["count"].clip(upper=total)), 0.0)
-        part = _aligned(found, block, worth, math.log(max(total, 2)) / 2, min_similarity, key,
-                        docs.schema[key].dataType, item_type)
+        worth[df["s"]] = np.log(total / df["count"])
+        part = _aligned(found.drop("new"), block, worth, min_similarity, key, docs.schema[key].dataType, item_type)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], _schema(docs.schema[key].dataType, item_type, key))

@@ -52,6 +52,25 @@ def test_finds_exact_and_edited_copies_and_no_others(spark):
             assert r.similarity == 1.0 and (r.start_word, r.end_word) == (50, 80)
 
 
+def test_frequency_drops_no_pair(spark):
+    everywhere, short, thirds = words(61, 16, 10**6), words(62, 8, 10**6), words(63, 16, 10**6)
+    rows = [(0, " ".join(everywhere)), (1, " ".join(short)), (1, " ".join(short)), (1, " ".join(short)), (2, " ".join(thirds))]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = []
+    for i in range(300):
+        t = words(i, 20) + everywhere + words(i + 400, 20)
+        if i % 3 == 0:
+            t += short + words(i + 800, 20) + edited(" ".join(thirds), 6).split()
+        docs.append((i, " ".join(t)))
+    docs.append((300, " ".join(words(300, 20) + everywhere[:9])))  # an edited copy with the seeds of the hot ones
+    got = dc.contaminated(frame(spark, docs), bench).collect()
+    assert {r.doc_id for r in got if r.item_id == 0} == set(range(301))
+    for item in (1, 2):
+        assert {r.doc_id for r in got if r.item_id == item} == set(range(0, 300, 3))
+    worth = {round(r.evidence / r.n_seeds, 6) for r in got if r.item_id == 1}
+    assert worth == {round(float(np.log(301 / 100)), 6)}  # documents, however often the item is listed
+
+
 def test_blocks_give_the_same_result(spark):
     rows, bench = items(spark)
     docs = frame(spark, [(i, "a b c d " + t) for i, t in rows if t])
