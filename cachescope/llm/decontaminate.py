@@ -9,8 +9,10 @@
    nothing: an item that leaked into every document is found like any other.
 3. Alignment. Smith-Waterman over words (match 2, mismatch -1, gap -1), all stretches of
    an item at once, scores copies that were paraphrased or edited; the similarity is the
-   score over that of an exact copy. Every stretch with a seed is aligned, but for those
-   that share too few words with the item for any alignment to reach the threshold.
+   score over that of an exact copy. A passage counts if its similarity reaches
+   ``MIN_SIMILARITY`` or its score ``MIN_SCORE``, so a part of a long item is found as well.
+   Every stretch with a seed is aligned, but for those that share too few words with the
+   item for any alignment to reach the threshold.
 
 The test items come to the driver in blocks of at most ``BLOCK_SEEDS`` seeds, each searched
 in a scan of its own; that bounds what is broadcast whatever the size of the benchmark.
@@ -44,6 +46,8 @@ BLOCK_SEEDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an exact copy's score from which a document counts as contaminated.
 MIN_SIMILARITY = 0.5
+#: Score from which it does whatever the item's length: 13 words in a row, or more with edits.
+MIN_SCORE = 26
 #: A stretch reaches so many words, as a share of the item's length, past where the item would end.
 SLACK = 0.5
 #: Hits of a text that are worked on at once.
@@ -229,7 +233,7 @@ def _schema(key_type: T.DataType, item_type: T.DataType, key: str) -> T.StructTy
                          T.StructField("evidence", T.DoubleType())])
 
 
-def _aligned(found: DataFrame, block: Block, worth: np.ndarray, min_similarity: float, key: str,
+def _aligned(found: DataFrame, block: Block, worth: np.ndarray, min_similarity: float, min_score: float, key: str,
              key_type: T.DataType, item_type: T.DataType) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast((vars(block), worth))
 
@@ -243,12 +247,13 @@ def _aligned(found: DataFrame, block: Block, worth: np.ndarray, min_similarity:
             for i, group in batch.groupby("item", sort=False):
                 item = b.items[i]
                 full, at = MATCH * len(item), 0
-                group = group[[_reach(item, np.asarray(x)) >= min_similarity * full for x in group["ids"]]]
+                least = min(min_similarity * full, min_score)
+                group = group[[_reach(item, np.asarray(x)) >= least for x in group["ids"]]]
                 parts = [np.asarray(x) for x in group["ids"]]
                 while at < len(parts):
                     to = max(at + 1, min(len(parts), at + ALIGN_CELLS // max(map(len, parts[at:at + 4096]))))
                     best, end = align(item, _padded(parts[at:to]))
-                    keep = np.flatnonzero(best >= min_similarity * full)
+                    keep = np.flatnonzero(best >= least)
                     if len(keep):  # the reverse alignment of what lies before the end finds the start
                         heads = [parts[at + r][:end[r]] for r in keep]
                         _, back = align(item[::-1], _padded(heads, back=True))
@@ -269,7 +274,7 @@ def _aligned(found: DataFrame, block: Block, worth: np.ndarray, min_similarity:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text", min_similarity: float = MIN_SIMILARITY,
-                 block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+                 block_seeds: int = BLOCK_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, end_word, n_seeds, evidence): every passage
     of a document that aligns with a test item."""
     item_type = benchmark.schema[item_key].dataType
@@ -280,7 +285,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         df = found.select(F.explode("new").alias("s")).groupBy("s").count().toPandas()  # one row per seed at most
         worth = np.zeros(len(block.seeds))
         worth[df["s"]] = np.log(total / df["count"])
-        part = _aligned(found.drop("new"), block, worth, min_similarity, key, docs.schema[key].dataType, item_type)
+        part = _aligned(found.drop("new"), block, worth, min_similarity, min_score, key, docs.schema[key].dataType,
+                        item_type)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], _schema(docs.schema[key].dataType, item_type, key))

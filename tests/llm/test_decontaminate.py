@@ -71,6 +71,17 @@ def test_frequency_drops_no_pair(spark):
     assert worth == {round(float(np.log(301 / 100)), 6)}  # documents, however often the item is listed
 
 
+def test_long_passages_of_longer_items(spark):
+    long, longer = words(71, 59, 10**6), words(72, 500, 10**6)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(longer))], "item_id long, text string")
+    texts = [long[20:48], longer[100:300], edited(" ".join(longer[:60]), 6).split(), longer[480:493], longer[480:492]]
+    docs = frame(spark, [(i, " ".join(words(i, 30) + t + words(i + 9, 30))) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in dc.contaminated(docs, bench).collect()}
+    assert {i: r.item_id for i, r in got.items()} == {0: 1, 1: 2, 2: 2, 3: 2}  # twelve words are below the score
+    assert (got[0].start_word, got[0].end_word) == (30, 58) and got[1].similarity == 0.4
+    assert {r.doc_id for r in dc.without_contaminated(docs, bench).collect()} == {4}
+
+
 def test_blocks_give_the_same_result(spark):
     rows, bench = items(spark)
     docs = frame(spark, [(i, "a b c d " + t) for i, t in rows if t])
