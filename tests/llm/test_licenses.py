@@ -63,6 +63,49 @@ def test_inheritance_from_the_nearest_directory(spark):
     assert pick(9) == (None, None, None) and pick(10)[0] == "MIT"
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    code = "\n".join(" ".join(words(k, 8)) for k in range(40))
+    narrow = "\n".join("// " + w for w in licenses.TEMPLATES["GPL-3.0"][1].split())
+    rows = [("a/gpl.py", "#!/bin/x\n#\n" + GPL_HEADER + "\n" + code), ("a/narrow.c", code + "\n" + narrow + "\n" + code),
+            ("a/none.py", code), ("b/LICENSE", MIT_FILE), ("b/notes.txt", "All rights reserved."), ("b/src/x.py", code),
+            ("c/license.py", GPL_HEADER + "\n" + code), ("c/x.py", code)]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    pick = lambda p: (got[p].license, got[p].scope, got[p].line_no, got[p].inherited_from)
+    assert pick("a/gpl.py") == ("GPL-3.0", "header", 3, None) and got["a/gpl.py"].cosine > 0.99
+    assert pick("a/narrow.c") == ("GPL-3.0", "header", 41, None) and got["a/narrow.c"].cosine > 0.99
+    assert pick("a/none.py") == (None, None, None, None)
+    assert pick("b/LICENSE")[:2] == ("MIT", "file")
+    assert pick("b/src/x.py") == ("MIT", "inherited", None, "b")
+    assert pick("c/license.py")[:2] == ("GPL-3.0", "header") and pick("c/x.py")[0] is None
+
+
 def test_edges(spark):
     docs = frame(spark, EDGES).withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     got = licenses.scan(docs).collect()
