@@ -14,8 +14,10 @@ held out and its labels are never read):
    ``lambda S - ln(K m)``, an extreme-value variate. A logistic curve then maps a
    document's evidence to the probability of the label.
 
-Scoring: a linear-time scan finds all disjoint maximal-scoring segments of a text;
-the evidence sums the normalised scores of its r best ones, for the best r.
+Scoring: a linear-time scan finds all disjoint maximal-scoring segments of a text. In a
+segment a toxic word counts once, so that mere repetition adds up to nothing, but it counts
+again in every other one: neither place nor length of the text uses words up (``passages``).
+The evidence sums the normalised scores of the r best segments, for the best r.
 
 Learning reads at most ``LEARN_ROWS`` and ``CALIBRATE_ROWS`` labelled rows, those with the
 smallest hash of their id, one per distinct text and label; scoring reads every text whole.
@@ -32,6 +34,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,16 +112,9 @@ class Scorer(dict):
         return s
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The words and their scores; a word that speaks for toxicity does so once a text, so that
-        mere repetition adds up to nothing."""
+        """The words and their scores."""
         words = _WORD.findall(text.lower())
-        scores = np.fromiter(map(self.__getitem__, words), dtype="f8", count=len(words))
-        seen = set()
-        for i in np.flatnonzero(scores > 0).tolist():
-            if words[i] in seen:
-                scores[i] = -DRIFT
-            seen.add(words[i])
-        return words, scores
+        return words, np.fromiter(map(self.__getitem__, words), dtype="f8", count=len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -157,6 +153,81 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, hi - lo) for s, e, lo, hi, _ in found]
 
 
+def _best_once(words: list[str], scores: list[float], a: int, b: int) -> tuple[int, int, float] | None:
+    """The best segment of words a to b if a word of positive score counts once in it, and as a
+    neutral one (``-DRIFT``) after that.
+
+    A start is given up when a later one does as well: it never gains on it again. The sums from
+    the starts left fall from each to the next; ``over`` holds by how much (of the last, its sum).
+    """
+    starts: list[int] = []
+    over: list[float] = []
+    last: dict[str, int] = {}
+    top, best, at = 0.0, 0.0, None
+
+    def give_up(k: int) -> None:
+        nonlocal top
+        while k >= 0 and over[k] <= 0:
+            less = over.pop(k)
+            starts.pop(k)
+            if k:
+                over[k - 1] += less
+            else:
+                top -= less
+            k -= 1
+
+    for i in range(a, b):
+        x = scores[i]
+        if x <= 0:
+            if starts:
+                over[-1] += x
+                top += x
+            continue
+        known = bisect_right(starts, last.get(words[i], -1))  # starts whose segment holds the word
+        last[words[i]] = i
+        if starts:
+            top += -DRIFT if known else x
+            over[-1] += x if known < len(starts) else -DRIFT
+            if 0 < known < len(starts):
+                over[known - 1] -= x + DRIFT
+                give_up(known - 1)
+            over[-1] -= x
+        else:
+            top = x
+        starts.append(i)
+        over.append(x)
+        give_up(len(over) - 2)
+        if len(starts) == 1:
+            top = x
+        if top > best + 1e-12:
+            best, at = top, (starts[0], i + 1, top)
+    return at
+
+
+def passages(words: list[str], scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """Disjoint segments (start, end, score) in which a word of positive score counts once: the
+    best one, then the same on both sides of it.
+
+    All beginnings and ends of such a segment have positive sums, also with every word counted
+    each time, so that it lies inside one of ``segments``.
+    """
+    out = []
+    plain: list[float] = []
+    for i, j, x in segments(scores):
+        up = [words[k] for k in (np.flatnonzero(scores[i:j] > 0) + i).tolist()]
+        if len(set(up)) == len(up):
+            out.append((i, j, x))
+            continue
+        plain = plain or scores.tolist()
+        work = [(i, j)]
+        while work:
+            a, b = work.pop()
+            if found := _best_once(words, plain, a, b):
+                out.append(found)
+                work += [r for r in ((a, found[0]), (found[1], b)) if r[0] < r[1]]
+    return sorted(out)
+
+
 def evidence(segs: list[tuple[int, int, float]], n: int, model: Model) -> float:
     """Sum of the normalised scores of the r best segments, for the best r; every segment
     after the first is charged ln 2 for the choice of r."""
@@ -274,7 +345,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
         for batch in batches:
             for t in batch["text"]:
                 words, s = scorer.tokens(t)
-                if top := max((x for *_, x in segments(s)), default=0.0):
+                if top := max((x for *_, x in passages(words, s)), default=0.0):
                     n += 1
                     total += lam * top - math.log(max(len(words), 2))
         yield pd.DataFrame({"n": [n], "x": [total]})
@@ -288,7 +359,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
         m = Model(**again.value)
         scorer = Scorer(m)
         for batch in batches:
-            e = [evidence(segments(s), len(w), m) for w, s in map(scorer.tokens, batch["text"])]
+            e = [evidence(passages(w, s), len(w), m) for w, s in map(scorer.tokens, batch["text"])]
             yield pd.DataFrame({"bin": np.round(np.array(e) / BIN).astype("i8"), "y": batch["_toxic"].astype("i8")})
 
     points = (sample.mapInPandas(bins, "bin long, y long").groupBy("bin", "y").count().toPandas())  # bounded by the bins
@@ -347,7 +418,7 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> Column:
                     rows.append((m.rate, LEAST, []))
                     continue
                 words, s = scorer.tokens(t)
-                segs = segments(s)
+                segs = passages(words, s)
                 e = evidence(segs, len(words), m)
                 limit = (m.ln_k + math.log(max(len(words), 2)) - math.log(PASSAGE_E)) / m.lam
                 good = [x for x in segs if x[2] >= limit]

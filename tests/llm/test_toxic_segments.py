@@ -35,6 +35,42 @@ def test_segments_equal_the_definition():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(x)]
 
 
+def brute_passages(w, x):
+    """The best segment in which a positive word counts once, then the same on both sides."""
+    best, at = 1e-12, None
+    for i in range(len(x)):
+        total, seen = 0.0, set()
+        for j in range(i, len(x)):
+            total += -ts.DRIFT if w[j] in seen else x[j]
+            if x[j] > 0:
+                seen.add(w[j])
+            if total > best + 1e-12:
+                best, at = total, (i, j + 1)
+    if at is None:
+        return []
+    i, j = at
+    right = [(a + j, b + j) for a, b in brute_passages(w[j:], x[j:])]
+    return brute_passages(w[:i], x[:i]) + [at] + right
+
+
+def test_passages_equal_the_definition():
+    rnd = random.Random(3)
+    for _ in range(1500):
+        known = {f"w{k}": rnd.choice([-1.7, -0.6, -0.2, 0.9, 2.3, 4.2]) + rnd.random() * 1e-3 for k in range(7)}
+        w = [rnd.choice(sorted(known)) for _ in range(rnd.randrange(25))]
+        x = [known[k] for k in w]
+        assert [(a, b) for a, b, _ in ts.passages(w, np.array(x))] == brute_passages(w, x)
+
+
+def test_words_are_not_used_up_by_earlier_ones():
+    score = lambda w: {"a": 3.0, "b": 3.1, "c": 2.9}.get(w, -0.4)
+    rest = ["x"] * 40
+    text = ["a"] + rest + ["b"] + rest + ["c"] + rest + ["a", "b", "c"] + rest + ["c", "a", "b"] + rest
+    got = ts.passages(text, np.array([score(w) for w in text]))
+    assert [round(s, 6) for *_, s in got] == [3.0, 3.1, 2.9, 9.0, 9.0]
+    assert max(s for *_, s in ts.passages(["a"] * 50, np.full(50, 3.0))) == 3.0  # repetition adds nothing
+
+
 def test_rate_solves_its_equation():
     hist = {-10: 900, 40: 30, 60: 2}
     lam = ts._rate_of(hist)
