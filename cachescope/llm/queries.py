@@ -12,14 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, pii_bootstrap, rendezvous, rule_ledger, token_files,
-               toxic_segments)
+from . import (decontaminate, licenses, line_dedup, mixing, ngram_join, packing, phrases, pii_bootstrap, rendezvous,
+               rule_ledger, token_files, toxic_segments, whitening)
 from .common import documents, table
 
-#: File name of the tokenizer of operator 1; its folder is found through the tokenizer package.
+#: File name of the tokenizer of operators 1 and 13; its folder is found through the tokenizer package.
 TOKENIZER = "word_bpe_49k.json"
 #: Id that ends a document in the token files.
 END_ID = 2
+#: Id that ends a document in the packed sequences.
+PACK_END_ID = 1
 #: Shards of operator 4.
 SHARDS = 16
 
@@ -86,7 +88,7 @@ WITH words AS (
   SELECT doc_id, count(DISTINCT q) AS n_repeat_words
   FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY doc_id
 ), measured AS (
-  SELECT w.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
          coalesce(l.n_lines, 0) AS n_lines, length(regexp_replace(w.text, '[^0-9]', '', 'g')) AS n_digits,
@@ -182,6 +184,62 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?
+-]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p
+        FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+), counted AS (
+  SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(n)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM counted WHERE n >= 30
+), halves AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.a AS l, y.a AS r,
+         (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM often WHERE k >= 2) c
+  JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+), lowest AS (
+  SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), absorbed AS (
+  SELECT DISTINCT s.lang, s.phrase
+  FROM (SELECT lang, k, a, array_to_string(w[p:p + m - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS p
+              FROM often, (SELECT unnest([2, 3]) AS m) WHERE k >= 3 AND m < k)) g
+  JOIN often s ON s.lang = g.lang AND s.phrase = g.phrase
+  WHERE 100::HUGEINT * g.a >= 80::HUGEINT * s.a
+), ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank
+  FROM lowest c ANTI JOIN absorbed d ON c.lang = d.lang AND c.phrase = d.phrase
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path(), PACK_END_ID, keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -193,10 +251,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op6_rule_ledger": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_phrase_mining": OP11_SQL,
 }

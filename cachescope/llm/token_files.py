@@ -21,6 +21,8 @@ ends a token of this kind of vocabulary (words with ends, white space dropped),
 ids of a text are the ids of its words one after another. Each worker process remembers
 the ids of words it has seen (at most ``CACHE_WORDS``), which saves most of the work on
 natural text. ``tests/llm`` holds the result against the library's own whole texts.
+Special tokens whose string stands in a text become what the library makes of them by
+default, their own id; ``plain_specials`` takes the string as ordinary text instead.
 
 Defined cases: null text is empty (only the end id); a null document id sorts first
 (and is kept as null); rows that share an id are ordered by the hash of their text;
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_parts
+from .common import scratch_path, shuffle_parts, slices
 
 #: Words whose ids a worker process remembers, twice over (about 200 bytes each).
 CACHE_WORDS = 500_000
@@ -51,14 +53,17 @@ READ_DOCS = 20_000
 class WordEncoder(dict):
     """Text to id bytes through a tokenizer file: a dict of words seen that learns others."""
 
-    def __init__(self, path: str, width: int, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, width: int, limit: int = CACHE_WORDS, plain_specials: bool = False):
         import re
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = plain_specials
+        # a text that may hold a special token is left to the library as a whole
+        self.special = [] if plain_specials else [
+            t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.code, self.limit = {2: "H", 4: "I"}[width], limit
         # str.split() also parts at these; the tokenizer doesn't
         self.odd = re.compile("[\x1c-\x1f]")
@@ -96,21 +101,22 @@ class WordEncoder(dict):
         return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._whole(t) if self.odd.search(t) else b"".join(map(self.__getitem__, t.split()))
-                for t in texts]
+        whole = lambda t: self.odd.search(t) or any(s in t for s in self.special)
+        return [self._whole(t) if whole(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
-def encoder(path: str, width: int) -> WordEncoder:
+def encoder(path: str, width: int, plain_specials: bool = False) -> WordEncoder:
     """The worker process's encoder for a tokenizer file (kept between tasks)."""
+    name = (path, width, plain_specials)
     kept = sys.modules["tokenizers"].__dict__.setdefault("_cachescope_encoders", {}) \
         if "tokenizers" in sys.modules else {}
-    if (path, width) not in kept:
+    if name not in kept:
         import tokenizers
 
-        made = WordEncoder(path, width)
+        made = WordEncoder(path, width, plain_specials=plain_specials)
         kept = tokenizers.__dict__.setdefault("_cachescope_encoders", {})
-        kept[path, width] = made
-    return kept[path, width]
+        kept[name] = made
+    return kept[name]
 
 
 def _fs(uri: str):
@@ -152,7 +158,8 @@ def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2,
-                 key: str = "doc_id", text: str = "text") -> list[tuple[int, int, int]]:
+                 key: str = "doc_id", text: str = "text",
+                 plain_specials: bool = False) -> list[tuple[int, int, int]]:
     """Write the data set; returns (shard, documents, base) of each shard, in order.
 
     ``width`` is the bytes of an id: 2 for vocabularies up to 65,536, else 4. What comes
@@ -172,13 +179,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard = TaskContext.get().partitionId()
-        enc = encoder(tokenizer, width)
+        enc = encoder(tokenizer, width, plain_specials)
         end = np.asarray([end_id], dtype=f"<u{width}").tobytes()
         files, n_docs, n_ids = None, 0, 0
         for batch in batches:
             texts, ids, none = batch["text"].tolist(), batch["id"].to_numpy("<i8"), batch["none"].to_numpy("u1")
             at = 0
-            for run in _slices(texts, 256, 1 << 20):
+            for run in slices(texts, 256, 1 << 20):
                 files = files or [_Put(folder, f"{k}-{shard:05d}.bin") for k in ("ids", "docs", "nulls", "lengths")]
                 coded = enc.encode(run)
                 part = slice(at, at + len(run))
@@ -246,15 +253,9 @@ def read_tokens(spark: SparkSession, folder: str, shards: list[tuple[int, int, i
     return rows.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
-def _slices(texts, max_rows, max_chars):
-    from .common import slices
-
-    return slices(texts, max_rows, max_chars)
-
-
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2,
-                      folder: str | None = None) -> DataFrame:
+                      folder: str | None = None, **params) -> DataFrame:
     """Write ``docs`` as token files and return what the files say of every document."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    return read_tokens(spark, folder, write_tokens(docs, folder, tokenizer, end_id, width), width)
+    return read_tokens(spark, folder, write_tokens(docs, folder, tokenizer, end_id, width, **params), width)

@@ -9,7 +9,7 @@ from cachescope.llm.queries import END_ID, tokenizer_path
 from .helpers import EDGES, edges, empty
 
 TRICKY = ["a.,b. it's don't I'M x.y, 3,4. é́. İstanbul ΣΣ. end.", "", "  ", "<|endoftext|> hi",
-          "x\x1cy a.\x1cb", "K Kelvin. ẞ", "日本語、テキスト a, b", "\x01\x02 q", "word.́ x",
+          "x\x1cy a.\x1cb", "K Kelvin. ẞ", "日本語、テキスト a, b", "\x01\x02 q", "word.́ x", "a <|startoftext|> b", "c<|ENDOFTEXT|>",
           "'s 're. a's, b 'll", "Straße, ÉCOLE!! École;; ªºµ x×y «é»", "tab\tnew\nline\x0bvt\x0cff\rcr", "a b c​d"]
 
 
@@ -18,12 +18,18 @@ def library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t, add_special_tokens=False).ids
 
 
-def test_encoder_equals_the_library(library):
-    enc = token_files.WordEncoder(tokenizer_path(), 2, limit=5)
+@pytest.mark.parametrize("plain", [False, True])
+def test_encoder_equals_the_library(plain):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.encode_special_tokens = plain
+    library = lambda t: tok.encode(t, add_special_tokens=False).ids
+    assert len(library("a <|startoftext|> b")) == (9 if plain else 3)
+    enc = token_files.WordEncoder(tokenizer_path(), 2, limit=5, plain_specials=plain)
     for text in TRICKY + TRICKY:
         assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == library(text), text
 
