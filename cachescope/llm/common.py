@@ -81,23 +81,37 @@ FILTER_BITS = 1 << 26
 
 
 def filter_of(keys: DataFrame, column: str):
-    """A Bloom filter of the 64-bit hashes in ``column``: an array of FILTER_BITS bits."""
+    """A Bloom filter of the 64-bit hashes in ``column``: an array of FILTER_BITS bits.
+
+    Its 32-bit words are put together in Spark and reach the driver packed, a few rows of
+    bytes from each task and 16 MB in all, whatever the number of keys.
+    """
     import numpy as np
 
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_pydict({
+                    "w": pa.array([b.column(0).to_numpy(zero_copy_only=False).astype("<u4").tobytes()], pa.binary()),
+                    "b": pa.array([b.column(1).to_numpy(zero_copy_only=False).astype("<u4").tobytes()], pa.binary())})
+
     k = F.col(column)
     places = F.explode(F.array(F.pmod(k, F.lit(FILTER_BITS)), F.pmod(F.shiftright(k, 31), F.lit(FILTER_BITS))))
     got = (keys.select(places.alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
            .agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(p, 32)))")).alias("b"))
-           .toPandas())  # at most FILTER_BITS / 32 rows
+           .mapInArrow(pack, "w binary, b binary"))
     words = np.zeros(FILTER_BITS // 32, dtype="u4")
-    words[got["w"].to_numpy("i8")] = got["b"].to_numpy("i8").astype("u4")
+    for r in got.collect():  # at most FILTER_BITS / 32 words
+        words[np.frombuffer(bytes(r.w), "<u4")] = np.frombuffer(bytes(r.b), "<u4")
     return words
 
 
 def passes(words, x):
     """Which of the hashes ``x`` (signed 64-bit array) may be in the filter."""
     hit = True
-    for p in (x % FILTER_BITS, (x >> 31) % FILTER_BITS):
+    for p in (x & (FILTER_BITS - 1), (x >> 31) & (FILTER_BITS - 1)):
         hit = hit & (words[p >> 5] >> (p & 31).astype("u4") & 1).astype(bool)
     return hit
 

@@ -20,7 +20,9 @@ Phrases are 2 to 4 words in a row inside a piece of text; everything is per lang
 
 The proposal reaches the tasks as a filter of fixed size (8 MB): a phrase that passes it by
 chance is counted like any other, so the filter costs time at most. Counts are combined in
-the tasks by exact numbers of words, then in Spark by the words themselves.
+the tasks by exact numbers of words, then in Spark by 126-bit hashes (no collision is
+expected at 10^12 phrases), so that what is shuffled of the border is narrow; a last scan
+spells the frequent phrases out.
 
 Defined cases: null text is empty, null language is ``und``; A-Z are lower-cased, other
 letters stay; texts without words count nothing; a very long text is worked off in parts
@@ -31,7 +33,6 @@ are ignored.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,8 @@ ABSORB = 80
 TOP = 2000
 #: Scores are this times a / (l + r).
 SCORE_UNIT = 2_000_000
-#: Bytes of text that are counted together, and words whose numbers a task remembers.
-RUN_BYTES, CACHE_WORDS = 16 << 20, 1_000_000
+#: Bytes of text that are counted together.
+RUN_BYTES = 16 << 20
 #: Groups in which the best of a language are picked first.
 PICK_GROUPS = 64
 
@@ -63,23 +64,8 @@ _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD = bytes.maketrans(_CAPITALS + _ENDS + _BLANKS, _CAPITALS.lower() + b"\n" * len(_ENDS) + b" " * len(_BLANKS))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
-_COUNTS = "lang string, k int, phrase binary, h long, n long"
-
-
-class Vocabulary(dict):
-    """Numbers of words: 0 is the end of a piece, -1 no word; with the words' hashes."""
-
-    def __init__(self):
-        super().__init__({b"": -1, b"\n": 0})
-        self.words, self.hashes = [b"\n"], array("Q", [0])
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return n
+_COUNTS = "a long, b long, n long"
+_NAMES = "a long, b long, lang string, k int, phrase binary, n long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,32 +73,61 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _numbered(text: bytes, vocab: Vocabulary) -> np.ndarray:
-    """Word numbers of a folded text, with a 0 wherever a piece ends."""
-    parts = text.replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter(map(vocab.__getitem__, parts), dtype="i4", count=len(parts))
-    return ids[ids >= 0]
+class Words:
+    """A folded text as word numbers (0 where a piece ends), with the words and their hashes."""
 
+    def __init__(self, text: bytes):
+        import xxhash
 
-def occurring(ids: np.ndarray, hashes: np.ndarray, seed: int, levels: range, new: np.ndarray | None,
-              old: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, positions, hashes, counts) of the different phrases of k words to be counted.
+        parts = pc.split_pattern(pa.array([text.replace(b"\n", b" \n ")], pa.binary()), pattern=" ").flatten()
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = np.arange(1, len(words) + 1, dtype="i8")
+        for word, n in ((b"\n", 0), (b"", -1)):
+            if word in words:
+                number[words.index(word)] = n
+        ids = number[coded.indices.to_numpy()]
+        self.ids = ids[ids >= 0]
+        self.words = pa.concat_arrays([pa.array([b"\n"], pa.binary()), coded.dictionary])
+        digests = b"\0" * 16 + b"".join([xxhash.xxh3_128_digest(w) for w in words])
+        self.hashes = np.frombuffer(digests, dtype=">u8").astype("u8").reshape(-1, 2)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each key's value, a place of each value, count of each value)."""
+    coded = pa.array(key).dictionary_encode()
+    number, n = coded.indices.to_numpy(), len(coded.dictionary)
+    place = np.empty(n, dtype="i8")
+    place[number] = np.arange(len(key))
+    return number, place, np.bincount(number, minlength=n)
+
+
+def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old: np.ndarray | None,
+              spell: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, positions, hashes a, hashes b, counts) of the different phrases of k words to be
+    counted; the two low bits of b are k - 1.
 
     Words are always counted (where ``levels`` has 1). Longer phrases are if both parts, all
     of whose own parts pass the filter ``new``, pass it; those that ``old`` had let through
-    in the same way are left out.
+    in the same way are left out. With ``spell`` it is the phrases that pass ``new`` themselves.
     """
-    inner, size = ids > 0, len(hashes)
-    g = _mixed(hashes[ids] ^ np.uint64(seed))
-    num = ids.astype("i8")
+    ids, size = text.ids, len(text.hashes)
+    inner = ids > 0
+    ga, gb = (_mixed(text.hashes[ids, i] ^ np.uint64(seed)) for i in (0, 1))
+    num = ids
+    ok = inner if new is None else inner & passes(new, ga.view("i8"))
+    was = inner & passes(old, ga.view("i8")) if old is not None else None
+
+    def named(k, p, a, b, count):
+        return k, p, a.view("i8"), (b & ~np.uint64(3) | np.uint64(k - 1)).view("i8"), count
+
     if 1 in levels:
-        at = np.flatnonzero(inner)
-        _, first, count = np.unique(num[at], return_index=True, return_counts=True)
-        yield 1, at[first], g[at[first]], count
+        at = np.flatnonzero(ok if spell else inner)
+        _, place, count = _distinct(num[at])
+        p = at[place]
+        yield named(1, p, ga[p], gb[p], count)
     if new is None:
         return
-    ok = inner & passes(new, g.view("i8"))
-    was = inner & passes(old, g.view("i8")) if old is not None else None
     for k in range(2, levels.stop):
         m = len(ids) - k + 1
         p = np.flatnonzero(ok[:m] & ok[1:m + 1]) if m > 0 else []
@@ -120,18 +135,21 @@ def occurring(ids: np.ndarray, hashes: np.ndarray, seed: int, levels: range, new
             return
         last = ids[p + k - 1]
         # the phrase's number: its first words' number and the last word's, exactly
-        _, first, inverse, count = np.unique(num[p] * size + last, return_index=True, return_inverse=True,
-                                             return_counts=True)
-        gk = _mixed(g[p] * np.uint64(_MIX[0]) ^ hashes[last])
-        done = was[p] & was[p + 1] if was is not None else np.zeros(len(p), dtype=bool)
+        number, place, count = _distinct(num[p] * size + last)
+        a = _mixed(ga[p] * np.uint64(_MIX[0]) ^ text.hashes[last, 0])
+        b = _mixed(gb[p] * np.uint64(_MIX[0]) ^ text.hashes[last, 1])
+        through = passes(new, a.view("i8"))
+        done = was[p] & was[p + 1] if was is not None else None
         if k in levels:
-            fresh = first[~done[first]]
-            yield k, p[fresh], gk[fresh], count[~done[first]]
-        g, num, ok = np.zeros(m, "u8"), np.zeros(m, "i8"), np.zeros(m, dtype=bool)
-        g[p], num[p], ok[p] = gk, inverse, passes(new, gk.view("i8"))
+            take = through if spell else True if done is None else ~done
+            keep = np.ones(len(place), dtype=bool) & (take if take is True else take[place])
+            at = place[keep]
+            yield named(k, p[at], a[at], b[at], count[keep])
+        ga, gb, num, ok = np.zeros(m, "u8"), np.zeros(m, "u8"), np.zeros(m, "i8"), np.zeros(m, dtype=bool)
+        ga[p], gb[p], num[p], ok[p] = a, b, number, through
         if was is not None:
             was = np.zeros(m, dtype=bool)
-            was[p] = done & passes(old, gk.view("i8"))
+            was[p] = done & passes(old, a.view("i8"))
 
 
 def _parts(text: bytes, limit: int) -> Iterator[bytes]:
@@ -148,30 +166,38 @@ def _parts(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def _counter(levels: range, new, old, run_bytes: int):
-    """A function for mapInArrow that counts the phrases of (lang, text as bytes)."""
-    def flushed(held: dict[str, list[bytes]], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _spelt(lang: str, text: Words, found) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in _NAMES.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in (
+        (0, pa.int64()), (0, pa.int64()), (lang, pa.string()), (0, pa.int32()), (b"", pa.binary()),
+        (int((text.ids > 0).sum()), pa.int64()))], names=names)
+    for k, p, a, b, _ in found:
+        words = [text.words.take(pa.array(text.ids[p + i])) for i in range(k)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.repeat(pa.scalar(lang), len(p)), pa.array(np.full(len(p), k, "i4")),
+             pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())), pa.array(np.zeros(len(p), "i8"))], names=names)
+
+
+def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
+    """A function for mapInArrow over (lang, text as bytes): counts of the phrases that
+    ``occurring`` names, or with ``spell`` their words, and the number of all words."""
+    def flushed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for lang, texts in held.items():
-            ids = _numbered(b"\n".join(texts), vocab)
-            if not len(ids):
+            text = Words(b"\n".join(texts))
+            if not len(text.ids):
+                continue
+            found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell)
+            if spell:
+                yield from _spelt(lang, text, found)
                 continue
-            hashes = np.array(vocab.hashes, dtype="u8")
-            words = pa.array(vocab.words, pa.binary())
-            rows = [] if 1 not in levels else [(0, pa.array([b""], pa.binary()), [0], [int((ids > 0).sum())])]
-            for k, p, h, n in occurring(ids, hashes, xxhash.xxh64_intdigest(lang.encode()), levels,
-                                        new and new.value, old and old.value):
-                spelt = [words.take(pa.array(ids[p + i])) for i in range(k)]
-                rows.append((k, pc.binary_join_element_wise(*spelt, pa.scalar(b" ", pa.binary())), h.view("i8"), n))
-            for k, phrase, h, n in rows:
-                if len(phrase):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(phrase), pa.string()), pa.array(np.full(len(phrase), k, "i4")), phrase,
-                         pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["lang", "k", "phrase", "h", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held, size = Vocabulary(), {}, 0
+            for _, _, a, b, n in found:
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype("i8"))], names=["a", "b", "n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
@@ -179,21 +205,31 @@ def _counter(levels: range, new, old, run_bytes: int):
                     held.setdefault(lang, []).append(part)
                     size += len(part) + 1
                     if size >= run_bytes:
-                        yield from flushed(held, vocab)
+                        yield from flushed(held)
                         held, size = {}, 0
-                        if len(vocab) > CACHE_WORDS:
-                            vocab = Vocabulary()
-        yield from flushed(held, vocab)
+        yield from flushed(held)
 
-    return count
+    return scan
 
 
 def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(lang, k, phrase, h, n): counts of the phrases that ``occurring`` names, from ``least``
-    on; with words, also all words of a language as phrase of no words."""
-    found = texts.mapInArrow(_counter(levels, new, old, run_bytes), _COUNTS)
-    return (found.groupBy("lang", "k", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("n"))
-            .where((F.col("n") >= least) | (F.col("k") == 0)))
+    """(a, b, n): counts of the phrases that ``occurring`` names, from ``least`` on."""
+    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes), _COUNTS)
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _length(b: str) -> Column:
+    return F.col(b).bitwiseAND(F.lit(3).cast("bigint")) + 1
+
+
+def spelt(texts: DataFrame, found: DataFrame, max_words: int = MAX_WORDS, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(lang, k, phrase, n): ``found`` with its words, and all words of a language (k = 0)."""
+    shared = texts.sparkSession.sparkContext.broadcast(filter_of(found, "a"))
+    names = texts.mapInArrow(_scanner(range(1, max_words + 1), shared, None, run_bytes, spell=True), _NAMES)
+    # once each; words that pass the filter by chance find no count
+    once = names.groupBy("a", "b", "lang", "k", "phrase").agg(F.sum("n").alias("total"))
+    return (once.join(found, ["a", "b"], "left").where("n is not null or k = 0")
+            .select("lang", "k", "phrase", F.coalesce("n", "total").alias("n")))
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -210,33 +246,30 @@ def proposal(texts: DataFrame, share: float = SAMPLE, min_count: int = MIN_COUNT
     have: np.ndarray | None = None
     for k in range(1, max_words):  # what is proposed of the longest has no extension to let through
         shared = None if have is None else spark.sparkContext.broadcast(have)
-        level = counts(sample, range(k, k + 1), least, new=shared, run_bytes=run_bytes).where("k > 0")
-        found = filter_of(level, "h")
-        if k > 1 and not found.any():
-            break
+        found = filter_of(counts(sample, range(k, k + 1), least, new=shared, run_bytes=run_bytes), "a")
         have = found if have is None else have | found
     return have
 
 
 def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
              run_bytes: int = RUN_BYTES, passes_log: list | None = None) -> DataFrame:
-    """(lang, k, phrase, h, n): every phrase of at most ``max_words`` words with ``min_count``
-    occurrences, and all words of a language (k = 0). Exact whatever ``proposed`` holds.
-
-    ``passes_log`` takes the number of border failures of every scan.
-    """
+    """(a, b, n): every phrase of at most ``max_words`` words with ``min_count`` occurrences,
+    exact whatever ``proposed`` holds. ``passes_log`` takes the number of border failures of
+    every scan."""
+    if not 2 <= max_words <= 4:
+        raise ValueError("phrases have 2 to 4 words at most")
     sc = texts.sparkSession.sparkContext
     now = sc.broadcast(proposed)
     all_found = found = written(counts(texts, range(1, max_words + 1), min_count, new=now, run_bytes=run_bytes), "phrases")
     while True:
         known = F.pandas_udf(_known(now), "boolean")
-        failures = written(found.where(F.col("k").between(1, max_words - 1)).where(~known(F.col("h"))).select("h"), "failures")
+        failures = written(found.where(_length("b") < max_words).where(~known(F.col("a"))).select("a"), "failures")
         n = failures.count()
         if passes_log is not None:
             passes_log.append(n)
         if not n:
             return all_found
-        was, now = now, sc.broadcast(now.value | filter_of(failures, "h"))
+        was, now = now, sc.broadcast(now.value | filter_of(failures, "a"))
         found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes), "phrases")
         all_found = all_found.unionByName(found)
 
@@ -292,7 +325,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     score, falling count, then the phrase's bytes."""
     texts = _texts(docs, text, lang)
     proposed = proposal(texts, share, min_count, max_words=max_words, run_bytes=run_bytes)
-    found = frequent(texts, proposed, min_count, max_words, run_bytes, passes_log)
+    found = written(spelt(texts, frequent(texts, proposed, min_count, max_words, run_bytes, passes_log),
+                          max_words, run_bytes), "spelt")
     rows = (scored(found, min_count, max_words)
             .join(absorbed(found, max_words, absorb), ["lang", "phrase"], "left_anti"))
     order = [F.col("score").desc(), F.col("a").desc(), "phrase"]

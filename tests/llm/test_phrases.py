@@ -67,11 +67,11 @@ def test_equals_brute_force(spark, seed, top, run_bytes):
 def test_closed_whatever_the_sample_proposes(spark, proposed):
     rows = corpus(5, 200, 40, 50)
     texts = ph._texts(frame(spark, rows), "text", "lang")
-    nothing = np.zeros(ph.filter_of(texts.where("false").select(F.lit(1).cast("long").alias("h")), "h").shape, "u4")
+    nothing = np.zeros(ph.filter_of(texts.where("false").select(F.lit(1).cast("long").alias("a")), "a").shape, "u4")
     have = {"nothing": nothing, "everything": ~nothing,
-            "words": ph.filter_of(ph.counts(texts, range(1, 2), 1), "h")}[proposed]
+            "words": ph.filter_of(ph.counts(texts, range(1, 2), 1), "a")}[proposed]
     log = []
-    got = ph.frequent(texts, have, passes_log=log)
+    got = ph.spelt(texts, ph.frequent(texts, have, passes_log=log))
     assert log[-1] == 0 and len(log) == {"nothing": 4, "words": 3, "everything": 1}[proposed]
     f = Counter()
     for text, lang in rows:
@@ -87,8 +87,8 @@ def test_closed_whatever_the_sample_proposes(spark, proposed):
 
 def test_scores_beyond_64_bits(spark):
     big = 9 * 10**18
-    found = spark.createDataFrame([("en", 1, b"a", 0, big), ("en", 1, b"b", 0, big), ("en", 2, b"a b", 0, big - 7)],
-                                  "lang string, k int, phrase binary, h long, n long")
+    found = spark.createDataFrame([("en", 1, b"a", big), ("en", 1, b"b", big), ("en", 2, b"a b", big - 7)],
+                                  "lang string, k int, phrase binary, n long")
     r = ph.scored(found).first()
     assert r.score == 2_000_000 * (big - 7) // (2 * big) and ph.absorbed(found).collect() == []
 
