@@ -20,9 +20,8 @@ Phrases are 2 to 4 words in a row inside a piece of text; everything is per lang
 
 The proposal reaches the tasks as a filter of fixed size (8 MB): a phrase that passes it by
 chance is counted like any other, so the filter costs time at most. Counts are combined in
-the tasks by exact numbers of words, then in Spark by 126-bit hashes (no collision is
-expected at 10^12 phrases), so that what is shuffled of the border is narrow; a last scan
-spells the frequent phrases out.
+the tasks, then in Spark, by 94-bit hashes (no collision is expected at 10^12 phrases), so
+that what is shuffled of the border is narrow; a last scan spells the frequent phrases out.
 
 Defined cases: null text is empty, null language is ``und``; A-Z are lower-cased, other
 letters stay; texts without words count nothing; a very long text is worked off in parts
@@ -54,7 +53,9 @@ TOP = 2000
 #: Scores are this times a / (l + r).
 SCORE_UNIT = 2_000_000
 #: Bytes of text that are counted together.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
+#: Rows that leave a task at a time.
+OUT_ROWS = 1 << 16
 #: Groups in which the best of a language are picked first.
 PICK_GROUPS = 64
 
@@ -64,8 +65,8 @@ _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOLD = bytes.maketrans(_CAPITALS + _ENDS + _BLANKS, _CAPITALS.lower() + b"\n" * len(_ENDS) + b" " * len(_BLANKS))
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
-_COUNTS = "a long, b long, n long"
-_NAMES = "a long, b long, lang string, k int, phrase binary, n long"
+_COUNTS = "a long, b int, n long"
+_NAMES = "a long, b int, lang string, k int, phrase binary, n long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,16 +91,19 @@ class Words:
         self.ids = ids[ids >= 0]
         self.words = pa.concat_arrays([pa.array([b"\n"], pa.binary()), coded.dictionary])
         digests = b"\0" * 16 + b"".join([xxhash.xxh3_128_digest(w) for w in words])
-        self.hashes = np.frombuffer(digests, dtype=">u8").astype("u8").reshape(-1, 2)
+        self.hashes = np.frombuffer(digests, dtype=">u8").astype("u8").reshape(-1, 2).T.copy()
 
 
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each key's value, a place of each value, count of each value)."""
-    coded = pa.array(key).dictionary_encode()
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different pair of hashes, its count)."""
+    coded = pa.array(a).dictionary_encode()
     number, n = coded.indices.to_numpy(), len(coded.dictionary)
     place = np.empty(n, dtype="i8")
-    place[number] = np.arange(len(key))
-    return number, place, np.bincount(number, minlength=n)
+    place[number] = np.arange(len(a))
+    if (b == b[place][number]).all():
+        return place, np.bincount(number, minlength=n)
+    _, place, count = np.unique(np.stack([a, b]), axis=1, return_index=True, return_counts=True)
+    return place, count
 
 
 def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old: np.ndarray | None,
@@ -111,21 +115,19 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
     of whose own parts pass the filter ``new``, pass it; those that ``old`` had let through
     in the same way are left out. With ``spell`` it is the phrases that pass ``new`` themselves.
     """
-    ids, size = text.ids, len(text.hashes)
+    ids = text.ids
     inner = ids > 0
-    ga, gb = (_mixed(text.hashes[ids, i] ^ np.uint64(seed)) for i in (0, 1))
-    num = ids
+    ga, gb = (_mixed(h[ids] ^ np.uint64(seed)) for h in text.hashes)
     ok = inner if new is None else inner & passes(new, ga.view("i8"))
     was = inner & passes(old, ga.view("i8")) if old is not None else None
 
-    def named(k, p, a, b, count):
-        return k, p, a.view("i8"), (b & ~np.uint64(3) | np.uint64(k - 1)).view("i8"), count
+    def named(k, p, a, b):
+        place, count = _distinct(a, b)
+        return k, p[place], a[place].view("i8"), (b[place] >> np.uint64(32) << np.uint64(2) | np.uint64(k - 1)).astype("u4").view("i4"), count
 
     if 1 in levels:
-        at = np.flatnonzero(ok if spell else inner)
-        _, place, count = _distinct(num[at])
-        p = at[place]
-        yield named(1, p, ga[p], gb[p], count)
+        p = np.flatnonzero(ok if spell else inner)
+        yield named(1, p, ga[p], gb[p])
     if new is None:
         return
     for k in range(2, levels.stop):
@@ -134,22 +136,20 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
         if not len(p):
             return
         last = ids[p + k - 1]
-        # the phrase's number: its first words' number and the last word's, exactly
-        number, place, count = _distinct(num[p] * size + last)
-        a = _mixed(ga[p] * np.uint64(_MIX[0]) ^ text.hashes[last, 0])
-        b = _mixed(gb[p] * np.uint64(_MIX[0]) ^ text.hashes[last, 1])
-        through = passes(new, a.view("i8"))
+        a = _mixed(ga[p] * np.uint64(_MIX[0]) ^ text.hashes[0][last])
+        b = _mixed(gb[p] * np.uint64(_MIX[0]) ^ text.hashes[1][last])
         done = was[p] & was[p + 1] if was is not None else None
+        through = passes(new, a.view("i8")) if spell or k + 1 < levels.stop else None
         if k in levels:
-            take = through if spell else True if done is None else ~done
-            keep = np.ones(len(place), dtype=bool) & (take if take is True else take[place])
-            at = place[keep]
-            yield named(k, p[at], a[at], b[at], count[keep])
-        ga, gb, num, ok = np.zeros(m, "u8"), np.zeros(m, "u8"), np.zeros(m, "i8"), np.zeros(m, dtype=bool)
-        ga[p], gb[p], num[p], ok[p] = a, b, number, through
-        if was is not None:
-            was = np.zeros(m, dtype=bool)
-            was[p] = done & passes(old, a.view("i8"))
+            take = through if spell else slice(None) if done is None else ~done
+            if len(p[take]):
+                yield named(k, p[take], a[take], b[take])
+        if k + 1 < levels.stop:
+            ga, gb, ok = np.zeros(m, "u8"), np.zeros(m, "u8"), np.zeros(m, dtype=bool)
+            ga[p], gb[p], ok[p] = a, b, through
+            if was is not None:
+                was = np.zeros(m, dtype=bool)
+                was[p] = done & passes(old, a.view("i8"))
 
 
 def _parts(text: bytes, limit: int) -> Iterator[bytes]:
@@ -169,7 +169,7 @@ def _parts(text: bytes, limit: int) -> Iterator[bytes]:
 def _spelt(lang: str, text: Words, found) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _NAMES.split(", ")]
     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in (
-        (0, pa.int64()), (0, pa.int64()), (lang, pa.string()), (0, pa.int32()), (b"", pa.binary()),
+        (0, pa.int64()), (0, pa.int32()), (lang, pa.string()), (0, pa.int32()), (b"", pa.binary()),
         (int((text.ids > 0).sum()), pa.int64()))], names=names)
     for k, p, a, b, _ in found:
         words = [text.words.take(pa.array(text.ids[p + i])) for i in range(k)]
@@ -193,8 +193,10 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
                 yield from _spelt(lang, text, found)
                 continue
             for _, _, a, b, n in found:
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype("i8"))], names=["a", "b", "n"])
+                for at in range(0, len(n), OUT_ROWS):
+                    part = slice(at, at + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(n[part].astype("i8"))],
+                                                     names=["a", "b", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -219,7 +221,7 @@ def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_
 
 
 def _length(b: str) -> Column:
-    return F.col(b).bitwiseAND(F.lit(3).cast("bigint")) + 1
+    return F.col(b).bitwiseAND(F.lit(3)) + 1
 
 
 def spelt(texts: DataFrame, found: DataFrame, max_words: int = MAX_WORDS, run_bytes: int = RUN_BYTES) -> DataFrame:

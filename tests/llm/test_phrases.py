@@ -108,3 +108,9 @@ def test_ties_and_repeated_rows(spark):
     rows = [("b a. A b, c d", "en")] * 30 + [("c d", "en")] * 5
     got = [tuple(r) for r in ph.collocations(frame(spark, rows)).collect()]
     assert sorted(got) == brute(rows) and [r[2] for r in sorted(got)] == ["c d", "a b", "b a"]
+
+
+def test_distinct_where_first_hashes_collide():
+    a, b = np.array([5, 5, 7, 5, 7], dtype="u8"), np.array([1, 2, 3, 1, 3], dtype="u8")
+    place, count = ph._distinct(a, b)
+    assert sorted(zip(a[place].tolist(), b[place].tolist(), count.tolist())) == [(5, 1, 2), (5, 2, 1), (7, 3, 2)]
