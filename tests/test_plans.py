@@ -1,5 +1,7 @@
 """Scale checks on the physical plans of every registered query."""
 
+import uuid
+
 import pytest
 
 from cachescope.plans.queries import REGISTRY
@@ -60,10 +62,11 @@ def test_json_parsed_once(spark):
 
 def _jobs(spark, make):
     """Jobs that building a frame starts."""
-    spark.sparkContext.setJobGroup("building", "building", False)
+    group = f"building-{uuid.uuid4().hex}"  # of its own: a group's jobs are counted over the whole session
+    spark.sparkContext.setJobGroup(group, group, False)
     try:
         make()
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 

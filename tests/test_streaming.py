@@ -188,8 +188,8 @@ def test_session_log_sink_and_load(spark, scratch):
     from cachescope.operators import sessions as sess
 
     ids = log.select("session_id")
-    got = {tuple(r) for r in sq.load_sessions(spark, log_path, ids, "2024-01-03 00:00:00").collect()}
-    want = {tuple(r) for r in sess.load(ids, log, "2024-01-03 00:00:00").collect()}
+    got = {repr(r) for r in sq.load_sessions(spark, log_path, ids, "2024-01-03 00:00:00").collect()}
+    want = {repr(r) for r in sess.load(ids, log, "2024-01-03 00:00:00").collect()}
     assert got == want
 
 

@@ -140,7 +140,7 @@ PII_CASES = [
     ("ip", "host 10.0.0.255 up", ["IP_ADDRESS"], "host <IP_ADDRESS> up"),
     ("ip256", "host 10.0.0.256 up", [], "host 10.0.0.256 up"),
     ("accent", "é108.51.216.133", ["IP_ADDRESS"], "é<IP_ADDRESS>"),
-    ("email", "Write to mira.solano@post.example — today.", ["EMAIL_ADDRESS"],
+    ("email before a dash", "Write to mira.solano@post.example — today.", ["EMAIL_ADDRESS"],
      "Write to <EMAIL_ADDRESS> — today."),
 ]
 
