@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_apart(*params: str, keep: tuple[str, ...] = ()):
+    """Keep the caller's columns apart from an operator's own.
+
+    Decorates an operator whose first argument is a table and whose ``params`` name the
+    columns it works on (those in ``keep`` it also knows, if they are there). All others are
+    renamed by their place before the operator sees them, and get their names back in its
+    result, so no name of theirs can meet one inside; one that is also an output's gives way
+    to the output.
+    """
+    def decorate(op):
+        signature = inspect.signature(op)
+
+        @functools.wraps(op)
+        def run(df: DataFrame, *args, **kwargs):
+            bound = signature.bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            used = {bound.arguments[p] for p in params} | set(keep)
+            away = {c: f"_user{k}" for k, c in enumerate(df.columns) if c not in used}
+            out = op(df.toDF(*[away.get(c, c) for c in df.columns]), *args, **kwargs)
+            back = {v: k for k, v in away.items()}
+            taken = {c for c in out.columns if c not in back}
+            return out.select(*[F.col(c).alias(back[c]) if c in back else F.col(c)
+                                for c in out.columns if back.get(c) not in taken])
+
+        return run
+
+    return decorate
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

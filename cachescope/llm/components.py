@@ -32,10 +32,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     mark = _print(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(least, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that the join shuffles both sides by itself and can split a node of very many
+        # neighbours; a grouped side would have to stay in one piece
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where(F.col("v") > F.col("u"))
+                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         # each smaller neighbour, and the node itself, to the smallest one
         small = (large.join(low, "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import columns_apart, written
 
 #: Words in a seed.
 SEED = 4
@@ -293,6 +293,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return out
 
 
+@columns_apart("key", "text")
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                          **params) -> DataFrame:
     """``docs`` without the documents in which a passage aligns with a test item."""

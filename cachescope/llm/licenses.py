@@ -21,7 +21,8 @@
 Defined cases: null text is empty and has no licence; a null path is one file in no
 directory: it neither gives nor inherits; ties go to the template whose name sorts first,
 then to the first line; repeated rows give repeated results; an empty table gives an
-empty result; input columns named like an output column are replaced.
+empty result; input columns named like an output column are replaced, all others kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns_apart, written
 
 # fixed values: licence statements by SPDX name
 TEMPLATES = {
@@ -239,6 +240,7 @@ def _ancestors(folder: Column) -> Column:
         k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up")))
 
 
+@columns_apart("path", "text")
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None,
          min_cosine: float = MIN_COSINE) -> DataFrame:
     """``files`` without the text, with ``license, cosine, line_no, scope, inherited_from``.

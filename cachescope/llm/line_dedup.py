@@ -13,7 +13,8 @@ lower-cased. Its hash is md5 (128 bits: no collision is expected at 10^12 lines)
 Defined cases: null or empty text is one empty line (and stays so); a null ``doc_id``
 is a document of its own that sorts below all others; rows that share a ``doc_id`` are
 one document for the counts, each is rewritten on its own; an empty table gives an
-empty result; input columns named like an output column are replaced.
+empty result; input columns named like an output column are replaced, all others kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, written
+from .common import ASCII_SPACE, columns_apart, written
 
 
 def line_key(line: str) -> bytes:
@@ -63,6 +64,7 @@ def frequent_lines(lines: DataFrame, min_docs: int = 3) -> DataFrame:
             .where(F.col("n_docs") >= min_docs))
 
 
+@columns_apart("key", "text")
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
                 key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text rewritten, plus ``n_lines`` (before) and ``n_dropped``."""

@@ -20,7 +20,8 @@ brought together are one row per source and one per (source, range).
 Defined cases: a null source is a source; null or empty text has no words and is never
 taken; a null document id counts as an empty one in the key; rows with the same id and
 text have equal keys and are interchangeable; an empty table, or one without words,
-gives targets of 0; input columns named like an output column are replaced.
+gives targets of 0; input columns named like an output column are replaced (``mixture``
+keeps them), all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD_RE, word_count
+from .common import WORD_RE, columns_apart, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -98,6 +100,7 @@ def taken_words(before: Column, size: Column, source_size: Column, target: Colum
     return rounds * size + F.least(size, F.greatest(F.lit(0).cast("bigint"), rest - before))
 
 
+@columns_apart("key", "text", "source")
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
         keep_text: bool = True) -> DataFrame:
@@ -123,17 +126,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             .select(*cols, *OUT))
 
 
-def mixture(docs: DataFrame, **params) -> DataFrame:
+@columns_apart("key", "text", "source", keep=("n_chars",))
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
     """The rows of the mix, with the columns of ``docs`` (also those named like an output)."""
-    away = {c: f"_own_{c}" for c in docs.columns if c in OUT}
-    moved = docs.withColumnsRenamed(away)
-    return emit(mix(moved, **params), moved.columns).withColumnsRenamed({v: k for k, v in away.items()})
+    return emit(mix(docs, key, text, source, **params), docs.columns, text)
 
 
 def emit(mixed: DataFrame, columns: Sequence[str], text: str = "text") -> DataFrame:
     """The mix itself: a row for every time a document is taken (documents never taken
-    are gone). The last one is cut after the words that its budget leaves, and an
-    ``n_chars`` column follows the cut."""
+    are gone). The last one is cut after the words that its budget leaves, and a column
+    ``n_chars`` of whole numbers follows the cut."""
     full = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = F.col("taken") % F.col("size")
     runs = F.concat(F.array_repeat(F.col("size"), full),
@@ -143,6 +145,6 @@ def emit(mixed: DataFrame, columns: Sequence[str], text: str = "text") -> DataFr
     cut = F.col("_words") < F.col("size")
     rows = (mixed.where(F.col("taken") > 0).withColumn("_words", F.explode(runs))
             .withColumn(text, F.when(cut, head).otherwise(F.col(text))))
-    if "n_chars" in columns:
+    if "n_chars" in columns and isinstance(mixed.schema["n_chars"].dataType, T.IntegralType):
         rows = rows.withColumn("n_chars", F.when(cut, F.char_length(text)).otherwise(F.col("n_chars")))
     return rows.select(*columns)

@@ -26,7 +26,8 @@ Defined cases: words are runs of anything but ASCII white space, lower-cased; nu
 is empty; a text without words has no shingles, and no links but to its copies; a text of
 one to four words is one shingle; a null document id is kept, and stands for a class only
 where it has no other; rows that share an id are told apart by their text; repeated rows
-are copies; an empty table gives an empty result; further columns are ignored.
+are copies; an empty table gives an empty result; further columns, whatever their names, are
+ignored, or kept as they are where documents come back.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, maybe_in, shuffle_parts, written
+from .common import WORD_RE, columns_apart, maybe_in, shuffle_parts, written
 from .components import components
 
 #: Words in a shingle and the least similarity of a link.
@@ -241,7 +242,8 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def families(cls: DataFrame) -> DataFrame:
     """(cid, family): components of the pairs that pruning by the first values leaves."""
     rows = cls.select("cid", F.explode(_buckets(F.col("sig"))).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join can split a bucket that very many classes share
+    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     head = cls.select(F.col("cid").alias("_c"), F.substring("sig", 1, 4 * SLICE * SLICES).alias("sig"))
     met = rows.join(sizes, "bucket").join(head, F.col("cid") == F.col("_c")).drop("_c")
     edges = _dealt(met, ["bucket"], "n").select("bucket", "bi", "bj", "side", "cid", "sig").mapInPandas(
@@ -334,6 +336,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "d
     return rows.join(known, F.col("cls") == F.col("_cls")).drop("_cls")
 
 
+@columns_apart("key", "text")
 def one_per_group(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of every group: that with the smallest id (of rows that
     share it and its text, one)."""

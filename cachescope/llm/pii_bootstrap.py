@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_of, passes, written
+from .common import columns_apart, filter_of, passes, written
 
 #: Base kinds in the order in which spans with one start are listed; ``context`` follows.
 KINDS = ("email", "ip", "card", "phone")
@@ -210,6 +210,7 @@ def confident_patterns(seen: DataFrame, texts: DataFrame, rounds: int = ROUNDS,
     return score.where(F.col("confidence") >= min_confidence)
 
 
+@columns_apart("text")
 def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     """``docs`` without the text, with ``n_email, n_ip, n_card, n_phone, base_sha256, spans,
     n_context``. ``spans`` lists the base spans and, as kind ``context``, the discovered ones;

@@ -13,7 +13,8 @@ gives each bucket its base.
 
 Defined cases: a null key is a key of its own (one shard); null text has size 1, the
 crc32 of no bytes (0); repeated rows get slots of their own; an empty table gives an
-empty result; columns of the input named like an output column are replaced by it.
+empty result; columns of the input named like an output column are replaced by it, all others kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash
+from .common import columns_apart, row_hash
 
 #: Hash buckets in which the rows of a shard are numbered.
 SLOT_BUCKETS = 1024
@@ -46,6 +47,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
 
 
+@columns_apart("key", "text")
 def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text",
            grown_weights: Sequence[float] | None = None, buckets: int = SLOT_BUCKETS,
            keep_text: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ rules and policies are column expressions over them.
 Defined cases: null or empty text has no words and all measurements 0 (it fails
 ``few_words``); words are runs of anything but ASCII white space; repeated rows are judged
 alike; an empty table gives an empty ledger and ablations of zeros; input columns named
-like an output column are replaced.
+like an output column are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, WORD_RE
+from .common import ASCII_SPACE, WORD_RE, columns_apart
 
 #: Measurements of a text, all bigint.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -101,6 +101,7 @@ def failure_bits() -> Column:
     return bits
 
 
+@columns_apart("text")
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with every measurement and ``fail_bits``."""
     cols = [c for c in docs.columns if c not in (*MEASURES, "fail_bits", text)]

@@ -25,8 +25,9 @@ smallest hash of their id, one per distinct text and label; scoring reads every
 Defined cases: null text is empty; a text without words has the least evidence; labels
 that are null are not used, and a document labelled twice is toxic if either says so; a
 null id belongs to the held-out fold; without usable labels of both kinds every score is
-the share of toxic rows (0.0 without labels); repeated rows score alike; input columns
-named like an output column are replaced.
+the share of toxic rows (0.0 without labels); without both kinds in the calibration fold
+the learning folds calibrate; repeated rows score alike; input columns named like an output
+column are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_apart
+
 #: Hashed cells of the count table.
 BUCKETS = 1 << 20
 #: Cells of the count table in one block on its way to the driver.
@@ -395,6 +398,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rate = float(toxic.sum() / max(total.sum(), 1.0))
     model = Model(toxic, total, min(max(rate, 1e-6), 1 - 1e-6))
     other = labelled(docs, labels, (4,), calibrate_rows, key, text)
+    if other.select("_toxic").distinct().count() < 2:  # at most ``calibrate_rows`` rows
+        other = labelled(docs, labels, (1, 2, 3), calibrate_rows, key, text)
     return calibrate(model, _with_labels(docs, other, key, text))
 
 
@@ -436,6 +441,7 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> Column:
     return judged(F.coalesce(docs[text], F.lit("")))
 
 
+@columns_apart("key", "text")
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``held_out, score, predicted, evidence, passages``."""
     out = ("held_out", "score", "predicted", "evidence", "passages")
@@ -449,6 +455,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             .drop("_t"))
 
 
+@columns_apart("key", "text")
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not judged toxic, with all their columns."""
     return docs.where(judge(docs, fit(docs, labels, key, text), text)["score"] < 0.5)

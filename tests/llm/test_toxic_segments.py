@@ -130,3 +130,14 @@ def test_edges(spark):
     docs = frame(spark, rows).withColumn("_own", F.lit(1)).withColumn("evidence", F.lit("mine"))
     left = ts.without_toxic(docs, lab)
     assert left.columns == docs.columns and 0 < left.count() < docs.count()
+
+
+def test_without_a_calibration_fold_the_learning_folds_calibrate(spark):
+    import zlib
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    docs = spark.createDataFrame([(i, " ".join(words(i, 30, 200)) + (" vile slur here" if i % 2 else " calm river stone")) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = ts.score(docs, ts.fit(docs, labels)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) > 0.95 * len(got)
+    assert min(r.score for r in got if r.doc_id % 2) > max(r.score for r in got if r.doc_id % 2 == 0)
