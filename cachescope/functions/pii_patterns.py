@@ -10,7 +10,9 @@ such as 'é' as word characters.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,29 +64,54 @@ def luhn_valid(candidate: Column) -> Column:
 
 
 def _occurrences(text: Column, literal: str) -> Column:
-    return F.size(F.split(text, re.escape(literal), -1)) - 1
-
-
-def cascade_text(text: Column, *, validate_cards: bool = False,
-                 extra: list[tuple[str, str]] | None = None) -> Column:
-    """Redacted text: each step replaces its matches with ``<ENTITY>``;
-    placeholders cannot match a later pattern, so the step order decides
-    overlaps. With ``validate_cards`` only card-like matches passing Luhn are
-    redacted. A pattern that needs an '@' is skipped on text without one."""
-    t = F.coalesce(text, F.lit(""))
-    for entity, pat in patterns("java", extra):
-        if entity == "CREDIT_CARD" and validate_cards:
-            # put together again from what lies between the matches, so that a valid number is
-            # replaced where it was matched and nowhere else
-            found = F.regexp_extract_all(t, F.lit(pat), 0)
-            mark = lambda c: F.when(luhn_valid(c), F.lit(placeholder(entity))).otherwise(c)  # noqa: E731, B023
-            t = F.array_join(F.zip_with(F.split(t, pat, -1), found, lambda p, c: F.concat(
-                p, F.coalesce(mark(c), F.lit("")))), "")
-        elif "@" in pat:
-            t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, pat, placeholder(entity))).otherwise(t)
-        else:
-            t = F.regexp_replace(t, pat, placeholder(entity))
-    return t
+    return (F.length(text) - F.length(F.replace(text, F.lit(literal)))) / len(literal)
+
+
+#: Patterns that every match of needs a digit for.
+DIGIT_ENTITIES = ("IBAN_CODE", "CREDIT_CARD", "US_SSN", "IP_ADDRESS", "PHONE_NUMBER")
+
+
+def _step(t: Column, entity: str, pat: str, validate_cards: bool) -> Column:
+    if entity == "CREDIT_CARD" and validate_cards:
+        # put together again from what lies between the matches, so that a valid number is
+        # replaced where it was matched and nowhere else
+        found = F.regexp_extract_all(t, F.lit(pat), 0)
+        mark = lambda c: F.when(luhn_valid(c), F.lit(placeholder(entity))).otherwise(c)
+        return F.array_join(F.zip_with(F.split(t, pat, -1), found, lambda p, c: F.concat(
+            p, F.coalesce(mark(c), F.lit("")))), "")
+    return F.regexp_replace(t, pat, placeholder(entity))
+
+
+def cascade_steps(*, validate_cards: bool = False, extra: list[tuple[str, str]] | None = None
+                  ) -> list[Callable[[Column], Column]]:
+    """The redaction as functions of a text, to be applied in a row: each replaces its
+    matches with ``<ENTITY>``; placeholders cannot match a later pattern, so the step order
+    decides overlaps. With ``validate_cards`` only card-like matches passing Luhn are
+    redacted. A pattern that needs an '@' is skipped on text without one, and those that
+    need a digit, one after another in the cascade, on text without any: one test for all.
+
+    A step names its text more than once: give it a column, not an expression.
+    """
+    def together(pats: list[tuple[str, str]]):
+        def step(t: Column) -> Column:
+            out = t
+            for entity, pat in pats:
+                out = _step(out, entity, pat, validate_cards)
+            return out
+        return step
+
+    def guarded(step, needed: str):
+        return lambda t: F.when(t.rlike(needed), step(t)).otherwise(t)
+
+    steps = []
+    for digits, group in itertools.groupby(patterns("java", extra), lambda p: p[0] in DIGIT_ENTITIES):
+        group = list(group)
+        if digits:
+            steps.append(guarded(together(group), "[0-9]"))
+            continue
+        for one in group:
+            steps.append(guarded(together([one]), "@") if "@" in one[1] else together([one]))
+    return steps
 
 
 def entities_found(original: Column, redacted: Column,
@@ -93,6 +120,8 @@ def entities_found(original: Column, redacted: Column,
     the redacted text holds more of its placeholders than the original did
     (placeholders survive later steps, so this equals "its pattern matched")."""
     orig = F.coalesce(original, F.lit(""))
+    none = F.array().cast("array<string>")
     found = [F.when(_occurrences(redacted, placeholder(e)) > _occurrences(orig, placeholder(e)), F.lit(e))
              for e, _ in patterns("java", extra)]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    # a text that came out as it went in holds none, and most do
+    return F.when(orig == redacted, none).otherwise(F.array_sort(F.array_compact(F.array(*found))))

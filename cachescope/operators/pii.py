@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.pii_patterns import cascade_text, entities_found, luhn_valid, patterns
+from ..functions.pii_patterns import cascade_steps, entities_found, luhn_valid, patterns
 from ..functions.text import preview_chars
 
 
@@ -24,12 +24,13 @@ def redact(df: DataFrame, text: str = "text", *, validate_cards: bool = False,
     """Add ``sanitized_text``, ``entities`` (sorted, distinct) and ``has_pii``.
     Empty or null text passes through with no entities.
 
-    The cascade result is a column of its own projection, and the entity flags
-    read it from there (the optimizer does not inline an expensive expression
-    used twice), so each text goes through each pattern once.
+    The result of each step is a column of its own projection, and the next step and
+    the entity flags read it from there (the optimizer does not inline an expensive
+    expression used twice), so each text goes through each pattern once.
     """
-    red = df.select("*", cascade_text(F.col(text), validate_cards=validate_cards, extra=extra)
-                            .alias("_red"))
+    red = df.select("*", F.coalesce(F.col(text), F.lit("")).alias("_red"))
+    for step in cascade_steps(validate_cards=validate_cards, extra=extra):
+        red = red.select(*df.columns, step(F.col("_red")).alias("_red"))
     ents = entities_found(F.col(text), F.col("_red"), extra)
     out = red.select(*df.columns, F.when(F.col(text).isNull(), F.col(text)).otherwise(F.col("_red"))
                      .alias("sanitized_text"), ents.alias("entities"))

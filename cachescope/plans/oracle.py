@@ -258,23 +258,38 @@ SQL["cache_stats"] = "WITH " + _CACHE + """
 SELECT count(DISTINCT key) AS entry_count, 64 AS embedding_dim, 0.62::DOUBLE AS threshold,
        'gemini-embedding-001' AS model FROM c"""
 
-SQL["request_parse"] = "WITH " + V_PAIRS + """
-SELECT conv_id, turn, 'llama-3.3-70b-versatile' AS model, 2::BIGINT AS n_messages, turn = 0 AS stream,
-       prompt FROM gw_pairs WHERE conv_id % 7 <> 0"""
+_USER_TURNS = """WITH users AS (
+  SELECT u.conv_id, u.turn, u.text, 1 + (a.turn IS NOT NULL)::INT + (b.turn IS NOT NULL)::INT AS n
+  FROM conversations u
+  LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1
+  LEFT JOIN conversations b ON b.conv_id = u.conv_id AND b.turn = u.turn - 2
+  WHERE u.role = 'user')"""
 
-SQL["request_rejected"] = "WITH " + V_PAIRS + "\nSELECT conv_id, turn FROM gw_pairs WHERE conv_id % 7 = 0"
+SQL["request_parse"] = _USER_TURNS + """
+SELECT conv_id, turn, CASE WHEN conv_id % 7 = 6 THEN 'llama-3.3-70b-versatile' END AS model,
+       CASE WHEN conv_id % 7 = 6 THEN n ELSE 1 END::BIGINT AS n_messages, conv_id % 7 = 6 AND turn = 0 AS stream,
+       CASE conv_id % 7 WHEN 3 THEN '7' WHEN 4 THEN '[map[text:' || text || ' type:text]]' ELSE text END AS prompt
+FROM users WHERE conv_id % 7 IN (3, 4, 6)"""
+
+SQL["request_rejected"] = _USER_TURNS + "\nSELECT conv_id, turn FROM users WHERE conv_id % 7 IN (0, 1, 2, 5)"
 
 SQL["sse_text"] = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
 SQL["json_text"] = """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{"choices":[{"message":{"content":5}}]}' ELSE text END AS text
 FROM conversations WHERE role = 'assistant'"""
 
-SQL["event_decode"] = with_views(V_REQUESTS)[:-2] + """
+SQL["event_decode"] = with_views(V_REQUESTS, V_PII)[:-2] + """
 SELECT 'cache_hit' AS type, 'Cache HIT · distance ' || printf('%.4f', distance) AS message,
        'Latency: ' || CAST(latency_ms AS VARCHAR) || 'ms' AS detail,
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, date_trunc('second', ts) AS ts,
-       printf('%.4f', distance) AS meta_distance, CAST(latency_ms AS VARCHAR) AS meta_latency
-FROM gw_requests WHERE outcome = 'HIT'"""
+       printf('%.4f', distance) AS meta_distance, CAST(latency_ms AS VARCHAR) AS meta_latency,
+       NULL::VARCHAR AS meta_entity
+FROM gw_requests WHERE outcome = 'HIT'
+UNION ALL
+SELECT 'pii_blocked', message, 'Entity: ' || entity,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END
+         || '+00:00', ts, NULL, NULL, entity
+FROM gw_pii"""
 
 
 def _pii_cascade_sql(source: str, key_cols: str, text: str) -> str:

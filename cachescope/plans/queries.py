@@ -243,18 +243,24 @@ def q_cache_stats(spark, sf_dir):
 
 # ---------------------------------------------------------------- bodies and events
 def _request_bodies(spark, sf_dir):
-    """A request body for every prompt/reply pair; those of every seventh conversation are broken
-    in one of four ways (numeric model, text after the value, cut short, numeric content)."""
-    msgs = F.array(F.named_struct(F.lit("role"), F.lit("system"), F.lit("content"), F.lit("Be brief.")),
-                   F.named_struct(F.lit("role"), F.lit("user"), F.lit("content"), F.col("prompt")))
-    body = reqs.request_body(F.lit(config.DEFAULT_CHAT_MODEL), msgs, F.col("turn") == 0)
-    way = F.pmod(F.col("turn"), F.lit(4))
-    broken = (F.when(way == 0, F.concat(F.lit('{"model":5,'), F.substr(body, F.lit(2))))
-              .when(way == 1, F.concat(body, F.lit(" junk")))
-              .when(way == 2, F.left(body, F.length(body) - 1))
-              .otherwise(F.lit('{"messages":[{"role":"user","content":7}]}')))
-    return src.gw_pairs(spark, sf_dir).select("conv_id", "turn", F.when(
-        F.pmod("conv_id", F.lit(7)) == 0, broken).otherwise(body).alias("body"))
+    """A request body for every user turn: the message with up to two before it. Conversations
+    0 to 5 of every seven differ: numeric model, text after the value, cut short, last content
+    a number, last content a list of parts, or a message that is no object."""
+    conv = src.table(spark, sf_dir, "conversations")
+    near = conv.withColumn("at", F.explode(F.array(F.col("turn"), F.col("turn") + 1, F.col("turn") + 2)))
+    said = near.groupBy("conv_id", "at").agg(  # three messages at most
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    users = said.where((F.element_at("m", -1)["turn"] == F.col("at")) & (F.element_at("m", -1)["role"] == "user"))
+    msgs = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    body = reqs.request_body(F.lit(config.DEFAULT_CHAT_MODEL), msgs, F.col("at") == 0)
+    last = F.element_at("m", -1)["content"]
+    parts = F.to_json(F.named_struct(F.lit("messages"), F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(
+        F.lit("text").alias("type"), last.alias("text"))).alias("content")))))
+    way = F.pmod("conv_id", F.lit(7))
+    return users.select("conv_id", F.col("at").alias("turn"), F.when(way == 0, F.concat(
+        F.lit('{"model":5,'), F.substr(body, F.lit(2)))).when(way == 1, F.concat(body, F.lit(" junk"))).when(
+        way == 2, F.left(body, F.length(body) - 1)).when(way == 3, F.lit('{"messages":[{"role":"user","content":7}]}')).when(
+        way == 4, parts).when(way == 5, F.lit('{"messages":["text"]}')).otherwise(body).alias("body"))
 
 
 @register("request_parse")
@@ -294,10 +300,14 @@ def q_json_text(spark, sf_dir):
 
 @register("event_decode")
 def q_event_decode(spark, sf_dir):
-    raw = ev.encode_events(tel.hit_events(src.gw_requests(spark, sf_dir)))
-    d = ev.decode_events(raw)
-    return tel.flat_metadata(d).select("type", "message", "detail", "timestamp", "ts",
-                                       "meta_distance", "meta_latency")
+    """The events of both writers, each in its spelling of times; of every eleventh hit and
+    block also a copy that is cut short, which does not decode."""
+    raw = ev.encode_events(tel.hit_events(src.gw_requests(spark, sf_dir))).unionByName(
+        ev.encode_events(tel.pii_block_events(src.gw_pii(spark, sf_dir)), ev.iso_offset))
+    both = raw.withColumn("json", F.explode(F.when(F.pmod(F.crc32(F.col("json").cast("binary")), F.lit(11)) == 0, F.array(
+        F.col("json"), F.left("json", F.length("json") - 1))).otherwise(F.array(F.col("json")))))
+    return tel.flat_metadata(ev.decode_events(both)).select(
+        "type", "message", "detail", "timestamp", "ts", "meta_distance", "meta_latency", "meta_entity")
 
 
 # ---------------------------------------------------------------- PII

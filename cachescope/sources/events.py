@@ -18,12 +18,21 @@ def rfc3339_seconds(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def encode_events(events: DataFrame) -> DataFrame:
-    """``type, message, detail, ts, metadata`` -> ``json`` (to_json drops nulls)."""
+def iso_offset(ts: Column | str) -> Column:
+    """The worker's spelling: an offset instead of Z, microseconds unless there are none."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    whole = F.unix_micros(c.cast("timestamp")) % 1_000_000 == 0
+    return F.concat(F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit("+00:00"))
+
+
+def encode_events(events: DataFrame, spelling=rfc3339_seconds) -> DataFrame:
+    """``type, message, detail, ts, metadata`` -> ``json`` (to_json drops nulls), times in
+    ``spelling`` (``rfc3339_seconds``, or ``iso_offset`` for the worker's)."""
     return events.select(F.to_json(F.struct(
         F.col("type"), F.col("message"),
         F.nullif(F.col("detail"), F.lit("")).alias("detail"),
-        rfc3339_seconds("ts").alias("timestamp"),
+        spelling("ts").alias("timestamp"),
         F.when(F.cardinality("metadata") > 0, F.col("metadata")).alias("metadata"))).alias("json"))
 
 

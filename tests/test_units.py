@@ -33,11 +33,27 @@ def test_request_parse_cases(spark):
     ]
     df = reqs.parse_requests(spark.createDataFrame(bodies, "name string, body string"))
     ok = {r.name: r for r in reqs.accepted(df).collect()}
-    assert set(ok) == {"normal", "empty", "nocontent"}
+    assert set(ok) == {"normal", "empty", "nocontent", "numeric"}
     assert ok["normal"].prompt == "hi there" and ok["normal"].stream is True
     assert ok["empty"].prompt == "" and ok["empty"].stream is False
-    assert ok["nocontent"].prompt == ""
-    assert sorted(r.name for r in reqs.rejected(df).collect()) == ["numeric", "truncated"]
+    assert ok["nocontent"].prompt == "" and ok["numeric"].prompt == "42"
+    assert [tuple(m) for m in ok["normal"].messages] == [("system", "s"), ("user", "hi there")]
+    assert [r.name for r in reqs.rejected(df).collect()] == ["truncated"]
+
+
+def test_content_of_any_type_is_printed(spark):
+    parts = [{"type": "text", "text": "a b"}, {"image_url": {"url": "u", "n": 1.50}, "type": "image_url"}]
+    cases = [(7, "7"), (-0.5, "-0.5"), (1e21, "1e+21"), (123456789012345678901.0, "123456789012345680000"), (0.0001, "0.0001"),
+             (0.00001234, "1.234e-05"), (100, "100"), (12.25, "12.25"), (0, "0"), (True, "true"), (None, "<nil>"), ([], "[]"),
+             ({}, "map[]"), ([1, "x", None, [False]], "[1 x <nil> [false]]"),
+             (parts, "[map[text:a b type:text] map[image_url:map[n:1.5 url:u] type:image_url]]"), ("text", "text"), ("", "")]
+    df = spark.createDataFrame([(i, json.dumps({"messages": [{"role": "user", "content": "old"}, {"role": 5, "content": c}]}))
+                                for i, (c, _) in enumerate(cases)], "i int, body string")
+    got = {r.i: r for r in reqs.accepted(reqs.parse_requests(df)).collect()}
+    assert [got[i].prompt for i in range(len(cases))] == [p for _, p in cases]
+    assert {r.messages[-1].role for r in got.values()} == {"5"}
+    missing = spark.createDataFrame([('{"messages":[{"role":"user"}]}',), ('{"messages":[null]}',), ('{"messages":["x"]}',)], "body string")
+    assert [r.prompt for r in reqs.accepted(reqs.parse_requests(missing)).collect()] == ["", ""]
 
 
 def test_request_types_are_strict(spark):
@@ -46,7 +62,8 @@ def test_request_types_are_strict(spark):
               '{"a":1},{"b":2}': False, '"x"': False, '{"messages":null,"model":null}': True}
     df = reqs.parse_requests(spark.createDataFrame([(b,) for b in bodies], "body string"))
     assert {r.body: r.request is not None for r in df.collect()} == bodies
-    assert {r.prompt for r in reqs.accepted(df).collect()} == {""}
+    assert {r.body: r.prompt for r in reqs.accepted(df).collect()} == {
+        "null": "", '{"messages":[{"content":null},null]}': "", '{"messages":null,"model":null}': ""}
 
 
 def test_content_types_are_strict(spark):
@@ -379,11 +396,11 @@ def test_read_request_files(spark, scratch):
     path = f"{scratch}/reqs.jsonl"
     with open(path, "w") as f:
         f.write(json.dumps({"model": "m", "messages": [{"role": "user", "content": "q"}]}) + "\n")
-        f.write('{"model": "m", "messa\n')
+        f.write('{"model": "m", "messa\n\n')
+        f.write('{"model": 5}\n{"messages": [{"content": [1]}]}\n')
     df = reqs.read_request_files(spark, path)
-    rows = df.collect()
-    assert len(rows) == 2
-    assert sum(r._corrupt_record is not None for r in rows) == 1
+    assert sorted(r.prompt for r in reqs.accepted(df).collect()) == ["[1]", "q"]
+    assert reqs.rejected(df).count() == 2
 
 
 def test_runs_across_segments(spark):
