@@ -30,11 +30,25 @@ order-masked lookup of every request against the stored set, the gateway's own
 per-request cost. The log is processed in arrival-order slices of at most
 ``slice_rows`` requests; later slices meet earlier entries as a fixed cache, so
 the search among undecided requests stays within a slice.
+
+Where entries have keys of their own (``key_col``) and a key comes with several vectors, a
+stored request ends the entry that its key had before: an entry is visible to the requests
+after it up to and including the one that overwrites it. The replay decides this as it
+goes. In a round an entry counts as surely there up to the next request of its key that is
+stored or undecided, and as possibly there up to the next one that is stored:
+
+(a) an entry surely there and within tau -> HIT;
+(b) of the rest, no entry possibly there and no undecided earlier request within tau ->
+    decided MISS (stored).
+
+The earliest open request has only decided ones before it, for which both ends agree, so
+every round still decides it. Copies are not collapsed then: a copy can come after the entry
+that answered its twin was overwritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +57,10 @@ from .vectors import DEFAULT_BLOCK_ROWS, knn1
 
 #: Bits of a rank that number the rows of one range partition.
 _ROW_BITS = 33
+#: Bits of a rank inside a stretch of the log; a key's rows are ordered stretch by stretch.
+_STRETCH_BITS = 16
+#: After every rank.
+_NEVER = 2**62
 
 
 def _moment(df: DataFrame, name: str):
@@ -90,6 +108,24 @@ def slice_bounds(sizes: dict[int, int], slice_rows: int) -> list[tuple[int, int]
     return out
 
 
+def with_next(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with ``key, rank``) with the rank of the key's next row in ``name`` (``_NEVER`` for none).
+
+    A key that holds a large share of the log is ordered in stretches of ranks, and the
+    stretches are joined up through the first rank of each, so no task orders a key.
+    """
+    at = F.shiftright("rank", _STRETCH_BITS)
+    inside = rows.withColumn("_s", at).withColumn(
+        name, F.lead("rank").over(Window.partitionBy("key", "_s").orderBy("rank")))
+    first = rows.groupBy("key", at.alias("_s")).agg(F.min("rank").alias("_f"))
+    later = first.select(F.col("key").alias("_k"), F.col("_s").alias("_t"), F.coalesce(
+        F.lead("_f").over(Window.partitionBy("key").orderBy("_s")), F.lit(_NEVER)).alias("_f"))
+    return (inside.join(later, F.col("key").eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_t")))
+            # a row without key ends nothing and is not ended
+            .withColumn(name, F.when(F.col("key").isNull(), F.lit(_NEVER)).otherwise(F.coalesce(name, "_f")))
+            .drop("_s", "_k", "_t", "_f"))
+
+
 def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "request_id",
                  vec_col: str = "embedding", order_col: str | None = None,
                  available_col: str | None = None, storable_col: str | None = None,
@@ -103,9 +139,11 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
     entry becomes visible, so a request only sees entries with ``available <=``
     its own order value. ``storable_col`` (optional boolean) marks requests whose
     response can be cached. ``initial`` (``key, embedding``; keys of the type of
-    the ids) is a cache that is warm from the start. With ``key_col`` a key that
-    comes with two different vectors raises, since the second would overwrite
-    the first entry. Vectors of another dimension than ``dim`` never match.
+    the ids) is a cache that is warm from the start. With ``key_col`` an entry that is
+    stored under a key ends the key's entry before it (entries of ``initial`` have the
+    key of its column ``key_col``, if it has one); a null key ends nothing. Together with
+    ``available_col`` a key must not come with two vectors. Vectors of another dimension
+    than ``dim`` never match.
 
     Returns ``id, outcome ('HIT'|'MISS'), stored, match_id, distance, round``;
     match and distance are set on hits only, ``round`` on requests that took
@@ -122,24 +160,25 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
     if key_col:
         twice = (base.where("storable").groupBy("key").agg(F.min("vec").alias("a"), F.max("vec").alias("b"))
                  .where("a <> b").select("key").first())
-        if twice:
-            raise ValueError(f"key {twice['key']!r} comes with two different vectors")
-        base = base.drop("key")
+        if twice and available_col:
+            raise ValueError(f"key {twice['key']!r} comes with two vectors, which a store delay does not allow")
+        if not twice and (initial is None or key_col not in initial.columns):
+            base, key_col = base.drop("key"), None  # no entry can be overwritten by another one
     timed = ["at", "avail"] if available_col else []
-    fields = ["id", "vec", "rank", *timed]
+    fields = ["id", "vec", "rank", *timed, *(["key"] if key_col else [])]
 
     # Of several storable requests with one vector only the first can be stored: a later
     # copy finds it, or the entry that made it a hit, at least as close. With a store
     # delay a copy can arrive before its twin is visible, so there all take part.
     reps = base.where("storable").select(*fields)
-    if not available_col:
+    if not available_col and not key_col:
         reps = materialise(reps.groupBy("vec").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
                            .select(*fields), "replay-reps")
 
-    def search(queries: DataFrame, cands: DataFrame, n_q: int, n_c: int) -> DataFrame:
+    def search(queries: DataFrame, cands: DataFrame, n_q: int, n_c: int, until: str | None = None) -> DataFrame:
         """Nearest earlier visible candidate, one row per query."""
         return knn1(queries, cands, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
-                    order="rank", arrival="at" if timed else None, available="avail" if timed else None,
+                    order="rank", arrival="at" if timed else None, available="avail" if timed else None, until=until,
                     dim=dim, block_rows=block_rows, counts=(n_q, n_c))
 
     known, n_stored = None, 0  # entries of earlier slices and of the warm cache
@@ -150,7 +189,10 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
         least = {"at": _least(base, "at"), "avail": _least(base, "avail")} if timed else {}
         known = materialise(initial.select(F.col("key").alias("id"), F.col("embedding").alias("vec"),
                                            F.lit(-1).cast("bigint").alias("rank"),
-                                           *[least[c].alias(c) for c in timed]), "replay-cache")
+                                           *[least[c].alias(c) for c in timed],
+                                           *([(F.col(key_col) if key_col in initial.columns else F.lit(None))
+                                              .cast(base.schema["key"].dataType).alias("key")] if key_col else [])),
+                            "replay-cache")
         n_stored = known.count()
 
     step_schema = T.StructType([*reps.schema.fields, T.StructField("outcome", T.StringType()),
@@ -164,14 +206,22 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
         while n_open:
             rnd += 1
             stored = _stored(spark, done, step_schema, fields, known)
+            if key_col:  # how long each entry is surely, and possibly, there
+                some = stored.withColumn("_e", F.lit(True)).unionByName(open_.withColumn("_e", F.lit(False)))
+                ends = with_next(stored, "maybe").select("id", "rank", "maybe")
+                stored = materialise(with_next(some, "sure").where("_e").drop("_e").join(ends, ["id", "rank"]), "replay-entries")
             if n_stored:
-                near = search(open_, stored, n_open, n_stored)
+                near = search(open_, stored, n_open, n_stored, until="sure" if key_col else None)
                 hits = near.where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_h"))
                 tested = materialise(open_.join(hits, "id", "left"), "replay-open")
                 rest = tested.where("_h is null").select(*fields)
             else:
                 tested, rest = open_.withColumn("_h", F.lit(None).cast("boolean")), open_
-            blocked = (search(rest, rest, n_open, n_open)  # sized by an upper bound: no count of its own
+            ahead, n_ahead = rest, n_open  # an upper bound sizes the search: no count of its own
+            if key_col:
+                ahead = rest.withColumn("maybe", F.lit(_NEVER)).unionByName(stored.select(*fields, "maybe"))
+                n_ahead = n_open + n_stored
+            blocked = (search(rest, ahead, n_open, n_ahead, until="maybe" if key_col else None)
                        .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b")))
             path = new_folder(spark, "replay-step")
             step = written_to(tested.join(blocked, "id", "left").select(
@@ -190,7 +240,9 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
     decided = (spark.read.schema(step_schema).parquet(*steps) if steps
                else spark.createDataFrame([], step_schema)).where("outcome is not null")
     if n_stored:
-        best = search(base.select(*fields), known, base.count(), n_stored).select(
+        if key_col:
+            known = materialise(with_next(known, "until"), "replay-entries")
+        best = search(base.select(*fields), known, base.count(), n_stored, until="until" if key_col else None).select(
             "id", F.col("match_key").alias("match_id"), "distance")
     else:
         id_type = base.schema["id"].dataType

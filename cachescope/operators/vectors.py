@@ -16,7 +16,9 @@ both answered by one distributed grid join:
   equal distances (rounded to 12 digits) go to the smallest key.
 
 Nothing is collected to the driver; block sizes, not the data, bound the
-memory of a task. Vectors are compared in float64; rows whose vector has the
+memory of a task. With a pivot index (:mod:`cachescope.operators.pivots`) of the cache
+the cells are its blocks, and a query is copied only to blocks that can hold what is
+asked for; results are those of the grid. Vectors are compared in float64; rows whose vector has the
 wrong dimension or zero norm never match (a query with no valid candidate is a
 miss with no match).
 """
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import parallelism
+from ..session import materialise, parallelism
+from .pivots import PivotIndex
 
 CELL_BYTES = 256 << 20         # float64 vectors of one grid cell (both sides together)
 DIST_BYTES = 64 << 20          # distance block scored at once inside a cell
@@ -107,11 +110,32 @@ def _prepare(queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str
     return q, c, qb, cb
 
 
+def _dealt(index: PivotIndex, queries: DataFrame, rows: DataFrame, qid: str, qvec: str, key: str, cvec: str,
+           q_extra: list[Column], c_extra: list[Column], limit: Column, blocks: str,
+           block_rows: int | None, n_q: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries dealt to blocks of a pivot index, and the rows of these blocks. ``blocks`` says
+    which: ``home``, ``near`` (the home block too, so that every query is in a cell), or ``rest``
+    (near without home). Queries of a block are cut by hash, as in the grid, to bound a cell."""
+    side = block_rows or max(MIN_BLOCK_ROWS, CELL_BYTES // (2 * 8 * max(index.dim, 1)))
+    qb = max(1, math.ceil((queries.count() if n_q is None else n_q) / side))
+    at = F.inline(F.array(index.blocks_near(queries.sparkSession, F.col("qvec"), F.col("_limit"))))
+    home = F.array("home")
+    chosen = {"home": home, "near": F.array_union("near", home), "rest": F.array_except("near", home)}[blocks]
+    named = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *q_extra, limit.cast("double").alias("_limit"))
+    q = named.select("*", at).drop("_limit").withColumn("cblock", F.explode(chosen)).drop("home", "near").withColumn(
+        "qblock", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+    c = rows.select(F.col(key).alias("ckey"), F.col(cvec).alias("cvec"), *c_extra, "cblock",
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))).alias("qblock"))
+    return q, c
+
+
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
          dim: int, exclude_self: bool = False, order: str | None = None,
-         arrival: str | None = None, available: str | None = None, block_rows: int | None = DEFAULT_BLOCK_ROWS,
-         cache_block_rows: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
+         arrival: str | None = None, available: str | None = None, until: str | None = None,
+         block_rows: int | None = DEFAULT_BLOCK_ROWS,
+         cache_block_rows: int | None = None, counts: tuple[int, int] | None = None,
+         index: PivotIndex | None = None, within: float | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
     Returns ``query_id, match_key, distance`` with one row per query; queries
@@ -119,17 +143,20 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
     whose key equals the query id (leave-one-out search of a table against
     itself). With ``order`` (numeric, on both sides) only candidates strictly
     earlier than the query count, and with ``available`` (cache side) only
-    those visible at the query's ``arrival`` (default: its order); the columns
-    are compared in their own types, so integers stay exact. ``dim`` is the
+    those visible at the query's ``arrival`` (default: its order), with ``until``
+    (cache side) only those whose ``until`` is not before the query's order; the columns
+    are compared in their own types, so integers stay exact. With a pivot ``index`` of
+    the cache (``cache`` is then some or all of its rows, with ``cblock``) blocks that
+    cannot hold the nearest are skipped; ``within`` says that a neighbour farther than
+    that need not be found, which saves the first of its two steps. ``dim`` is the
     dimension: vectors of another one never match. ``counts`` = (queries,
     cache) row counts when already known (saves two jobs).
     """
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
     q_extra = [F.col(order).alias("qord"), F.col(arrival or order).alias("qat")] if order else []
-    c_extra = [F.col(order).alias("cord"), F.col(available or order).alias("cavail")] if order else []
-    q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                           c_extra, block_rows, cache_block_rows, counts, dim)
+    c_extra = [F.col(order).alias("cord"), F.col(available or order).alias("cavail"),
+               *([F.col(until).alias("cuntil")] if until else [])] if order else []
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -147,6 +174,7 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
             if order:
                 cord, cavail = cdf["cord"].to_numpy()[cok], cdf["cavail"].to_numpy()[cok]
                 qord, qat = qdf["qord"].to_numpy(), qdf["qat"].to_numpy()
+                cend = cdf["cuntil"].to_numpy()[cok] if until else None
             qids = qdf["qid"].to_numpy()
             step = _chunk_rows(len(ckeys))
             for lo in range(0, len(qdf) if len(ckeys) else 0, step):
@@ -157,6 +185,8 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
                     dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
                 if order:
                     dist[~((cord[None, :] < qord[lo:hi, None]) & (cavail[None, :] <= qat[lo:hi, None]))] = np.inf
+                    if until:
+                        dist[cend[None, :] < qord[lo:hi, None]] = np.inf
                 best = np.argmin(dist, axis=1)
                 bd = dist[np.arange(hi - lo), best]
                 found = np.isfinite(bd)
@@ -165,10 +195,28 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
         return pd.DataFrame({"qid": qdf["qid"].to_numpy(), "match_key": out_key,
                              "distance": out_d})
 
-    cells = (q.groupBy("qblock", "cblock")
-             .cogroup(c.groupBy("qblock", "cblock"))
-             .applyInPandas(score, schema))
-    cells = cells.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
+    def run(q: DataFrame, c: DataFrame) -> DataFrame:
+        cells = (q.groupBy("qblock", "cblock")
+                 .cogroup(c.groupBy("qblock", "cblock"))
+                 .applyInPandas(score, schema))
+        return cells.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
+
+    if index is None:
+        q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
+                               c_extra, block_rows, cache_block_rows, counts, dim)
+        cells = run(q, c)
+    else:
+        cb = 2  # any number of blocks
+        deal = lambda rows, limit, blocks: _dealt(
+            index, rows, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra, limit, blocks,
+            block_rows, counts[0] if counts else None)
+        if within is not None:
+            cells = run(*deal(queries, F.lit(within), "near"))
+        else:
+            first = materialise(run(*deal(queries, F.lit(0.0), "home")), "knn-home")
+            bound = first.select(F.col("qid").alias("_qid"), F.col("distance").alias("_bound"))
+            bounded = queries.join(bound, F.col(query_id) == F.col("_qid"))
+            cells = first.unionByName(run(*deal(bounded, F.col("_bound"), "rest")))
     if cb > 1:
         best = cells.groupBy("qid").agg(
             F.min(F.when(F.col("match_key").isNotNull(),
@@ -183,14 +231,16 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
                  cache_key: str = "key", cache_vec: str = "embedding",
                  dim: int, order: str | None = None, available: str | None = None,
                  exclude_self: bool = True,
-                 block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
-                 ) -> DataFrame:
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None,
+                 index: PivotIndex | None = None) -> DataFrame:
     """All (query, cache) pairs with cosine distance <= threshold.
 
     With ``order`` (a numeric column present on both sides) only pairs where the
     cache row comes strictly earlier are kept; ``available`` (cache side) further
     requires ``available <= order`` of the query, i.e. the entry was already
-    stored when the query arrived. Returns ``query_id, match_key, distance``.
+    stored when the query arrived. With a pivot ``index`` of the cache (``cache`` is
+    then its rows, with ``cblock``) blocks that hold none are skipped. Returns
+    ``query_id, match_key, distance``.
     """
     qtype = queries.schema[query_id].dataType
     ktype = cache.schema[cache_key].dataType
@@ -199,8 +249,10 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
     if order:
         c_extra.append(F.col(order).alias("cord"))
         c_extra.append(F.col(available or order).alias("cavail"))
-    q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                          c_extra, block_rows, cache_block_rows, None, dim)
+    q, c = (_prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra, block_rows,
+                     cache_block_rows, None, dim)[:2] if index is None else
+            _dealt(index, queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra,
+                   F.lit(threshold), "near", block_rows))
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("match_key", ktype),
                            T.StructField("distance", T.DoubleType())])
 
@@ -263,13 +315,15 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
                     cache_key: str = "key", cache_vec: str = "embedding",
                     dim: int, order: str | None = None, available: str | None = None,
                     exclude_self: bool = True,
-                    block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None
-                    ) -> DataFrame:
+                    block_rows: int | None = DEFAULT_BLOCK_ROWS, cache_block_rows: int | None = None,
+                    index: PivotIndex | None = None) -> DataFrame:
     """Per query: how many candidates lie within ``threshold`` and the nearest
     one — "is any cached prompt close enough", without emitting the pairs.
 
     Cells emit one row per query (count, nearest); cells are summed per query,
-    so a dense group of near-copies costs compute but never output rows.
+    so a dense group of near-copies costs compute but never output rows. With a
+    pivot ``index`` of the cache blocks that hold none within ``threshold`` are skipped, and
+    the nearest is given only where one lies within it.
     Returns ``query_id, n_within, match_key, distance``.
     """
     qtype = queries.schema[query_id].dataType
@@ -277,8 +331,10 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
     q_extra = [F.col(order).alias("qord")] if order else []
     c_extra = ([F.col(order).alias("cord"),
                 F.col(available or order).alias("cavail")] if order else [])
-    q, c, _, _ = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
-                          c_extra, block_rows, cache_block_rows, None, dim)
+    q, c = (_prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra, block_rows,
+                     cache_block_rows, None, dim)[:2] if index is None else
+            _dealt(index, queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra,
+                   F.lit(threshold), "near", block_rows))
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("n_within", T.LongType()),
                            T.StructField("match_key", ktype), T.StructField("distance", T.DoubleType())])
 
@@ -317,6 +373,8 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
              .cogroup(c.groupBy("qblock", "cblock"))
              .applyInPandas(score, schema)
              .withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))))
+    if index is not None:
+        cells = cells.withColumn("match_key", F.when(F.col("distance") <= threshold, F.col("match_key")))
     out = cells.groupBy("qid").agg(
         F.sum("n_within").cast("bigint").alias("n_within"),
         F.min(F.when(F.col("match_key").isNotNull(), F.struct("distance", "match_key"))).alias("b"))

@@ -170,6 +170,29 @@ SQL["cache_replay_warm"] = (SQL["cache_replay"]
     .replace("SELECT 0::BIGINT, []::BIGINT[]", "SELECT 0::BIGINT, (SELECT list(vec_id) FROM v WHERE vec_id % 2 = 0)")
     + " WHERE v.vec_id % 2 = 1")
 
+SQL["knn1_pivots"] = SQL["knn1"]
+SQL["neighbor_pairs_pivots"] = SQL["neighbor_pairs"]
+
+# the walk carries the entries and the match of the row just decided; a store ends the entry of its key
+SQL["cache_replay_keys"] = "WITH RECURSIVE " + ",\n".join([V_VEC, """e AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst, 1 - list_cosine_similarity(a.e, b.e) AS distance
+  FROM v a JOIN v b ON a.vec_id < b.vec_id
+  WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.62)""",
+    """nb AS (SELECT dst, list(src ORDER BY distance, src) AS srcs FROM e GROUP BY dst)""",
+    """o AS (SELECT v.vec_id, row_number() OVER (ORDER BY v.vec_id) AS rn,
+             coalesce(nb.srcs, []::BIGINT[]) AS srcs
+      FROM v LEFT JOIN nb ON nb.dst = v.vec_id)""",
+    """walk(rn, entries, vec_id, match_id) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT rn, CASE WHEN m IS NOT NULL THEN entries
+                  ELSE list_append(list_filter(entries, lambda x: x % 40 <> vec_id % 40), vec_id) END, vec_id, m
+  FROM (SELECT o.rn, w.entries, o.vec_id, list_filter(o.srcs, lambda x: list_contains(w.entries, x))[1] AS m
+        FROM walk w JOIN o ON o.rn = w.rn + 1))"""]) + """
+SELECT w.vec_id, CASE WHEN match_id IS NULL THEN 'MISS' ELSE 'HIT' END AS outcome, match_id,
+       round(e.distance, 4) AS distance
+FROM walk w LEFT JOIN e ON e.src = w.match_id AND e.dst = w.vec_id WHERE w.rn > 0"""
+
 KEY_SQL = "'prompt:' || left(sha256(regexp_replace(lower({t}), '^\\s+|\\s+$', '', 'g')), 32)"
 TRIM_SQL = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 UUID_SQL = ("substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-' || substring({h}, 13, 4) || '-' "
@@ -386,6 +409,13 @@ SELECT v.vec_id, CAST(coalesce(c.n_within, 0) AS BIGINT) AS n_within, n.nearest_
        round(n.distance, 4) AS distance
 FROM v LEFT JOIN c ON c.vec_id = v.vec_id LEFT JOIN n ON n.vec_id = v.vec_id"""
 
+SQL["neighbor_counts_pivots"] = with_views(V_VEC)[:-2] + """,
+d AS (SELECT b.vec_id, a.vec_id AS src, 1 - list_cosine_similarity(a.e, b.e) AS distance
+      FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.62)
+SELECT v.vec_id, count(d.src) AS n_within, arg_min(d.src, (d.distance, d.src)) AS nearest_id,
+       round(min(d.distance), 4) AS distance
+FROM v LEFT JOIN d ON d.vec_id = v.vec_id GROUP BY v.vec_id"""
+
 SQL["stream_traffic"] = SQL["traffic_by_minute"]
 SQL["stream_redaction"] = SQL["pii_redact"]
 SQL["stream_runs"] = SQL["latency_by_run"].replace("SELECT run_id, run_start, run_end, n_requests", "SELECT run_start, n_requests")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import json_text as jt
 from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
-from ..operators import cache, pii, replay
+from ..operators import cache, lsh, pii, pivots, replay
 from ..operators import embed as emb
 from ..operators import prompts as pr
 from ..operators import sessions as sess
@@ -143,6 +143,54 @@ def q_neighbor_pairs(spark, sf_dir):
                     _r("distance", 4))
 
 
+def _indexed(spark, sf_dir):
+    """All embeddings and their pivot index (blocks of 128 rows, to have some on small tables)."""
+    log = src.vec_log(spark, sf_dir)
+    index = pivots.build(log, "vec_id", "embedding", DIM, block_rows=128)
+    names = dict(query_id="vec_id", query_vec="embedding", cache_key="vec_id", cache_vec="embedding", dim=DIM, index=index)
+    return log, index.rows, names
+
+
+@register("knn1_pivots")
+def q_knn1_pivots(spark, sf_dir):
+    """``knn1`` through the pivot index."""
+    log, rows, names = _indexed(spark, sf_dir)
+    nn = vec.knn1(log, rows, exclude_self=True, **names)
+    return nn.select("vec_id", F.col("match_key").alias("match_id"), _r("distance", 4))
+
+
+@register("neighbor_pairs_pivots")
+def q_neighbor_pairs_pivots(spark, sf_dir):
+    """``neighbor_pairs`` through the pivot index."""
+    log, rows, names = _indexed(spark, sf_dir)
+    p = vec.pairs_within(log, rows, TAU, order="vec_id", **names)
+    return p.select(F.col("match_key").alias("src_id"), F.col("vec_id").alias("dst_id"), _r("distance", 4))
+
+
+@register("neighbor_counts_pivots")
+def q_neighbor_counts_pivots(spark, sf_dir):
+    """Earlier neighbours within tau and the nearest of them, through the pivot index."""
+    log, rows, names = _indexed(spark, sf_dir)
+    c = vec.neighbor_counts(log, rows, TAU, order="vec_id", **names)
+    return c.select("vec_id", "n_within", F.col("match_key").alias("nearest_id"), F.when(
+        F.col("n_within") > 0, F.round("distance", 4)).alias("distance"))
+
+
+@register("neighbor_pairs_lsh")
+def q_neighbor_pairs_lsh(spark, sf_dir):
+    """Pairs by hashed candidates: exact distances, a pair at tau found with the chance 0.99."""
+    p = lsh.pairs_within_lsh(src.vec_log(spark, sf_dir), TAU, key="vec_id", dim=DIM)
+    return p.select(F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), _r("distance", 4))
+
+
+@register("cache_replay_keys")
+def q_cache_replay_keys(spark, sf_dir):
+    """The log with 40 cache keys: an entry lasts until its key is stored again."""
+    log = src.vec_log(spark, sf_dir).withColumn("key", F.concat(F.lit("prompt:"), F.col("vec_id") % 40))
+    r = replay.cache_replay(log, TAU, dim=DIM, id_col="vec_id", key_col="key")
+    return r.select(F.col("id").alias("vec_id"), "outcome", "match_id", _r("distance", 4))
+
+
 @register("cache_replay")
 def q_cache_replay(spark, sf_dir):
     r = replay.cache_replay(src.vec_log(spark, sf_dir), TAU, dim=DIM, id_col="vec_id")

@@ -198,10 +198,69 @@ def test_warm_cache(spark):
         cache_replay(df, 0.3, dim=6, initial=warm.withColumn("key", F.col("key").cast("string")))
 
 
-def test_two_vectors_of_one_key_raise(spark):
-    df = spark.createDataFrame([(1, "k", [1.0, 0.0]), (2, "k", [0.0, 1.0])], "request_id long, key string, embedding array<double>")
-    with pytest.raises(ValueError, match="two different vectors"):
-        cache_replay(df, 0.1, dim=2, key_col="key")
+def overwriting(vecs, keys, tau, storable, warm=()):
+    """The gateway with a keyed cache, one request at a time: a store under a key ends its entry."""
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    cache = [(name, key, unit(v)) for name, key, v in warm]
+    out = {}
+    for i, v in enumerate(vecs):
+        near = sorted((round(float(1 - e @ unit(v)), 12), name) for name, _, e in cache)
+        if near and near[0][0] <= tau:
+            out[i] = ("HIT", near[0][1])
+            continue
+        out[i] = ("MISS", None)
+        if storable[i]:
+            cache = [e for e in cache if keys[i] is None or e[1] != keys[i]] + [(i, keys[i], unit(v))]
+    return out
+
+
+@pytest.mark.parametrize("seed,n_keys,slice_rows", [(1, 4, 1_000_000), (2, 12, 35), (3, 1, 50), (4, 60, 1_000_000)])
+def test_overwritten_keys_equal_the_sequential_loop(spark, seed, n_keys, slice_rows):
+    rng = np.random.default_rng(seed)
+    n = 130
+    vecs = _clustered(rng, n, 4, 8, 0.5)
+    keys = [None if k == n_keys else f"k{k}" for k in rng.integers(0, n_keys + 1, n)]
+    ok = rng.random(n) > 0.15
+    df = spark.createDataFrame([(i, keys[i], bool(ok[i]), vecs[i].tolist()) for i in range(n)],
+                               "request_id long, key string, ok boolean, embedding array<double>").repartition(5)
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(
+        df, 0.25, dim=4, key_col="key", storable_col="ok", slice_rows=slice_rows, block_rows=64).collect()}
+    assert got == overwriting(vecs, keys, 0.25, ok)
+
+
+def test_overwritten_entries_of_a_warm_cache(spark):
+    rng = np.random.default_rng(9)
+    vecs = _clustered(rng, 60, 4, 5, 0.5)
+    keys = [f"k{k}" for k in rng.integers(0, 6, 60)]
+    warm = [(-1 - i, f"k{i}", v.tolist()) for i, v in enumerate(_clustered(np.random.default_rng(9), 6, 4, 5, 0.4))]
+    df = spark.createDataFrame([(i, keys[i], vecs[i].tolist()) for i in range(60)], "request_id long, pk string, embedding array<double>")
+    initial = spark.createDataFrame([(k, p, v) for k, p, v in warm], "key long, pk string, embedding array<double>")
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.25, dim=4, key_col="pk", initial=initial).collect()}
+    assert got == overwriting(vecs, keys, 0.25, np.ones(60, bool), warm)
+
+
+def test_case_variants_of_a_prompt_overwrite_each_other(spark):
+    """One key, two vectors: the second ends the first, whose prompt is then a miss again."""
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(1, "k", x), (2, "k", x), (3, "k", y), (4, "k", x), (5, "k", y)],
+                               "request_id long, key string, embedding array<double>")
+    got = {r.id: (r.outcome, r.match_id) for r in cache_replay(df, 0.1, dim=2, key_col="key").collect()}
+    assert got == {1: ("MISS", None), 2: ("HIT", 1), 3: ("MISS", None), 4: ("MISS", None), 5: ("MISS", None)}
+    with pytest.raises(ValueError, match="store delay"):
+        cache_replay(df.withColumn("a", F.col("request_id")), 0.1, dim=2, key_col="key", available_col="a")
+
+
+@pytest.mark.parametrize("bits", [0, 2, 16])
+def test_next_rank_of_a_key_across_stretches(spark, monkeypatch, bits):
+    from cachescope.operators import replay
+
+    monkeypatch.setattr(replay, "_STRETCH_BITS", bits)
+    rows = [("a", r) for r in (0, 1, 3, 4, 17, 40)] + [("b", 2), (None, 5), (None, 6)]
+    df = spark.createDataFrame(rows, "key string, rank long")
+    got = {(r.key, r.rank): r.nxt for r in replay.with_next(df, "nxt").collect()}
+    end = replay._NEVER
+    assert got == {("a", 0): 1, ("a", 1): 3, ("a", 3): 4, ("a", 4): 17, ("a", 17): 40, ("a", 40): end, ("b", 2): end,
+                   (None, 5): end, (None, 6): end}
 
 
 def test_empty_log_and_vectors_of_another_dimension(spark):
