@@ -5,6 +5,8 @@ The fixture views are spelled out as CTEs over the pre-registered tables.
 
 from __future__ import annotations
 
+from ..functions.pii_patterns import patterns
+
 V_REQUESTS = """gw_requests AS (
   SELECT event_id AS request_id, ts, user_id AS tenant,
          CASE WHEN event_type IN ('view', 'click') THEN 'HIT' ELSE 'MISS' END AS outcome,
@@ -372,6 +374,53 @@ FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id"""
 
 SQL["pii_cards_valid"] = _luhn_sql()
 
+_NUMBERS = """acc AS (
+  SELECT doc_id, text AS body, lpad(CAST((doc_id * 7919) % 1000000000 AS VARCHAR), 18, '0') AS account FROM documents
+), chk AS (
+  SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'GB' ELSE 'DE' END AS country, CASE WHEN doc_id % 2 = 0
+    THEN lpad(CAST(98 - CAST(account || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0') ELSE '42' END AS digits FROM acc
+), numbered AS (
+  SELECT doc_id, country, digits, account, 'Pay to ' || country || digits || account || ', ssn 123-45-'
+    || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '. ' || coalesce(body, '') AS text FROM chk)"""
+
+SQL["pii_iban_valid"] = "WITH " + _NUMBERS + f"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '{dict(patterns("re2"))["IBAN_CODE"]}')) AS BIGINT) AS n_iban_candidates,
+       CASE WHEN CAST(account || CASE country WHEN 'DE' THEN '1314' ELSE '1611' END || digits AS HUGEINT) % 97 = 1 THEN 1 ELSE 0 END::BIGINT AS n_iban_valid
+FROM numbered"""
+
+
+def _spans_sql() -> str:
+    """Spans level by level: a match counts unless it overlaps one that counts of a level before."""
+    from ..functions.pii_patterns import CHECKS, SCORES, patterns
+
+    parts, kept = [_NUMBERS], []
+    for k, (entity, pat) in enumerate(patterns("re2")):
+        parts.append(f"""m{k} AS (
+  SELECT doc_id, i, unnest_value AS value, CAST(length(piece) AS INT) AS gap FROM (
+    SELECT doc_id, unnest(range(len(vals))) AS i, unnest(vals) AS unnest_value, unnest(pieces[1:len(vals)]) AS piece
+    FROM (SELECT doc_id, regexp_extract_all(text, '{pat}') AS vals, string_split_regex(text, '{pat}') AS pieces FROM numbered)))""")
+        clash = " AND ".join(f"NOT EXISTS (SELECT 1 FROM k{j} WHERE k{j}.doc_id = p.doc_id AND k{j}.s < p.e AND p.s < k{j}.e)" for j in kept)
+        parts.append(f"""k{k} AS (
+  SELECT * FROM (SELECT doc_id, '{entity}' AS entity, value, e - length(value) AS s, e FROM (
+    SELECT *, sum(gap + length(value)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM m{k})) p{' WHERE ' + clash if clash else ''})""")
+        kept.append(k)
+    luhn = """list_sum(list_transform(range(length(ds)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substring(ds, length(ds) - i, 1) AS INTEGER)
+      ELSE (CAST(substring(ds, length(ds) - i, 1) AS INTEGER) * 2) % 10
+           + (CAST(substring(ds, length(ds) - i, 1) AS INTEGER) * 2) // 10 END)) % 10 = 0"""
+    iban = ("left(value, 2) IN ('DE', 'GB') AND length(value) = 22 AND TRY_CAST(substring(value, 5) || CASE left(value, 2) "
+            "WHEN 'DE' THEN '1314' ELSE '1611' END || substring(value, 3, 2) AS HUGEINT) % 97 = 1")
+    scores = " ".join(f"WHEN '{e}' THEN {s}::DOUBLE" for e, s in SCORES.items())
+    assert set(CHECKS) == {"CREDIT_CARD", "IBAN_CODE"}
+    return "WITH " + ",\n".join(parts) + f""",
+every AS ({" UNION ALL ".join(f"SELECT * FROM k{k}" for k in kept)}),
+d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS ds FROM every)
+SELECT doc_id, entity, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", CASE
+  WHEN entity = 'CREDIT_CARD' AND {luhn} THEN 1.0::DOUBLE WHEN entity = 'IBAN_CODE' AND {iban} THEN 1.0::DOUBLE
+  ELSE CASE entity {scores} END END AS score, value FROM d"""
+
+
+SQL["pii_spans"] = _spans_sql()
+
 _PII_EV = "WITH " + _pii_cascade_sql("documents", "doc_id", "text") + """,
 ev AS (SELECT doc_id, unnest(ents) AS entity,
               '[REDACTED] ' || CASE WHEN length(sanitized_text) > 80 THEN left(sanitized_text, 80)

@@ -570,3 +570,56 @@ def test_session_messages(spark):
     df = spark.createDataFrame([('[{"role":"user","content":"hi"}]',), ("no json",), (None,)], "p string")
     got = [[tuple(m) for m in r.m] for r in df.select(messages_of(F.col("p")).alias("m")).collect()]
     assert got == [[("user", "hi")], [], []]
+
+
+# ------------------------------------------------------------------ checksums and spans
+def _mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_iban_checks(spark):
+    good = ["GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606", "NO9386011117947",
+            "MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015"]
+    bad = ["GB83WEST12345698765432", "DE8937040044053201300", "DE893704004405320130000", "XX82WEST12345698765432"]
+    assert all(_mod97(g) == 1 for g in good)
+    df = spark.createDataFrame([(g,) for g in good + bad], "text string")
+    got = {r.text: (r.n_iban_candidates, r.n_iban_valid) for r in pii.iban_checks(df).collect()}
+    assert got == {**{g: (1, 1) for g in good}, **{b: (1, 0) for b in bad}}
+    red = pii.redact(spark.createDataFrame([(f"to {good[0]} or {bad[0]}.",)], "text string"), validate_ibans=True).first()
+    assert red.sanitized_text == f"to <IBAN_CODE> or {bad[0]}." and red.entities == ["IBAN_CODE"]
+
+
+def _brute_spans(text):
+    import re
+
+    from cachescope.functions.pii_patterns import patterns
+
+    taken = []
+    for entity, pat in patterns("python"):
+        for m in re.finditer(pat, text or ""):
+            if not any(s < m.end() and m.start() < e for _, s, e in taken):
+                taken.append((entity, *m.span()))
+    return taken
+
+
+def test_spans_equal_a_search_by_cascade(spark):
+    import random
+
+    rnd = random.Random(5)
+    bits = ["a.b@c.org", "4111 1111 1111 1111", "4111111111111112", "123-45-6789", "10.0.0.1", "415-555-0199", "+1 (415) 555-0199",
+            "GB82WEST12345698765432", "é", "1234567", "@", ".", "-", " ", "x", "99", "1.2.3.4.5", "a@b", "(212) 555 1234 5678 9012 3456"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(["", " ", "", "-"]) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    texts += [None, "", "4111 1111 1111 1111" * 3, " 10.0.0.1" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {}
+    for r in pii.spans(df).collect():
+        assert texts[r.doc_id][r.start:r.end] == r.value
+        got.setdefault(r.doc_id, []).append((r.entity, r.start, r.end))
+    assert {i: sorted(s) for i, s in got.items()} == {i: sorted(s) for i, t in enumerate(texts) if (s := _brute_spans(t))}
+
+
+def test_span_scores(spark):
+    text = "card 4111 1111 1111 1111, 4111 1111 1111 1112, GB82WEST12345698765432, GB83WEST12345698765432, a@b.co"
+    rows = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted((r.entity, r.score) for r in rows) == [("CREDIT_CARD", 0.3), ("CREDIT_CARD", 1.0), ("EMAIL_ADDRESS", 0.9),
+                                                         ("IBAN_CODE", 0.5), ("IBAN_CODE", 1.0)]
