@@ -56,6 +56,8 @@ SCORE_UNIT = 2_000_000
 RUN_BYTES = 8 << 20
 #: Rows that leave a task at a time.
 OUT_ROWS = 1 << 16
+#: Phrases that a task remembers to have spelt out (it spells some again beyond that).
+SPELT_ROWS = 4_000_000
 #: Groups in which the best of a language are picked first.
 PICK_GROUPS = 64
 
@@ -181,6 +183,15 @@ def _spelt(lang: str, text: Words, found) -> Iterator[pa.RecordBatch]:
 def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
     """A function for mapInArrow over (lang, text as bytes): counts of the phrases that
     ``occurring`` names, or with ``spell`` their words, and the number of all words."""
+    spelt_out = [np.empty(0, dtype="i8")]  # hashes of the phrases that this task has spelt
+
+    def fresh(found):
+        for k, p, a, b, n in found:
+            new = ~np.isin(a, spelt_out[0])
+            known = spelt_out[0] if len(spelt_out[0]) < SPELT_ROWS else spelt_out[0][:0]
+            spelt_out[0] = np.concatenate([known, a[new]])
+            yield k, p[new], a[new], b[new], n[new]
+
     def flushed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -190,7 +201,7 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
                 continue
             found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell)
             if spell:
-                yield from _spelt(lang, text, found)
+                yield from _spelt(lang, text, fresh(found))
                 continue
             for _, _, a, b, n in found:
                 for at in range(0, len(n), OUT_ROWS):
@@ -199,6 +210,7 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
                                                      names=["a", "b", "n"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt_out[0] = spelt_out[0][:0]
         held, size = {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
