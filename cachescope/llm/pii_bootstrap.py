@@ -8,9 +8,14 @@
    every pattern with enough different seeds a second scan counts all occurrences of its
    words, whatever stands beside them.
 3. Scores, iterated in Spark. A pattern's confidence is the share of its occurrences that
-   hold an instance, each weighted by the belief in it; seeds are believed fully, any
-   other instance as much as its most confident pattern.
-4. Extraction. A token that is no base span, in a pattern whose confidence ends at
+   hold an instance, each weighted by the belief in it. Seeds are believed fully, any other
+   instance ``TRUST`` per cent as much as its most confident pattern. Both are whole per
+   cents, rounded down, and only rise, so the rounds end where nothing changes any more.
+4. Bootstrapping. Instances in a pattern of at least ``MIN_CONFIDENCE`` join the seeds; patterns
+   that now have enough of them are induced, totalled over the texts and scored with the
+   others, until no pattern joins. Trust falls from one generation to the next, which
+   ends chains of discoveries that lead away from the seeds.
+5. Extraction. A token that is no base span, in a pattern whose confidence ends at
    ``MIN_CONFIDENCE`` or more, becomes a span of kind ``context``. Base spans always stay.
 
 The edges are aggregated by (pattern, instance) before any join, so a pattern or an
@@ -37,14 +42,12 @@ from .common import columns_apart, filter_of, passes, written
 
 #: Base kinds in the order in which spans with one start are listed; ``context`` follows.
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, and different seeds that a pattern needs.
-ROUNDS, MIN_SEEDS = 3, 5
-#: Confidence from which a pattern extracts.
-MIN_CONFIDENCE = 0.8
-#: Characters of an identifier-like token.
-MIN_TOKEN, MAX_TOKEN = 6, 64
-#: Characters beside an instance in which its two neighbouring words are looked for.
-REACH = 400
+#: Different seeds that a pattern needs.
+MIN_SEEDS = 5
+#: Confidence, in per cent, from which a pattern extracts, and the part of it, in per cent, that its instances get.
+MIN_CONFIDENCE, TRUST = 80, 90
+#: Least characters of an identifier-like token.
+MIN_TOKEN = 6
 #: Words whose hash a task remembers.
 CACHE_WORDS = 500_000
 
@@ -121,12 +124,18 @@ def _pair(words: list[str], hashes: dict) -> int | None:
 
 def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, kind number or -1): base spans, and identifier-like tokens outside them."""
-    found, covered, p, at = [(s, e, k) for s, k, e in spans], sorted((s, e) for s, _, e in spans), 0, 0
+    found, p, at = [(s, e, k) for s, k, e in spans], 0, 0
+    covered: list[list[int]] = []  # the base spans as stretches that do not meet
+    for s, _, e in spans:
+        if covered and s < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
     for m in _HINT.finditer(text):
         if m.start() < at:
             continue
         s, at = m.start(), _REST.match(text, m.start()).end()
-        while s > 0 and not text[s - 1].isspace() and at - s <= MAX_TOKEN:
+        while s > 0 and not text[s - 1].isspace():
             s -= 1
         e = at
         while s < e and text[s] in _TRIM:
@@ -135,17 +144,35 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
             e -= 1
         while p < len(covered) and covered[p][1] <= s:
             p += 1
-        if MIN_TOKEN <= e - s <= MAX_TOKEN and not any(a < e and s < b for a, b in covered[p:p + 8]):
+        if e - s >= MIN_TOKEN and (p == len(covered) or covered[p][0] >= e):
             found.append((s, e, -1))
     return found
 
 
+def _words_before(text: str, s: int) -> list[str]:
+    """The last two words before ``s``, whatever their length."""
+    reach = 32
+    while True:
+        words = text[max(0, s - reach):s].split()
+        if len(words) > 2 or reach >= s:  # of three words the first may be cut
+            return words[-2:]
+        reach *= 2
+
+
+def _words_after(text: str, e: int) -> list[str]:
+    reach = 32
+    while True:
+        words = text[e:e + reach].split()
+        if len(words) > 2 or e + reach >= len(text):
+            return words[:2]
+        reach *= 2
+
+
 def around(text: str, s: int, e: int, hashes: dict) -> tuple[int | None, int | None]:
     """Hashes of the two words before the token at ``s`` and the two after the one before ``e``."""
     while s > 0 and not text[s - 1].isspace():
         s -= 1
-    e = _REST.match(text, e).end()
-    return (_pair(text[max(0, s - REACH):s].split()[-2:], hashes), _pair(text[e:e + REACH].split()[:2], hashes))
+    return _pair(_words_before(text, s), hashes), _pair(_words_after(text, _REST.match(text, e).end()), hashes)
 
 
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -187,27 +214,52 @@ def count_pairs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             .join(wanted.select("pair").distinct(), "pair", "left_semi"))
 
 
-def confident_patterns(seen: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-                       min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
+def _settled(live: DataFrame, seeds: DataFrame, belief: DataFrame, trust: int) -> tuple[DataFrame, DataFrame]:
+    """(side, pair, confidence, n_seeds) and (inst, belief) where another round changes nothing."""
+    last = None
+    while True:
+        score = written(live.join(belief, "inst").groupBy("side", "pair").agg(
+            F.expr("sum(n * belief) div max(total)").alias("confidence"), F.max("n_seeds").alias("n_seeds")), "patterns")
+        now = score.agg(F.sum("confidence")).first()[0]
+        if now == last:  # no confidence falls, so an equal sum says that none has risen
+            return score, belief
+        last = now
+        raised = live.where("not seed").join(score.select("side", "pair", "confidence"), ["side", "pair"])
+        belief = written(seeds.unionByName(raised.select("inst", F.expr(f"confidence * {trust} div 100").alias("belief")))
+                         .groupBy("inst").agg(F.max("belief").alias("belief")), "beliefs")
+
+
+def confident_patterns(seen: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: int = MIN_CONFIDENCE,
+                       trust: int = TRUST) -> DataFrame | None:
     """(side, pair, confidence, n_seeds) of the patterns that extract, from rows of
     (inst, kind, side, pair); none if no pattern has enough seeds."""
+    if not 0 <= trust <= 100:
+        raise ValueError("trust is a per cent")
     edges = (seen.groupBy("side", "pair", "inst").agg(F.count(F.lit(1)).alias("n"), (F.max("kind") >= 0).alias("seed")))
     edges = written(edges, "edges")
-    wanted = written(edges.where("seed").groupBy("side", "pair").agg(F.count(F.lit(1)).alias("n_seeds"))
-                     .where(F.col("n_seeds") >= min_seeds), "candidates")
-    if wanted.isEmpty():
-        return None
-    total = written(wanted.join(count_pairs(texts, wanted), "pair"), "totals")
-    edges = written(edges.join(total, ["side", "pair"]), "edges")
-    belief = edges.select("inst", F.col("seed").cast("double").alias("belief")).groupBy("inst").agg(
-        F.max("belief").alias("belief"))
-    for _ in range(rounds):
-        score = written(edges.join(belief, "inst").groupBy("side", "pair").agg(
-            (F.sum(F.col("n") * F.col("belief")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence"),
-            F.max("n_seeds").alias("n_seeds")), "patterns")
-        belief = (edges.join(score.select("side", "pair", "confidence"), ["side", "pair"]).groupBy("inst")
-                  .agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("confidence"))).alias("belief")))
-    return score.where(F.col("confidence") >= min_confidence)
+    seeds = written(edges.where("seed").select("inst").distinct().withColumn("belief", F.lit(100).cast("bigint")), "seeds")
+    believed, belief, known, live, score = seeds.select("inst"), seeds, None, None, None
+    while True:
+        rich = (edges.join(believed, "inst").groupBy("side", "pair").agg(F.count(F.lit(1)).alias("n_seeds"))
+                .where(F.col("n_seeds") >= min_seeds))
+        new = written(rich if known is None else rich.join(known, ["side", "pair"], "left_anti"), "candidates")
+        if new.isEmpty():
+            break
+        known = new.select("side", "pair") if known is None else written(known.unionByName(new.select("side", "pair")), "known")
+        counted = written(new.join(count_pairs(texts, new), "pair"), "totals")
+        held = edges.join(counted, ["side", "pair"])
+        # two base spans of one token stand beside one pair
+        most = written(held.groupBy("side", "pair").agg(F.greatest(F.max("total"), F.sum("n")).alias("total")), "totals")
+        held = held.drop("total").join(most, ["side", "pair"])
+        live = written(held if live is None else held.unionByName(live), "live")
+        score, belief = _settled(live, seeds, belief, trust)
+        good = score.where(F.col("confidence") >= min_confidence).select("side", "pair")
+        fresh = written(live.where("not seed").join(good, ["side", "pair"]).select("inst").distinct()
+                        .join(believed, "inst", "left_anti"), "believed")
+        if fresh.isEmpty():
+            break
+        believed = written(believed.unionByName(fresh), "believed")
+    return None if score is None else score.where(F.col("confidence") >= min_confidence)
 
 
 @columns_apart("text")
