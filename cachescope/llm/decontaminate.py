@@ -1,6 +1,7 @@
 """Operator 10: benchmark decontamination.
 
-1. Seeds. Every run of ``SEED`` words of a test item is a seed. One scan over the
+1. Seeds. Every run of ``SEED`` words of a test item is a seed; of an item of fewer words, all
+   of it is. One scan over the
    documents looks every run of words up in the seeds (a sorted array of hashes) and
    writes, for each (document, item) that shares one, the stretch of the document that
    the item could cover, and the seeds. Texts are read whole and never shuffled.
@@ -18,8 +19,8 @@ The test items come to the driver in blocks of at most ``BLOCK_SEEDS`` seeds, ea
 in a scan of its own; that bounds what is broadcast whatever the size of the benchmark.
 
 Defined cases: words are lower-cased runs of letters and digits; null texts have none;
-an item with fewer than ``SEED`` words has no seed and is not searched; an item id that
-is null is kept as such; repeated rows give repeated results; an empty table on either
+an item with fewer than ``SEED`` words is found where it stands word for word, one without
+words nowhere; an item id that is null is kept as such; repeated rows give repeated results; an empty table on either
 side gives an empty result; further columns are ignored.
 """
 
@@ -74,24 +75,26 @@ class Block:
     first: np.ndarray  # postings of seed k: first[k] to first[k + 1]
     item: np.ndarray
     offset: np.ndarray
+    sizes: list[int]  # words of the seeds there are
 
 
-def _runs(ids: np.ndarray) -> np.ndarray:
-    """Hash of every run of SEED word ids."""
-    n = len(ids) - SEED + 1
-    h = np.zeros(max(n, 0), dtype="u8")
-    for k in range(SEED if n > 0 else 0):
-        h = (h ^ ids[k:k + n].astype("u8")) * np.uint64(_MIX[0])
+def _runs(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the runs of ``size`` word ids that begin at ``at``."""
+    h = np.full(len(at), size, dtype="u8")
+    for k in range(size):
+        h = (h ^ ids[at + k].astype("u8")) * np.uint64(_MIX[0])
         h ^= h >> np.uint64(29)
     return h * np.uint64(_MIX[1])
 
 
 def make_block(rows: list[tuple]) -> Block:
     vocab: dict[str, int] = {}
-    items, names, hashes, item, offset = [], [], [], [], []
+    items, names, hashes, item, offset, sizes = [], [], [], [], [], set()
     for name, words in rows:
         ids = np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], dtype="i4")
-        h = _runs(ids)
+        size = min(SEED, len(ids))
+        sizes.add(size)
+        h = _runs(ids, np.arange(len(ids) - size + 1), size)
         hashes.append(h)
         item.append(np.full(len(h), len(items), dtype="i4"))
         offset.append(np.arange(len(h), dtype="i4"))
@@ -101,7 +104,7 @@ def make_block(rows: list[tuple]) -> Block:
     order = np.argsort(flat, kind="stable")
     seeds, first = np.unique(flat[order], return_index=True)
     return Block(vocab, items, names, seeds, np.append(first, len(flat)),
-                 np.concatenate(item)[order], np.concatenate(offset)[order])
+                 np.concatenate(item)[order], np.concatenate(offset)[order], sorted(sizes))
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_SEEDS) -> Iterator[Block]:
@@ -109,7 +112,7 @@ def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_SEEDS)
     rows, seeds = [], 0
     for r in benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).toLocalIterator():
         words = words_of(r.t)
-        if len(words) < SEED:
+        if not words:
             continue
         if rows and seeds + len(words) > limit:
             yield make_block(rows)
@@ -120,29 +123,26 @@ def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_SEEDS)
         yield make_block(rows)
 
 
-def stretches(words: list[str], block: Block) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(item, start, word ids, seeds) for each stretch of a text that shares seeds with an item."""
-    get = block.vocab.get
-    ids = np.fromiter((get(w, 0) for w in words), dtype="i4", count=len(words))
-    n = len(ids) - SEED + 1
-    if n <= 0:
-        return
-    known = ids > 0
-    whole = known[:n].copy()
-    for k in range(1, SEED):
-        whole &= known[k:k + n]
+def _hits(ids: np.ndarray, size: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(position, seed) of the runs of ``size`` words of a text that are seeds."""
+    n = len(ids) - size + 1
+    whole = ids[:n] > 0
+    for k in range(1, size):
+        whole &= ids[k:k + n] > 0
     at = np.flatnonzero(whole)
-    if not len(at):
-        return
-    h = np.zeros(len(at), dtype="u8")
-    for k in range(SEED):
-        h = (h ^ ids[at + k].astype("u8")) * np.uint64(_MIX[0])
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(_MIX[1])
+    h = _runs(ids, at, size)
     place = np.searchsorted(block.seeds, h)
     place[place == len(block.seeds)] = 0
     hit = block.seeds[place] == h
-    at, place = at[hit], place[hit]
+    return at[hit], place[hit]
+
+
+def stretches(words: list[str], block: Block) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(item, start, word ids, seeds) for each stretch of a text that shares seeds with an item."""
+    get = block.vocab.get
+    ids = np.fromiter((get(w, 0) for w in words), dtype="i4", count=len(words))
+    found = [_hits(ids, size, block) for size in block.sizes if size <= len(ids)]
+    at, place = (np.concatenate(x) for x in zip(*found)) if found else ((), ())
     if not len(at):
         return
     count = block.first[place + 1] - block.first[place]

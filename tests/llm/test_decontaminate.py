@@ -113,3 +113,11 @@ def test_edges(spark):
     assert dc.contaminated(empty(spark), bench).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(docs, none).collect() == [] and dc.without_contaminated(docs, none).count() == docs.count()
+
+
+def test_items_of_few_words_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "aa bb cc"), (2, "Dd"), (3, "ee ff"), (4, " .. "), (5, None)], "item_id long, text string")
+    docs = frame(spark, [(1, "xx aa, bb CC yy"), (2, "aa bb xx cc"), (3, "dd"), (4, "ee gg ff"), (5, "gg ee ff dd ee ff"), (6, ""), (7, None)])
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word, r.similarity) for r in dc.contaminated(docs, bench).collect()}
+    assert got.keys() == {(1, 1), (3, 2), (5, 3), (5, 2)} and all(s == 1.0 for _, _, s in got.values())
+    assert got[1, 1][:2] == (1, 4) and got[5, 2][:2] == (3, 4)
