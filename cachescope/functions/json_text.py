@@ -44,12 +44,10 @@ def _pieces(payload: Column) -> Column:
             F.coalesce(F.try_variant_get(c["message"]["content"], "$", "string"), F.lit("")).alias("message")))))[0]
 
 
-def sse_text(body: Column | str) -> Column:
-    """Text of a whole SSE body: every ``data: `` line except ``[DONE]``, parsed as JSON;
-    lines that don't parse or whose content is no string are skipped. Per choice the
-    delta content, then the message content, in order. The whole body is parsed at
-    once, so a line is never lost at a read boundary."""
-    lines = F.split(F.coalesce(_c(body), F.lit("")), "\n")
+def lines_text(lines: Column) -> Column:
+    """Text of the lines of an SSE body: every ``data: `` line except ``[DONE]``, parsed as
+    JSON; lines that don't parse or whose content is no string are skipped. Per choice the
+    delta content, then the message content, in order."""
     data = F.filter(lines, lambda l: l.startswith(SSE_PREFIX))
     payloads = F.filter(F.transform(data, lambda l: ws_trim(F.substr(l, F.lit(len(SSE_PREFIX) + 1)))),
                         lambda p: p != SSE_DONE)
@@ -57,6 +55,12 @@ def sse_text(body: Column | str) -> Column:
     return F.array_join(F.transform(F.flatten(parsed), lambda c: F.concat(c["delta"], c["message"])), "")
 
 
+def sse_text(body: Column | str) -> Column:
+    """Text of a whole SSE body (:func:`lines_text`). The whole body is parsed at once, so a
+    line is never lost at a read boundary."""
+    return lines_text(F.split(F.coalesce(_c(body), F.lit("")), "\n"))
+
+
 def json_text(body: Column | str, fallback_to_body: bool = True) -> Column:
     """Concatenated message content of all choices; the raw body when that is empty, or when
     the body doesn't parse or holds content that is no string."""

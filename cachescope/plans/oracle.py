@@ -299,6 +299,7 @@ FROM users WHERE conv_id % 7 IN (3, 4, 6)"""
 SQL["request_rejected"] = _USER_TURNS + "\nSELECT conv_id, turn FROM users WHERE conv_id % 7 IN (0, 1, 2, 5)"
 
 SQL["sse_text"] = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
+SQL["sse_chunks"] = SQL["sse_text"]
 SQL["json_text"] = """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{"choices":[{"message":{"content":5}}]}' ELSE text END AS text
 FROM conversations WHERE role = 'assistant'"""

@@ -16,6 +16,7 @@ from .. import config
 from ..functions import json_text as jt
 from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
 from ..operators import cache, lsh, pii, pivots, replay
+from ..operators import chunks as ck
 from ..operators import embed as emb
 from ..operators import prompts as pr
 from ..operators import sessions as sess
@@ -327,14 +328,24 @@ def _replies(spark, sf_dir):
     return src.table(spark, sf_dir, "conversations").where("role = 'assistant'")
 
 
-@register("sse_text")
-def q_sse_text(spark, sf_dir):
+def _sse_bodies(spark, sf_dir):
     """Every assistant text as a stream of pieces, with lines in between that hold no text."""
     chunks = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,24}"), 0)
     noise = F.lit('data: {"choices":[{"delta":{"content":5}}]}\n\ndata: {"choices":[]} junk\n: note\n'
                   'data: {"choices":[{"message":{"role":"assistant"}}]}\n')
-    bodies = _replies(spark, sf_dir).select("conv_id", "turn", F.concat(noise, jt.sse_body(chunks)).alias("body"))
-    return bodies.select("conv_id", "turn", jt.sse_text("body").alias("text"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", F.concat(noise, jt.sse_body(chunks)).alias("body"))
+
+
+@register("sse_text")
+def q_sse_text(spark, sf_dir):
+    return _sse_bodies(spark, sf_dir).select("conv_id", "turn", jt.sse_text("body").alias("text"))
+
+
+@register("sse_chunks")
+def q_sse_chunks(spark, sf_dir):
+    """The same streams as the reads that they arrive in, put together again by line."""
+    reads = ck.chunked(_sse_bodies(spark, sf_dir), "body")
+    return ck.stream_text(reads, keys=("conv_id", "turn"))
 
 
 @register("json_text")
