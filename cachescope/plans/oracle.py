@@ -228,12 +228,12 @@ FROM s"""
 _SESSION_LOG = f"""log AS (
   SELECT {UUID_SQL.format(h='md5(CAST(conv_id AS VARCHAR))')} AS session_id,
          TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn) * INTERVAL 1 MINUTE AS updated_at,
-         'save' AS op, text AS payload, 'llama-3.3-70b-versatile' AS model
+         'save' AS op, conv_id, role, text, CASE WHEN turn % 2 = 0 THEN '{{"turn":' || turn || '}}' END AS meta
   FROM conversations
   UNION ALL
   SELECT {UUID_SQL.format(h='md5(CAST(conv_id AS VARCHAR))')},
          TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn + 1) * INTERVAL 1 MINUTE,
-         'delete', NULL, NULL
+         'delete', NULL, NULL, NULL, NULL
   FROM (SELECT conv_id, arg_max(role, turn) AS last_role, max(turn) AS turn FROM conversations GROUP BY conv_id)
   WHERE last_role = 'user')"""
 
@@ -242,10 +242,17 @@ latest AS (SELECT * FROM log WHERE updated_at <= TIMESTAMP '2024-01-09 12:00:00'
            QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, (op = 'delete') DESC) = 1),
 alive AS (SELECT * FROM latest
           WHERE op = 'save' AND epoch(TIMESTAMP '2024-01-09 12:00:00') - epoch(updated_at) < 604800)
-SELECT r.session_id, a.updated_at IS NOT NULL AS found, coalesce(a.model, 'llama-3.3-70b-versatile') AS model,
-       a.updated_at, CAST(length(a.payload) AS BIGINT) AS payload_chars
+SELECT r.session_id, a.updated_at IS NOT NULL AS found,
+       CASE WHEN a.conv_id % 3 = 0 AND a.conv_id % 5 <> 4 THEN 'own-model' ELSE 'llama-3.3-70b-versatile' END AS model,
+       a.updated_at, CASE WHEN a.conv_id % 5 <> 4 THEN 2 ELSE 0 END AS n_messages,
+       CASE WHEN a.conv_id % 5 <> 4 THEN a.role END AS role, CASE WHEN a.conv_id % 5 <> 4 THEN a.text END AS content,
+       CASE WHEN a.conv_id % 5 <> 4 THEN a.meta END AS meta
 FROM (SELECT DISTINCT session_id FROM log) r LEFT JOIN alive a USING (session_id)"""
 
+SQL["session_saved"] = "WITH " + _SESSION_LOG + """
+SELECT session_id, updated_at, role, text AS content, meta FROM log
+WHERE op = 'save' AND conv_id % 5 <> 4 AND role IN ('user', 'assistant') AND coalesce(text, '') <> ''"""
+
 SQL["preview_chars"] = """
 SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS preview,
        CASE WHEN length(text) > 80 THEN left(text, 80) ELSE text END AS preview80,

@@ -249,8 +249,17 @@ SESSION_AS_OF = "2024-01-09 12:00:00"
 def q_session_load(spark, sf_dir):
     log = src.gw_session_log(spark, sf_dir)
     got = sess.load(log.select("session_id"), log, SESSION_AS_OF)
-    return got.select("session_id", "found", "model", "updated_at",
-                      F.length("payload").cast("bigint").alias("payload_chars"))
+    last = F.element_at("messages", -1)
+    return got.select("session_id", "found", "model", "updated_at", F.size("messages").cast("bigint").alias("n_messages"),
+                      *[F.when(F.size("messages") > 0, last[c]).alias(c) for c in ("role", "content", "meta")])
+
+
+@register("session_saved")
+def q_session_saved(spark, sf_dir):
+    """The messages that every save of the log keeps."""
+    saves = src.gw_session_log(spark, sf_dir).where("op = 'save'")
+    kept = saves.select("session_id", "updated_at", F.explode(sess.worth_saving(sess.messages_of(F.col("payload")))).alias("m"))
+    return kept.select("session_id", "updated_at", "m.*")
 
 
 @register("preview_chars")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CHAT_MODEL
+from ..operators.sessions import stored_payload
 
 # fixed values: the PII entity types, in the gateway's order
 PII_ENTITY_TYPES = ["CREDIT_CARD", "EMAIL_ADDRESS", "IBAN_CODE", "IP_ADDRESS",
@@ -111,14 +112,22 @@ def gw_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gw_session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save/delete log of chat sessions: every turn of conversation c is a save of
-    session uuid(md5(c)) at 2024-01-01 + c hours + turn minutes; a conversation
-    whose last turn is a user turn is deleted one minute after it."""
+    session uuid(md5(c)) at 2024-01-01 + c hours + turn minutes, whose payload is the stored
+    object with a system message and the turn's (with meta on even turns), or of every fifth
+    conversation its bare text; a conversation whose last turn is a user turn is deleted one
+    minute after it. Every third conversation names a model of its own in the payload."""
     conv = table(spark, sf_dir, "conversations")
     sid = uuid_from_hex(F.md5(F.col("conv_id").cast("string")))
     at = F.timestamp_add("MINUTE", F.col("conv_id") * 60 + F.col("turn"),
                          F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    meta = F.when(F.col("turn") % 2 == 0, F.format_string('{"turn":%d}', "turn"))
+    message = lambda role, text, m: F.struct(role.alias("role"), text.alias("content"), m.alias("meta"))
+    messages = F.array(message(F.lit("system"), F.lit("be brief"), F.lit(None).cast("string")),
+                       message(F.col("role"), F.col("text"), meta))
+    model = F.when(F.col("conv_id") % 3 == 0, F.lit("own-model")).otherwise(F.lit(DEFAULT_CHAT_MODEL))
+    payload = F.when(F.col("conv_id") % 5 == 4, F.col("text")).otherwise(stored_payload(messages, model, at))
     saves = conv.select(sid.alias("session_id"), at.alias("updated_at"), F.lit("save").alias("op"),
-                        F.col("text").alias("payload"), F.lit(DEFAULT_CHAT_MODEL).alias("model"))
+                        payload.alias("payload"), F.lit(DEFAULT_CHAT_MODEL).alias("model"))
     last = conv.groupBy("conv_id").agg(F.max_by("role", "turn").alias("last_role"),
                                        F.max("turn").alias("turn"))
     deletes = last.where(F.col("last_role") == "user").select(

@@ -565,11 +565,31 @@ def test_embed_with_blank_and_null_texts(spark):
 
 
 def test_session_messages(spark):
-    from cachescope.operators.sessions import messages_of
-
-    df = spark.createDataFrame([('[{"role":"user","content":"hi"}]',), ("no json",), (None,)], "p string")
-    got = [[tuple(m) for m in r.m] for r in df.select(messages_of(F.col("p")).alias("m")).collect()]
-    assert got == [[("user", "hi")], [], []]
+    stored = ('{"messages":[{"role":"user","content":"hi","meta":{"a":[1]}},{"role":"assistant","content":7,"meta":{}},'
+              '{"role":5,"content":"x"},{"role":"user"},{"role":"user","content":""},{"role":"user","content":"0","meta":null},'
+              '{"role":"assistant","content":[]},7],"model":"m","updatedAt":"2024-01-01T00:00:00+00:00"}')
+    payloads = [stored, '[{"role":"user","content":"hi"}]', "no json", None, "5", '{"messages":5,"model":6}', "{}", stored + " x"]
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, p string")
+    m = sessions.messages_of(F.col("p"))
+    rows = df.select("i", m.alias("m"), sessions.model_of(F.col("p")).alias("model"),
+                     sessions.worth_saving(m).alias("kept")).orderBy("i").collect()
+    assert [tuple(x)[:3] for x in rows[0].m] == [
+        ("user", "hi", '{"a":[1]}'), ("assistant", "7", "{}"), (None, "x", None), ("user", None, None), ("user", "", None),
+        ("user", "0", None), ("assistant", "[]", None), (None, None, None)]
+    assert rows[0].m[1].raw == '{"content":7,"meta":{},"role":"assistant"}' and rows[0].m[-1].raw == "7"
+    assert [tuple(x) for x in rows[0].kept] == [("user", "hi", '{"a":[1]}'), ("assistant", "7", None), ("user", "0", None)]
+    assert [tuple(x)[:3] for x in rows[1].m] == [("user", "hi", None)]
+    assert all(r.m == [] and r.kept == [] for r in rows[2:]) and [r.model for r in rows] == ["m"] + [None] * 7
+
+
+def test_stored_session_round_trip(spark):
+    kind = "m array<struct<role:string,content:string,meta:string>>"
+    said = [("user", 'a "b"\n€', '{"k":[1,{"x":null}]}'), ("assistant", "c", None)]
+    df = spark.createDataFrame([(said,), ([],)], kind).withColumn("at", F.lit("2024-01-02 03:04:05.5").cast("timestamp_ntz"))
+    back = df.select(*sessions.save_rows(F.lit("s"), F.col("m"), F.lit("own"), F.col("at")))
+    rows = back.select(sessions.messages_of(F.col("payload")).alias("m"), sessions.model_of(F.col("payload")).alias("o"), "payload").collect()
+    assert sorted([tuple(x)[:3] for x in r.m] for r in rows) == [[], said] and {r.o for r in rows} == {"own"}
+    assert all('"updatedAt":"2024-01-02T03:04:05.500000+00:00"' in r.payload for r in rows)
 
 
 # ------------------------------------------------------------------ checksums and spans
