@@ -311,6 +311,21 @@ SQL["json_text"] = """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{"choices":[{"message":{"content":5}}]}' ELSE text END AS text
 FROM conversations WHERE role = 'assistant'"""
 
+SQL["embed_new"] = r"""
+WITH t AS (
+  SELECT DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g') AS text,
+         CASE WHEN role = 'user' THEN 'SEMANTIC_SIMILARITY' ELSE 'RETRIEVAL_DOCUMENT' END AS task_type
+  FROM conversations
+), b AS (
+  SELECT text, task_type, list_transform(
+           list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''),
+           lambda w: (position(md5(w)[1] IN '0123456789abcdef') - 1) % 8) AS b
+  FROM t WHERE text <> ''
+)
+SELECT sha256(text) AS text_key, task_type, CASE WHEN task_type = 'SEMANTIC_SIMILARITY' THEN 0 ELSE 1 END AS run,
+       array_to_string(list_transform(range(0, 8), lambda i: len(list_filter(b, lambda x: x = i))), ' ') AS buckets
+FROM b"""
+
 SQL["event_decode"] = with_views(V_REQUESTS, V_PII)[:-2] + """
 SELECT 'cache_hit' AS type, 'Cache HIT · distance ' || printf('%.4f', distance) AS message,
        'Latency: ' || CAST(latency_ms AS VARCHAR) || 'ms' AS detail,

@@ -7,6 +7,9 @@ money and means) so results compare equal across engines.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +25,9 @@ from ..operators import prompts as pr
 from ..operators import sessions as sess
 from ..operators import telemetry as tel
 from ..operators import vectors as vec
+from ..session import ensure_checkpoint_dir
 from ..streaming import queries as sq
+from ..streaming import tables
 from . import gateway as gw
 from ..sources import events as ev
 from ..sources import requests as reqs
@@ -378,6 +383,33 @@ def q_event_decode(spark, sf_dir):
         "type", "message", "detail", "timestamp", "ts", "meta_distance", "meta_latency", "meta_entity")
 
 
+# ---------------------------------------------------------------- stored vectors
+def word_buckets(texts: list[str], task: str) -> list[list[float]]:
+    """A test embedder that SQL can repeat: words counted in eight buckets by their md5."""
+    out = []
+    for t in texts:
+        counts = [0.0] * 8
+        for w in filter(None, re.split("[^a-z0-9]+", t.lower())):
+            counts[int(hashlib.md5(w.encode()).hexdigest()[0], 16) % 8] += 1.0
+        out.append(counts)
+    return out
+
+
+@register("embed_new")
+def q_embed_new(spark, sf_dir):
+    """Messages embedded in two runs, first the users' and then all of them, the replies as
+    documents: stored vectors by text and task, and the run that made them."""
+    said = src.gw_messages(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/embed-{uuid.uuid4().hex}"
+    task = F.when(F.col("role") == "user", emb.TASK_TYPE).otherwise("RETRIEVAL_DOCUMENT")
+    emb.embed_new(said.where("role = 'user'"), path, 0, word_buckets, text="content", task_type=task, dim=8)
+    first = tables.read(spark, path, emb.STORED, before=1).select("text_key", "task_type", F.lit(0).alias("run"))
+    emb.embed_new(said, path, 1, word_buckets, text="content", task_type=task, dim=8)
+    rows = tables.read(spark, path, emb.STORED).join(first, ["text_key", "task_type"], "left")
+    return rows.select("text_key", "task_type", F.coalesce("run", F.lit(1)).alias("run"),
+                       F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), " ").alias("buckets"))
+
+
 # ---------------------------------------------------------------- PII
 def _redacted_docs(spark, sf_dir):
     return pii.redact(src.documents(spark, sf_dir), "text")
