@@ -8,6 +8,9 @@ the pieces between them, and overlaps are resolved over sorted spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +127,26 @@ def score_of(entity: Column, value: Column) -> Column:
     return score
 
 
-def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text",
-          extra: list[tuple[str, str]] | None = None) -> DataFrame:
+def _recognised(fn: Callable[[list[str]], list[list[tuple[int, int, str, float]]]]) -> Callable[[Column], Column]:
+    """A recogniser as a function of a text column: its spans in order, of those that overlap
+    the first (the longer of two that begin together)."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for t, found in zip(s, fn(s.tolist()), strict=True):
+                kept, done = [], 0
+                for start, end, entity, score in sorted(found, key=lambda x: (x[0], -x[1])):
+                    if done <= start < end <= len(t):
+                        kept.append({"entity": entity, "at": start, "value": t[start:end], "score": float(score)})
+                        done = end
+                out.append(kept)
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, "array<struct<entity:string,at:int,value:string,score:double>>").asNondeterministic()
+
+
+def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", extra: list[tuple[str, str]] | None = None,
+          recogniser: Callable[[list[str]], list[list[tuple[int, int, str, float]]]] | None = None) -> DataFrame:
     """Detected spans ``key, entity, start, end, score, value`` (0-based character
     offsets, end exclusive) in the original text.
 
@@ -134,26 +155,36 @@ def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     starts before a span and the first that starts after it can meet it: two running values
     over the spans of a text sorted by start decide a level, without comparing pairs. Only
     matches are shuffled, never texts.
+
+    ``recogniser`` takes a list of texts and gives for each a list of (start, end, entity, score):
+    a named-entity model, say. It comes last in the cascade: its spans give way to those of the patterns.
     """
     pats = patterns("java", extra)
     rows = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_t")).where(
         F.length("_t") > 0)
     # one generator per text over the matches of all patterns: a match's place in its own pattern's list is kept
-    each = F.flatten(F.array(*[F.transform(_matches(F.col("_t"), k, e, p), lambda m, i: F.struct(
-        i.alias("i"), *[m[c].alias(c) for c in ("level", "entity", "gap", "value")])) for k, (e, p) in enumerate(pats)]))
-    found = rows.select("_key", "_row", F.explode(each).alias("m")).select("_key", "_row", "m.*")
+    own = F.lit(None)
+    lists = [F.transform(_matches(F.col("_t"), k, e, p), lambda m, i: F.struct(
+        i.alias("i"), *[m[c].alias(c) for c in ("level", "entity", "gap", "value")], own.cast("int").alias("at"),
+        own.cast("double").alias("own"))) for k, (e, p) in enumerate(pats)]
+    if recogniser is not None:
+        rows = rows.withColumn("_more", _recognised(recogniser)("_t"))
+        lists.append(F.transform("_more", lambda m, i: F.struct(
+            i.alias("i"), F.lit(len(pats)).alias("level"), m["entity"].alias("entity"), F.lit(0).alias("gap"),
+            m["value"].alias("value"), m["at"].alias("at"), m["score"].alias("own"))))
+    found = rows.select("_key", "_row", F.explode(F.flatten(F.array(*lists))).alias("m")).select("_key", "_row", "m.*")
     upto = Window.partitionBy("_row", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
-    placed = (found.withColumn("end", F.sum(F.col("gap") + size).over(upto).cast("int"))
-              .withColumn("start", (F.col("end") - size).cast("int")).drop("i", "gap"))
+    placed = (found.withColumn("end", F.coalesce(F.col("at") + size, F.sum(F.col("gap") + size).over(upto)).cast("int"))
+              .withColumn("start", (F.col("end") - size).cast("int")).drop("i", "gap", "at"))
     past = Window.partitionBy("_row").orderBy("start", "level").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("_row").orderBy(F.col("start").desc(), F.col("level").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
     kept = placed.withColumn("_kept", F.col("level") == 0)
-    for level in range(1, len(pats)):
+    for level in range(1, len(lists)):
         near = (kept.withColumn("_a", F.max(F.when(F.col("_kept"), F.col("end"))).over(past))
                 .withColumn("_b", F.min(F.when(F.col("_kept"), F.col("start"))).over(ahead)))
         free = (F.coalesce("_a", F.lit(0)) <= F.col("start")) & (F.coalesce("_b", F.lit(2**31 - 1)) >= F.col("end"))
         kept = near.withColumn("_kept", F.col("_kept") | ((F.col("level") == level) & free)).drop("_a", "_b")
     return kept.where("_kept").select(F.col("_key").alias(key), "entity", "start", "end",
-                                      score_of(F.col("entity"), F.col("value")).alias("score"), "value")
+                                      F.coalesce("own", score_of(F.col("entity"), F.col("value"))).alias("score"), "value")

@@ -451,6 +451,36 @@ SELECT doc_id, entity, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", CASE
 
 SQL["pii_spans"] = _spans_sql()
 
+SQL["pii_person"] = r"""
+WITH RECURSIVE names AS (
+  SELECT DISTINCT array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')[1:(conv_id + turn) % 3 + 1], ' ') AS name
+  FROM conversations
+), split AS (
+  SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') AS w,
+         string_split_regex(text, '[\p{L}\p{M}\p{N}_]+') AS g
+  FROM documents
+), words AS (
+  SELECT doc_id, i, w, g, sum(length(g[i])) OVER x + sum(length(w[i])) OVER x - length(w[i]) AS start
+  FROM (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM split)
+  WINDOW x AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, i, k, start, array_to_string(w[i:i + k - 1], ' ') AS name,
+         start + length(w[i]) + CASE WHEN k > 1 THEN length(g[i + 1]) + length(w[i + 1]) ELSE 0 END
+           + CASE WHEN k > 2 THEN length(g[i + 2]) + length(w[i + 2]) ELSE 0 END AS "end"
+  FROM words, (SELECT unnest([1, 2, 3]) AS k)
+  WHERE i + k - 1 <= len(w) AND (k < 2 OR regexp_full_match(g[i + 1], '\s+')) AND (k < 3 OR regexp_full_match(g[i + 2], '\s+'))
+), hits AS (
+  SELECT r.* FROM runs r JOIN names n ON n.name = r.name AND n.name <> ''
+  QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY k DESC) = 1
+), nexts AS (
+  SELECT a.*, b.i AS following FROM hits a ASOF LEFT JOIN hits b ON a.doc_id = b.doc_id AND a.i + a.k <= b.i
+), kept AS (
+  SELECT * FROM nexts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1
+  UNION ALL
+  SELECT n.* FROM kept k JOIN nexts n ON n.doc_id = k.doc_id AND n.i = k.following
+)
+SELECT doc_id, 'PERSON' AS entity, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", name AS value FROM kept"""
+
 _PII_EV = "WITH " + _pii_cascade_sql("documents", "doc_id", "text") + """,
 ev AS (SELECT doc_id, unnest(ents) AS entity,
               '[REDACTED] ' || CASE WHEN length(sanitized_text) > 80 THEN left(sanitized_text, 80)

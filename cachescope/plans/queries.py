@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import json_text as jt
 from ..functions.text import preview_bytes, preview_chars, prompt_key, session_id_valid
-from ..operators import cache, lsh, pii, pivots, replay
+from ..operators import cache, gazetteer, lsh, pii, pivots, replay
 from ..operators import chunks as ck
 from ..operators import embed as emb
 from ..operators import prompts as pr
@@ -484,6 +484,18 @@ def q_pii_spans(spark, sf_dir):
     return pii.spans(_with_numbers(spark, sf_dir), key="doc_id", text="text")
 
 
+def _names(spark, sf_dir):
+    """A list of names: the first one, two or three words of every message."""
+    conv = src.table(spark, sf_dir, "conversations")
+    return conv.select(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0), F.lit(1), F.pmod(
+        F.col("conv_id") + F.col("turn"), F.lit(3)).cast("int") + 1), " ").alias("name"))
+
+
+@register("pii_person")
+def q_pii_person(spark, sf_dir):
+    return gazetteer.person_spans(src.documents(spark, sf_dir), _names(spark, sf_dir)).select("doc_id", "entity", "start", "end", "value")
+
+
 # ---------------------------------------------------------------- streaming forms, drained
 def _request_stream(spark, sf_dir):
     return src.gw_requests(spark, sf_dir, src.stream(spark, sf_dir, "events"))
