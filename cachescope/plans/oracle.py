@@ -459,16 +459,20 @@ WITH RECURSIVE names AS (
   SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') AS w,
          string_split_regex(text, '[\p{L}\p{M}\p{N}_]+') AS g
   FROM documents
+), each AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(g[1:len(w)]) AS g FROM split
 ), words AS (
-  SELECT doc_id, i, w, g, sum(length(g[i])) OVER x + sum(length(w[i])) OVER x - length(w[i]) AS start
-  FROM (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM split)
-  WINDOW x AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, w, sum(length(g)) OVER x + sum(length(w)) OVER x - length(w) AS start,
+         lead(g) OVER x AS g2, lead(w) OVER x AS w2, lead(g, 2) OVER x AS g3, lead(w, 2) OVER x AS w3
+  FROM each WINDOW x AS (PARTITION BY doc_id ORDER BY i)
 ), runs AS (
-  SELECT doc_id, i, k, start, array_to_string(w[i:i + k - 1], ' ') AS name,
-         start + length(w[i]) + CASE WHEN k > 1 THEN length(g[i + 1]) + length(w[i + 1]) ELSE 0 END
-           + CASE WHEN k > 2 THEN length(g[i + 2]) + length(w[i + 2]) ELSE 0 END AS "end"
-  FROM words, (SELECT unnest([1, 2, 3]) AS k)
-  WHERE i + k - 1 <= len(w) AND (k < 2 OR regexp_full_match(g[i + 1], '\s+')) AND (k < 3 OR regexp_full_match(g[i + 2], '\s+'))
+  SELECT doc_id, i, 1 AS k, start, w AS name, start + length(w) AS "end" FROM words
+  UNION ALL
+  SELECT doc_id, i, 2, start, w || ' ' || w2, start + length(w) + length(g2) + length(w2)
+  FROM words WHERE regexp_full_match(g2, '\s+')
+  UNION ALL
+  SELECT doc_id, i, 3, start, w || ' ' || w2 || ' ' || w3, start + length(w) + length(g2) + length(w2) + length(g3) + length(w3)
+  FROM words WHERE regexp_full_match(g2, '\s+') AND regexp_full_match(g3, '\s+')
 ), hits AS (
   SELECT r.* FROM runs r JOIN names n ON n.name = r.name AND n.name <> ''
   QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY k DESC) = 1
