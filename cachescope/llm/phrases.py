@@ -19,9 +19,11 @@ Phrases are 2 to 4 words in a row inside a piece of text; everything is per lang
    language are picked in two steps, so no task orders a language.
 
 The proposal reaches the tasks as a filter of fixed size (8 MB): a phrase that passes it by
-chance is counted like any other, so the filter costs time at most. Counts are combined in
-the tasks, then in Spark, by 94-bit hashes (no collision is expected at 10^12 phrases), so
-that what is shuffled of the border is narrow; a last scan spells the frequent phrases out.
+chance is counted like any other, so the filter costs time at most. Counts are combined by
+94-bit hashes (no collision is expected at 10^12 phrases) in the tasks, whose runs of text
+leave one sorted block of hashes and counts for each range of hashes, then in one task a
+few ranges; ranges are so many that each holds what a few MB of text bring. What is shuffled
+of the border is narrow; a last scan spells the frequent phrases out.
 
 Defined cases: null text is empty, null language is ``und``; A-Z are lower-cased, other
 letters stay; texts without words count nothing; a very long text is worked off in parts
@@ -54,6 +56,10 @@ TOP = 2000
 SCORE_UNIT = 2_000_000
 #: Bytes of text that are counted together.
 RUN_BYTES = 8 << 20
+#: Bytes of text for which there is a range of hashes, and the most ranges.
+RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 14
+#: Counts that wait in a task to be summed.
+WAITING_ROWS = 1 << 20
 #: Rows that leave a task at a time.
 OUT_ROWS = 1 << 16
 #: Phrases that a task remembers to have spelt out (it spells some again beyond that).
@@ -68,6 +74,7 @@ _FOLD = bytes.maketrans(_CAPITALS + _ENDS + _BLANKS, _CAPITALS.lower() + b"\n" *
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 _COUNTS = "a long, b int, n long"
+_BLOCKS = "part int, a binary, b binary, n binary"
 _NAMES = "a long, b int, lang string, k int, phrase binary, n long"
 
 
@@ -180,9 +187,71 @@ def _spelt(lang: str, text: Words, found) -> Iterator[pa.RecordBatch]:
              pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())), pa.array(np.zeros(len(p), "i8"))], names=names)
 
 
-def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
+def _planes(x: np.ndarray) -> bytes:
+    """The highest bytes of all numbers, then the next ones: what sorted numbers share compresses."""
+    return x.astype(x.dtype.newbyteorder(">")).view("u1").reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(planes: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(planes, "u1").reshape(width, -1).T.copy().view(">" + kind).ravel().astype(kind)
+
+
+def _blocks(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """Hashes and counts as one row a range of hashes, each sorted."""
+    a, b, n = (np.concatenate(x) for x in zip(*found))
+    a = a.view("u8")
+    order = np.argsort(a)
+    a, b, n = a[order], b.view("u4")[order], n[order].astype("u8")
+    part = (a >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(a) else np.empty(0, "i8")
+    ends = np.append(cuts[1:], len(a))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cuts].astype("i4"))] + [pa.array([_planes(x[i:j]) for i, j in zip(cuts, ends)], pa.binary())
+                                               for x in (a, b, n)], names=["part", "a", "b", "n"])
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal pairs of hashes added up."""
+    order = np.argsort(a)
+    if ((np.diff(a[order]) == 0) & (np.diff(b[order]) != 0)).any():  # first hashes met by chance
+        order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    start = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0)))
+    return a[start], b[start], np.add.reduceat(n, start)
+
+
+def _adder(least: int):
+    """A function for mapInArrow over blocks: the sums from ``least`` on. What a task holds is
+    the different hashes of its ranges."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, rows = None, [], 0
+
+        def summed():
+            return _summed(*(np.concatenate(x) for x in zip(*([held] if held else []), *waiting)))
+
+        for batch in batches:
+            for i in range(len(batch)):
+                block = tuple(_unplaned(batch.column(c)[i].as_py(), kind) for c, kind in ((1, "u8"), (2, "u4"), (3, "u8")))
+                waiting.append(block)
+                rows += len(block[0])
+                if rows >= max(WAITING_ROWS, len(held[0]) if held else 0):
+                    held, waiting, rows = summed(), [], 0
+        if waiting:
+            held = summed()
+        if held:
+            keep = held[2] >= least
+            a, b, n = (x[keep].view(kind) for x, kind in zip(held, ("i8", "i4", "i8")))
+            for at in range(0, len(n), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + OUT_ROWS]) for x in (a, b, n)], names=["a", "b", "n"])
+
+    return add
+
+
+def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, ranges: int = 1):
     """A function for mapInArrow over (lang, text as bytes): counts of the phrases that
-    ``occurring`` names, or with ``spell`` their words, and the number of all words."""
+    ``occurring`` names in blocks, or with ``spell`` their words, and the number of all words."""
     spelt_out = [np.empty(0, dtype="i8")]  # hashes of the phrases that this task has spelt
 
     def fresh(found):
@@ -195,6 +264,7 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
     def flushed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        run = []
         for lang, texts in held.items():
             text = Words(b"\n".join(texts))
             if not len(text.ids):
@@ -203,11 +273,9 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
             if spell:
                 yield from _spelt(lang, text, fresh(found))
                 continue
-            for _, _, a, b, n in found:
-                for at in range(0, len(n), OUT_ROWS):
-                    part = slice(at, at + OUT_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(n[part].astype("i8"))],
-                                                     names=["a", "b", "n"])
+            run += [(a, b, n) for _, _, a, b, n in found]
+        if run:
+            yield _blocks(run, ranges)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt_out[0] = spelt_out[0][:0]
@@ -226,10 +294,17 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False):
     return scan
 
 
-def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_bytes: int = RUN_BYTES) -> DataFrame:
+def hash_ranges(texts: DataFrame) -> int:
+    """In how many ranges the hashes of ``texts`` are counted."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MAX_RANGES, 1 + size // RANGE_BYTES)
+
+
+def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_bytes: int = RUN_BYTES,
+           ranges: int = 1) -> DataFrame:
     """(a, b, n): counts of the phrases that ``occurring`` names, from ``least`` on."""
-    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes), _COUNTS)
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes, ranges=ranges), _BLOCKS)
+    return found.repartition(ranges, "part").mapInArrow(_adder(least), _COUNTS)
 
 
 def _length(b: str) -> Column:
@@ -257,10 +332,11 @@ def proposal(texts: DataFrame, share: float = SAMPLE, min_count: int = MIN_COUNT
     spark = texts.sparkSession
     sample = written(texts.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(share * (1 << 20))), "sample")
     least = max(2, int(lowered * share * min_count))
+    ranges = hash_ranges(sample)
     have: np.ndarray | None = None
     for k in range(1, max_words):  # what is proposed of the longest has no extension to let through
         shared = None if have is None else spark.sparkContext.broadcast(have)
-        found = filter_of(counts(sample, range(k, k + 1), least, new=shared, run_bytes=run_bytes), "a")
+        found = filter_of(counts(sample, range(k, k + 1), least, new=shared, run_bytes=run_bytes, ranges=ranges), "a")
         have = found if have is None else have | found
     return have
 
@@ -273,8 +349,9 @@ def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT,
     if not 2 <= max_words <= 4:
         raise ValueError("phrases have 2 to 4 words at most")
     sc = texts.sparkSession.sparkContext
+    ranges = hash_ranges(texts)
     now = sc.broadcast(proposed)
-    all_found = found = written(counts(texts, range(1, max_words + 1), min_count, new=now, run_bytes=run_bytes), "phrases")
+    all_found = found = written(counts(texts, range(1, max_words + 1), min_count, new=now, run_bytes=run_bytes, ranges=ranges), "phrases")
     while True:
         known = F.pandas_udf(_known(now), "boolean")
         failures = written(found.where(_length("b") < max_words).where(~known(F.col("a"))).select("a"), "failures")
@@ -284,7 +361,7 @@ def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT,
         if not n:
             return all_found
         was, now = now, sc.broadcast(now.value | filter_of(failures, "a"))
-        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes), "phrases")
+        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes, ranges=ranges), "phrases")
         all_found = all_found.unionByName(found)
 
 

@@ -114,3 +114,24 @@ def test_distinct_where_first_hashes_collide():
     a, b = np.array([5, 5, 7, 5, 7], dtype="u8"), np.array([1, 2, 3, 1, 3], dtype="u8")
     place, count = ph._distinct(a, b)
     assert sorted(zip(a[place].tolist(), b[place].tolist(), count.tolist())) == [(5, 1, 2), (5, 2, 1), (7, 3, 2)]
+
+
+def test_blocks_carry_every_count():
+    rnd = np.random.default_rng(5)
+    a = rnd.integers(-2**63, 2**63 - 1, 4000)
+    a[:50] = a[50:100]  # equal first hashes, other second ones
+    b = rnd.integers(-2**31, 2**31 - 1, 4000).astype("i4")
+    n = rnd.integers(1, 9, 4000)
+    n[7] = 2**33
+    for ranges in (1, 13, 1 << 14):
+        block = ph._blocks([(a[:1500], b[:1500], n[:1500]), (a[1500:], b[1500:], n[1500:]), (a, b, n)], ranges)
+        parts = block.column(0).to_pylist()
+        assert parts == sorted(set(parts)) and 0 <= parts[0] and parts[-1] < ranges
+        got = [r for out in ph._adder(6)(iter([block.slice(0, 1), block.slice(1)])) for r in zip(*(c.to_pylist() for c in out.columns))]
+        assert sorted(got) == sorted((x, y, 2 * z) for x, y, z in zip(a.tolist(), b.tolist(), n.tolist()) if 2 * z >= 6)
+
+
+def test_blocks_without_counts():
+    none = np.empty(0, "i8")
+    assert ph._blocks([(none, none.astype("i4"), none)], 4).num_rows == 0
+    assert list(ph._adder(1)(iter([]))) == []
