@@ -12,7 +12,9 @@ Phrases are 2 to 4 words in a row inside a piece of text; everything is per lang
    were not counted. Failures join the proposal, and a further scan counts the part of the
    new border that no scan has counted. When a scan brings no failure the result is closed:
    every frequent phrase has been counted, whatever the sample was. At most three
-   expansions follow, since each settles one more phrase length.
+   expansions follow, since each settles one more phrase length. Where failures are few
+   beside the frequent phrases, as with a fair sample, one expansion closes the result:
+   what it counts anew it also extends, up to the longest phrases, frequent or not.
 4. Scores. A frequent phrase is cut after its first k words; the counts of both parts are
    joined to it, and the lowest-scoring cut counts. A phrase that lies inside a longer
    frequent one with at least ``ABSORB`` per cent of its count is dropped. The best of each
@@ -48,6 +50,8 @@ from .common import filter_of, passes, written
 MAX_WORDS, MIN_COUNT = 4, 30
 #: Share of the documents that propose, and the part of the expected count asked for there.
 SAMPLE, LOWERED = 0.125, 0.6
+#: Failures for each frequent phrase up to which one expansion goes on to the longest phrases.
+FEW = 0.25
 #: Share of a phrase's count, in per cent, from which a longer one stands for it.
 ABSORB = 80
 #: Phrases returned for each language.
@@ -55,7 +59,7 @@ TOP = 2000
 #: Scores are this times a / (l + r).
 SCORE_UNIT = 2_000_000
 #: Bytes of text that are counted together.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bytes of text for which there is a range of hashes, and the most ranges.
 RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 14
 #: Counts that wait in a task to be summed.
@@ -116,13 +120,14 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old: np.ndarray | None,
-              spell: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+              spell: bool = False, rest: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, positions, hashes a, hashes b, counts) of the different phrases of k words to be
     counted; the two low bits of b are k - 1.
 
     Words are always counted (where ``levels`` has 1). Longer phrases are if both parts, all
     of whose own parts pass the filter ``new``, pass it; those that ``old`` had let through
-    in the same way are left out. With ``spell`` it is the phrases that pass ``new`` themselves.
+    in the same way are left out. With ``rest`` those that ``old`` had not let through pass
+    as parts of longer ones, whatever ``new`` holds. With ``spell`` it is the phrases that pass ``new`` themselves.
     """
     ids = text.ids
     inner = ids > 0
@@ -149,6 +154,8 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
         b = _mixed(gb[p] * np.uint64(_MIX[0]) ^ text.hashes[1][last])
         done = was[p] & was[p + 1] if was is not None else None
         through = passes(new, a.view("i8")) if spell or k + 1 < levels.stop else None
+        if rest and through is not None:
+            through = through | ~done
         if k in levels:
             take = through if spell else slice(None) if done is None else ~done
             if len(p[take]):
@@ -249,7 +256,8 @@ def _adder(least: int):
     return add
 
 
-def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, ranges: int = 1):
+def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, ranges: int = 1,
+             rest: bool = False):
     """A function for mapInArrow over (lang, text as bytes): counts of the phrases that
     ``occurring`` names in blocks, or with ``spell`` their words, and the number of all words."""
     spelt_out = [np.empty(0, dtype="i8")]  # hashes of the phrases that this task has spelt
@@ -269,7 +277,7 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, range
             text = Words(b"\n".join(texts))
             if not len(text.ids):
                 continue
-            found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell)
+            found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell, rest)
             if spell:
                 yield from _spelt(lang, text, fresh(found))
                 continue
@@ -301,9 +309,9 @@ def hash_ranges(texts: DataFrame) -> int:
 
 
 def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_bytes: int = RUN_BYTES,
-           ranges: int = 1) -> DataFrame:
+           ranges: int = 1, rest: bool = False) -> DataFrame:
     """(a, b, n): counts of the phrases that ``occurring`` names, from ``least`` on."""
-    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes, ranges=ranges), _BLOCKS)
+    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes, ranges=ranges, rest=rest), _BLOCKS)
     return found.repartition(ranges, "part").mapInArrow(_adder(least), _COUNTS)
 
 
@@ -342,10 +350,10 @@ def proposal(texts: DataFrame, share: float = SAMPLE, min_count: int = MIN_COUNT
 
 
 def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
-             run_bytes: int = RUN_BYTES, passes_log: list | None = None) -> DataFrame:
+             run_bytes: int = RUN_BYTES, passes_log: list | None = None, few: float = FEW) -> DataFrame:
     """(a, b, n): every phrase of at most ``max_words`` words with ``min_count`` occurrences,
     exact whatever ``proposed`` holds. ``passes_log`` takes the number of border failures of
-    every scan."""
+    every scan: phrases found frequent whose extensions were not counted."""
     if not 2 <= max_words <= 4:
         raise ValueError("phrases have 2 to 4 words at most")
     sc = texts.sparkSession.sparkContext
@@ -361,8 +369,13 @@ def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT,
         if not n:
             return all_found
         was, now = now, sc.broadcast(now.value | filter_of(failures, "a"))
-        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes, ranges=ranges), "phrases")
+        rest = n <= few * found.count()
+        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes, ranges=ranges, rest=rest), "phrases")
         all_found = all_found.unionByName(found)
+        if rest:
+            if passes_log is not None:
+                passes_log.append(0)
+            return all_found
 
 
 def _known(shared):

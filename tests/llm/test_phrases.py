@@ -63,16 +63,17 @@ def test_equals_brute_force(spark, seed, top, run_bytes):
     assert sorted(map(tuple, got.collect())) == brute(rows, top=top)
 
 
-@pytest.mark.parametrize("proposed", ["nothing", "words", "everything"])
-def test_closed_whatever_the_sample_proposes(spark, proposed):
+@pytest.mark.parametrize("proposed,few,scans", [("nothing", 0, 4), ("words", 0, 3), ("everything", 0, 1),
+                                                ("nothing", 99, 2), ("words", 99, 2)])
+def test_closed_whatever_the_sample_proposes(spark, proposed, few, scans):
     rows = corpus(5, 200, 40, 50)
     texts = ph._texts(frame(spark, rows), "text", "lang")
     nothing = np.zeros(ph.filter_of(texts.where("false").select(F.lit(1).cast("long").alias("a")), "a").shape, "u4")
     have = {"nothing": nothing, "everything": ~nothing,
             "words": ph.filter_of(ph.counts(texts, range(1, 2), 1), "a")}[proposed]
     log = []
-    got = ph.spelt(texts, ph.frequent(texts, have, passes_log=log))
-    assert log[-1] == 0 and len(log) == {"nothing": 4, "words": 3, "everything": 1}[proposed]
+    got = ph.spelt(texts, ph.frequent(texts, have, passes_log=log, few=few))
+    assert log[-1] == 0 and len(log) == scans
     f = Counter()
     for text, lang in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
