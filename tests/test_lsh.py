@@ -51,3 +51,21 @@ def test_none(spark):
     df = frame(spark, clustered(3, 16, 2, 0.1, 1))
     assert lsh.pairs_within_lsh(df.where("false"), 0.5, key="vec_id", dim=16).collect() == []
     assert lsh.pairs_within_lsh(df, 0.5, key="vec_id", dim=5).collect() == []
+
+
+def test_blocks_of_the_whole_table_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "MIN_WIDE", 3)
+    monkeypatch.setattr(lsh, "WIDE_BLOCK", 100)
+    df = odd(spark, frame(spark, clustered(700, 16, 30, 0.3, 4)))
+    for tau, bits in ((0.05, 8), (0.3, 4), (0.2, 12)):
+        want = found(df, tau, dim=16, bits=bits, wide=False)
+        assert found(df, tau, dim=16, bits=bits, wide=True) == want and len(want) > 300
+
+
+def test_many_bands_do_not_copy_a_row_to_every_bucket(spark):
+    df = frame(spark, clustered(1500, DIM, 500, 3.0, 4))
+    assert lsh.bands_for(TAU) > 100
+    plan = lsh.pairs_within_lsh(df, TAU, key="vec_id", dim=DIM)._jdf.queryExecution().toString()
+    assert "band" not in plan and "bi#" in plan
+    near = lsh.pairs_within_lsh(df, 0.02, key="vec_id", dim=DIM, bits=12)._jdf.queryExecution().toString()
+    assert "band" in near
