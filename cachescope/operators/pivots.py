@@ -9,9 +9,12 @@ largest over all pivots, is within the distance asked for.
   from those before); they decide the speed, never the result.
 * A vector belongs to its nearest pivot and, there, to a ring of angles. Rings are merged
   or split (by key hash) into blocks of about ``block_rows`` rows, from one table of counts per
-  (pivot, ring). There are at most ``MAX_BLOCKS`` and as many again as there are rings: with more
-  rows the blocks grow, so what is broadcast - the angles of every block to every pivot -
-  has a fixed bound, 16 MB, whatever the number of vectors.
+  (pivot, ring). A query is copied to every block that may hold a neighbour, which among vectors
+  without clusters are all: in a table of more than ``FEW_BLOCKS`` times ``block_rows`` rows the
+  blocks grow with it, up to ``BLOCK_BYTES``, and only then does their number. There are at most ``MAX_BLOCKS``
+  and as many again as there are rings: with more rows the blocks grow again, so what is
+  broadcast - the angles of every block to every pivot - has a fixed bound, 16 MB, whatever
+  the number of vectors.
 * A nearest neighbour is searched in two steps: in the block that looks nearest, which
   bounds the distance, then in the blocks within that bound.
 
@@ -35,6 +38,8 @@ from ..session import materialise
 MAX_PIVOTS, SAMPLE_ROWS = 64, 2048
 #: Rows of a block wherever that gives no more than MAX_BLOCKS blocks.
 BLOCK_ROWS, MAX_BLOCKS = 4096, 16384
+#: Blocks from which on they grow with the table, and the float64 vectors up to which they do.
+FEW_BLOCKS, BLOCK_BYTES = 64, 16 << 20
 #: Rings of angles around a pivot.
 RINGS = 64
 #: Angles are compared with this much to spare, for rounding.
@@ -43,11 +48,17 @@ SPARE = 1e-6
 BOUND_BYTES = 32 << 20
 
 
+def lengths(vectors: pd.Series) -> np.ndarray:
+    """Entries of each vector, -1 for none. (The ``str`` accessor would do, but it and the series
+    hold each other, so that a task keeps the vectors of one cell after another.)"""
+    return np.fromiter((len(v) if hasattr(v, "__len__") else -1 for v in vectors.to_numpy()), dtype="i8", count=len(vectors))
+
+
 def unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors (zeros where there is none of this dimension) and which rows have one."""
     n = len(vectors)
     mat = np.zeros((n, dim))
-    ok = (vectors.str.len().fillna(-1).to_numpy() == dim) if n else np.zeros(0, dtype=bool)
+    ok = lengths(vectors) == dim
     if ok.any():
         mat[ok] = np.stack(vectors.to_numpy()[ok])
     norms = np.linalg.norm(mat, axis=1)
@@ -96,6 +107,12 @@ def ring_blocks(counts: dict[tuple[int, int], int], block_rows: int) -> dict[tup
     return out
 
 
+def grown(block_rows: int, n: int, dim: int) -> int:
+    """Rows of a block in a table of ``n`` vectors."""
+    largest = BLOCK_BYTES // (8 * max(dim, 1))
+    return max(block_rows, min(math.ceil(n / FEW_BLOCKS), largest), math.ceil(n / MAX_BLOCKS))
+
+
 @dataclass
 class PivotIndex:
     """``rows`` are those of the cache with ``cblock``; ``low`` and ``high`` the angles of every block
@@ -158,7 +175,7 @@ def build(cache: DataFrame, key: str, vector: str, dim: int, *, block_rows: int
     spark = cache.sparkSession
     usable = cache.where(F.size(vector) == dim)
     n = usable.count()
-    block_rows = max(block_rows, math.ceil(n / MAX_BLOCKS))
+    block_rows = grown(block_rows, n, dim)
     count = n_pivots or min(MAX_PIVOTS, math.ceil(n / block_rows))
     sample = usable.select(F.xxhash64(key).alias("h"), F.col(vector).alias("v")).orderBy("h").limit(SAMPLE_ROWS).toPandas()
     unit, ok = unit_rows(sample["v"], dim)

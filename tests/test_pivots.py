@@ -1,8 +1,11 @@
 """The pivot index: same rows as the grid, fewer visited."""
 
+import gc
 import math
+import weakref
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +95,29 @@ def test_empty_cache(spark, cache):
 def test_ring_blocks():
     got = pv.ring_blocks({(0, 1): 10, (0, 2): 30, (0, 3): 25, (0, 5): 130, (0, 6): 5, (1, 0): 1}, 50)
     assert got == {(0, 1): (0, 1), (0, 2): (0, 1), (0, 3): (1, 1), (0, 5): (2, 3), (0, 6): (5, 1), (1, 0): (6, 1)}
+
+
+def test_blocks_grow_with_the_table(spark):
+    assert [pv.grown(128, n, 64) for n in (0, 8000, 102_400, 10**8, 10**9)] == [128, 128, 1600, 32768, 61036]
+    index = pv.build(frame(spark, clustered(1500, 16, 25, 0.25, 1)), "vec_id", "embedding", 16, block_rows=4)
+    assert index.sizes.sum() == 1500 and len(index.sizes) <= 3 * pv.FEW_BLOCKS  # 375 and more of four rows
+
+
+@pytest.mark.parametrize("stack", [pv.unit_rows, vec._matrix])
+def test_vectors_of_a_cell_are_freed_without_the_collector(stack):
+    gc.collect()
+    gc.disable()
+    try:
+        vectors = pd.Series([np.ones(4), None, np.ones(3), np.zeros(4), []], dtype=object)
+        held = weakref.ref(vectors)
+        assert stack(vectors, 4)[1].tolist() == [True, False, False, False, False]
+        del vectors
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_cells_of_a_large_table_are_small(spark):
+    qb, cb = vec._block_counts(spark, 600_000, 600_000, None, None, 64)
+    assert max(600_000 / qb, 600_000 / cb) <= 32768
+    assert vec._chunk_rows(32768) * 32768 * 8 <= 16 << 20
