@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, parallelism
-from .pivots import PivotIndex
+from .pivots import PivotIndex, lengths
 
-CELL_BYTES = 256 << 20         # float64 vectors of one grid cell (both sides together)
-DIST_BYTES = 64 << 20          # distance block scored at once inside a cell
+CELL_BYTES = 32 << 20          # float64 vectors of one grid cell (both sides together); a task holds several copies
+DIST_BYTES = 16 << 20          # distance block scored at once inside a cell
 DEFAULT_BLOCK_ROWS = None      # None: size blocks from CELL_BYTES and the dimension
 MIN_BLOCK_ROWS = 64
 DIGITS = 12                    # distances are rounded: ties and "<= tau" don't depend on the blocks
@@ -75,11 +75,18 @@ def _chunk_rows(n_cache: int) -> int:
     return max(1, DIST_BYTES // (8 * max(n_cache, 1)))
 
 
+def _distances(queries: np.ndarray, cache: np.ndarray) -> np.ndarray:
+    """Rounded cosine distances of unit rows, in one array."""
+    dist = queries @ cache.T
+    np.subtract(1.0, dist, out=dist)
+    return np.round(dist, DIGITS, out=dist)
+
+
 def _matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Stack vectors into a unit-normalised float64 matrix; mask of valid rows."""
     n = len(vectors)
     mat = np.zeros((n, dim), dtype=np.float64)
-    ok = (vectors.str.len().fillna(-1).to_numpy() == dim) if n else np.zeros(0, dtype=bool)
+    ok = lengths(vectors) == dim
     if ok.any():
         mat[ok] = np.stack(vectors.to_numpy()[ok])
     norms = np.linalg.norm(mat, axis=1)
@@ -179,7 +186,7 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
             step = _chunk_rows(len(ckeys))
             for lo in range(0, len(qdf) if len(ckeys) else 0, step):
                 hi = min(lo + step, len(qdf))
-                dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
+                dist = _distances(qm[lo:hi], cm)
                 dist[~qok[lo:hi]] = np.inf
                 if exclude_self:
                     dist[qids[lo:hi, None] == ckeys[None, :]] = np.inf
@@ -266,7 +273,7 @@ def pairs_within(queries: DataFrame, cache: DataFrame, threshold: float, *,
         step = _chunk_rows(len(cdf))
         for lo in range(0, len(qdf), step):
             hi = min(lo + step, len(qdf))
-            dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
+            dist = _distances(qm[lo:hi], cm)
             keep = (dist <= threshold) & qok[lo:hi, None] & cok[None, :]
             if exclude_self:
                 keep &= qids[lo:hi, None] != ckeys[None, :]
@@ -351,7 +358,7 @@ def neighbor_counts(queries: DataFrame, cache: DataFrame, threshold: float, *,
             step = _chunk_rows(len(cdf))
             for lo in range(0, n, step):
                 hi = min(lo + step, n)
-                dist = np.round(1.0 - qm[lo:hi] @ cm.T, DIGITS)
+                dist = _distances(qm[lo:hi], cm)
                 dist[~qok[lo:hi]] = np.inf
                 dist[:, ~cok] = np.inf
                 if exclude_self:
