@@ -289,8 +289,10 @@ def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     names = F.array(*[F.lit(k) for k in (*KINDS, "context")])
     listed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat(
         F.element_at(names, x["k"] + 1), F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
+    # a second parameter of the inner function would be the place in the array
+    n_of = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k))
     return found.select(
         *cols,
-        *[F.size(F.filter("_base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        *[n_of(k).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(F.encode(listed(F.col("_base")), "utf-8"), 256).alias("base_sha256"),
         listed(F.concat("_base", "_more")).alias("spans"), F.size("_more").cast("bigint").alias("n_context"))

@@ -161,3 +161,11 @@ def test_edges(spark):
     assert len(got) == len(EDGES) and {r.spans for r in got} == {""}
     assert {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert pb.find(empty(spark)).collect() == []
+
+
+def test_counts_are_those_of_each_kind(spark):
+    rows = [(1, "a@b.co c@d.eu 1.2.3.4"), (2, "1.2.3.4 4111111111111111"), (3, "+1 (415) 555-0100 +49 30 1234567 x@y.zz"),
+            (4, "4111111111111111 1.2.3.4 5.6.7.8 9.9.9.9 a@b.co"), (5, None)]
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pb.find(frame(spark, rows)).collect()}
+    assert got == {i: tuple(sum(k == n for _, k, _ in brute(t or "")) for n in range(4)) for i, t in rows}
+    assert got[1] == (2, 1, 0, 0) and got[3][3] == 2
