@@ -141,7 +141,8 @@ def _met_in_blocks(signed: DataFrame, threshold: float, dim: int, n_blocks: int,
     """The pairs within the threshold whose signatures agree on a band: every two rows meet once,
     in the cell of their blocks."""
     b = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    dealt = signed.where("id is not null").withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
+    # as in the buckets: rows without id have no pairs, an id that comes twice gives each pair for every row of it
+    dealt = signed.join(signed.select("id"), "id").withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
         "id", "vec", "sig", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), (F.col("b") > F.col("o")).alias("right"))
 
     def score(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cachescope.operators import lsh
 from cachescope.operators import vectors as vec
@@ -69,3 +70,10 @@ def test_many_bands_do_not_copy_a_row_to_every_bucket(spark):
     assert "band" not in plan and "bi#" in plan
     near = lsh.pairs_within_lsh(df, 0.02, key="vec_id", dim=DIM, bits=12)._jdf.queryExecution().toString()
     assert "band" in near
+
+
+def test_rows_that_come_twice_are_alike_in_buckets_and_blocks(spark):
+    df = frame(spark, clustered(120, 16, 4, 0.2, 4))
+    df = df.unionByName(df.where("vec_id % 7 = 0")).unionByName(df.limit(1).withColumn("vec_id", F.lit(None).cast("long")))
+    got = [sorted(map(tuple, lsh.pairs_within_lsh(df, 0.2, key="vec_id", dim=16, wide=w).collect())) for w in (False, True)]
+    assert got[0] == got[1] and len(got[0]) > len(set(got[0])) > 100
