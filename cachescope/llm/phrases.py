@@ -25,7 +25,10 @@ chance is counted like any other, so the filter costs time at most. Counts are c
 94-bit hashes (no collision is expected at 10^12 phrases) in the tasks, whose runs of text
 leave one sorted block of hashes and counts for each range of hashes, then in one task a
 few ranges; ranges are so many that each holds what a few MB of text bring. What is shuffled
-of the border is narrow; a last scan spells the frequent phrases out.
+of the border is narrow. A block also names its run of text, and a sum keeps one of the runs
+it was counted in: a last scan cuts the same runs and spells a frequent phrase out in that
+run only, so a phrase is spelt once, however many tasks there are. If the texts should come in
+another order then, what was not found in its run is spelt by a further scan in any run.
 
 Defined cases: null text is empty, null language is ``und``; A-Z are lower-cased, other
 letters stay; texts without words count nothing; a very long text is worked off in parts
@@ -66,7 +69,7 @@ RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 14
 WAITING_ROWS = 1 << 20
 #: Rows that leave a task at a time.
 OUT_ROWS = 1 << 16
-#: Phrases that a task remembers to have spelt out (it spells some again beyond that).
+#: Phrases that a task remembers to have spelt out in any run (it spells some again beyond that).
 SPELT_ROWS = 4_000_000
 #: Groups in which the best of a language are picked first.
 PICK_GROUPS = 64
@@ -79,6 +82,7 @@ _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 _COUNTS = "a long, b int, n long"
 _BLOCKS = "part int, a binary, b binary, n binary"
+_RUN = "run int"
 _NAMES = "a long, b int, lang string, k int, phrase binary, n long"
 
 
@@ -120,14 +124,16 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old: np.ndarray | None,
-              spell: bool = False, rest: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+              spell: bool = False, rest: bool = False, due: np.ndarray | None = None,
+              run: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, positions, hashes a, hashes b, counts) of the different phrases of k words to be
     counted; the two low bits of b are k - 1.
 
     Words are always counted (where ``levels`` has 1). Longer phrases are if both parts, all
     of whose own parts pass the filter ``new``, pass it; those that ``old`` had let through
     in the same way are left out. With ``rest`` those that ``old`` had not let through pass
-    as parts of longer ones, whatever ``new`` holds. With ``spell`` it is the phrases that pass ``new`` themselves.
+    as parts of longer ones, whatever ``new`` holds. With ``spell`` it is the phrases that pass ``new`` themselves,
+    and with a filter ``due`` only those that are due in this ``run``.
     """
     ids = text.ids
     inner = ids > 0
@@ -135,12 +141,17 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
     ok = inner if new is None else inner & passes(new, ga.view("i8"))
     was = inner & passes(old, ga.view("i8")) if old is not None else None
 
+    def asked(h):
+        return slice(None) if due is None else passes(due, h.view("i8") ^ _of_run(run))
+
     def named(k, p, a, b):
         place, count = _distinct(a, b)
         return k, p[place], a[place].view("i8"), (b[place] >> np.uint64(32) << np.uint64(2) | np.uint64(k - 1)).astype("u4").view("i4"), count
 
     if 1 in levels:
         p = np.flatnonzero(ok if spell else inner)
+        if spell:
+            p = p[asked(ga[p])]
         yield named(1, p, ga[p], gb[p])
     if new is None:
         return
@@ -157,7 +168,9 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
         if rest and through is not None:
             through = through | ~done
         if k in levels:
-            take = through if spell else slice(None) if done is None else ~done
+            take = np.flatnonzero(through) if spell else slice(None) if done is None else ~done
+            if spell:
+                take = take[asked(a[take])]
             if len(p[take]):
                 yield named(k, p[take], a[take], b[take])
         if k + 1 < levels.stop:
@@ -168,6 +181,23 @@ def occurring(text: Words, seed: int, levels: range, new: np.ndarray | None, old
                 was[p] = done & passes(old, a.view("i8"))
 
 
+def _run_name(task: int, number: int) -> int:
+    """A run of text as 32 bits; runs that share a name cost time at most."""
+    import xxhash
+
+    return int(np.uint32(xxhash.xxh32_intdigest(f"{task} {number}")).view("i4"))
+
+
+def _of_run(run: int) -> np.int64:
+    """What sets a run's hashes apart from those of other runs; ``_due`` is the same as a column."""
+    return np.int64(run) << np.int64(32) | np.int64(run & 0xFFFFFFFF)
+
+
+def _due() -> Column:
+    run = F.col("run").cast("long")
+    return F.col("a").bitwiseXOR(F.shiftleft(run, 32).bitwiseOR(run.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
 def _parts(text: bytes, limit: int) -> Iterator[bytes]:
     """A folded text in parts of about ``limit`` bytes, cut where a piece ends."""
     at = 0
@@ -218,19 +248,19 @@ def _blocks(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int)
                                                for x in (a, b, n)], names=["part", "a", "b", "n"])
 
 
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of equal pairs of hashes added up."""
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, *run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts of equal pairs of hashes added up, with one of their runs."""
     order = np.argsort(a)
     if ((np.diff(a[order]) == 0) & (np.diff(b[order]) != 0)).any():  # first hashes met by chance
         order = np.lexsort((b, a))
     a, b, n = a[order], b[order], n[order]
     start = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0)))
-    return a[start], b[start], np.add.reduceat(n, start)
+    return a[start], b[start], np.add.reduceat(n, start), *(r[order[start]] for r in run)
 
 
-def _adder(least: int):
-    """A function for mapInArrow over blocks: the sums from ``least`` on. What a task holds is
-    the different hashes of its ranges."""
+def _adder(least: int, runs: bool = False):
+    """A function for mapInArrow over blocks: the sums from ``least`` on, with ``runs`` each with a
+    run that it was counted in. What a task holds is the different hashes of its ranges."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, rows = None, [], 0
@@ -241,6 +271,8 @@ def _adder(least: int):
         for batch in batches:
             for i in range(len(batch)):
                 block = tuple(_unplaned(batch.column(c)[i].as_py(), kind) for c, kind in ((1, "u8"), (2, "u4"), (3, "u8")))
+                if runs:
+                    block += (np.full(len(block[0]), batch.column(4)[i].as_py(), "i4"),)
                 waiting.append(block)
                 rows += len(block[0])
                 if rows >= max(WAITING_ROWS, len(held[0]) if held else 0):
@@ -249,45 +281,57 @@ def _adder(least: int):
             held = summed()
         if held:
             keep = held[2] >= least
-            a, b, n = (x[keep].view(kind) for x, kind in zip(held, ("i8", "i4", "i8")))
-            for at in range(0, len(n), OUT_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + OUT_ROWS]) for x in (a, b, n)], names=["a", "b", "n"])
+            out = [x[keep].view(kind) for x, kind in zip(held, ("i8", "i4", "i8", "i4"))]
+            for at in range(0, len(out[0]), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + OUT_ROWS]) for x in out],
+                                                 names=["a", "b", "n", "run"][:len(out)])
 
     return add
 
 
 def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, ranges: int = 1,
-             rest: bool = False):
+             rest: bool = False, runs: bool = False, due=None, anywhere: bool = False):
     """A function for mapInArrow over (lang, text as bytes): counts of the phrases that
-    ``occurring`` names in blocks, or with ``spell`` their words, and the number of all words."""
-    spelt_out = [np.empty(0, dtype="i8")]  # hashes of the phrases that this task has spelt
+    ``occurring`` names in blocks (with ``runs`` each block names its run of text), or with
+    ``spell`` the words of those due in a run, or ``anywhere``, and the number of all words."""
+    spelt_out = [np.empty(0, dtype="i8")]  # sorted hashes of the phrases that this task has spelt in any run
 
     def fresh(found):
         for k, p, a, b, n in found:
-            new = ~np.isin(a, spelt_out[0])
-            known = spelt_out[0] if len(spelt_out[0]) < SPELT_ROWS else spelt_out[0][:0]
-            spelt_out[0] = np.concatenate([known, a[new]])
+            known = spelt_out[0]
+            at = np.searchsorted(known, a)
+            new = at == len(known)
+            new[~new] = known[at[~new]] != a[~new]
+            if len(known) < SPELT_ROWS:
+                order = np.argsort(a[new])
+                spelt_out[0] = np.insert(known, at[new][order], a[new][order])
+            else:
+                spelt_out[0] = np.sort(a[new])
             yield k, p[new], a[new], b[new], n[new]
 
-    def flushed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def flushed(held: dict[str, list[bytes]], number: int) -> Iterator[pa.RecordBatch]:
         import xxhash
+        from pyspark import TaskContext
 
+        name = 0 if anywhere else _run_name(TaskContext.get().partitionId(), number)
         run = []
         for lang, texts in held.items():
             text = Words(b"\n".join(texts))
             if not len(text.ids):
                 continue
-            found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell, rest)
+            found = occurring(text, xxhash.xxh64_intdigest(lang.encode()), levels, new and new.value, old and old.value, spell, rest,
+                              due and due.value, name)
             if spell:
-                yield from _spelt(lang, text, fresh(found))
+                yield from _spelt(lang, text, fresh(found) if anywhere else found)
                 continue
             run += [(a, b, n) for _, _, a, b, n in found]
         if run:
-            yield _blocks(run, ranges)
+            block = _blocks(run, ranges)
+            yield block.append_column("run", pa.array(np.full(len(block), name, "i4"))) if runs else block
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt_out[0] = spelt_out[0][:0]
-        held, size = {}, 0
+        held, size, number = {}, 0, 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
@@ -295,9 +339,9 @@ def _scanner(levels: range, new, old, run_bytes: int, spell: bool = False, range
                     held.setdefault(lang, []).append(part)
                     size += len(part) + 1
                     if size >= run_bytes:
-                        yield from flushed(held)
-                        held, size = {}, 0
-        yield from flushed(held)
+                        yield from flushed(held, number)
+                        held, size, number = {}, 0, number + 1
+        yield from flushed(held, number)
 
     return scan
 
@@ -309,10 +353,12 @@ def hash_ranges(texts: DataFrame) -> int:
 
 
 def counts(texts: DataFrame, levels: range, least: int, new=None, old=None, run_bytes: int = RUN_BYTES,
-           ranges: int = 1, rest: bool = False) -> DataFrame:
-    """(a, b, n): counts of the phrases that ``occurring`` names, from ``least`` on."""
-    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes, ranges=ranges, rest=rest), _BLOCKS)
-    return found.repartition(ranges, "part").mapInArrow(_adder(least), _COUNTS)
+           ranges: int = 1, rest: bool = False, runs: bool = False) -> DataFrame:
+    """(a, b, n): counts of the phrases that ``occurring`` names, from ``least`` on; with ``runs``
+    also one run of text that each was counted in."""
+    run = f", {_RUN}" if runs else ""
+    found = texts.mapInArrow(_scanner(levels, new, old, run_bytes, ranges=ranges, rest=rest, runs=runs), _BLOCKS + run)
+    return found.repartition(ranges, "part").mapInArrow(_adder(least, runs), _COUNTS + run)
 
 
 def _length(b: str) -> Column:
@@ -320,13 +366,27 @@ def _length(b: str) -> Column:
 
 
 def spelt(texts: DataFrame, found: DataFrame, max_words: int = MAX_WORDS, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(lang, k, phrase, n): ``found`` with its words, and all words of a language (k = 0)."""
-    shared = texts.sparkSession.sparkContext.broadcast(filter_of(found, "a"))
-    names = texts.mapInArrow(_scanner(range(1, max_words + 1), shared, None, run_bytes, spell=True), _NAMES)
-    # once each; words that pass the filter by chance find no count
-    once = names.groupBy("a", "b", "lang", "k", "phrase").agg(F.sum("n").alias("total"))
-    return (once.join(found, ["a", "b"], "left").where("n is not null or k = 0")
-            .select("lang", "k", "phrase", F.coalesce("n", "total").alias("n")))
+    """(lang, k, phrase, n): ``found`` with its words, and all words of a language (k = 0).
+
+    A phrase is spelt in its ``run`` of the texts; those that the runs of this scan do not hold
+    (the texts came in another order) are spelt in any run."""
+    sc = texts.sparkSession.sparkContext
+    shared = sc.broadcast(filter_of(found, "a"))
+
+    def named(rows: DataFrame, key: Column, anywhere: bool = False) -> DataFrame:
+        due = sc.broadcast(filter_of(rows.select(key.alias("a")), "a"))
+        names = texts.mapInArrow(_scanner(range(1, max_words + 1), shared, None, run_bytes, spell=True, due=due,
+                                          anywhere=anywhere), _NAMES)
+        # once each; words that pass a filter by chance find no count
+        once = names.groupBy("a", "b", "lang", "k", "phrase").agg(F.sum("n").alias("total"))
+        return (once.join(rows.select("a", "b", "n"), ["a", "b"], "left").where("n is not null or k = 0")
+                .select("a", "b", "lang", "k", "phrase", F.coalesce("n", "total").alias("n")))
+
+    own = written(named(found, _due()), "names")
+    left = written(found.join(own.where("k > 0"), ["a", "b"], "left_anti"), "unnamed")
+    if not left.isEmpty():
+        own = own.unionByName(named(left, F.col("a"), anywhere=True).where("k > 0"))
+    return own.select("lang", "k", "phrase", "n")
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -351,7 +411,7 @@ def proposal(texts: DataFrame, share: float = SAMPLE, min_count: int = MIN_COUNT
 
 def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
              run_bytes: int = RUN_BYTES, passes_log: list | None = None, few: float = FEW) -> DataFrame:
-    """(a, b, n): every phrase of at most ``max_words`` words with ``min_count`` occurrences,
+    """(a, b, n, run): every phrase of at most ``max_words`` words with ``min_count`` occurrences,
     exact whatever ``proposed`` holds. ``passes_log`` takes the number of border failures of
     every scan: phrases found frequent whose extensions were not counted."""
     if not 2 <= max_words <= 4:
@@ -359,7 +419,7 @@ def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT,
     sc = texts.sparkSession.sparkContext
     ranges = hash_ranges(texts)
     now = sc.broadcast(proposed)
-    all_found = found = written(counts(texts, range(1, max_words + 1), min_count, new=now, run_bytes=run_bytes, ranges=ranges), "phrases")
+    all_found = found = written(counts(texts, range(1, max_words + 1), min_count, new=now, run_bytes=run_bytes, ranges=ranges, runs=True), "phrases")
     while True:
         known = F.pandas_udf(_known(now), "boolean")
         failures = written(found.where(_length("b") < max_words).where(~known(F.col("a"))).select("a"), "failures")
@@ -370,7 +430,7 @@ def frequent(texts: DataFrame, proposed: np.ndarray, min_count: int = MIN_COUNT,
             return all_found
         was, now = now, sc.broadcast(now.value | filter_of(failures, "a"))
         rest = n <= few * found.count()
-        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes, ranges=ranges, rest=rest), "phrases")
+        found = written(counts(texts, range(2, max_words + 1), min_count, new=now, old=was, run_bytes=run_bytes, ranges=ranges, rest=rest, runs=True), "phrases")
         all_found = all_found.unionByName(found)
         if rest:
             if passes_log is not None:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cachescope.llm import phrases as ph
+from cachescope.llm.common import FILTER_BITS
 
 from .helpers import EDGES, empty
 
@@ -136,3 +137,30 @@ def test_blocks_without_counts():
     none = np.empty(0, "i8")
     assert ph._blocks([(none, none.astype("i4"), none)], 4).num_rows == 0
     assert list(ph._adder(1)(iter([]))) == []
+
+
+def spelling(texts, found, due):
+    """Rows that the scan spells out, beside the counts of all words."""
+    sc = texts.sparkSession.sparkContext
+    filters = [sc.broadcast(ph.filter_of(x, "a")) for x in (found, found.select(due.alias("a")))]
+    scan = ph._scanner(range(1, 5), filters[0], None, 2000, spell=True, due=filters[1])
+    return texts.mapInArrow(scan, ph._NAMES).where("k > 0").count()
+
+
+@pytest.mark.parametrize("parts", [2, 16])
+def test_a_phrase_is_spelt_once_however_many_tasks_there_are(spark, parts):
+    texts = ph._texts(frame(spark, corpus(9, 400, 40, 60), parts), "text", "lang")
+    nothing = np.zeros(FILTER_BITS // 32, "u4")
+    found = ph.written(ph.frequent(texts, ~nothing, run_bytes=2000), "found")
+    n = found.count()
+    assert n > 100 and n <= spelling(texts, found, ph._due()) < 1.02 * n
+
+
+def test_phrases_are_spelt_whatever_the_order_of_the_texts(spark):
+    rows = corpus(9, 400, 40, 60)
+    texts = ph._texts(frame(spark, rows, 5), "text", "lang")
+    found = ph.written(ph.frequent(texts, ~np.zeros(FILTER_BITS // 32, "u4"), run_bytes=2000), "found")
+    as_counted = sorted(map(tuple, ph.spelt(texts, found, run_bytes=2000).collect()))
+    again = ph._texts(frame(spark, rows[::-1], 3), "text", "lang")
+    assert sorted(map(tuple, ph.spelt(again, found, run_bytes=2000).collect())) == as_counted
+    assert len(as_counted) == found.count() + 3  # and all words of three languages
