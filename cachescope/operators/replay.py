@@ -33,17 +33,16 @@ the search among undecided requests stays within a slice.
 
 Where entries have keys of their own (``key_col``) and a key comes with several vectors, a
 stored request ends the entry that its key had before: an entry is visible to the requests
-after it up to and including the one that overwrites it. The replay decides this as it
-goes. In a round an entry counts as surely there up to the next request of its key that is
-stored or undecided, and as possibly there up to the next one that is stored:
-
-(a) an entry surely there and within tau -> HIT;
-(b) of the rest, no entry possibly there and no undecided earlier request within tau ->
-    decided MISS (stored).
-
-The earliest open request has only decided ones before it, for which both ends agree, so
-every round still decides it. Copies are not collapsed then: a copy can come after the entry
-that answered its twin was overwritten.
+after it up to and including the one that overwrites it. There the rounds guess and verify.
+The first guess is that every request is stored; a round looks up every request among the
+entries that live at its place by the guess (one search; a request meets only the entries of
+its stretch of the log, see :class:`cachescope.operators.vectors.Stretches`), and those that
+miss are the next guess. A guess that a round leaves as it is is the replay: the outcome of a
+request follows from those before it, so by induction along the log there is only one such
+guess. What a request depends on is right a round before it at the latest, so the rounds
+follow the longest chain of outcomes that really turn on each other, and every round settles
+at least the earliest request that was wrong. Copies are not collapsed then: a copy can come
+after the entry that answered its twin was overwritten.
 """
 
 from __future__ import annotations
@@ -53,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, new_folder, written_to
-from .vectors import DEFAULT_BLOCK_ROWS, knn1
+from .vectors import DEFAULT_BLOCK_ROWS, Stretches, knn1
 
 #: Bits of a rank that number the rows of one range partition.
 _ROW_BITS = 33
@@ -175,10 +174,10 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
         reps = materialise(reps.groupBy("vec").agg(F.min_by("id", "rank").alias("id"), F.min("rank").alias("rank"))
                            .select(*fields), "replay-reps")
 
-    def search(queries: DataFrame, cands: DataFrame, n_q: int, n_c: int, until: str | None = None) -> DataFrame:
+    def search(queries: DataFrame, cands: DataFrame, n_q: int, n_c: int) -> DataFrame:
         """Nearest earlier visible candidate, one row per query."""
         return knn1(queries, cands, query_id="id", query_vec="vec", cache_key="id", cache_vec="vec",
-                    order="rank", arrival="at" if timed else None, available="avail" if timed else None, until=until,
+                    order="rank", arrival="at" if timed else None, available="avail" if timed else None,
                     dim=dim, block_rows=block_rows, counts=(n_q, n_c))
 
     known, n_stored = None, 0  # entries of earlier slices and of the warm cache
@@ -195,9 +194,13 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
                             "replay-cache")
         n_stored = known.count()
 
+    sizes = {r["p"]: r["count"] for r in base.groupBy(F.shiftright("rank", _ROW_BITS).alias("p")).count().collect()}
+    if key_col:
+        return _replay_keys(base, sizes, known, threshold, dim=dim, fields=fields, timed=bool(timed),
+                            block_rows=block_rows, slice_rows=slice_rows)
+
     step_schema = T.StructType([*reps.schema.fields, T.StructField("outcome", T.StringType()),
                                 T.StructField("round", T.IntegerType())])
-    sizes = {r["p"]: r["count"] for r in base.groupBy(F.shiftright("rank", _ROW_BITS).alias("p")).count().collect()}
     steps: list[str] = []
     rnd = 0
     for lo, hi in slice_bounds(sizes, slice_rows):
@@ -206,22 +209,15 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
         while n_open:
             rnd += 1
             stored = _stored(spark, done, step_schema, fields, known)
-            if key_col:  # how long each entry is surely, and possibly, there
-                some = stored.withColumn("_e", F.lit(True)).unionByName(open_.withColumn("_e", F.lit(False)))
-                ends = with_next(stored, "maybe").select("id", "rank", "maybe")
-                stored = materialise(with_next(some, "sure").where("_e").drop("_e").join(ends, ["id", "rank"]), "replay-entries")
             if n_stored:
-                near = search(open_, stored, n_open, n_stored, until="sure" if key_col else None)
+                near = search(open_, stored, n_open, n_stored)
                 hits = near.where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_h"))
                 tested = materialise(open_.join(hits, "id", "left"), "replay-open")
                 rest = tested.where("_h is null").select(*fields)
             else:
                 tested, rest = open_.withColumn("_h", F.lit(None).cast("boolean")), open_
-            ahead, n_ahead = rest, n_open  # an upper bound sizes the search: no count of its own
-            if key_col:
-                ahead = rest.withColumn("maybe", F.lit(_NEVER)).unionByName(stored.select(*fields, "maybe"))
-                n_ahead = n_open + n_stored
-            blocked = (search(rest, ahead, n_open, n_ahead, until="maybe" if key_col else None)
+            # an upper bound sizes the search: no count of its own
+            blocked = (search(rest, rest, n_open, n_open)
                        .where(F.col("distance") <= F.lit(threshold)).select("id", F.lit(True).alias("_b")))
             path = new_folder(spark, "replay-step")
             step = written_to(tested.join(blocked, "id", "left").select(
@@ -240,9 +236,7 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
     decided = (spark.read.schema(step_schema).parquet(*steps) if steps
                else spark.createDataFrame([], step_schema)).where("outcome is not null")
     if n_stored:
-        if key_col:
-            known = materialise(with_next(known, "until"), "replay-entries")
-        best = search(base.select(*fields), known, base.count(), n_stored, until="until" if key_col else None).select(
+        best = search(base.select(*fields), known, base.count(), n_stored).select(
             "id", F.col("match_key").alias("match_id"), "distance")
     else:
         id_type = base.schema["id"].dataType
@@ -260,6 +254,48 @@ def cache_replay(log: DataFrame, threshold: float, *, dim: int, id_col: str = "r
                     F.coalesce(F.col("round"), F.lit(0)).alias("round")))
 
 
+def _replay_keys(base: DataFrame, sizes: dict[int, int], known: DataFrame | None, threshold: float, *, dim: int,
+                 fields: list[str], timed: bool, block_rows: int | None, slice_rows: int) -> DataFrame:
+    """The replay where stored requests end the entries of their keys: guesses until one holds."""
+    spark = base.sparkSession
+    starts, n = [0] * (max(sizes, default=0) + 1), 0
+    for part in sorted(sizes):
+        starts[part], n = n, n + sizes[part]
+    # places of the log without gaps, so that a stretch of places is one of requests
+    place = (F.element_at(F.array(*[F.lit(x).cast("bigint") for x in starts]), (F.shiftright("rank", _ROW_BITS) + 1).cast("int"))
+             + F.col("rank").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+    base = base.withColumn("rank", place).select(*fields, F.col("storable").alias("stored"), "storable")
+    schema = T.StructType([*base.schema.fields, T.StructField("match_id", base.schema["id"].dataType),
+                           T.StructField("distance", T.DoubleType()), T.StructField("round", T.IntegerType())])
+    out: list[str] = []
+    for lo in range(0, n, slice_rows):
+        hi, rnd, changed = min(lo + slice_rows, n), 0, True
+        step = base.where((F.col("rank") >= lo) & (F.col("rank") < hi)).withColumn("round", F.lit(0))
+        while changed:
+            rnd += 1
+            stored = step.where("stored").select(*fields)
+            entries = materialise(with_next(stored if known is None else known.unionByName(stored), "until"), "replay-entries")
+            best = knn1(step, entries, query_id="rank", query_vec="vec", cache_key="id", cache_vec="vec", order="rank",
+                        arrival="at" if timed else None, available="avail" if timed else None, until="until", dim=dim,
+                        stretches=Stretches(entries, lo, hi, "rank", "until", dim, block_rows))
+            hit = F.coalesce(F.col("_d") <= F.lit(threshold), F.lit(False))
+            new = F.col("storable") & ~hit
+            path = new_folder(spark, "replay-guess")
+            found = best.select(F.col("rank").alias("_r"), F.col("match_key").alias("_m"), F.col("distance").alias("_d"))
+            step = written_to(step.join(found, F.col("rank") == F.col("_r"), "left").select(
+                *fields, new.alias("stored"), "storable", F.when(hit, F.col("_m")).alias("match_id"),
+                F.when(hit, F.col("_d")).alias("distance"),
+                F.when(~F.col("storable"), F.lit(0)).when((F.col("round") == 0) | (new != F.col("stored")), F.lit(rnd))
+                .otherwise(F.col("round")).alias("round")), path)
+            # a request that this round changed carries its number
+            changed = not step.where((F.col("round") == rnd) & (~F.col("stored") if rnd == 1 else F.lit(True))).isEmpty()
+        out.append(path)
+        known = materialise(entries.where(F.col("until") == _NEVER).select(*fields), "replay-cache")
+    rows = spark.read.schema(schema).parquet(*out) if out else spark.createDataFrame([], schema)
+    return rows.select("id", F.when(F.col("distance").isNotNull(), F.lit("HIT")).otherwise(F.lit("MISS")).alias("outcome"),
+                       "stored", "match_id", "distance", "round")
+
+
 def _least(df: DataFrame, name: str):
     """A value no greater than any of a numeric column: visible from the start."""
     kind = df.schema[name].dataType

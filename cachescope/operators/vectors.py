@@ -136,13 +136,47 @@ def _dealt(index: PivotIndex, queries: DataFrame, rows: DataFrame, qid: str, qve
     return q, c
 
 
+class Stretches:
+    """Queries with orders from ``first`` up to (not with) ``last``, cut into stretches of ``rows`` orders.
+
+    A cache row meets the stretches between its ``order`` and its ``until`` only, in one of ``parts``
+    cells chosen by its key. Stretches are as long as rows live on average, within what a cell
+    holds and what justifies one, and a stretch with many living rows has them in several cells."""
+
+    def __init__(self, cache: DataFrame, first: int, last: int, order: str, until: str, dim: int,
+                 block_rows: int | None = None):
+        self.first, self.last, self.order, self.until = first, last, order, until
+        side = block_rows or max(MIN_BLOCK_ROWS, CELL_BYTES // (2 * 8 * max(dim, 1)))
+        life = F.least(F.col(until), F.lit(last)) - F.greatest(F.col(order), F.lit(first))
+        mean = (cache.agg(F.sum(F.greatest(life, F.lit(0)).cast("double"))).first()[0] or 0) / max(1, last - first)
+        self.rows = block_rows or min(side, max(MIN_BLOCK_ROWS, math.ceil(mean), math.isqrt(int(WORK_PER_CELL) // max(dim, 1))))
+        met = cache.select(self._met().alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+        self.parts = max(1, math.ceil((met or 0) / side))
+
+    def _met(self) -> Column:
+        at = lambda order: F.expr(f"({order} - {self.first}L) div {self.rows}")
+        begin = at(f"greatest({self.order} + 1, {self.first}L)")
+        end = at(f"least({self.until}, {self.last - 1}L)")
+        return F.explode(F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<bigint>")))
+
+    def deal(self, queries: DataFrame, cache: DataFrame, qid: str, qvec: str, key: str, cvec: str,
+             q_extra: list[Column], c_extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+        q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("qvec"), *q_extra,
+                           F.expr(f"({self.order} - {self.first}L) div {self.rows}").alias("qblock"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))).alias("cblock"))
+        c = cache.select(F.col(key).alias("ckey"), F.col(cvec).alias("cvec"), *c_extra,
+                         F.pmod(F.xxhash64(F.col(key)), F.lit(self.parts)).alias("cblock"), self._met().alias("qblock"))
+        return q, c
+
+
 def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
          query_vec: str = "embedding", cache_key: str = "key", cache_vec: str = "embedding",
          dim: int, exclude_self: bool = False, order: str | None = None,
          arrival: str | None = None, available: str | None = None, until: str | None = None,
          block_rows: int | None = DEFAULT_BLOCK_ROWS,
          cache_block_rows: int | None = None, counts: tuple[int, int] | None = None,
-         index: PivotIndex | None = None, within: float | None = None) -> DataFrame:
+         index: PivotIndex | None = None, within: float | None = None,
+         stretches: Stretches | None = None) -> DataFrame:
     """Nearest cache entry for every query row (query ids must be unique).
 
     Returns ``query_id, match_key, distance`` with one row per query; queries
@@ -155,7 +189,8 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
     are compared in their own types, so integers stay exact. With a pivot ``index`` of
     the cache (``cache`` is then some or all of its rows, with ``cblock``) blocks that
     cannot hold the nearest are skipped; ``within`` says that a neighbour farther than
-    that need not be found, which saves the first of its two steps. ``dim`` is the
+    that need not be found, which saves the first of its two steps. With ``stretches`` (of
+    ``order`` and ``until``) queries meet only rows that live in their stretch. ``dim`` is the
     dimension: vectors of another one never match. ``counts`` = (queries,
     cache) row counts when already known (saves two jobs).
     """
@@ -208,7 +243,10 @@ def knn1(queries: DataFrame, cache: DataFrame, *, query_id: str = "query_id",
                  .applyInPandas(score, schema))
         return cells.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
-    if index is None:
+    if stretches is not None:
+        cb = stretches.parts
+        cells = run(*stretches.deal(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra, c_extra))
+    elif index is None:
         q, c, _, cb = _prepare(queries, cache, query_id, query_vec, cache_key, cache_vec, q_extra,
                                c_extra, block_rows, cache_block_rows, counts, dim)
         cells = run(q, c)

@@ -250,6 +250,23 @@ def test_case_variants_of_a_prompt_overwrite_each_other(spark):
         cache_replay(df.withColumn("a", F.col("request_id")), 0.1, dim=2, key_col="key", available_col="a")
 
 
+@pytest.mark.parametrize("block_rows", [None, 7])
+def test_rounds_follow_what_outcomes_turn_on(spark, block_rows):
+    """Each request has many earlier neighbours, all overwritten: nothing waits for them."""
+    rows = [(i, "k", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(40)] + [(40, "k", [0.0, 1.0]), (41, "k", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "request_id long, key string, embedding array<double>")
+    got = sorted(cache_replay(df, 0.1, dim=2, key_col="key", block_rows=block_rows).collect())
+    assert [(r.outcome, r.stored, r.match_id) for r in got] == [("MISS", True, None)] * 42
+    assert {r["round"] for r in got} == {1}
+
+
+def test_repeated_ids_of_an_overwritten_key_are_requests_of_their_own(spark):
+    rows = [(1, "k", [1.0, 0.0]), (1, "k", [1.0, 0.0]), (2, "k", [0.0, 1.0]), (2, "k", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "request_id long, key string, embedding array<double>")
+    got = [(r.id, r.outcome, r.stored, r.match_id) for r in cache_replay(df, 0.1, dim=2, key_col="key").collect()]
+    assert sorted(got, key=repr) == [(i, *o) for i in (1, 2) for o in (("HIT", False, i), ("MISS", True, None))]
+
+
 @pytest.mark.parametrize("bits", [0, 2, 16])
 def test_next_rank_of_a_key_across_stretches(spark, monkeypatch, bits):
     from cachescope.operators import replay
